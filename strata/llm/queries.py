@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from strata.llm import chat, mixing, secrets, topk
+from strata.llm import chat, langid, mixing, quality, secrets, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1,
+    "op2_language_id": langid.op2,
     "op4_chat_formatting": chat.op4,
+    "op7_quality": quality.op7,
     "op8_secret_scans": secrets.op8,
     "op10_mixing": mixing.op10,
 }
