@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import chat, langid, mixing, quality, secrets, topk
+from strata.llm import chat, langid, mixing, nearjoin, quality, secrets, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_chat_formatting": chat.op4,
     "op7_quality": quality.op7,
     "op8_secret_scans": secrets.op8,
+    "op9_ngram_jaccard_join": nearjoin.op9,
     "op10_mixing": mixing.op10,
 }
 
