@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strata.llm import chat, langid, mixing, nearjoin, quality, secrets, topk
+from strata.llm import chat, decontaminate, langid, lines, mixing, nearjoin, quality, secrets, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1,
     "op2_language_id": langid.op2,
+    "op3_decontamination": decontaminate.op3,
     "op4_chat_formatting": chat.op4,
+    "op6_line_dedup": lines.op6,
     "op7_quality": quality.op7,
     "op8_secret_scans": secrets.op8,
     "op9_ngram_jaccard_join": nearjoin.op9,
@@ -17,6 +19,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_topk": topk.OP1_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
+    "op6_line_dedup": lines.OP6_SQL,
     "op8_secret_scans": secrets.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
