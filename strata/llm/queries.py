@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strata.llm import chat, decontaminate, langid, lines, mixing, nearjoin, quality, secrets, topk
+from strata.llm import chat, decontaminate, langid, lines, mixing, nearjoin, quality, secrets, suffixes, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1,
     "op2_language_id": langid.op2,
     "op3_decontamination": decontaminate.op3,
     "op4_chat_formatting": chat.op4,
+    "op5_suffix_array_dedup": suffixes.op5,
     "op6_line_dedup": lines.op6,
     "op7_quality": quality.op7,
     "op8_secret_scans": secrets.op8,
