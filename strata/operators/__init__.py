@@ -1 +1 @@
-
+"""Operators: each takes DataFrames and gives DataFrames."""

@@ -1,4 +1,616 @@
-"""Queries over the star-schema tables and their DuckDB SQL."""
+"""Queries over the star-schema tables, one for each operator, and the DuckDB SQL that must give the same rows.
+
+Grids are made of the tables: lineitem gives 40 x 50 cells of mean price, orders 80 x 50 of mean total, events 24 x 50 of
+mean value; wells are the labelled documents. Doubles are rounded to six decimals on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strata.functions.columns import ensemble, keyword, score, signed_log, spread, unit
+from strata.operators import features, grid, metrics, sampling, stencil, targets
+from strata.operators.grid import Grid
+from strata.operators.unsupervised import unit_maps
+from strata.plans.pipeline import contour_class, layer_stats
+
+GRIDS = {"lineitem": (40, 50), "orders": (80, 50), "events": (24, 50)}
+#: The grid on which the geometry queries look at the lineitem cells, and its extent.
+AREA = Grid(0.0, 4900.0, 0.0, 3900.0, 50, 40)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def present(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """layer, row, col, z of the cells that the table fills."""
+    r, c, v = {
+        "lineitem": (F.col("l_suppkey") % 40, F.col("l_partkey") % 50, "l_extendedprice"),
+        "orders": ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1, F.col("o_custkey") % 50, "o_totalprice"),
+        "events": (F.hour("ts"), F.col("user_id") % 50, "value"),
+    }[name]
+    rows = _t(spark, sf_dir, name).select(r.cast("int").alias("row"), c.cast("int").alias("col"), F.col(v).alias("v"))
+    ny, nx = GRIDS[name]
+    return rows.where(F.col("row").between(0, ny - 1)).groupBy("row", "col").agg(F.avg("v").alias("z")).select(F.lit(name).alias("layer"), "row", "col", "z")
+
+
+def dense(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """All cells of the grid, null where the table has none."""
+    ny, nx = GRIDS[name]
+    every = spark.range(ny * nx).select(F.lit(name).alias("layer"), F.expr(f"cast(id div {nx} as int)").alias("row"), (F.col("id") % nx).cast("int").alias("col"))
+    return every.join(present(spark, sf_dir, name), ["layer", "row", "col"], "left")
+
+
+def cells(spark: SparkSession, sf_dir: str, name: str = "lineitem") -> DataFrame:
+    return grid.fill_nearest(dense(spark, sf_dir, name))
+
+
+def _layers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("lineitem", 0.0, 4900.0, 0.0, 3900.0, 50, 40), ("orders", 500.0, 5400.0, -400.0, 3550.0, 50, 80), ("events", 100.0, 4510.0, 200.0, 3650.0, 50, 24)], "layer string, xmin double, xmax double, ymin double, ymax double, nx int, ny int")
+
+
+_LAYERS_SQL = "(SELECT * FROM (VALUES ('lineitem', 0.0::DOUBLE, 4900.0::DOUBLE, 0.0::DOUBLE, 3900.0::DOUBLE, 50, 40), ('orders', 500.0, 5400.0, -400.0, 3550.0, 50, 80), ('events', 100.0, 4510.0, 200.0, 3650.0, 50, 24)) t(layer, xmin, xmax, ymin, ymax, nx, ny))"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# SQL pieces: r and c stand for row and col.
+def present_sql(name: str) -> str:
+    r, c, v = {"lineitem": ("l_suppkey % 40", "l_partkey % 50", "l_extendedprice"), "orders": ("(year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1", "o_custkey % 50", "o_totalprice"), "events": ("hour(ts)", "user_id % 50", "value")}[name]
+    return f"(SELECT CAST({r} AS INTEGER) AS r, CAST({c} AS INTEGER) AS c, avg({v}) AS z FROM {name} WHERE {r} BETWEEN 0 AND {GRIDS[name][0] - 1} GROUP BY 1, 2)"
+
+
+def dense_sql(name: str, only: str = "true") -> str:
+    ny, nx = GRIDS[name]
+    return f"(SELECT CAST(i // {nx} AS INTEGER) AS r, CAST(i % {nx} AS INTEGER) AS c, p.z FROM range({ny * nx}) t(i) LEFT JOIN {present_sql(name)} p ON p.r = i // {nx} AND p.c = i % {nx} AND ({only}))"
+
+
+def filled_sql(name: str, only: str = "true") -> str:
+    d = dense_sql(name, only)
+    return f"""(WITH d AS MATERIALIZED {d},
+n AS (SELECT a.r, a.c, arg_min(b.z, (a.r - b.r) * (a.r - b.r) * 100000000 + (a.c - b.c) * (a.c - b.c) * 100000000 + b.r * 1000 + b.c) AS z FROM d a JOIN d b ON a.z IS NULL AND b.z IS NOT NULL GROUP BY 1, 2)
+SELECT d.r, d.c, coalesce(d.z, n.z) AS z FROM d LEFT JOIN n ON d.r = n.r AND d.c = n.c)"""
+
+
+def _mirror(i: str, n: int) -> str:
+    m = f"((({i}) % {2 * n} + {2 * n}) % {2 * n})"
+    return f"CASE WHEN {m} < {n} THEN {m} ELSE {2 * n - 1} - {m} END"
+
+
+def conv_sql(src: str, weights: list[float], axis: str, n: int, agg: str = "sum(k.w * s.z)") -> str:
+    """src (r, c, z) convolved along axis, or another aggregate of the window."""
+    half, other = len(weights) // 2, "r" if axis == "c" else "c"
+    taps = ", ".join(f"({i - half}, {w!r}::DOUBLE)" for i, w in enumerate(weights))
+    return f"(SELECT g.r, g.c, {agg} AS z FROM {src} g CROSS JOIN (VALUES {taps}) k(o, w) JOIN {src} s ON s.{other} = g.{other} AND s.{axis} = {_mirror(f'g.{axis} + k.o', n)} GROUP BY g.r, g.c)"
+
+
+def _ctes(name: str, smooths: dict[str, float], src: str = "f") -> str:
+    """WITH list: f (filled cells) and a smooth by each sigma."""
+    ny, nx = GRIDS[name]
+    out = [f"f AS MATERIALIZED {filled_sql(name)}"]
+    for key, sigma in smooths.items():
+        w = stencil.kernel(sigma)
+        out += [f"{key}h AS MATERIALIZED {conv_sql(src, w, 'c', nx)}", f"{key} AS MATERIALIZED {conv_sql(key + 'h', w, 'r', ny)}"]
+    return "WITH " + ",\n".join(out)
+
+
+def grad_sql(src: str, dx: float = 1.0, dy: float = 1.0) -> str:
+    part = lambda across, along, step: f"(coalesce(lead(z) OVER w{along}, z) - coalesce(lag(z) OVER w{along}, z)) / (CASE WHEN lead(z) OVER w{along} IS NULL OR lag(z) OVER w{along} IS NULL THEN 1.0 ELSE 2.0 END * {step!r})"
+    return f"(SELECT r, c, {part('r', 'c', dx)} AS gx, {part('c', 'r', dy)} AS gy FROM {src} WINDOW wc AS (PARTITION BY r ORDER BY c), wr AS (PARTITION BY c ORDER BY r))"
+
+
+def _out(cols: str, frm: str) -> str:
+    return f"SELECT r AS \"row\", c AS col, {cols} FROM {frm}"
+
+
+def _r6(expr: str, name: str) -> str:
+    return f"round({expr}, 6) AS {name}"
+
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long features for the normalising queries: two columns of part, one of lineitem by part."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.array(F.struct(F.lit("magnetic__size").alias("feature"), F.col("p_size").cast("double").alias("val")), F.struct(F.lit("gravity__price").alias("feature"), F.col("p_retailprice").alias("val"))).alias("a"))
+    li = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.avg("l_extendedprice").alias("val"))
+    return p.select("k", F.explode("a").alias("x")).select("k", "x.feature", "x.val").unionByName(li.select("k", F.lit("ip__extended").alias("feature"), "val"))
+
+
+_LONG_SQL = """(SELECT p_partkey AS k, 'magnetic__size' AS feature, CAST(p_size AS DOUBLE) AS val FROM part UNION ALL SELECT p_partkey, 'gravity__price', p_retailprice FROM part
+UNION ALL SELECT l_partkey, 'ip__extended', avg(l_extendedprice) FROM lineitem GROUP BY 1)"""
+_PARAMS_SQL = f"""(SELECT feature, CASE WHEN n < 10 THEN 0 ELSE q[1] END AS p_low, CASE WHEN n < 10 THEN 1 ELSE q[5] END AS p_high, CASE WHEN n < 10 THEN 0 ELSE q[3] END AS median, CASE WHEN n < 10 THEN 1 ELSE greatest(q[4] - q[2], 1e-10) END AS iqr
+FROM (SELECT feature, count(val) AS n, quantile_cont(val, [0.02, 0.25, 0.5, 0.75, 0.98]) AS q FROM {_LONG_SQL} GROUP BY feature))"""
+
+
+@query(f"SELECT feature, round(p_low, 6) AS p_low, round(p_high, 6) AS p_high, round(median, 6) AS median, round(iqr, 6) AS iqr FROM {_PARAMS_SQL}")
+def robust_params(spark, sf_dir):
+    return rounded(features.norm_params(_long(spark, sf_dir)))
+
+
+_NORMAL_SQL = f"(SELECT k, feature, least(greatest((least(greatest(val, p_low), p_high) - median) / iqr, -5.0), 5.0) AS val FROM {_LONG_SQL} l JOIN {_PARAMS_SQL} p USING (feature))"
+
+
+@query(f"SELECT k, feature, round(val, 6) AS val FROM {_NORMAL_SQL}")
+def robust_normalize(spark, sf_dir):
+    long = _long(spark, sf_dir)
+    return rounded(features.normalised(long, features.norm_params(long)))
+
+
+@query("SELECT c_custkey, round(sign(c_acctbal) * ln(1 + abs(c_acctbal)), 6) AS z FROM customer")
+def signed_log_transform(spark, sf_dir):
+    return rounded(_t(spark, sf_dir, "customer").select("c_custkey", signed_log(F.col("c_acctbal")).alias("z")))
+
+
+@query(f"SELECT k, feature, round(val * CASE WHEN feature LIKE '%ip%' THEN 2.0::DOUBLE WHEN feature LIKE '%magnetic%' THEN 1.5::DOUBLE WHEN feature LIKE '%gravity%' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END, 6) AS val FROM {_LONG_SQL}")
+def feature_weight(spark, sf_dir):
+    return rounded(features.weighted(_long(spark, sf_dir), "mineral"))
+
+
+@query("SELECT o_orderkey, round(CASE WHEN q[2] <= q[1] THEN 0.5 ELSE least(greatest((o_totalprice - q[1]) / (q[2] - q[1]), 0.0), 1.0) END, 6) AS u FROM orders, (SELECT quantile_cont(o_totalprice, [0.05, 0.95]) AS q FROM orders)")
+def unit_scale(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    q = o.agg(F.percentile("o_totalprice", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    return rounded(o.crossJoin(F.broadcast(q)).select("o_orderkey", unit(F.col("o_totalprice"), F.col("q")[0], F.col("q")[1]).alias("u")))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(least(greatest(l_discount * 10 - 0.3 * l_tax * 10, 0.0), 1.0), 6) AS score FROM lineitem")
+def confidence_score(spark, sf_dir):
+    return rounded(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score(F.col("l_discount") * 10, F.col("l_tax") * 10).alias("score")))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'e') AND contains(lower(p_name), '1') THEN 'ip' WHEN contains(lower(p_name), '2') THEN 'gravity' ELSE 'default' END AS kind FROM part")
+def layer_kind(spark, sf_dir):
+    named = F.when(F.lower("p_type").contains("e") & F.lower("p_name").contains("1"), "Line_IP_a").when(F.lower("p_name").contains("2"), "Bouguer GRAVITY").otherwise("something else")
+    return _t(spark, sf_dir, "part").select("p_partkey", keyword(named, {k: k for k in features.PROFILES if k != "default"}, "default").alias("kind"))
+
+
+@query(f"{_ctes('lineitem', {})} {_out(_r6('gx', 'gx') + ', ' + _r6('gy', 'gy'), grad_sql('f', 100.0, 50.0))}")
+def gradient(spark, sf_dir):
+    return rounded(stencil.gradient(cells(spark, sf_dir), 100.0, 50.0).select("row", "col", "gx", "gy"))
+
+
+@query(f"{_ctes('orders', {})} {_out(_r6('sqrt(gx * gx + gy * gy)', 'hgrad'), grad_sql('f', 100.0, 50.0))}")
+def horizontal_gradient(spark, sf_dir):
+    return rounded(stencil.horizontal_gradient(cells(spark, sf_dir, "orders"), 100.0, 50.0).drop("layer"))
+
+
+@query(f"{_ctes('lineitem', {'a': 1.5})} {_out(_r6('z', 'smooth'), 'a')}")
+def gaussian_smooth(spark, sf_dir):
+    return rounded(stencil.smoothed(cells(spark, sf_dir), [1.5]).select("row", "col", F.col("g1_5").alias("smooth")))
+
+
+@query(f"{_ctes('events', {'a': 8.0})} {_out(_r6('a.z', 'regional') + ', ' + _r6('f.z - a.z', 'residual'), 'a JOIN f USING (r, c)')}")
+def regional_residual(spark, sf_dir):
+    return rounded(stencil.regional_residual(cells(spark, sf_dir, "events")).drop("layer"))
+
+
+@query(f"{_ctes('lineitem', {'a': 3.0})} {_out(_r6('z', 'upward'), 'a')}")
+def upward_continuation(spark, sf_dir):
+    return rounded(stencil.upward_continuation(cells(spark, sf_dir)).drop("layer"))
+
+
+@query(f"{_ctes('events', {'a': 0.5, 'b': 2.0})} {_out(_r6('a.z - b.z', 'fvd'), 'a JOIN b USING (r, c)')}")
+def first_vertical_derivative(spark, sf_dir):
+    return rounded(stencil.first_vertical_derivative(cells(spark, sf_dir, "events")).drop("layer"))
+
+
+_DOG = {"a": 0.8, "b": 2.5}
+
+
+@query(f"{_ctes('lineitem', _DOG)} {_out(_r6('sqrt(gx * gx + gy * gy + (a.z - b.z) * (a.z - b.z))', 'analytic_signal'), grad_sql('f', 1.0, 1.0) + ' g JOIN a USING (r, c) JOIN b USING (r, c)')}")
+def analytic_signal(spark, sf_dir):
+    return rounded(stencil.analytic_signal(cells(spark, sf_dir)).drop("layer"))
+
+
+@query(f"{_ctes('events', _DOG)} {_out(_r6('atan2(a.z - b.z, sqrt(gx * gx + gy * gy) + 1e-10)', 'tilt'), grad_sql('f', 1.0, 1.0) + ' g JOIN a USING (r, c) JOIN b USING (r, c)')}")
+def tilt_angle(spark, sf_dir):
+    return rounded(stencil.tilt_angle(cells(spark, sf_dir, "events")).drop("layer"))
+
+
+@query(f"{_ctes('events', _DOG)}, t AS MATERIALIZED (SELECT r, c, atan2(a.z - b.z, sqrt(gx * gx + gy * gy) + 1e-10) AS z FROM {grad_sql('f')} g JOIN a USING (r, c) JOIN b USING (r, c)) {_out(_r6('sqrt(gx * gx + gy * gy)', 'wavenumber'), grad_sql('t'))}")
+def local_wavenumber(spark, sf_dir):
+    return rounded(stencil.local_wavenumber(cells(spark, sf_dir, "events")).drop("layer"))
+
+
+@query(f"{_ctes('lineitem', {})}, dx AS MATERIALIZED {conv_sql('f', [-1.0, 0.0, 1.0], 'c', 50)}, sx AS {conv_sql('dx', [1.0, 2.0, 1.0], 'r', 40)}, dy AS MATERIALIZED {conv_sql('f', [-1.0, 0.0, 1.0], 'r', 40)}, sy AS {conv_sql('dy', [1.0, 2.0, 1.0], 'c', 50)} {_out(_r6('sqrt(sx.z * sx.z + sy.z * sy.z)', 'edge'), 'sx JOIN sy USING (r, c)')}")
+def sobel_edges(spark, sf_dir):
+    return rounded(stencil.sobel(cells(spark, sf_dir)).drop("layer"))
+
+
+_W = [0.2] * 5
+_WIN_SQL = f"""m AS ({conv_sql(conv_sql('f', _W, 'c', 50), _W, 'r', 40)[1:-1]}), q AS ({conv_sql(conv_sql('(SELECT r, c, z * z AS z FROM f)', _W, 'c', 50), _W, 'r', 40)[1:-1]}),
+hi AS ({conv_sql(conv_sql('f', _W, 'c', 50, 'max(s.z)'), _W, 'r', 40, 'max(s.z)')[1:-1]}), lo AS ({conv_sql(conv_sql('f', _W, 'c', 50, 'min(s.z)'), _W, 'r', 40, 'min(s.z)')[1:-1]})"""
+
+
+@query(f"{_ctes('lineitem', {})}, {_WIN_SQL} {_out(_r6('m.z', 'win_mean') + ', round(sqrt(greatest(q.z - m.z * m.z, 0)), 4) AS win_std, ' + _r6('hi.z - lo.z', 'win_range'), 'm JOIN q USING (r, c) JOIN hi USING (r, c) JOIN lo USING (r, c)')}")
+def window_stats(spark, sf_dir):
+    return rounded(stencil.window_stats(cells(spark, sf_dir)).select("row", "col", "win_mean", F.round("win_std", 4).alias("win_std"), "win_range"))
+
+
+@query(f"SELECT max(xmin) AS xmin, min(xmax) AS xmax, max(ymin) AS ymin, min(ymax) AS ymax, max(nx) AS nx, max(ny) AS ny FROM {_LAYERS_SQL}")
+def extent_intersection(spark, sf_dir):
+    return grid.extent(_layers(spark))
+
+
+@query(f"SELECT min(xmin) AS xmin, max(xmax) AS xmax, min(ymin) AS ymin, max(ymax) AS ymax, max(nx) AS nx, max(ny) AS ny FROM {_LAYERS_SQL}")
+def extent_union(spark, sf_dir):
+    return grid.extent(_layers(spark), "union")
+
+
+#: A common grid of 30 x 25 cells over the intersection of the three layers.
+COMMON = Grid(500.0, 4510.0, 200.0, 3550.0, 30, 25)
+
+
+def _axis_sql(at: str, lo: str, hi: str, n: str) -> tuple[str, str]:
+    t = f"((least(greatest({at}, {lo}), {hi}) - {lo}) / (({hi} - {lo}) / ({n} - 1)))"
+    i = f"greatest(0, least(CAST(floor({t}) AS INTEGER), {n} - 2))"
+    return i, f"({t} - {i})"
+
+
+def _wanted_sql() -> str:
+    (i, ti), (j, tj) = _axis_sql("y", "ymin", "ymax", "ny"), _axis_sql("x", "xmin", "xmax", "nx")
+    frame = f"(SELECT CAST(i // {COMMON.nx} AS INTEGER) AS r, CAST(i % {COMMON.nx} AS INTEGER) AS c, {COMMON.xmin!r}::DOUBLE + (i % {COMMON.nx}) * {COMMON.dx!r}::DOUBLE AS x, {COMMON.ymin!r}::DOUBLE + (i // {COMMON.nx}) * {COMMON.dy!r}::DOUBLE AS y FROM range({COMMON.nx * COMMON.ny}) t(i))"
+    return f"(SELECT layer, r, c, {i} AS i, {ti} AS ti, {j} AS j, {tj} AS tj FROM {frame} CROSS JOIN {_LAYERS_SQL})"
+
+
+_ALL_CELLS_SQL = "(" + " UNION ALL ".join(f"SELECT '{n}' AS layer, r, c, z FROM {filled_sql(n)}" for n in GRIDS) + ")"
+
+
+def _all_cells(spark, sf_dir) -> DataFrame:
+    a, b, c = (cells(spark, sf_dir, n) for n in GRIDS)
+    return a.unionByName(b).unionByName(c)
+
+
+@query(f"""WITH a AS MATERIALIZED {_ALL_CELLS_SQL}, w AS {_wanted_sql()}, k AS (SELECT layer, r, c, i + da AS i, j + db AS j, (CASE WHEN da = 1 THEN ti ELSE 1 - ti END) * (CASE WHEN db = 1 THEN tj ELSE 1 - tj END) AS w FROM w, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(da, db))
+SELECT k.layer, k.r AS "row", k.c AS col, round(sum(k.w * a.z), 6) AS z FROM k JOIN a ON a.layer = k.layer AND a.r = k.i AND a.c = k.j WHERE k.w > 0 GROUP BY 1, 2, 3""")
+def resample_bilinear(spark, sf_dir):
+    return rounded(grid.resample(_all_cells(spark, sf_dir), _layers(spark), COMMON))
+
+
+@query(f"""WITH a AS MATERIALIZED {_ALL_CELLS_SQL}, w AS {_wanted_sql()}
+SELECT w.layer, w.r AS "row", w.c AS col, round(a.z, 6) AS z FROM w LEFT JOIN a ON a.layer = w.layer AND a.r = w.i + CAST(w.ti > 0.5 AS INTEGER) AND a.c = w.j + CAST(w.tj > 0.5 AS INTEGER)""")
+def resample_nearest(spark, sf_dir):
+    return rounded(grid.resample(_all_cells(spark, sf_dir), _layers(spark), COMMON, "nearest"))
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 5000).cast("double").alias("x"), (F.col("c_acctbal") / 2).alias("y"))
+
+
+@query("""SELECT c_custkey, x, round(y, 6) AS y, CAST(greatest(0, least(ceil(y / 100.0), 39)) AS INTEGER) AS "row", CAST(greatest(0, least(ceil(x / 100.0), 49)) AS INTEGER) AS col, x BETWEEN 0 AND 4900 AND y BETWEEN 0 AND 3900 AS inside
+FROM (SELECT c_custkey, CAST(c_custkey % 5000 AS DOUBLE) AS x, c_acctbal / 2 AS y FROM customer)""")
+def point_to_cell(spark, sf_dir):
+    return rounded(grid.locate(_points(spark, sf_dir), AREA))
+
+
+_HOLES = "(p.r * 7 + p.c * 3) % 5 <> 0"
+
+
+@query(_out(_r6("z", "z"), filled_sql("lineitem", _HOLES)))
+def nearest_fill(spark, sf_dir):
+    holed = dense(spark, sf_dir, "lineitem").withColumn("z", F.when((F.col("row") * 7 + F.col("col") * 3) % 5 != 0, F.col("z")))
+    return rounded(grid.fill_nearest(holed).drop("layer"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS layer, count(*) AS n_cells, count(*) - count(z) AS n_missing, round((count(*) - count(z)) / count(*), 6) AS missing_share FROM {dense_sql(n, _HOLES)}" for n in GRIDS))
+def layer_null_report(spark, sf_dir):
+    a, b, c = (dense(spark, sf_dir, n) for n in GRIDS)
+    holed = a.unionByName(b).unionByName(c).withColumn("z", F.when((F.col("row") * 7 + F.col("col") * 3) % 5 != 0, F.col("z")))
+    return rounded(grid.missing_report(holed))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS layer, round(quantile_cont(z, 0.02), 6) AS p2, round(quantile_cont(z, 0.98), 6) AS p98, round(100.0 * (count(*) - count(z)) / count(*), 6) AS missing_percent FROM {dense_sql(n, _HOLES)}" for n in GRIDS))
+def layer_limits(spark, sf_dir):
+    a, b, c = (dense(spark, sf_dir, n) for n in GRIDS)
+    holed = a.unionByName(b).unionByName(c).withColumn("z", F.when((F.col("row") * 7 + F.col("col") * 3) % 5 != 0, F.col("z")))
+    return rounded(layer_stats(holed))
+
+
+def _wells(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "labels").select("doc_id", (F.expr("doc_id div 50") % 24).cast("int").alias("row"), (F.col("doc_id") % 50).cast("int").alias("col"), F.col("toxic").alias("label"))
+
+
+_WELLS_SQL = "(SELECT doc_id, CAST((doc_id // 50) % 24 AS INTEGER) AS r, CAST(doc_id % 50 AS INTEGER) AS c, toxic AS label FROM labels)"
+EVENT_GRID = Grid(0.0, 4900.0, 0.0, 2300.0, 50, 24)
+
+
+@query(f"""SELECT label, r + dr AS "row", c + dc AS col, count(*) AS n FROM {_WELLS_SQL}, range(-3, 4) a(dr), range(-3, 4) b(dc)
+WHERE abs(dr) <= CASE WHEN label = 1 THEN 3 ELSE 1 END AND abs(dc) <= CASE WHEN label = 1 THEN 3 ELSE 1 END AND r + dr BETWEEN 0 AND 23 AND c + dc BETWEEN 0 AND 49 GROUP BY 1, 2, 3""")
+def buffer_samples(spark, sf_dir):
+    return sampling.buffered(_wells(spark, sf_dir), EVENT_GRID).groupBy("label", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT r AS "row", c AS col FROM (SELECT i // 50 AS r, i % 50 AS c FROM range(1200) t(i)) g WHERE NOT EXISTS (SELECT 1 FROM {_WELLS_SQL} w WHERE label = 1 AND doc_id % 7 = 0 AND abs(g.r - w.r) < 4 AND abs(g.c - w.c) < 4)""")
+def far_negative_cells(spark, sf_dir):
+    few = _wells(spark, sf_dir).where("label = 1 and doc_id % 7 = 0")
+    return sampling.far_cells(EVENT_GRID.frame(spark).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")), few, 4)
+
+
+def _positives(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+
+_KNN_SQL = """(SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY d2, other) AS INTEGER) AS rank, other, d2 FROM (
+SELECT a.vec_id AS id, b.vec_id AS other, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d2
+FROM embeddings a JOIN embeddings b ON a.label = 3 AND b.label = 3 AND a.vec_id <> b.vec_id))"""
+
+
+@query(f"SELECT id, rank, other, round(d2, 6) AS d2 FROM {_KNN_SQL} WHERE rank <= 5")
+def knn_topk(spark, sf_dir):
+    return rounded(sampling.neighbours(_positives(spark, sf_dir)))
+
+
+@query()
+def smote_samples(spark, sf_dir):
+    return sampling.smote(_positives(spark, sf_dir), 100)
+
+
+@query(f"""SELECT n_pos, n_neg, round(n_neg / n_pos, 6) AS ratio, CASE WHEN n_neg / n_pos < 3 THEN 'mild' WHEN n_neg / n_pos < 10 THEN 'moderate' WHEN n_neg / n_pos < 20 THEN 'severe' ELSE 'extreme' END AS severity,
+round(CASE WHEN n_neg / n_pos >= 20 THEN 0.2 WHEN n_neg / n_pos >= 10 THEN 1/3 ELSE 0.5 END, 6) AS smote_ratio, CAST(greatest(2, least(5, n_pos // 2)) AS INTEGER) AS folds
+FROM (SELECT count(*) FILTER (toxic = 1) AS n_pos, count(*) FILTER (toxic = 0) AS n_neg FROM labels)""")
+def imbalance_report(spark, sf_dir):
+    return rounded(sampling.balance_report(_wells(spark, sf_dir)))
+
+
+@query("SELECT doc_id, toxic AS label, round(count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY toxic)), 6) AS weight FROM labels")
+def balanced_weights(spark, sf_dir):
+    return rounded(sampling.balanced_weights(_wells(spark, sf_dir).select("doc_id", "label"))).select("doc_id", "label", "weight")
+
+
+@query("SELECT doc_id, toxic AS label, CAST((row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels")
+def stratified_folds(spark, sf_dir):
+    return sampling.folds(_wells(spark, sf_dir).select("doc_id", "label"), 5, "doc_id")
+
+
+def _scored(spark, sf_dir, label: str = "toxic") -> DataFrame:
+    return _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col(label).alias("label"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("prob"))
+
+
+def _scored_sql(label: str = "toxic") -> str:
+    return f"(SELECT {label} AS label, least(1.0::DOUBLE, n_chars / 4000.0::DOUBLE) AS prob FROM labels JOIN documents USING (doc_id))"
+
+
+_STEPS_SQL = f"""(SELECT i AS step, 0.05::DOUBLE + i * {0.9 / 180!r}::DOUBLE AS threshold, count(*) FILTER (label = 1 AND prob >= 0.05::DOUBLE + i * {0.9 / 180!r}::DOUBLE) AS tp, count(*) FILTER (label = 0 AND prob >= 0.05::DOUBLE + i * {0.9 / 180!r}::DOUBLE) AS fp,
+count(*) FILTER (label = 1 AND prob < 0.05::DOUBLE + i * {0.9 / 180!r}::DOUBLE) AS fn, count(*) FILTER (label = 0 AND prob < 0.05::DOUBLE + i * {0.9 / 180!r}::DOUBLE) AS tn FROM range(181) t(i), {_scored_sql()} GROUP BY i)"""
+
+
+@query(f"SELECT CAST(step AS INTEGER) AS step, tp, fp, fn, tn FROM {_STEPS_SQL}")
+def confusion_by_threshold(spark, sf_dir):
+    return metrics.by_threshold(_scored(spark, sf_dir)).select("step", "tp", "fp", "fn", "tn")
+
+
+@query(f"SELECT round(threshold, 6) AS threshold, round(score, 6) AS score FROM (SELECT step, threshold, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS score FROM {_STEPS_SQL}) ORDER BY round(score, 12) DESC, step LIMIT 1")
+def threshold_f1(spark, sf_dir):
+    return rounded(metrics.best_threshold(_scored(spark, sf_dir)))
+
+
+@query(f"SELECT round(threshold, 6) AS threshold, round(score, 6) AS score FROM (SELECT step, threshold, sqrt(tp / (tp + fn + 1e-10) * (tn / (tn + fp + 1e-10))) AS score FROM {_STEPS_SQL}) ORDER BY round(score, 12) DESC, step LIMIT 1")
+def threshold_gmean(spark, sf_dir):
+    return rounded(metrics.best_threshold(_scored(spark, sf_dir), "gmean"))
+
+
+def _curve_sql(label: str) -> str:
+    return f"(SELECT prob, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS all_p FROM (SELECT prob, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM {_scored_sql(label)} GROUP BY prob) WINDOW w AS (ORDER BY prob DESC))"
+
+
+@query(f"SELECT round(least(greatest(prob, 0.05), 0.95), 6) AS threshold, round(score, 6) AS score FROM (SELECT prob, 2 * (tp / (tp + fp)) * (tp / all_p) / (tp / (tp + fp) + tp / all_p + 1e-10) AS score FROM {_curve_sql('toxic')}) ORDER BY round(score, 12) DESC, prob LIMIT 1")
+def threshold_pr(spark, sf_dir):
+    return rounded(metrics.best_threshold(_scored(spark, sf_dir), "pr"))
+
+
+def _metrics_sql(label: str) -> str:
+    return f"SELECT '{label}' AS model, round(sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)), 6) AS auc_roc, round(sum(p * (tp / (tp + fp))) / sum(p), 6) AS auc_pr, (SELECT round(avg((prob - label) * (prob - label)), 6) FROM {_scored_sql(label)}) AS brier FROM {_curve_sql(label)}"
+
+
+def _two(spark, sf_dir) -> DataFrame:
+    return _scored(spark, sf_dir).withColumn("model", F.lit("toxic")).unionByName(_scored(spark, sf_dir, "quality").withColumn("model", F.lit("quality")))
+
+
+@query(f"{_metrics_sql('toxic')} UNION ALL {_metrics_sql('quality')}")
+def model_metrics(spark, sf_dir):
+    return rounded(metrics.model_metrics(_two(spark, sf_dir), "model"))
+
+
+@query(f"SELECT model, round(round(auc_pr, 4) / sum(round(auc_pr, 4)) OVER () * 2, 6) AS weight FROM ({_metrics_sql('toxic')} UNION ALL {_metrics_sql('quality')})")
+def ensemble_weights(spark, sf_dir):
+    return rounded(metrics.ensemble_weights(metrics.model_metrics(_two(spark, sf_dir), "model")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round((l_discount * 1.5 + l_tax * 0.9 + l_quantity / 50 * 0.6) / 3.0, 6) AS prob,
+round(sqrt((pow(l_discount - m, 2) + pow(l_tax - m, 2) + pow(l_quantity / 50 - m, 2)) / 3), 6) AS uncertainty FROM (SELECT *, (l_discount + l_tax + l_quantity / 50) / 3 AS m FROM lineitem)""")
+def ensemble_probability(spark, sf_dir):
+    probs = [F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50]
+    return rounded(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ensemble(probs, [1.5, 0.9, 0.6]).alias("prob"), spread(probs).alias("uncertainty")))
+
+
+def _normal_features(spark, sf_dir) -> DataFrame:
+    """Raw, smooth and residual of the lineitem grid as long normalised features."""
+    s = stencil.smoothed(cells(spark, sf_dir), [1.5, 3.0])
+    kinds = F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("val")) for n, v in (("raw", F.col("z")), ("smooth", F.col("g1_5")), ("residual", F.col("z") - F.col("g3")))])
+    long = s.select("row", "col", F.explode(kinds).alias("k")).select("row", "col", "k.*")
+    return features.normalised(long, features.norm_params(long))
+
+
+_FEATURES_SQL = """l AS MATERIALIZED (SELECT r, c, 'raw' AS feature, z AS val FROM f UNION ALL SELECT r, c, 'smooth', z FROM a UNION ALL SELECT f.r, f.c, 'residual', f.z - b.z FROM f JOIN b USING (r, c)),
+p AS (SELECT feature, quantile_cont(val, [0.02, 0.25, 0.5, 0.75, 0.98]) AS q FROM l GROUP BY feature),
+v AS (SELECT r, c, feature, least(greatest((least(greatest(val, q[1]), q[5]) - q[3]) / greatest(q[4] - q[2], 1e-10), -5.0), 5.0) AS val FROM l JOIN p USING (feature)),
+s AS MATERIALIZED (SELECT r, c, avg(abs(val)) AS s, stddev_pop(val) AS d FROM v GROUP BY r, c),
+u AS MATERIALIZED (SELECT r, c, least(greatest((s - qs[1]) / (qs[2] - qs[1]), 0.0), 1.0) AS prob, least(greatest((d - qd[1]) / (qd[2] - qd[1]), 0.0), 1.0) AS unc FROM s, (SELECT quantile_cont(s, [0.05, 0.95]) AS qs, quantile_cont(d, [0.05, 0.95]) AS qd FROM s))"""
+_MAPS_SQL = f"{_ctes('lineitem', {'a': 1.5, 'b': 3.0})}, {_FEATURES_SQL}"
+
+
+@query(f"{_MAPS_SQL} {_out(_r6('prob', 'prob') + ', ' + _r6('unc', 'uncertainty'), 'u')}")
+def unsupervised_maps(spark, sf_dir):
+    return rounded(unit_maps(_normal_features(spark, sf_dir)))
+
+
+def _maps(spark, sf_dir) -> DataFrame:
+    # Rounded, so that cells at a threshold fall on the same side everywhere.
+    return unit_maps(_normal_features(spark, sf_dir)).select("row", "col", F.round("prob", 6).alias("prob"), F.round("uncertainty", 6).alias("uncertainty"))
+
+
+_HOT_SQL = f"""{_MAPS_SQL}, m AS MATERIALIZED (SELECT r, c, round(prob, 6) AS prob, round(unc, 6) AS unc FROM u), h AS MATERIALIZED (SELECT m.* FROM m, (SELECT greatest(0.35, quantile_cont(prob, 0.8)) AS t FROM m) WHERE prob >= t)"""
+
+
+@query(f"{_HOT_SQL} SELECT r AS \"row\", c AS col, prob, unc AS uncertainty FROM h")
+def hot_mask(spark, sf_dir):
+    return targets.hot(_maps(spark, sf_dir), 0.35)
+
+
+@query(f"""{_MAPS_SQL} SELECT r AS "row", c AS col, CASE WHEN prob >= 0.88 THEN 4 WHEN prob >= 0.76 - 0.01 THEN 3 WHEN prob >= 0.6 THEN 2 WHEN prob >= 0.4 THEN 1 ELSE 0 END AS level FROM (SELECT r, c, round(prob, 6) AS prob FROM u)""")
+def contour_levels(spark, sf_dir):
+    return contour_class(_maps(spark, sf_dir)).select("row", "col", "level")
+
+
+_COMPONENTS_SQL = _HOT_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, reach AS (SELECT r, c, r * 50 + c AS n FROM h UNION SELECT b.r, b.c, a.n FROM reach a JOIN h b ON abs(a.r - b.r) + abs(a.c - b.c) = 1),
+comp AS MATERIALIZED (SELECT r, c, min(n) AS component FROM reach GROUP BY r, c)"""
+
+
+@query(f"{_COMPONENTS_SQL} SELECT r AS \"row\", c AS col, CAST(component AS BIGINT) AS component FROM comp")
+def connected_components(spark, sf_dir):
+    # Small tiles, so that components cross their borders.
+    return targets.label_components(targets.hot(_maps(spark, sf_dir), 0.35).select("row", "col"), 50, 8)
+
+
+_STATS_SQL = f"""{_COMPONENTS_SQL}, k AS MATERIALIZED (SELECT component, CAST(least(greatest(round_even(sum(w * r) / sum(w), 0), 0), 39) AS INTEGER) AS r, CAST(least(greatest(round_even(sum(w * c) / sum(w), 0), 0), 49) AS INTEGER) AS c,
+max(prob) AS max_probability, avg(prob) AS mean_probability, max(score) AS max_score, avg(unc) AS mean_uncertainty, CAST(count(*) AS INTEGER) AS n_pixels
+FROM (SELECT comp.component, h.*, least(greatest(prob - 0.3 * unc, 0.0), 1.0) AS score, least(greatest(prob - 0.3 * unc, 0.0), 1.0) + 1e-10 AS w FROM h JOIN comp USING (r, c)) GROUP BY component HAVING count(*) >= 3)"""
+
+
+@query(f"""{_STATS_SQL} SELECT CAST(component AS BIGINT) AS component, r AS "row", c AS col, max_probability, round(mean_probability, 6) AS mean_probability, round(max_score, 6) AS max_score, round(mean_uncertainty, 6) AS mean_uncertainty, n_pixels, round(n_pixels * 0.01, 6) AS area_km2 FROM k""")
+def component_stats(spark, sf_dir):
+    hot = targets.label_components(targets.hot(_maps(spark, sf_dir), 0.35), 50, 16)
+    s = targets.component_stats(hot, AREA, "mineral", 0.35)
+    return rounded(s.select("component", "row", "col", "max_probability", "mean_probability", "max_score", "mean_uncertainty", "n_pixels", "area_km2"))
+
+
+@query(f"""{_STATS_SQL}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY max_score DESC, component) AS i FROM k),
+pick AS (SELECT 0::BIGINT AS i, []::STRUCT(r INTEGER, c INTEGER)[] AS kept, false AS took UNION ALL
+  SELECT o.i, CASE WHEN ok THEN list_append(kept, {{'r': o.r, 'c': o.c}}) ELSE kept END, ok FROM (
+    SELECT o.i, o.r, o.c, p.kept, len(p.kept) < 15 AND len(list_filter(p.kept, lambda x: abs(x.r - o.r) < 10 AND abs(x.c - o.c) < 10)) = 0 AS ok FROM pick p JOIN o ON o.i = p.i + 1) o)
+SELECT CAST(row_number() OVER (ORDER BY i) AS INTEGER) AS rank, c * 100.0::DOUBLE AS x, r * 100.0::DOUBLE AS y, r AS "row", c AS col, max_probability, round(max_score, 6) AS max_score, n_pixels FROM o JOIN pick USING (i) WHERE took""")
+def top_targets(spark, sf_dir):
+    t = targets.top_targets(_maps(spark, sf_dir), AREA, "mineral", 15, 0.35)
+    return rounded(t.select("rank", "x", "y", "row", "col", "max_probability", "max_score", "n_pixels"))
+
+
+@query(f"""{_STATS_SQL}, z AS (SELECT component, CAST(row_number() OVER (ORDER BY component) AS INTEGER) AS rank FROM k) SELECT CAST(rank + n * (SELECT count(*) FROM z) AS INTEGER) AS rank, CASE WHEN n = 0 THEN 'mineral' ELSE 'groundwater' END AS target_type, CAST(component AS BIGINT) AS component FROM z, range(2) t(n)""")
+def target_union(spark, sf_dir):
+    hot = targets.label_components(targets.hot(_maps(spark, sf_dir), 0.35), 50)
+    one = targets.component_stats(hot, AREA, "mineral", 0.35).withColumn("rank", F.row_number().over(Window.orderBy("component")))
+    both = one.withColumn("_k", F.lit(0)).unionByName(one.withColumn("target_type", F.lit("groundwater")).withColumn("_k", F.lit(1)))
+    return both.withColumn("rank", F.row_number().over(Window.orderBy("_k", "rank"))).select("rank", "target_type", "component")
+
+
+@query(f"{_ctes('events', {'a': 1.5})}, {_WIN_SQL.replace(', 40)', ', 24)').replace(str(2 * 40), str(2 * 24)).replace('< 40', '< 24').replace('ELSE 79', 'ELSE 47')}"
+       """ SELECT r AS "row", c AS col, feature, CASE WHEN suffix(feature, 'std') THEN round(val, 4) ELSE round(val, 6) END AS val FROM (SELECT r, c, 'geology_e__raw' AS feature, z AS val FROM f UNION ALL SELECT r, c, 'geology_e__win_mean', z FROM m UNION ALL SELECT m.r, m.c, 'geology_e__win_std', sqrt(greatest(q.z - m.z * m.z, 0)) FROM m JOIN q USING (r, c)
+UNION ALL SELECT hi.r, hi.c, 'geology_e__win_range', hi.z - lo.z FROM hi JOIN lo USING (r, c))""")
+def extract_features(spark, sf_dir):
+    c = cells(spark, sf_dir, "events").withColumn("layer", F.lit("geology_e"))
+    return features.extract(c, ["geology_e"]).withColumn("val", F.when(F.col("feature").endswith("std"), F.round("val", 4)).otherwise(F.round("val", 6)))
+
+
+@query(f"{_ctes('lineitem', {'a': 1.5})} {_out(_r6('f.z', 'raw') + ', ' + _r6('a.z', 'smooth'), 'f JOIN a USING (r, c)')}")
+def feature_pivot(spark, sf_dir):
+    s = stencil.smoothed(cells(spark, sf_dir), [1.5])
+    long = s.select("row", "col", F.explode(F.array(F.struct(F.lit("raw").alias("feature"), F.col("z").alias("val")), F.struct(F.lit("smooth").alias("feature"), F.col("g1_5").alias("val")))).alias("k")).select("row", "col", "k.*")
+    return rounded(features.wide(long, ["raw", "smooth"]))
+
+
+@query("""WITH t AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS rank, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1000 AS DOUBLE) AS y FROM supplier ORDER BY s_suppkey LIMIT 10),
+z AS (SELECT n_nationkey AS id, CAST(n_nationkey * 211 % 1000 AS DOUBLE) AS x, CAST(n_nationkey * 53 % 1000 AS DOUBLE) AS y FROM nation WHERE n_nationkey < 8)
+SELECT count(*) AS pairs, count(DISTINCT z.id) AS zones FROM t, z WHERE sqrt((t.x - z.x) * (t.x - z.x) + (t.y - z.y) * (t.y - z.y)) < 2.5 * 120""")
+def zone_candidates(spark, sf_dir):
+    t = _t(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(10).select((F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"))
+    z = _t(spark, sf_dir, "nation").where("n_nationkey < 8").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") * 211 % 1000).cast("double").alias("u"), (F.col("n_nationkey") * 53 % 1000).cast("double").alias("v"))
+    near = t.join(F.broadcast(z), F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2) < 2.5 * 120)
+    return near.agg(F.count("*").alias("pairs"), F.countDistinct("id").alias("zones"))
+
+
+@query()
+def zone_recall(spark, sf_dir):
+    t = _t(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(10).select(F.row_number().over(Window.orderBy("s_suppkey")).alias("rank"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"))
+    z = _t(spark, sf_dir, "nation").where("n_nationkey < 8").select(F.col("n_nationkey").alias("zone_id"), (F.col("n_nationkey") * 211 % 1000).cast("double").alias("x"), (F.col("n_nationkey") * 53 % 1000).cast("double").alias("y"), F.lit(120.0).alias("r"))
+    return metrics.recall_at_k(t, z)
+
+
+@query(f"""SELECT CAST(r + 5 AS INTEGER) AS line_no, string_agg(CASE WHEN z IS NULL THEN '1.70141e+38' ELSE printf('%.4f', z) END, ' ' ORDER BY c) AS value FROM (SELECT r, c, floor(z) AS z FROM {dense_sql('events', _HOLES)}) GROUP BY r
+UNION ALL SELECT * FROM (VALUES (0, 'DSAA'), (1, '50 24'), (2, '100.000000 4510.000000'), (3, '200.000000 3650.000000')) t(a, b)""")
+def surfer_text(spark, sf_dir):
+    from strata.sources.sinks import surfer_lines
+
+    holed = dense(spark, sf_dir, "events").withColumn("z", F.when((F.col("row") * 7 + F.col("col") * 3) % 5 != 0, F.floor("z").cast("double")))
+    return surfer_lines(holed, _layers(spark)).where("line_no <> 4").select("line_no", "value")
+
+
+@query()
+def synthetic_survey(spark, sf_dir):
+    from strata.sources import synthetic
+
+    g = synthetic.survey_grid(60, 60, 800.0)
+    made, _ = synthetic.scenario("porphyry_copper", g)
+    return synthetic.with_noise(synthetic.cells_of(spark, made, g), g)
+
+
+@query()
+def scatter_to_grid(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier").select(F.lit("s").alias("layer"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"), F.col("s_acctbal").alias("z"))
+    return grid.gridded(s, 30, 20)
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    joined = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents"), "doc_id")
+    words = F.size(F.split("text", r"\s+"))
+    return joined.select(F.col("quality").alias("label"), F.col("doc_id").alias("id"), (F.col("n_chars") / words).alias("a"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.col("n_chars")).alias("b"), (F.length(F.regexp_replace("text", r"[\p{L}\s]", "")) / F.col("n_chars")).alias("c"))
+
+
+def _predicted(spark, sf_dir, add) -> DataFrame:
+    from strata.operators.models import vectors
+
+    rows = vectors(_samples(spark, sf_dir), ["a", "b", "c"]).select("id", "label", "features")
+    return add(rows).select("id", "label", "prob")
+
+
+@query()
+def rf_predict(spark, sf_dir):
+    from strata.operators.models import fit_forest
+
+    return _predicted(spark, sf_dir, lambda rows: fit_forest(rows, sampling.balance(rows), 20).add(rows, "prob"))
+
+
+@query()
+def gb_predict(spark, sf_dir):
+    from strata.operators.models import fit_boosted
+
+    return _predicted(spark, sf_dir, lambda rows: fit_boosted(rows, sampling.balance(rows), 8).add(rows, "prob"))
+
+
+@query()
+def ann_predict(spark, sf_dir):
+    from strata.operators.models import Network
+
+    return _predicted(spark, sf_dir, lambda rows: Network.fit(rows, 3, 30, 2).add(rows, "prob"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type AS target_type, count(*) FILTER (value > 50) AS n_pos, count(*) FILTER (value <= 50) AS n_neg FROM events GROUP BY 1, 2")
+def well_windows(spark, sf_dir):
+    from strata.streaming.wells import well_counts
+
+    e = _t(spark, sf_dir, "events").select("ts", F.col("event_type").alias("target_type"), F.when(F.col("value") > 50, 1).otherwise(0).alias("label"))
+    return well_counts(e)

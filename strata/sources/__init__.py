@@ -1 +1 @@
-
+"""Readers and writers of grids, points and results."""

@@ -1 +1 @@
-
+"""Wells and measurements that arrive as streams."""
