@@ -140,9 +140,11 @@ def registered(cells: DataFrame, layers: DataFrame, grid: Grid, method: str = "l
 def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Delaunay triangles (indices) of distinct points by incremental insertion; empty where all lie on one line."""
     n = len(x)
-    span = max(np.ptp(x), np.ptp(y), 1e-12) if n else 1.0
-    px = np.r_[x, x.mean() - 30 * span, x.mean() + 30 * span, x.mean()] if n else np.zeros(3)
-    py = np.r_[y, y.mean() - 30 * span, y.mean() - 30 * span, y.mean() + 30 * span] if n else np.zeros(3)
+    if not n:
+        return np.zeros((0, 3), int)
+    span = max(np.ptp(x), np.ptp(y), 1e-12)
+    x, y, far = x - x.mean(), y - y.mean(), 1e4 * span
+    px, py = np.r_[x, -far, far, 0.0], np.r_[y, -far, -far, far]
 
     def circle(t):
         a, b, c = t

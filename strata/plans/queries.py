@@ -72,7 +72,7 @@ def dense_sql(name: str, only: str = "true") -> str:
 def filled_sql(name: str, only: str = "true") -> str:
     d = dense_sql(name, only)
     return f"""(WITH d AS MATERIALIZED {d},
-n AS (SELECT a.r, a.c, arg_min(b.z, (a.r - b.r) * (a.r - b.r) * 100000000 + (a.c - b.c) * (a.c - b.c) * 100000000 + b.r * 1000 + b.c) AS z FROM d a JOIN d b ON a.z IS NULL AND b.z IS NOT NULL GROUP BY 1, 2)
+n AS (SELECT a.r, a.c, arg_min(b.z, ((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))::BIGINT * 100000000 + b.r * 1000 + b.c) AS z FROM d a JOIN d b ON a.z IS NULL AND b.z IS NOT NULL GROUP BY 1, 2)
 SELECT d.r, d.c, coalesce(d.z, n.z) AS z FROM d LEFT JOIN n ON d.r = n.r AND d.c = n.c)"""
 
 
@@ -493,11 +493,11 @@ max(prob) AS max_probability, avg(prob) AS mean_probability, max(score) AS max_s
 FROM (SELECT comp.component, h.*, least(greatest(prob - 0.3 * unc, 0.0), 1.0) AS score, least(greatest(prob - 0.3 * unc, 0.0), 1.0) + 1e-10 AS w FROM h JOIN comp USING (r, c)) GROUP BY component HAVING count(*) >= 3)"""
 
 
-@query(f"""{_STATS_SQL} SELECT CAST(component AS BIGINT) AS component, r AS "row", c AS col, max_probability, round(mean_probability, 6) AS mean_probability, round(max_score, 6) AS max_score, round(mean_uncertainty, 6) AS mean_uncertainty, n_pixels, round(n_pixels * 0.01, 6) AS area_km2 FROM k""")
+@query(f"""{_STATS_SQL} SELECT CAST(component AS BIGINT) AS component, r AS "row", c AS col, max_probability, round(mean_probability, 4) AS mean_probability, round(max_score, 6) AS max_score, round(mean_uncertainty, 4) AS mean_uncertainty, n_pixels, round(n_pixels * 0.01, 6) AS area_km2 FROM k""")
 def component_stats(spark, sf_dir):
     hot = targets.label_components(targets.hot(_maps(spark, sf_dir), 0.35), 50, 16)
     s = targets.component_stats(hot, AREA, "mineral", 0.35)
-    return rounded(s.select("component", "row", "col", "max_probability", "mean_probability", "max_score", "mean_uncertainty", "n_pixels", "area_km2"))
+    return rounded(s.select("component", "row", "col", "max_probability", F.round("mean_probability", 4).alias("mean_probability"), "max_score", F.round("mean_uncertainty", 4).alias("mean_uncertainty"), "n_pixels", "area_km2"))
 
 
 @query(f"""{_STATS_SQL}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY max_score DESC, component) AS i FROM k),
