@@ -63,11 +63,12 @@ def planned(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     by broadcast if it is small, by shuffle else; its keys are compared null-safe. Null texts have size 0, repeated rows
     with one key share their draw, an empty table gives an empty plan. Columns of the same names as these are replaced.
     """
-    sized = docs.withColumn("_size", words(F.col(text)))
+    sized = docs.drop("_source_size", "_target", "_copies").withColumn("_size", words(F.col(text)))
     table = rates(sized.select(F.col(source).alias("_source"), F.col("_size").alias("size")), "_source", "size", **how)
+    table = table.withColumnsRenamed({"source_size": "_source_size", "target": "_target", "rate": "_rate"})
     n = docs.select(source).distinct().count()
-    joined = sized.drop("_source_size", "_target", "_copies").join(F.broadcast(table) if n <= BROADCAST_SOURCES else table, F.col(source).eqNullSafe(F.col("_source")), "left")
-    return joined.withColumn("_copies", copies(F.coalesce(F.col("rate"), F.lit(0.0)), F.col(key))).withColumnsRenamed({"source_size": "_source_size", "target": "_target"}).drop("_source", "rate")
+    joined = sized.drop("_source", "_rate").join(F.broadcast(table) if n <= BROADCAST_SOURCES else table, F.col(source).eqNullSafe(F.col("_source")), "left")
+    return joined.withColumn("_copies", copies(F.coalesce(F.col("_rate"), F.lit(0.0)), F.col(key))).drop("_source", "_rate")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

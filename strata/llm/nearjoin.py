@@ -262,8 +262,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ti
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the row of the smallest id of each class alone; of equal rows of that id one stays. Columns stay."""
     own = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
-    found = jaccard_classes(docs, key, text).where("id = class_id").groupBy("id").agg(F.count("*").alias("_n"))
-    kept = docs.withColumn("_own", own).join(found.hint("shuffle_hash"), F.col("_own") == F.col("id"))
+    found = jaccard_classes(docs, key, text).where("id = class_id").groupBy(F.col("id").alias("_own")).agg(F.count("*").alias("_n"))
+    kept = docs.withColumn("_own", own).join(found.hint("shuffle_hash"), "_own")
     repeated = kept.where("_n > 1").dropDuplicates(["_own"])
     return kept.where("_n = 1").unionByName(repeated).select(*docs.columns)
 
