@@ -6,7 +6,8 @@ window's anchor; equal windows have equal anchors at the same place, so a window
 corpus is unique. Neighbouring windows share an anchor: a segment is such a run. Where all segments of an anchor are
 equal, their windows repeat and nothing is left to compare. The suffixes of the other segments are range-partitioned by
 their leading 64 bytes at the anchor (as a hash) with sampled splitters, sorted key by key in their bucket, ties alone
-going on to the next key, and compared with their neighbours; keys that a bucket's border cuts are compared across.
+going on to the next key, and compared with their neighbours. Keys too large for a task are split into pieces, and what
+the pieces' own comparison leaves open is compared across them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ LENGTH = 400
 ANCHOR = 64
 _BYTES = byte_table(404)
 _PLACE = np.uint64((1 << 24) - 1)
+#: Segments of one key that meet in a task at most; larger keys are split by hash and settled across the pieces.
+KEY_ROWS = 8192
 #: Bytes of a text looked at together at most; longer texts go on in pieces that share LENGTH - 1 bytes.
 PIECE = 1 << 23
 
@@ -85,12 +88,13 @@ def _cut(length: int):
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("ah", "seg", "copies", "t1", "t2", "first", "place", "bytes")}
+            out = {k: [] for k in ("ah", "piece", "pieces", "copies", "t1", "t2", "first", "place", "bytes")}
             for t1, t2, text, segs in zip(*(batch.column(i) for i in range(4))):
                 raw = text.as_buffer().to_pybytes()
                 for s in segs.as_py():
-                    for k in ("ah", "seg", "copies", "first", "place"):
+                    for k in ("ah", "pieces", "copies", "first", "place"):
                         out[k].append(s[k])
+                    out["piece"].append(s["seg"] % s["pieces"])
                     out["t1"].append(t1.as_py())
                     out["t2"].append(t2.as_py())
                     out["bytes"].append(raw[s["first"] : s["last"] + length])
@@ -146,61 +150,63 @@ _FOUND = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("s", pa.int32()), (
 
 
 def _compare(length: int):
-    """mapInArrow over a sorted bucket: spans of repeated suffixes (ah null), and the suffixes of the keys that a border of
-    the rows at hand may cut (ah and code set; t1 null where the suffix is settled already)."""
+    """mapInArrow over a sorted bucket: spans of repeated suffixes (ah null), and the suffixes of the keys that are split
+    over pieces (ah and code set; t1 null where the suffix is settled already)."""
+
+    def solve(table: pa.Table):
+        ah, pieces_, copies, t1, t2 = (table.column(c).to_numpy() for c in ("ah", "pieces", "copies", "t1", "t2"))
+        first, place = (table.column(c).to_numpy().astype(np.int64) for c in ("first", "place"))
+        raw, offsets = text_bytes(table.column("bytes"))
+        count, group = np.diff(offsets) - length + 1, np.cumsum(np.r_[0, ah[1:] != ah[:-1]])
+        split = pieces_ > 1
+        # A key of one whole row has nothing to meet.
+        rows = np.flatnonzero((np.bincount(group)[group] > 1) | split)
+        if not len(rows):
+            return
+        reps = count[rows]
+        owner = np.repeat(rows, reps)
+        w = np.arange(reps.sum()) - np.repeat(np.concatenate(([0], np.cumsum(reps)[:-1])), reps)
+        start, shift = offsets[owner] + w, place[owner] - first[owner] - w
+        same, code = _repeated(group[owner], shift, raw, start, length)
+        mine = np.flatnonzero(same & (copies[owner] == 1))
+        if len(mine):
+            a = np.flatnonzero(np.r_[True, (owner[mine][1:] != owner[mine][:-1]) | (w[mine][1:] != w[mine][:-1] + 1)])
+            b = np.r_[a[1:], len(mine)] - 1
+            o, lo, hi = owner[mine[a]], w[mine[a]], w[mine[b]] + length
+            yield _found(t1[o], t2[o], first[o] + lo, first[o] + hi)
+        far = np.flatnonzero(split[owner])
+        if len(far):
+            o = owner[far]
+            single = ~same[far] & (copies[o] == 1)
+            # Of equal suffixes one stands for all.
+            _, one = np.unique(np.stack([ah[o], code[far].view(np.int64)]), axis=1, return_index=True)
+            keep = single.copy()
+            keep[one] = True
+            o, far, single = o[keep], far[keep], single[keep]
+            yield _found(t1[o], t2[o], first[o] + w[far], first[o] + w[far] + length, ah[o], code[far].view(np.int64), ~single)
 
     def run(batches):
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            ah, copies, t1, t2 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("ah", "copies", "t1", "t2"))
-            first, place = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("first", "place"))
-            raw, offsets = text_bytes(batch.column(batch.schema.get_field_index("bytes")))
-            group = np.cumsum(np.r_[0, ah[1:] != ah[:-1]])
-            count = np.diff(offsets) - length + 1
-            # Groups of one row inside have nothing to meet; those at the ends may go on elsewhere.
-            ends = (group == 0) | (group == group[-1])
-            for rows in _portions(np.flatnonzero((np.bincount(group)[group] > 1) | ends), count):
-                reps = count[rows]
-                owner = np.repeat(rows, reps)
-                w = np.arange(reps.sum()) - np.repeat(np.concatenate(([0], np.cumsum(reps)[:-1])), reps)
-                start, shift = offsets[owner] + w, place[owner] - first[owner] - w
-                same, code = _repeated(group[owner], shift, raw, start, length)
-                # What a portion cuts is an end too.
-                open_ = ends[owner] | (group[owner] == group[rows[0]]) | (group[owner] == group[rows[-1]])
-                mine = np.flatnonzero(same & (copies[owner] == 1))
-                if len(mine):
-                    cut = np.r_[True, (owner[mine][1:] != owner[mine][:-1]) | (w[mine][1:] != w[mine][:-1] + 1)]
-                    a = np.flatnonzero(cut)
-                    b = np.r_[a[1:], len(mine)] - 1
-                    o, lo, hi = owner[mine[a]], w[mine[a]], w[mine[b]] + length
-                    yield _found(t1[o], t2[o], first[o] + lo, first[o] + hi)
-                far = np.flatnonzero(open_)
-                if len(far):
-                    o = owner[far]
-                    single = ~same[far] & (copies[o] == 1)
-                    # Of equal suffixes one stands for all.
-                    _, one = np.unique(np.stack([ah[o], code[far].view(np.int64)]), axis=1, return_index=True)
-                    keep = np.zeros(len(far), bool)
-                    keep[one] = True
-                    keep |= single
-                    o, far, single = o[keep], far[keep], single[keep]
-                    yield _found(t1[o], t2[o], first[o] + w[far], first[o] + w[far] + length, ah[o], code[far].view(np.int64), ~single)
+            # Keys are whole in what is solved: the last one of a batch waits for the next.
+            key = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("ah", "piece")])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            if held and batch.num_rows and [held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()] != key[:, 0].tolist():
+                yield from solve(pa.Table.from_batches(held))
+                held = []
+            at = 0
+            for end in cut:
+                if sum(b.num_rows for b in held) + end - at >= KEY_ROWS // 4:
+                    held.append(batch.slice(at, end - at))
+                    yield from solve(pa.Table.from_batches(held))
+                    held, at = [], end
+            held.append(batch.slice(at))
+        if held and sum(b.num_rows for b in held):
+            yield from solve(pa.Table.from_batches(held))
 
     return run
 
 
-def _portions(rows: np.ndarray, count: np.ndarray, most: int = 1 << 19):
-    """Rows in order, in portions of about `most` suffixes."""
-    at = np.concatenate(([0], np.cumsum(count[rows])))
-    i = 0
-    while i < len(rows):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
-        yield rows[i:j]
-        i = j
-
-
 def _found(t1, t2, s, e, ah=None, code=None, none=None) -> pa.RecordBatch:
     empty = pa.nulls(len(t1), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(t1, mask=none), pa.array(t2, mask=none), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), empty if ah is None else pa.array(ah), empty if code is None else pa.array(code)], schema=_FOUND)
@@ -215,19 +221,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, an
     texts = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= length)
     texts = texts.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), F.col("text").cast("binary").alias("text"))
     found = stored(texts.mapInArrow(_screen(length, anchor), "t1 long, t2 long, ah long, seg long, first int, last int, place int"), "segments")
-    live = found.groupBy("ah").agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1").select("ah", (F.col("low") != F.col("high")).alias("differ"))
-    live = stored(found.join(live, "ah"), "live")
+    # The keys are a table of their own, so that the join can split a key that many segments have.
+    keys = found.groupBy("ah").agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1")
+    keys = stored(keys.select("ah", (F.col("low") != F.col("high")).alias("differ"), F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("pieces")), "keys")
+    live = stored(found.join(keys, "ah"), "live")
     settled = live.where("not differ").select("t1", "t2", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
     open_ = live.where("differ").groupBy("ah", "seg").agg(F.count("*").alias("copies"), F.min("t1").alias("t1"))
     # Segments that occur again as they are repeat as a whole.
     again = live.where("differ").join(open_.where("copies > 1").select("ah", "seg"), ["ah", "seg"]).select("t1", "t2", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
     # One place stands for each segment of an open key; its bytes come from one row of its text.
-    stand = live.where("differ").join(open_, ["ah", "seg", "t1"]).groupBy("ah", "seg", "copies").agg(F.min(F.struct("t1", "t2", "first", "last", "place")).alias("x"))
-    by_text = stand.groupBy("x.t1", "x.t2").agg(F.collect_list(F.struct("ah", "seg", "copies", "x.first", "x.last", "x.place")).alias("segs"))
+    stand = live.where("differ").join(open_, ["ah", "seg", "t1"]).groupBy("ah", "seg", "copies", "pieces").agg(F.min(F.struct("t1", "t2", "first", "last", "place")).alias("x"))
+    by_text = stand.groupBy("x.t1", "x.t2").agg(F.collect_list(F.struct("ah", "seg", "copies", "pieces", "x.first", "x.last", "x.place")).alias("segs"))
     once = texts.dropDuplicates(["t1", "t2"])
-    cut = once.join(by_text.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", "text", "segs").mapInArrow(_cut(length), "ah long, seg long, copies long, t1 long, t2 long, first int, place int, bytes binary")
+    cut = once.join(by_text.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", "text", "segs").mapInArrow(_cut(length), "ah long, piece long, pieces long, copies long, t1 long, t2 long, first int, place int, bytes binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = cut.repartitionByRange(n, "ah", "seg").sortWithinPartitions("ah", "seg")
+    buckets = cut.repartitionByRange(n, "ah", "piece").sortWithinPartitions("ah", "piece")
     compared = stored(buckets.mapInArrow(_compare(length), "t1 long, t2 long, s int, e int, ah long, code long"), "compared")
     inside = compared.where("ah is null").select("t1", "t2", "s", "e")
     met = compared.where("ah is not null").groupBy("ah", "code").agg(F.count("*").alias("n")).where("n > 1")
