@@ -17,7 +17,10 @@ def scratch(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, and a lost executor costs nothing but a reread."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(*partition) if partition else out).parquet(path)
+    return spark.read.parquet(path) if partition else spark.read.schema(df.schema).parquet(path)

@@ -336,10 +336,10 @@ def buffer_samples(spark, sf_dir):
     return sampling.buffered(_wells(spark, sf_dir), EVENT_GRID).groupBy("label", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT r AS "row", c AS col FROM (SELECT i // 50 AS r, i % 50 AS c FROM range(1200) t(i)) g WHERE NOT EXISTS (SELECT 1 FROM {_WELLS_SQL} w WHERE label = 1 AND doc_id % 7 = 0 AND abs(g.r - w.r) < 4 AND abs(g.c - w.c) < 4)""")
+@query(f"""SELECT r AS "row", c AS col FROM (SELECT i // 50 AS r, i % 50 AS c FROM range(1200) t(i)) g WHERE NOT EXISTS (SELECT 1 FROM {_WELLS_SQL} w WHERE label = 1 AND abs(g.r - w.r) < 2 AND abs(g.c - w.c) < 2)""")
 def far_negative_cells(spark, sf_dir):
-    few = _wells(spark, sf_dir).where("label = 1 and doc_id % 7 = 0")
-    return sampling.far_cells(EVENT_GRID.frame(spark).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")), few, 4)
+    positives = _wells(spark, sf_dir).where("label = 1")
+    return sampling.far_cells(EVENT_GRID.frame(spark).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")), positives, 2)
 
 
 def _positives(spark, sf_dir) -> DataFrame:
@@ -533,20 +533,20 @@ def feature_pivot(spark, sf_dir):
     return rounded(features.wide(long, ["raw", "smooth"]))
 
 
-@query("""WITH t AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS rank, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1000 AS DOUBLE) AS y FROM supplier ORDER BY s_suppkey LIMIT 10),
-z AS (SELECT n_nationkey AS id, CAST(n_nationkey * 211 % 1000 AS DOUBLE) AS x, CAST(n_nationkey * 53 % 1000 AS DOUBLE) AS y FROM nation WHERE n_nationkey < 8)
+@query("""WITH t AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS rank, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1000 AS DOUBLE) AS y FROM supplier),
+z AS (SELECT n_nationkey AS id, CAST(n_nationkey * 211 % 1000 AS DOUBLE) AS x, CAST(n_nationkey * 53 % 1000 AS DOUBLE) AS y FROM nation)
 SELECT count(*) AS pairs, count(DISTINCT z.id) AS zones FROM t, z WHERE sqrt((t.x - z.x) * (t.x - z.x) + (t.y - z.y) * (t.y - z.y)) < 2.5 * 120""")
 def zone_candidates(spark, sf_dir):
-    t = _t(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(10).select((F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"))
-    z = _t(spark, sf_dir, "nation").where("n_nationkey < 8").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") * 211 % 1000).cast("double").alias("u"), (F.col("n_nationkey") * 53 % 1000).cast("double").alias("v"))
+    t = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"))
+    z = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") * 211 % 1000).cast("double").alias("u"), (F.col("n_nationkey") * 53 % 1000).cast("double").alias("v"))
     near = t.join(F.broadcast(z), F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2) < 2.5 * 120)
     return near.agg(F.count("*").alias("pairs"), F.countDistinct("id").alias("zones"))
 
 
 @query()
 def zone_recall(spark, sf_dir):
-    t = _t(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(10).select(F.row_number().over(Window.orderBy("s_suppkey")).alias("rank"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"))
-    z = _t(spark, sf_dir, "nation").where("n_nationkey < 8").select(F.col("n_nationkey").alias("zone_id"), (F.col("n_nationkey") * 211 % 1000).cast("double").alias("x"), (F.col("n_nationkey") * 53 % 1000).cast("double").alias("y"), F.lit(120.0).alias("r"))
+    t = _t(spark, sf_dir, "supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).alias("rank"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"))
+    z = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("zone_id"), (F.col("n_nationkey") * 211 % 1000).cast("double").alias("x"), (F.col("n_nationkey") * 53 % 1000).cast("double").alias("y"), F.lit(120.0).alias("r"))
     return metrics.recall_at_k(t, z)
 
 
