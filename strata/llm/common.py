@@ -1,15 +1,16 @@
-"""Reading, shared scratch space and block iteration used by the operators of this subpackage."""
+"""Reading, stored tables and block iteration used by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators.storage import stored
+
+__all__ = ["SPACE_BYTES", "WORD", "pieces", "read", "stored", "text_bytes"]
+
 #: What splits words everywhere here: space and \t \n \v \f \r.
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,30 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where spark.checkpoint.dir is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strata-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and a lost executor costs nothing but a reread."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(*partition) if partition else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition else spark.read.parquet(path)
-
-
-def row_key(*names: str):
-    """A key of a row made of its columns' values; equal rows share it, null and '' differ."""
-    parts = [F.concat(F.when(F.col(n).isNull(), "0").otherwise("1"), F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in names]
-    return F.unhex(F.md5(F.concat_ws("\x1f", *parts).cast("binary")))
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column as one byte array and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
