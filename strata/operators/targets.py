@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from strata.functions.columns import area_km2, score
 from strata.operators.graph import components
 from strata.operators.grid import Grid
+from strata.operators.storage import stored
 
 TILE = 512
 COLUMNS = ("rank", "x", "y", "row", "col", "max_probability", "mean_probability", "max_score", "mean_uncertainty", "area_km2", "n_pixels", "target_type", "threshold_used")
@@ -61,7 +62,8 @@ def label_components(cells: DataFrame, width: int, tile: int = TILE) -> DataFram
     schema = T.StructType([*cells.schema.fields, T.StructField("component", T.LongType())])
     dealt = cells.withColumns({"_tr": F.expr(f"row div {tile}"), "_tc": F.expr(f"col div {tile}")})
     names = cells.columns
-    part = dealt.groupBy("_tr", "_tc").applyInPandas(lambda f: _tile_labels(f[names], width), schema)
+    # Read three times below.
+    part = stored(dealt.groupBy("_tr", "_tc").applyInPandas(lambda f: _tile_labels(f[names], width), schema), "tiles")
     edge = part.where((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1)).select("row", "col", F.col("component").alias("u"))
     steps = F.array(F.struct(F.lit(1).alias("r"), F.lit(0).alias("c")), F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")))
     near = edge.select(F.col("u").alias("v"), "row", "col", F.explode(steps).alias("s")).select("v", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
