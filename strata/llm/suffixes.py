@@ -226,7 +226,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, an
     keys = stored(keys.select("ah", (F.col("low") != F.col("high")).alias("differ"), F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("pieces")), "keys")
     live = stored(found.join(keys, "ah"), "live")
     settled = live.where("not differ").select("t1", "t2", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
-    open_ = live.where("differ").groupBy("ah", "seg").agg(F.count("*").alias("copies"), F.min("t1").alias("t1"))
+    open_ = stored(live.where("differ").groupBy("ah", "seg").agg(F.count("*").alias("copies"), F.min("t1").alias("t1")), "open")
     # Segments that occur again as they are repeat as a whole.
     again = live.where("differ").join(open_.where("copies > 1").select("ah", "seg"), ["ah", "seg"]).select("t1", "t2", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
     # One place stands for each segment of an open key; its bytes come from one row of its text.
