@@ -154,6 +154,15 @@ def test_leaks(spark):
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_leaks_of_items_beside_a_long_one(spark):
+    rng = random.Random(11)
+    items = [(i, prose(rng, n)) for i, n in enumerate((70, 100, 300, 1000))]
+    other = [" ".join(f"x{rng.randrange(9999)}" for _ in range(1500)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join((other[i], t, other[-i - 1]))) for i, t in items] + list(enumerate(other[4:-4], 4)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r)[:2] for r in decontaminate.leaks(docs, bench).collect()} == {(i, i) for i, _ in items}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, prose(rng, 20)) for i in range(7)]
