@@ -163,6 +163,48 @@ def test_leaks_of_items_beside_a_long_one(spark):
     assert {tuple(r)[:2] for r in decontaminate.leaks(docs, bench).collect()} == {(i, i) for i, _ in items}
 
 
+def every_window(docs, bench):
+    """(key, item_id) of all windows, with an item's words around them, that pass both checks, whatever their scores."""
+    found = set()
+    for items in decontaminate.blocks(bench, "item_id", "text"):
+        answers = decontaminate.space(docs, "text", items, "doc_id").answers
+        for key, text in docs.where("doc_id < 100").select("doc_id", "text").collect():
+            words = np.concatenate([items.places(h) for *_, h in decontaminate.tokens(decontaminate.pa.array([text], decontaminate.pa.large_string()))]).tolist()
+            for item, own, answer in zip(items.ids, items.words, answers):
+                m, length = len(own), 16
+                while length < m:
+                    length *= 2
+                masks = {x: sum(1 << i for i, y in enumerate(own) if y == x) for x in own.tolist()}
+                for lo in range(0, max(1, len(words) - length // 2), length // 4):
+                    seen = words[max(0, lo - m) : lo + length + m]
+                    if len(answer.intersection(seen)) >= 0.5 * len(answer) and decontaminate.common_subsequence(masks, m, seen) / m >= 0.7:
+                        found.add((key, item))
+                        break
+    return found
+
+
+@pytest.mark.parametrize("more", (0, 3000))
+def test_leaks_against_every_window(spark, more):
+    rng = random.Random(12)
+    items = [(i, prose(rng, n)) for i, n in enumerate((17, 17, 18, 18, 33, 33, 34, 34, 25, 50, 60, 70) * 2)]
+
+    def changed(text):
+        words = text.split()
+        for k in rng.sample(range(len(words)), int(0.28 * len(words))):
+            words[k] = f"z{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    other = lambda n: " ".join(f"x{rng.randrange(10**6)}" for _ in range(n))
+    docs = spark.createDataFrame([(i, " ".join((other(200), changed(t), other(200)))) for i, t in items], "doc_id long, text string")
+    docs = docs.unionByName(spark.createDataFrame([(50 + i, prose(rng, 300)) for i in range(50)], docs.schema))
+    # A larger corpus of the same words, and an item that occurs nowhere: its words are the rarest of the block.
+    docs = docs.unionByName(spark.createDataFrame([(100 + i, "w " + prose(rng, 100)) for i in range(more)], docs.schema))
+    bench = spark.createDataFrame([*items, (99, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
+    want = every_window(docs, bench)
+    assert len(want) > 10
+    assert {tuple(r)[:2] for r in decontaminate.leaks(docs, bench).where("key < 100").collect()} == want
+
+
 def test_blocks_of_items(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, prose(rng, 20)) for i in range(7)]
