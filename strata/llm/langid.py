@@ -210,8 +210,8 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
 def label_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and rejected; columns of these names are replaced, all others stay.
 
-    A text that is null or has no letter is 'und' with score 0 and rejected; any other has a learned label. Every byte of
-    every text counts. The model travels as a broadcast of fixed size (BUCKETS x DIMENSIONS at most, and the labels).
+    A text that is null or has no letter is 'und' with score 0 and rejected; any other has a learned label, or 'und' and is
+    kept if the model learned none. Every byte of every text counts. The model travels as a broadcast of fixed size (BUCKETS x DIMENSIONS at most, and the labels).
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
@@ -222,7 +222,10 @@ def label_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFr
         fitted = Model(*held.value)
         for batch in batches:
             labels, scores = predict(fitted, batch.column(position))
-            rejected = (scores < fitted.threshold) | np.array([x == UNKNOWN for x in labels], bool)
+            # A text without a letter is the only one to score 0; 'und' is also what a model without labels says.
+            rejected = (scores < fitted.threshold) | (scores == 0)
+            if fitted.labels != [UNKNOWN]:
+                rejected |= np.array([x == UNKNOWN for x in labels], bool)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*kept, "lang_pred", "score", "rejected"])
 
     schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(False)}).schema

@@ -134,6 +134,12 @@ def test_quality_of_awkward_rows(spark):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
 
 
+def test_no_language_learned(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, None), (4, "", None), (5, "été", None)], "doc_id long, text string, lang string")
+    out = langid.label_languages(docs, langid.train(docs)).collect()
+    assert {r.doc_id for r in out if not r.rejected} == {1, 5}
+
+
 # 3: decontamination
 
 
