@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.operators.storage import stored
 
-__all__ = ["SPACE_BYTES", "WORD", "pieces", "read", "stored", "text_bytes"]
+__all__ = ["SPACE_BYTES", "WORD", "pieces", "read", "spare", "stored", "text_bytes"]
 
 #: What splits words everywhere here: space and \t \n \v \f \r.
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
@@ -20,6 +20,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has, in any case of letters."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column as one byte array and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -244,4 +244,4 @@ def learning_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(learning_rows(docs))
-    return label_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+    return label_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import read, stored
+from strata.llm.common import read, spare, stored
 
 #: A line on this many distinct sites is boilerplate.
 SITES = 10
@@ -19,9 +19,9 @@ def _line_hash(line):
 
 
 def _lines(docs: DataFrame, key: str, site: str, text: str) -> DataFrame:
-    """id, k (of the row), site, h for each line that isn't blank."""
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("k"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(F.split(text, "\n", -1)).alias("line"))
-    return rows.where(F.trim("line") != "").select("id", "k", "site", _line_hash(F.col("line")).alias("h"))
+    """id, k (of the row), site, place, h for each line that isn't blank."""
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("k"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
+    return rows.where(F.trim("line") != "").select("id", "k", "site", "place", _line_hash(F.col("line")).alias("h"))
 
 
 def boilerplate(docs: DataFrame, key: str = "doc_id", site: str = "source", text: str = "text", sites: int = SITES) -> DataFrame:
@@ -48,13 +48,17 @@ def without_boilerplate(docs: DataFrame, key: str = "doc_id", site: str = "sourc
     """
     found = stored(boilerplate(docs, key, site, text, sites), "boilerplate")
     lines = _lines(docs, key, site, text)
-    hits = lines.join(found, "h").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("k").agg(F.collect_set("h").alias("_gone"))
-    rows = docs.drop("n_lines", "n_removed", "_k", "_gone").withColumn("_k", F.xxhash64(key, text)).join(hits.withColumnRenamed("k", "_k"), "_k", "left")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), parts).otherwise(F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains("_gone", _line_hash(x))))
-    rows = rows.withColumns({"_parts": parts, "_kept": kept})
-    out = rows.withColumn(text, F.array_join("_kept", "\n")).withColumn("n_lines", F.coalesce(F.size("_parts"), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_parts") - F.size("_kept"), F.lit(0)).cast("long"))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.when(F.col(text).isNull(), 0).otherwise(F.col("n_removed")).cast("long").alias("n_removed"))
+    hits = lines.join(found, "h").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("k").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    k, gone, parts = spare(docs, "k", "gone", "parts")
+    rows = docs.withColumn(k, F.xxhash64(key, text)).join(hits.select(F.col("k").alias(k), F.col("places").alias(gone)), k, "left").withColumn(parts, F.split(F.col(text), "\n", -1))
+    # What stands between two removed lines, from the first on.
+    start = lambda i: F.when(i == 0, 1).otherwise(F.element_at(gone, i) + 2)
+    end = lambda i: F.when(i == F.size(gone), F.size(parts)).otherwise(F.element_at(gone, i + 1))
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(parts, start(i), end(i) - start(i) + 1)))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long")
+    n_removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    return rows.select(*[kept.alias(c) if c == text else c for c in docs.columns if c not in ("n_lines", "n_removed")], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

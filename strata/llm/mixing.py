@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import WORD, read
+from strata.llm.common import WORD, read, spare, stored
 
 #: Weights repeat over the sources in code point order, null last.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
-#: A table of at most so many sources is broadcast; a larger one is joined by shuffle.
-BROADCAST_SOURCES = 10_000
-
-
 def words(text):
     """Number of words; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -25,27 +21,28 @@ def rates(sizes: DataFrame, source: str = "source", size: str = "size", weights=
     """source, source_size, target, rate: one row per source.
 
     Targets share `share` times all words by weight; a target stops at `most` times its source's size and the excess is
-    shared again by weight, until none is above. That fixed point is min(most * size, level * weight) with one level for
-    all, found in one pass over the sources in the order in which they meet their limit. The rows summed here are one
-    per source. A source without words has target 0 and rate 0.
+    shared again by weight, until none is above: min(most * size, level * weight) with one level for all. The level rises
+    from that of no full source, round by round, until no source fills up anew; a round is one sum over the sources.
+    Sources may be many: they are numbered by the counts of the sorted partitions, and no task holds them all. A source
+    without words has target 0 and rate 0.
     """
-    total = sizes.groupBy(source).agg(F.sum(size).cast("long").alias("source_size"))
+    total = sizes.groupBy(source).agg(F.sum(size).cast("long").alias("source_size")).orderBy(F.col(source).asc_nulls_last()).withColumn("at", F.monotonically_increasing_id())
+    # The upper bits of `at` are the sorted partition, the lower ones the place in it; one row a partition is what is summed up here.
+    total = stored(total.withColumn("part", F.shiftright("at", 33)), "sources")
+    offsets = total.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = total.join(offsets, "part")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    by_name = Window.orderBy(F.col(source).asc_nulls_last())
-    ranked = total.withColumn("w", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    fill = Window.orderBy(F.col("cap") / F.col("w"), F.col(source).asc_nulls_last())
-    before, every = fill.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    # If this source is the first that isn't full, the level is what the full ones leave over the weights from here on.
-    ranked = (
-        ranked.withColumn("all", F.sum("source_size").over(every) * F.lit(float(share)))
-        .withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("w").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("all") - F.col("full")) / F.col("open"))
-    )
-    whole = fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = ranked.withColumn("lowest", F.first(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")), ignorenulls=True).over(whole))
-    target = F.when(F.col("lowest").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("lowest") * F.col("w")))
+    ranked = ranked.select(F.col(source), "source_size", F.element_at(cycle, (number % len(weights) + 1).cast("int")).alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    every, level = ranked.agg(F.sum("source_size")).first()[0], 0.0
+    while every:
+        full = F.col("cap") < F.lit(level) * F.col("w")
+        r = ranked.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("open")).first()
+        now = (every * float(share) - r["full"]) / r["open"] if r["open"] else float("inf")
+        if now <= level:
+            break
+        level = now
+    target = F.least(F.col("cap"), F.lit(float(level)) * F.col("w"))
     return ranked.select(source, "source_size", target.alias("target")).withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
 
 
@@ -56,25 +53,27 @@ def copies(rate, key, seed: str = SEED):
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def planned(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies.
+def planned(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", columns=("_size", "_source_size", "_target", "_copies"), **how) -> DataFrame:
+    """docs with four columns of these names: the row's words, those of its source, the source's target, and the copies taken.
 
-    Sizes are summed per source before the shuffle, so a hot source is one row a task. The join takes the source table
-    by broadcast if it is small, by shuffle else; its keys are compared null-safe. Null texts have size 0, repeated rows
-    with one key share their draw, an empty table gives an empty plan. Columns of the same names as these are replaced.
+    Sizes are summed per source before the shuffle, so a hot source is one row a task. The join with the sources compares
+    null-safe; their table is broadcast only if Spark finds it small. Null texts have size 0, repeated rows with one key
+    share their draw, an empty table gives an empty plan. Columns of docs that have these names are replaced.
     """
-    sized = docs.drop("_source_size", "_target", "_copies").withColumn("_size", words(F.col(text)))
-    table = rates(sized.select(F.col(source).alias("_source"), F.col("_size").alias("size")), "_source", "size", **how)
-    table = table.withColumnsRenamed({"source_size": "_source_size", "target": "_target", "rate": "_rate"})
-    n = docs.select(source).distinct().count()
-    joined = sized.drop("_source", "_rate").join(F.broadcast(table) if n <= BROADCAST_SOURCES else table, F.col(source).eqNullSafe(F.col("_source")), "left")
-    return joined.withColumn("_copies", copies(F.coalesce(F.col("_rate"), F.lit(0.0)), F.col(key))).drop("_source", "_rate")
+    size, source_size, target, taken = columns
+    docs = docs.drop(*columns)
+    own, rate = spare(docs.withColumns({c: F.lit(0) for c in columns}), "source_of_rate", "rate_of_source")
+    table = rates(docs.select(F.col(source).alias("source"), words(F.col(text)).alias("size")), **how)
+    table = table.select(F.col("source").alias(own), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate))
+    joined = docs.withColumn(size, words(F.col(text))).join(table, F.col(source).eqNullSafe(F.col(own)), "left")
+    return joined.withColumn(taken, copies(F.coalesce(F.col(rate), F.lit(0.0)), F.col(key))).drop(own, rate)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mix takes it; the columns stay."""
-    plan = planned(docs, **how).where("_copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """docs with each row as often as the mix takes it; the columns stay, whatever their names."""
+    columns = spare(docs, "size", "source_size", "target", "copies")
+    plan = planned(docs, columns=columns, **how)
+    return plan.where(F.col(columns[3]) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(columns[3]).cast("int"))).alias(columns[0])).drop(columns[0])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

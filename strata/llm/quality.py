@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import pieces, read, text_bytes
+from strata.llm.common import pieces, read, spare, text_bytes
 from strata.llm.langid import held_out
 from strata.llm.texthash import CHUNK, word_hashes, word_spans
 
@@ -120,45 +120,66 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return Model(centre, scale, w, float(b), prior)
 
 
-def calibrated(model: Model, x: np.ndarray, y: np.ndarray, rounds: int = 50) -> Model:
-    """The model with its outputs turned by the a * f + b that fits the labels y of x best (Newton's method, a little
-    shrunk); as it is if one label is missing."""
-    if not 0 < y.sum() < len(y):
-        return model
-    f = ((x - model.centre) / model.scale) @ model.weights + model.bias
-    z, t = np.c_[f, np.ones(len(f))], np.array([1.0, 0.0])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ t, -30, 30)))
-        gradient = z.T @ (p - y) + 0.05 * (t - [1.0, 0.0])
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(2), gradient)
-        t = t - step / max(1.0, np.abs(step).max())
-    if t[0] <= 0:
-        return model
-    return model._replace(weights=model.weights * t[0], bias=float(model.bias * t[0] + t[1]))
+def outputs(model: Model, x: np.ndarray) -> np.ndarray:
+    return ((x - model.centre) / model.scale) @ model.weights + model.bias
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """Share of positives among unlabelled outputs, from outputs of a classifier that saw neither sample.
+
+    Above any threshold stand at most as many unlabelled rows as positives in them would give, and more if others stand
+    there too: the share is the least ratio of the two tails over all thresholds, taken with a bound on chance (Hoeffding,
+    both samples, probability `doubt`), which keeps it from tails of a few rows.
+    """
+    p, u = np.sort(positive), np.sort(unlabelled)
+    at = np.unique(p)
+    tail_p, tail_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+    slack = np.sqrt(np.log(4 / doubt) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = int(np.argmin((tail_u + slack) / np.maximum(tail_p, 1e-12)))
+    return float(np.clip(tail_u[best] / tail_p[best], 0.02, 0.98))
+
+
+def calibrated(model: Model, positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 300) -> Model:
+    """The model with its outputs f turned by the a * f + b, a > 0, of least non-negative risk on rows it wasn't fitted on."""
+    fp, fu, pi = outputs(model, positive), outputs(model, unlabelled), model.prior
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    t, m, v = np.array([0.0, 0.0]), np.zeros(2), np.zeros(2)
+    for k in range(1, rounds + 1):
+        a = np.exp(t[0])
+        zp, zu = a * fp + t[1], a * fu + t[1]
+        negative = np.logaddexp(0, zu).mean() - pi * np.logaddexp(0, zp).mean()
+        up, gp, gu = -pi * sigmoid(-zp), -pi * sigmoid(zp), sigmoid(zu)
+        up, gu = (up + gp, gu) if negative >= 0 else (up, 0 * gu)
+        gradient = np.array([(up * fp * a).mean() + (gu * fu * a).mean(), up.mean() + gu.mean()]) + 1e-3 * t
+        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient * gradient
+        t = t - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return model._replace(weights=model.weights * np.exp(t[0]), bias=float(model.bias * np.exp(t[0]) + t[1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """Trusted positives are the rows labelled 1, unlabelled text is all of docs; both are sampled by hash, about `sample`
-    rows each. The class prior is the share of 1 among all labels of docs (one half without any), kept in 0.02 to 0.98.
-    Rows labelled otherwise, about `sample` at most, only help to turn the classifier's outputs into probabilities.
+    rows each. Rows labelled otherwise are never looked at. A fifth of both samples is kept from the fit: a first classifier,
+    fitted as if the prior were one half, gives it the outputs from which the class prior is estimated; the classifier
+    proper is fitted with that prior, and the same fifth sets slope and bias of its outputs.
 
-    Null labels and keys count for nothing; a row labelled more than once counts once for each label.
+    Null labels and keys count for nothing; a row labelled more than once counts once. With fewer than ten positives the
+    prior is one half, and with none every text scores that.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("_label"))
-    counted = docs.select(key).join(known, key).agg(F.count("*").alias("n"), F.sum((F.col("_label") == 1).cast("long")).alias("ones")).first()
-    ones, total = int(counted["ones"] or 0), docs.select(key).count()
-    prior = min(0.98, max(0.02, ones / counted["n"])) if counted["n"] else 0.5
-    # The chosen labels are `sample` rows of each at most, about: a bounded side for the join with the texts.
-    zeros = int(counted["n"]) - ones
-    share = lambda n: int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    draw = F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(1 << 20))
-    chosen = known.where(F.when(F.col("_label") == 1, draw < share(ones)).otherwise(draw < share(zeros)))
-    texts = docs.join(F.broadcast(chosen), key)
-    trusted, refused = (_sample(texts.where(c), 1, 1, key, text, 3) for c in ("_label = 1", "_label <> 1"))
-    model = fit(trusted, _sample(docs, sample, total, key, text, 4), prior)
-    # Each label stands for as many rows as it has; the shares say how many of them were drawn.
-    keep = trusted[: max(1, int(len(refused) * ones / max(zeros, 1)))] if len(refused) else trusted
-    return calibrated(model, np.concatenate([keep, refused]), np.r_[np.ones(len(keep)), np.zeros(len(refused))])
+    name, = spare(docs, "trusted")
+    known = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias(name)).distinct()
+    ones, total = known.count(), docs.select(key).count()
+    # The chosen labels are `sample` rows at most, about: a side of bounded size for the join with the texts.
+    share = int(min(1.0, sample / max(ones, 1)) * (1 << 20))
+    chosen = known.where(F.pmod(F.xxhash64(F.lit(3), F.col(name)), F.lit(1 << 20)) < share)
+    trusted = _sample(docs.join(F.broadcast(chosen), F.col(key) == F.col(name), "left_semi"), 1, 1, key, text, 3)
+    every = _sample(docs, sample, total, key, text, 4)
+    cut = lambda x: (x[: len(x) // 5], x[len(x) // 5 :])
+    if min(len(trusted), len(every)) < 10:
+        return fit(trusted, every, 0.5)
+    (p_check, p_fit), (u_check, u_fit) = cut(trusted), cut(every)
+    first = fit(p_fit, u_fit, 0.5)
+    model = fit(p_fit, u_fit, class_prior(outputs(first, p_check), outputs(first, u_check)))
+    return calibrated(model, p_check, u_check)
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -174,7 +195,7 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFram
         for batch in batches:
             z = np.zeros(batch.num_rows)
             for i, j, x in _each(batch.column(position)):
-                z[i:j] = ((x - m.centre) / m.scale) @ m.weights + m.bias
+                z[i:j] = outputs(m, x)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= ACCEPT).astype(np.int32))], names=[*kept, "score", "predicted"])
 

@@ -81,7 +81,9 @@ def scan(pending: DataFrame, rules=RULES) -> DataFrame:
 def update(history: DataFrame, ledger: DataFrame | None = None, path: str = "path", text: str = "text", rules=RULES) -> tuple[DataFrame, DataFrame]:
     """(spans found now, rows to add to the ledger) for a history of path and text, a row per version of a file.
 
-    Contents that the ledger names for a rule's version aren't scanned again. Empty histories give empty tables.
+    Contents that the ledger names for a rule's version aren't scanned again. A null path is a path like any other, a null
+    text is empty, other columns are ignored. Equal contents are scanned once; rows that repeat both path and text may be
+    scanned each, but give their spans once. Empty histories give empty tables.
     """
     blobs = contents(history, path, text)
     spans = scan(unseen(blobs, ledger, rules), rules)
@@ -89,8 +91,25 @@ def update(history: DataFrame, ledger: DataFrame | None = None, path: str = "pat
     return spans, pairs if ledger is None else pairs.join(ledger, ["blob_id", "kind", "version"], "left_anti")
 
 
+def scanned(history: DataFrame, path: str = "path", text: str = "text", increments: int = 2, rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """(spans, ledger) of a whole history that comes in by increments: each is checked against the ledger that the ones
+    before it left, so a content that returns is not scanned again. Rows fall to increments by a hash of their path."""
+    when, ledger, found = F.pmod(F.xxhash64(path), F.lit(increments)), None, []
+    for n in range(increments):
+        spans, added = update(history.where(when == n), ledger, path, text, rules)
+        found.append(stored(spans, "spans"))
+        if n + 1 < increments:
+            ledger = stored(added if ledger is None else ledger.unionByName(added), "ledger")
+        else:
+            ledger = added if ledger is None else ledger.unionByName(added)
+    return reduce(DataFrame.unionByName, found), ledger
+
+
 def by_path(history: DataFrame, spans: DataFrame, path: str = "path", text: str = "text", rules=RULES) -> DataFrame:
-    """path, spans: every row of the history with the spans of its content, by start, then by rule; none: an empty array."""
+    """path, spans: every row of the history with the spans of its content, by start, then by rule; none: an empty array.
+
+    Rows that repeat and null paths come back as often as they stand; a null text has the spans of the empty one: none.
+    """
     found = spans.groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "kind", "end"))).alias("spans"))
     none = F.array().cast(found.schema["spans"].dataType)
     return contents(history, path, text).select("path", "blob_id").join(found, "blob_id", "left").select("path", F.coalesce("spans", none).alias("spans"))
@@ -98,7 +117,7 @@ def by_path(history: DataFrame, spans: DataFrame, path: str = "path", text: str
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    spans, _ = update(docs, None, "doc_id")
+    spans, _ = scanned(docs, "doc_id")
     rows = by_path(docs, spans, "doc_id")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     line = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import read, stored
 
-#: Rows of a query block (what is broadcast at once: rows x dimensions x 4 or 8 bytes) and columns of a tile.
-BLOCK_ROWS = 8192
+#: Bytes of queries that one pass over the vectors takes along (a broadcast), as float64; rows of a tile.
+BLOCK_BYTES = 1 << 27
 TILE_ROWS = 8192
+#: Queries that meet a tile at once.
+QUERY_ROWS = 1024
 #: Lists merged into one on each level of the tree.
 FAN = 64
 LONG = (-(2**63), 2**63 - 1)
@@ -55,33 +57,23 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row of scores the k best (query index, id, score), ties to the smaller id. ids ascend; equal ids count once."""
-    order = np.arange(len(ids))
-    distinct = len(ids) < 2 or bool((np.diff(ids) > 0).all())
-    if distinct and scores.dtype != object and (np.abs(scores).max(initial=0) + 1) * (len(ids) + 1) < 2**52:
-        rank = scores * (len(ids) + 1) - order  # one number that orders by score, then by id
-        at = np.searchsorted(ids, own)
-        hit = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == own)
-        rank[np.flatnonzero(hit), at[hit]] = -np.inf
-        if len(ids) > k:
-            cols = np.argpartition(-rank, k - 1, axis=1)[:, :k]
-        else:
-            cols = np.broadcast_to(order, scores.shape)
-        rows = np.repeat(np.arange(len(scores)), cols.shape[1])
-        cols = cols.ravel()
-        keep = np.isfinite(rank[rows, cols])
-        rows, cols = rows[keep], cols[keep]
-        return rows, ids[cols], scores[rows, cols].astype(np.int64)
-    out = []
-    for r in range(len(scores)):
-        seen: dict[int, int] = {}
-        for c in sorted(order, key=lambda c: (-int(scores[r, c]), int(ids[c]))):
-            if ids[c] != own[r] and int(ids[c]) not in seen:
-                seen[int(ids[c])] = int(scores[r, c])
-                if len(seen) == k:
-                    break
-        out += [(r, i, s) for i, s in seen.items()]
-    rows, got, sc = zip(*out) if out else ((), (), ())
-    return np.array(rows, np.int64), np.array(got, np.int64), np.array(sc, np.int64)
+    start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    if len(start) < len(ids):
+        scores, ids = np.maximum.reduceat(scores, start, axis=1), ids[start]
+    at = np.searchsorted(ids, own)
+    hit = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == own))
+    if scores.dtype != object and (np.abs(scores).max(initial=0) + 1) * (len(ids) + 1) < 2**52:
+        rank = scores * (len(ids) + 1) - np.arange(len(ids))  # one number that orders by score, then by id
+        rank[hit, at[hit]] = -np.inf
+        cols = np.argpartition(-rank, k - 1, axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), scores.shape)
+    else:
+        # A stable order by falling score; one more than k, as the query itself may be among them. ~x falls as x rises.
+        cols = np.argsort(~scores.astype(np.int64), axis=1, kind="stable")[:, : k + 1]
+    rows = np.repeat(np.arange(len(scores)), cols.shape[1])
+    cols = cols.ravel()
+    keep = ids[cols] != own[rows]
+    rows, cols = rows[keep], cols[keep]
+    return rows, ids[cols], scores[rows, cols].astype(np.int64)
 
 
 def _first(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -106,19 +98,18 @@ def _search(block, k: int, id_col: str, vec_col: str):
     def run(batches):
         from pyspark import TaskContext
 
-        queries = {d: (i, m) for d, (i, m) in block.value.items()}
         held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             for at in range(0, batch.num_rows, TILE_ROWS):
                 tile = batch.slice(at, TILE_ROWS)
                 for d, (ids, v) in _matrix(tile.column(tile.schema.get_field_index(id_col)), tile.column(tile.schema.get_field_index(vec_col))).items():
-                    if d not in queries:
+                    if d not in block.value:
                         continue
                     order = np.argsort(ids, kind="stable")
-                    ids, v, (qid, q) = ids[order], v[order], queries[d]
-                    for lo in range(0, len(qid), 1024):
-                        rows, got, score = _best(_scores(q[lo : lo + 1024], v), ids, qid[lo : lo + 1024], k)
-                        held = [np.r_[a, b] for a, b in zip(held, (qid[lo : lo + 1024][rows], got, score))]
+                    ids, v, (qid, q) = ids[order], v[order], block.value[d]
+                    for lo in range(0, len(qid), QUERY_ROWS):
+                        rows, got, score = _best(_scores(q[lo : lo + QUERY_ROWS], v), ids, qid[lo : lo + QUERY_ROWS], k)
+                        held = [np.r_[a, b] for a, b in zip(held, (qid[lo : lo + QUERY_ROWS][rows], got, score))]
             keep = _first(*held, k)
             held = [x[keep] for x in held]
         part = TaskContext.get().partitionId()
@@ -127,26 +118,27 @@ def _search(block, k: int, id_col: str, vec_col: str):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best inner products of floor(256 x) for each query.
 
-    The driver passes one block of queries at a time to all shards, as a broadcast of bounded size; vectors are never
-    shuffled. A task keeps k rows a query, and the tasks' lists merge in a tree. Ties go to the smaller id. A query
-    never finds its own id. Null vectors, null ids and vectors with a null or non-finite component take no part. Only
-    vectors of the same length are compared. Rows that share an id count as versions of one vector: the best score of a
-    pair stands. Scores beyond a long stand at its ends. Fewer candidates than k give fewer rows; empty tables give none.
+    A pass over the vectors takes along as many queries as block_bytes hold, as a broadcast; a tile of vectors meets them
+    by QUERY_ROWS. More queries make more passes, each paid for by as many products. Vectors are never shuffled. A task
+    keeps k rows a query, and the tasks' lists merge in a tree. Ties go to the smaller id. A query never finds its own id.
+    Null vectors, null ids and vectors with a null or non-finite component take no part. Only vectors of the same length
+    are compared. Rows that share an id count as versions of one vector: the best score of a pair stands. Scores beyond a
+    long stand at its ends. Fewer candidates than k give fewer rows; empty tables give none. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col)
     asked = queries.select(F.col(id_col).cast("long").alias(id_col), vec_col).where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
-    n = asked.count()
-    blocks = max(1, -(-n // block_rows))
+    size = asked.agg(F.sum(F.size(vec_col) * 8 + 8)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
     if blocks > 1:
-        # Blocks of about block_rows each; every block is read alone.
-        asked = stored(asked.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")), "queries", "_block")
+        # Blocks of about block_bytes each; every block is read alone.
+        asked = stored(asked.select(id_col, vec_col, F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias(f"block_of_{id_col}")), "queries", f"block_of_{id_col}")
     lists = None
     for b in range(blocks):
-        table = (asked.where(F.col("_block") == b).select(id_col, vec_col) if blocks > 1 else asked).toArrow()
+        table = (asked.where(F.col(f"block_of_{id_col}") == b).select(id_col, vec_col) if blocks > 1 else asked).toArrow()
         matrix = _matrix(table.column(0).combine_chunks(), table.column(1).combine_chunks()) if table.num_rows else {}
         found = rows.mapInArrow(_search(spark.sparkContext.broadcast(matrix), k, id_col, vec_col), SCHEMA)
         lists = found if lists is None else lists.unionByName(found)
