@@ -1,4 +1,8 @@
-"""N-gram Jaccard join: MinHash bands propose, Bayesian pruning on the MinHash values drops, exact sets decide."""
+"""N-gram Jaccard join: MinHash bands propose, Bayesian pruning on the MinHash values drops, exact sets decide.
+
+A pair of different texts is looked at where it first shares a band, nowhere else. The buckets of a band first see the
+MinHash values alone; only texts with a pair that outlives the pruning there send their shingle sets after them.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import pieces, read, stored, text_bytes
-from strata.llm.graph import components
+from strata.llm.common import pieces, read, spare, stored, text_bytes
 from strata.llm.texthash import CHUNK, mix, shingles, word_hashes, word_spans
+from strata.operators.graph import components
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -22,8 +26,10 @@ HASHES = BANDS * ROWS
 #: A pair is dropped when the posterior probability that it reaches the threshold is below this.
 TOLERANCE = 1e-6
 STEP = 16
-#: Texts and shingles of a tile: what a task holds is two of these.
-TILE_TEXTS, TILE_SHINGLES = 1024, 2_000_000
+#: Texts of a tile while only MinHash values are compared, and texts and shingles of a tile of sets: a task holds two.
+VALUE_TEXTS, TILE_TEXTS, TILE_SHINGLES = 4096, 1024, 2_000_000
+#: Pairs compared at once.
+PAIRS = 1 << 18
 
 _RNG = np.random.default_rng(2024)
 _XOR = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -31,15 +37,15 @@ _MUL = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint
 
 
 def signatures(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """(n x HASHES) MinHash values of the shingle sets; rows without a shingle have the largest value."""
-    out = np.full((n, HASHES), 2**32 - 1, np.uint32)
+    """(n x HASHES) MinHash values of the shingle sets, 16 bits of each; rows without a shingle have the largest value."""
+    out = np.full((n, HASHES), 2**16 - 1, np.uint16)
     if len(rows):
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         present, held = rows[starts], np.empty(len(hashes), np.uint64)
         for i in range(HASHES):
             np.bitwise_xor(hashes, _XOR[i], out=held)
             np.multiply(held, _MUL[i], out=held)
-            out[present, i] = np.minimum.reduceat(held, starts) >> np.uint64(32)
+            out[present, i] = mix(np.minimum.reduceat(held, starts)) >> np.uint64(48)
     return out
 
 
@@ -81,52 +87,54 @@ def _keys(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return one.view(np.int64), two.view(np.int64), size
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """(n x BANDS): the ROWS values of 16 bits of each band as one number."""
+    return np.ascontiguousarray(sig).view(np.int64)
+
+
 def _profiles(batches):
-    """mapInArrow: id, text -> id, k1, k2, n, bands."""
-    salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    """mapInArrow: id, t, text -> id, t, k1, k2, n, bands."""
     for batch in batches:
         n = batch.num_rows
-        one, two, size, bands = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, BANDS), np.uint64)
-        for i, j, rows, hashes in _sets(batch.column(1)):
+        one, two, size, bands = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, BANDS), np.int64)
+        for i, j, rows, hashes in _sets(batch.column(2)):
             one[i:j], two[i:j], size[i:j] = _keys(rows, hashes, j - i)
-            values = signatures(rows, hashes, j - i).astype(np.uint64).reshape(j - i, BANDS, ROWS)
-            key = np.broadcast_to(salt, (j - i, BANDS)).copy()
-            for r in range(ROWS):
-                key = mix(key ^ values[:, :, r]) + salt
-            bands[i:j] = key
-        lists = pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one), pa.array(two), pa.array(size), lists], names=["id", "k1", "k2", "n", "bands"])
+            bands[i:j] = _bands(signatures(rows, hashes, j - i))
+        lists = pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(one), pa.array(two), pa.array(size), lists], names=["id", "t", "k1", "k2", "n", "bands"])
 
 
 def _with_sets(batches):
-    """mapInArrow: rows with text last -> the same without the text, plus values and set as binary; other texts of the id are left out."""
+    """mapInArrow: rows with text last -> the same with its set as binary; other texts of the id are left out."""
     for batch in batches:
         names = batch.schema.names
         k1, k2 = (batch.column(names.index(k)).to_numpy() for k in ("k1", "k2"))
-        keep, values, sets = np.zeros(batch.num_rows, bool), [], []
+        keep, sets = np.zeros(batch.num_rows, bool), []
         for i, j, rows, hashes in _sets(batch.column(names.index("text"))):
             one, two, _ = _keys(rows, hashes, j - i)
             same = (one == k1[i:j]) & (two == k2[i:j])
             keep[i:j] = same
-            sig, at = signatures(rows, hashes, j - i), np.searchsorted(rows, np.arange(j - i + 1))
-            for r in np.flatnonzero(same):
-                values.append(sig[r].tobytes())
-                sets.append(hashes[at[r] : at[r + 1]].tobytes())
-        out = batch.drop_columns(["text", "k1", "k2"]).filter(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(values, pa.binary()), pa.array(sets, pa.binary())], names=[*out.schema.names, "sig", "set"])
-
-
-def linked(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: dict[int, int], threshold: Fraction = THRESHOLD):
-    """Pairs (i of left, j of right; i < j if the two are one) whose sets reach the threshold."""
-    size, one = np.array([len(s) for s in sets]), left is right
-    found_i, found_j = [], []
-    rows_at_once = max(1, 200_000 // max(1, len(right)))
+            at = np.searchsorted(rows, np.arange(j - i + 1))
+            sets += [hashes[at[r] : at[r + 1]].tobytes() for r in np.flatnonzero(same)]
+        out = batch.drop_columns(["text"]).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sets, pa.binary())], names=[*out.schema.names, "set"])
+
+
+def likely(bands: np.ndarray, size: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, least: dict[int, int], threshold: Fraction = THRESHOLD):
+    """Pairs (i of left, j of right; i < j if the two are one) that share `band` as their first, have sizes that allow the
+    threshold, and whose MinHash values, compared step by step, leave it likely enough."""
+    sig, one = bands.view(np.uint16), left is right
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows_at_once = max(1, PAIRS // max(1, len(right)))
     for lo in range(0, len(left), rows_at_once):
         i, j = (x.ravel() for x in np.meshgrid(left[lo : lo + rows_at_once], right, indexing="ij"))
         near = np.minimum(size[i], size[j]) * threshold.denominator >= np.maximum(size[i], size[j]) * threshold.numerator
         if one:
             near &= i < j
         i, j = i[near], j[near]
+        for earlier in range(band):
+            new = bands[i, earlier] != bands[j, earlier]
+            i, j = i[new], j[new]
         match = np.zeros(len(i), np.int64)
         for n in range(STEP, HASHES + 1, STEP):
             if not len(i):
@@ -136,15 +144,16 @@ def linked(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
             i, j, match = i[on], j[on], match[on]
         found_i.append(i)
         found_j.append(j)
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    if not len(i):
-        return i, j
-    common = _common(sets, left, right, i, j)
-    ok = common * (threshold.numerator + threshold.denominator) >= threshold.numerator * (size[i] + size[j])
-    return i[ok], j[ok]
+    return np.concatenate(found_i), np.concatenate(found_j)
+
 
+def exact(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
+    """Which of the pairs reach the threshold."""
+    size = np.array([len(s) for s in sets])
+    return _common(sets, i, j) * (threshold.numerator + threshold.denominator) >= threshold.numerator * (size[i] + size[j])
 
-def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact sizes of the intersections of pairs: one by one, or by products of incidence blocks where pairs are many."""
     used = np.unique(np.concatenate([i, j]))
     if len(i) < 3 * len(used):
@@ -173,99 +182,140 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, i: np.n
     return np.rint(total[place_a[i], place_b[j]]).astype(np.int64)
 
 
-def _tiles(least: dict[int, int]):
-    """mapInArrow over rows sorted by component and tile pair: links of each text, and a forest of the linked ones."""
-
-    def solve(rows: list[tuple], ta: int, tb: int, out: list):
-        nodes, copies, tile, sig, sets = zip(*rows)
-        seen: dict[int, int] = {}
-        for k, x in enumerate(nodes):
-            seen.setdefault(x, k)
-        pick = sorted(seen.values(), key=lambda k: nodes[k])
-        if len(pick) < 2:
-            return
-        node, copy, tile = (np.array([c[k] for k in pick], np.int64) for c in (nodes, copies, tile))
-        sig, sets = np.stack([np.frombuffer(sig[k], np.uint32) for k in pick]), [np.frombuffer(sets[k], np.uint64) for k in pick]
-        left = np.flatnonzero(tile == ta)
-        i, j = linked(sig, sets, left, left if ta == tb else np.flatnonzero(tile == tb), least)
-        if not len(i):
-            return
-        links = np.bincount(i, copy[j], len(node)) + np.bincount(j, copy[i], len(node))
-        label, before = np.arange(len(node)), None
-        while before is None or (label != before).any():
-            before = label.copy()
-            low = np.minimum(label[i], label[j])
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-        for k in np.flatnonzero(links):
-            out.append((int(node[k]), int(node[label[k]]), int(links[k])))
+def _groups(batches, *columns: str):
+    """Tables of the rows of each tile pair (b, key, ta, tb), from batches sorted by it."""
+    key, held = None, []
+    for batch in batches:
+        at = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("b", "key", "ta", "tb")]
+        cut = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in at], axis=0)]) if batch.num_rows else []
+        for start, end in zip(cut, [*cut[1:], batch.num_rows]):
+            now = tuple(int(x[start]) for x in at)
+            if now != key and held:
+                yield *key, pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(start, end - start).select(list(columns)))
+    if held:
+        yield *key, pa.Table.from_batches(held)
+
+
+def _tile(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The table without repeated nodes, and its nodes' keys, bands and tiles."""
+    k1, k2 = (table.column(c).to_numpy() for c in ("k1", "k2"))
+    _, first = np.unique(np.stack([k1, k2]), axis=1, return_index=True)
+    table = table.take(pa.array(first))
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    return table, np.stack([k1[first], k2[first]]), bands, table.column("tile").to_numpy()
+
+
+def _propose(least: dict[int, int]):
+    """mapInArrow over sorted tile pairs: the texts that have a likely pair in their bucket."""
 
     def run(batches):
-        key, rows, out = None, [], []
-        for batch in batches:
-            comp, ta, tb = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("component", "ta", "tb"))
-            cut = np.flatnonzero(np.r_[True, (comp[1:] != comp[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])]) if len(comp) else []
-            cells = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "copies", "tile", "sig", "set")]
-            for at, end in zip(cut, [*cut[1:], len(comp)]):
-                if key != (comp[at], ta[at], tb[at]):
-                    if rows:
-                        solve(rows, key[1], key[2], out)
-                    key, rows = (comp[at], ta[at], tb[at]), []
-                rows.extend(zip(*(c[at:end] for c in cells)))
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(("u", "v", "links"), x)) for x in out], schema=_OUT)
-                out = []
-        if rows:
-            solve(rows, key[1], key[2], out)
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(("u", "v", "links"), x)) for x in out], schema=_OUT)
+        for b, key, ta, tb, table in _groups(batches, "k1", "k2", "n", "bands", "tile"):
+            table, nodes, bands, tile = _tile(table)
+            left = np.flatnonzero(tile == ta)
+            i, j = likely(bands, table.column("n").to_numpy(), b, left, left if ta == tb else np.flatnonzero(tile == tb), least)
+            if len(i):
+                who = np.unique(np.concatenate([i, j]))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[0, who]), pa.array(nodes[1, who]), pa.array(np.full(len(who), b, np.int32)), pa.array(np.full(len(who), key, np.int64)), table.column("n").combine_chunks().take(pa.array(who))], names=["k1", "k2", "b", "key", "n"])
 
     return run
 
 
-_OUT = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
+def _verify(least: dict[int, int]):
+    """mapInArrow over sorted tile pairs with sets: links of each text, and a forest of the linked ones."""
 
+    def run(batches):
+        for b, _, ta, tb, table in _groups(batches, "k1", "k2", "n", "copies", "bands", "tile", "set"):
+            table, nodes, bands, tile = _tile(table)
+            left = np.flatnonzero(tile == ta)
+            i, j = likely(bands, table.column("n").to_numpy(), b, left, left if ta == tb else np.flatnonzero(tile == tb), least)
+            if not len(i):
+                continue
+            ok = exact([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")], i, j)
+            i, j, copies = i[ok], j[ok], table.column("copies").to_numpy()
+            links = (np.bincount(i, copies[j], len(tile)) + np.bincount(j, copies[i], len(tile))).astype(np.int64)
+            label, before = np.arange(len(tile)), None
+            while before is None or (label != before).any():
+                before = label.copy()
+                low = np.minimum(label[i], label[j])
+                np.minimum.at(label, i, low)
+                np.minimum.at(label, j, low)
+            who = np.flatnonzero(links)
+            ends = [nodes[0, who], nodes[1, who], nodes[0, label[who]], nodes[1, label[who]], links[who]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["u1", "u2", "v1", "v2", "links"])
+
+    return run
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with b, key and the number of tiles of that bucket, dealt to the tile pairs they belong to."""
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("k1", "k2"), F.col("tiles")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda s: F.struct(F.least("tile", s).alias("ta"), F.greatest("tile", s).alias("tb")))
+    rows = rows.withColumn("p", F.explode(pair)).select("*", "p.ta", "p.tb").drop("p", "tiles")
+    return rows.repartition("b", "key", "ta", "tb").sortWithinPartitions("b", "key", "ta", "tb")
+
+
+def _classified(docs: DataFrame, key: str, text: str, value_texts: int, tile_texts: int, tile_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(id, t, k1, k2 of every row; k1, k2, label, class_id, n_links of every set of shingles)."""
+    t = F.xxhash64(text)
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), t).alias("id"), t.alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    profiles = stored(rows.mapInArrow(_profiles, "id long, t long, k1 long, k2 long, n long, bands array<long>"), "profiles")
+    classes = stored(profiles.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    narrow = classes.select("k1", "k2", F.posexplode("bands").alias("b", "key"))
+    shared = narrow.groupBy("b", "key").agg(F.count("*").alias("size")).where("size > 1")
+    live = narrow.join(shared, ["b", "key"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("b", "size")).alias("buckets"))
+    live = stored(classes.join(live, ["k1", "k2"]), "live")
+    tiles = lambda *of: F.greatest(*[F.ceil(x / F.lit(n)) for x, n in of]).cast("int")
+    met = live.select("k1", "k2", "n", "bands", F.explode("buckets").alias("x")).select("k1", "k2", "n", "bands", "x.b", F.get("bands", F.col("x.b")).alias("key"), F.ceil(F.col("x.size") / value_texts).cast("int").alias("tiles"))
+    proposed = stored(_dealt(met).mapInArrow(_propose(least_matches()), "k1 long, k2 long, b int, key long, n long").distinct(), "proposed")
+    dense = proposed.groupBy("b", "key").agg(tiles((F.count("*"), tile_texts), (F.sum("n"), tile_shingles)).alias("tiles"))
+    wanted = proposed.join(dense, ["b", "key"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("b", "key", "tiles")).alias("buckets"))
+    # A text without words has no set; the id of a set's row leads back to its text.
+    wanted = live.drop("buckets").join(wanted, ["k1", "k2"])
+    texts = rows.join(wanted.withColumnRenamed("id", "own").hint("shuffle_hash"), F.col("id") == F.col("own")).select("k1", "k2", "n", "copies", "bands", "buckets", "text")
+    sets = texts.mapInArrow(_with_sets, "k1 long, k2 long, n long, copies long, bands array<long>, buckets array<struct<b: int, key: long, tiles: int>>, set binary")
+    dealt = _dealt(sets.withColumn("x", F.explode("buckets")).select("k1", "k2", "n", "copies", "bands", "set", "x.*"))
+    found = stored(dealt.mapInArrow(_verify(least_matches()), "u1 long, u2 long, v1 long, v2 long, links long"), "links")
+    node = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
+    joined = components(found.select(node("u1", "u2").alias("u"), node("v1", "v2").alias("v"))).select("node.k1", "node.k2", F.col("component").alias("label"))
+    joined = joined.join(classes.select("k1", "k2", "id"), ["k1", "k2"])
+    joined = joined.drop("id").join(joined.groupBy("label").agg(F.min("id").alias("class_id")), "label")
+    known = classes.select("k1", "k2", "id", "copies").join(found.groupBy(F.col("u1").alias("k1"), F.col("u2").alias("k2")).agg(F.sum("links").alias("links")), ["k1", "k2"], "left").join(joined, ["k1", "k2"], "left")
+    known = known.select("k1", "k2", F.coalesce("label", node("k1", "k2")).alias("label"), F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    return profiles.select("id", "t", "k1", "k2", "n"), known
+
+
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", value_texts: int = VALUE_TEXTS, tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """id, class_id, n_links for each row: the connected component of texts linked by a Jaccard similarity of at least 0.8
     between their sets of five-word shingles (class_id is its smallest id), and the number of other rows linked directly.
 
     Words part at ASCII white space and are compared as written; a text of one to four words has one shingle of all its
-    words. Rows with equal sets form one class at once and are never compared. Bands of equal MinHash values tie the
-    classes to components; a component is compared tile by tile, so that no task holds more than two tiles and no pair
-    leaves a task: only counts and a spanning forest do. The Bayesian test drops pairs that can't reach the threshold,
-    the exact sets decide on the rest. A text without words links to nothing and is its own class. A null id is
-    replaced by a hash of the text. An id is taken to name one text: rows that repeat it with the same text are copies.
-    Other columns are ignored. No rows give none.
+    words. Rows with equal sets form one class at once and are never compared. Two other sets are compared if they share
+    a band of MinHash values, in the bucket of the first one they share; a large bucket is compared tile by tile, so that no
+    task holds more than two tiles and no pair leaves a task: only counts and a spanning forest do. The Bayesian test drops
+    pairs that can't reach the threshold, the exact sets decide on the rest. A text without words links to nothing and is
+    its own class. A null id is replaced by a hash of the text. Rows may share an id, with one text or several. Other
+    columns are ignored. No rows give none.
     """
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    profiles = stored(rows.mapInArrow(_profiles, "id long, k1 long, k2 long, n long, bands array<long>"), "profiles")
-    classes = stored(profiles.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("node", F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").select("band", "hub")
-    tied = components(members.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    live = classes.drop("bands").join(tied, "node")
-    tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile_texts)), F.ceil(F.sum("n") / F.lit(tile_shingles))).cast("int")
-    live = live.join(live.groupBy("component").agg(tiles.alias("tiles")), "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    texts = rows.join(live.hint("shuffle_hash"), rows["id"] == live["node"]).select("component", "node", "copies", "tiles", "tile", "k1", "k2", "text")
-    sets = texts.mapInArrow(_with_sets, "component long, node long, copies long, tiles int, tile int, sig binary, set binary")
-    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda s: F.struct(F.least("tile", s).alias("ta"), F.greatest("tile", s).alias("tb")))
-    dealt = sets.select("component", "node", "copies", "tile", "sig", "set", F.explode(pair).alias("p")).select("component", "p.ta", "p.tb", "node", "copies", "tile", "sig", "set")
-    dealt = dealt.repartition("component", "ta", "tb").sortWithinPartitions("component", "ta", "tb")
-    found = stored(dealt.mapInArrow(_tiles(least_matches()), "u long, v long, links long"), "links")
-    joined = components(found).select("node", F.col("component").alias("class_id"))
-    known = classes.select("k1", "k2", "node", "copies").join(found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links")), "node", "left").join(joined, "node", "left")
-    known = known.select("k1", "k2", F.coalesce("class_id", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return profiles.select("id", "k1", "k2").join(known, ["k1", "k2"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows, known = _classified(docs, key, text, value_texts, tile_texts, tile_shingles)
+    return rows.join(known, ["k1", "k2"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the row of the smallest id of each class alone; of equal rows of that id one stays. Columns stay."""
-    own = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
-    found = jaccard_classes(docs, key, text).where("id = class_id").groupBy(F.col("id").alias("_own")).agg(F.count("*").alias("_n"))
-    kept = docs.withColumn("_own", own).join(found.hint("shuffle_hash"), "_own")
-    repeated = kept.where("_n > 1").dropDuplicates(["_own"])
-    return kept.where("_n = 1").unionByName(repeated).select(*docs.columns)
+    """docs with one row of each class, that of the smallest id; of equal rows one stays, and of different texts of that id
+    in one class the one of the smallest hash. Texts without words stay, once for each id. The columns stay, whatever their
+    names."""
+    rows, known = _classified(docs, key, text, VALUE_TEXTS, TILE_TEXTS, TILE_SHINGLES)
+    rows = rows.groupBy("id", "t", "k1", "k2").agg(F.count("*").alias("rows")).join(known.select("k1", "k2", "label"), ["k1", "k2"], "left")
+    # What has no words is a class of its own.
+    alone = F.when(F.col("label").isNull(), F.struct("id", "t"))
+    best = rows.groupBy("label", alone.alias("alone")).agg(F.min(F.struct("id", "t", "rows")).alias("x")).select("x.*")
+    own, t, n = spare(docs, "own", "t", "rows")
+    best = best.select(F.col("id").alias(own), F.col("t").alias(t), F.col("rows").alias(n))
+    kept = docs.withColumns({own: F.coalesce(F.col(key).cast("long"), F.xxhash64(text)), t: F.xxhash64(text)}).join(best.hint("shuffle_hash"), [own, t])
+    return kept.where(F.col(n) == 1).unionByName(kept.where(F.col(n) > 1).dropDuplicates([own, t])).select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -392,15 +392,43 @@ def test_near_duplicates(spark, tile):
         for k in range(0, i // 2):
             w[7 * k + 3] = f"new{k}"
         rows.append((100 + i, " ".join(w)))
+    # Every band of these is shared by others: pairs at all similarities, in many buckets.
+    for i in range(60):
+        w = list(base[:80])
+        for k in rng.sample(range(80), rng.randrange(1, 4)):
+            w[k] = f"x{rng.randrange(3)}"
+        rows.append((400 + i, " ".join(w)))
     rows += [(200 + i, prose(rng, 60)) for i in range(20)] + [(300, rows[10][1]), (301, rows[10][1])]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, id string").repartition(4)
-    got = {r["id"]: (r.class_id, r.n_links) for r in nearjoin.jaccard_classes(docs, tile_texts=tile).collect() if r["id"] != 1}
+    got = {r["id"]: (r.class_id, r.n_links) for r in nearjoin.jaccard_classes(docs, value_texts=tile, tile_texts=tile).collect() if r["id"] != 1}
     want = brute_links(rows)
     assert got == {i: v for i, v in want.items() if i != 1}
     left = nearjoin.one_of_each(docs.unionByName(docs.where("doc_id in (100, 200)"))).collect()
     assert sorted(r.doc_id for r in left) == sorted({v[0] for v in want.values()})
 
 
+def test_ids_that_repeat_and_clashing_names(spark):
+    rng = random.Random(2)
+    a, b, c = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (1, b), (2, a), (3, b), (1, a), (5, c), (None, c + " more"), (7, ""), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("own", "_own", "t", "rows", "_n", "k1", "label", "id", "class_id", "Copies"):
+        docs = docs.withColumn(name, F.lit(f"my {name}"))
+    got = {(r.id, r.class_id) for r in nearjoin.jaccard_classes(docs).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (7, 7), (8, 8)} <= got and len({k for i, k in got if i == 5 or i > 100 or i < 0}) == 1
+    left = nearjoin.one_of_each(docs)
+    assert left.columns == docs.columns
+    left = left.collect()
+    assert Counter(r.text for r in left if r.text) == Counter([a, b, c] if c in {r.text for r in left} else [a, b, c + " more"])
+    assert sorted(r.doc_id for r in left if not r.text) == [7, 7, 8] and all(r[n] == f"my {n}" for r in left for n in docs.columns[2:])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_near_duplicates_of_the_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text").collect()]
+    assert {r.doc_id: (r.class_id, r.n_links) for r in nearjoin.op9(spark, SF).collect()} == brute_links(rows)
+
+
 def test_pruning_keeps_links():
     least = nearjoin.least_matches()
     assert sorted(least) == list(range(16, 129, 16)) and all(least[n] < 0.8 * n for n in least)
