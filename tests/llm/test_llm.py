@@ -205,19 +205,20 @@ def test_leaks_of_items_beside_a_long_one(spark):
 def every_window(docs, bench):
     """(key, item_id) of all windows, with an item's words around them, that pass both checks, whatever their scores."""
     found = set()
-    for items in decontaminate.blocks(bench, "item_id", "text"):
-        answers = decontaminate.space(docs, "text", items, "doc_id").answers
+    for search in decontaminate.wanted(docs, bench, "doc_id", "text", "item_id", "text"):
+        places = decontaminate.lookup(search.vocabulary)
         for key, text in docs.where("doc_id < 100").select("doc_id", "text").collect():
-            words = np.concatenate([items.places(h) for *_, h in decontaminate.tokens(decontaminate.pa.array([text], decontaminate.pa.large_string()))]).tolist()
-            for item, own, answer in zip(items.ids, items.words, answers):
+            words = np.concatenate([places(h) for *_, h in decontaminate.tokens(decontaminate.pa.array([text], decontaminate.pa.large_string()))]).tolist()
+            for item in search.items:
+                own, answer = item.words.tolist(), set(item.answer.tolist())
                 m, length = len(own), 16
                 while length < m:
                     length *= 2
-                masks = {x: sum(1 << i for i, y in enumerate(own) if y == x) for x in own.tolist()}
+                masks = {x: sum(1 << i for i, y in enumerate(own) if y == x) for x in own}
                 for lo in range(0, max(1, len(words) - length // 2), length // 4):
                     seen = words[max(0, lo - m) : lo + length + m]
                     if len(answer.intersection(seen)) >= 0.5 * len(answer) and decontaminate.common_subsequence(masks, m, seen) / m >= 0.7:
-                        found.add((key, item))
+                        found.add((key, item.id))
                         break
     return found
 
@@ -244,10 +245,12 @@ def test_leaks_against_every_window(spark, more):
     assert {tuple(r)[:2] for r in decontaminate.leaks(docs, bench).where("key < 100").collect()} == want
 
 
-def test_blocks_of_items(spark, monkeypatch):
+@pytest.mark.parametrize("passes", (10**6, 60))
+def test_blocks_of_items(spark, monkeypatch, passes):
     rng = random.Random(4)
     items = [(i, prose(rng, 20)) for i in range(7)]
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", passes)
     docs = spark.createDataFrame([(i, prose(rng, 50) + " " + t) for i, t in items], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(r)[:2] for r in decontaminate.leaks(docs, bench).collect()} == {(i, i) for i in range(7)}
