@@ -324,11 +324,34 @@ def test_long_text_in_pieces(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], names=["t1", "t2", "text"])
     covered = set()
     for b in suffixes._screen(64, 16)([batch]):
-        for first, last in zip(b.column("first").to_pylist(), b.column("last").to_pylist()):
-            covered |= set(range(first, last + 1))
+        for firsts, reach in zip(b.column("firsts").to_pylist(), b.column("reach").to_pylist()):
+            for first in firsts:
+                covered |= set(range(first, first + reach + 1))
     assert covered == set(range(len(text) - 63))
 
 
+def test_multikey_sort_finds_equal_suffixes():
+    rng = np.random.default_rng(1)
+    for t in range(60):
+        n, length = int(rng.integers(60, 400)), int(rng.integers(8, 40))
+        raw = rng.integers(97, 99, n).astype(np.uint8)
+        raw[n // 2 : n // 2 + n // 4] = raw[: n // 4]
+        start = np.unique(rng.integers(0, n - length + 1, 150))
+        group, b = rng.integers(0, 3, len(start)), raw.tobytes()
+        count = Counter((g, b[s : s + length]) for g, s in zip(group, start))
+        assert suffixes.repeated(group, raw, start, length).tolist() == [count[g, b[s : s + length]] > 1 for g, s in zip(group, start)]
+
+
+def test_repeats_keep_the_columns(spark):
+    text = "".join(random.Random(5).choices("abcdef", k=900))
+    docs = spark.createDataFrame([(1, text), (2, "x" + text), (3, "short"), (4, None)], "doc_id long, text string")
+    for c in ("_t1", "t1", "T2", "_spans", "spans", "raw", "firsts"):
+        docs = docs.withColumn(c, F.lit(f"my {c}"))
+    got = suffixes.without_repeats(docs)
+    assert got.columns == [*docs.columns, "kept", "runs"]
+    assert {r.doc_id: bytes(r.kept) for r in got.collect()} == {1: b"", 2: b"x", 3: b"short", 4: b""} and all(r[c] == f"my {c}" for r in got.collect() for c in docs.columns[2:])
+
+
 # 6: line dedup
 
 
