@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.columns import keyword, robust
+from strata.operators.ranks import percentiles
 from strata.operators.stencil import KEYS, all_filters
 
 #: Which filters a layer gets by the first kind that its name contains.
@@ -62,7 +63,7 @@ def norm_params(long: DataFrame, clip: float = 2.0, *keys: str) -> DataFrame:
     """feature, p_low, p_high, median, iqr: exact percentiles of what is present; fewer than ten values give 0, 1, 0, 1."""
     keys = keys or ("feature",)
     at = [clip / 100, 0.25, 0.5, 0.75, 1 - clip / 100]
-    p = long.groupBy(*keys).agg(F.percentile("val", F.array(*[F.lit(x) for x in at])).alias("p"), F.count("val").alias("n"))
+    p = percentiles(long, "val", at, *keys)
     few = F.col("n") < 10
     pick = lambda i, otherwise: F.when(few, float(otherwise)).otherwise(F.col("p")[i])
     return p.select(*keys, pick(0, 0).alias("p_low"), pick(4, 1).alias("p_high"), pick(2, 0).alias("median"), F.when(few, 1.0).otherwise(F.greatest(F.col("p")[3] - F.col("p")[1], F.lit(1e-10))).alias("iqr"))

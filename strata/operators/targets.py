@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.columns import area_km2, score
 from strata.operators.graph import components
 from strata.operators.grid import Grid
+from strata.operators.ranks import percentiles
 from strata.operators.storage import stored
 
 TILE = 512
@@ -19,8 +20,8 @@ COLUMNS = ("rank", "x", "y", "row", "col", "max_probability", "mean_probability"
 
 def hot(maps: DataFrame, min_prob: float, *by: str) -> DataFrame:
     """Cells whose prob reaches both min_prob and the 80th percentile (of their group)."""
-    limit = maps.groupBy(*by).agg(F.greatest(F.lit(float(min_prob)), F.percentile("prob", 0.8)).alias("_limit"))
-    joined = maps.join(F.broadcast(limit), list(by)) if by else maps.crossJoin(F.broadcast(limit))
+    limit = percentiles(maps, "prob", [0.8], *by).select(*by, F.greatest(F.lit(float(min_prob)), F.col("p")[0]).alias("_limit"))
+    joined = maps.join(limit, list(by)) if by else maps.crossJoin(F.broadcast(limit))
     return joined.where(F.col("prob") >= F.col("_limit")).drop("_limit")
 
 
@@ -102,13 +103,21 @@ def _spaced(frame: pd.DataFrame, n: int, distance: int) -> pd.DataFrame:
 
 def suppressed(records: DataFrame, n: int = 15, distance: int = 10) -> DataFrame:
     """The first n records by score, equal scores in raster order, that are `distance` rows or columns away from every
-    better one kept; ranked from 1. Choosing is sequential: one task per target type works on component records, not cells."""
+    better one kept; ranked from 1.
+
+    Choosing is sequential, but few records can matter: of those with one centre only the best, and around each kept one
+    no more centres than its square has, so n squares' worth of the best records of a type is all that reaches its task.
+    """
     schema = T.StructType([*records.schema.fields, T.StructField("rank", T.IntegerType())])
-    return records.groupBy("target_type").applyInPandas(lambda f: _spaced(f.sort_values(["max_score", "component"], ascending=[False, True], kind="stable"), n, distance), schema)
+    best = Window.partitionBy("target_type", "row", "col").orderBy(F.desc("max_score"), "component")
+    first = Window.partitionBy("target_type").orderBy(F.desc("max_score"), "component")
+    few = records.withColumn("_i", F.row_number().over(best)).where("_i = 1").withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= n * (2 * distance - 1) ** 2).drop("_i")
+    return few.groupBy("target_type").applyInPandas(lambda f: _spaced(f.sort_values(["max_score", "component"], ascending=[False, True], kind="stable"), n, distance), schema)
 
 
 def top_targets(maps: DataFrame, grid: Grid, target_type: str = "generic", n: int = 15, min_prob: float = 0.5, distance: int = 10, tile: int = TILE) -> DataFrame:
     """Ranked target records of one map (row, col, prob, uncertainty)."""
-    cells = label_components(hot(maps.where("prob is not null"), min_prob).select("row", "col", "prob", "uncertainty"), grid.nx, tile)
+    maps = stored(maps.where("prob is not null"), "maps")
+    cells = label_components(hot(maps, min_prob).select("row", "col", "prob", "uncertainty"), grid.nx, tile)
     records = component_stats(cells, grid, target_type, min_prob).where(F.col("max_probability") >= min_prob)
     return suppressed(records, n, distance).select(*COLUMNS)

@@ -13,6 +13,7 @@ from strata.operators.features import extract, feature_names, norm_params, norma
 from strata.operators.grid import Grid, common_grid, locate, registered
 from strata.operators.metrics import recall_at_k
 from strata.operators.models import Prospect
+from strata.operators.ranks import percentiles
 from strata.operators.sampling import assemble
 from strata.operators.storage import stored
 from strata.operators.targets import top_targets
@@ -154,8 +155,8 @@ class SurveyPipeline:
 
 def layer_stats(cells: DataFrame) -> DataFrame:
     """layer, colour limits p2 and p98, missing percent: what a chart of the layers needs."""
-    p = F.percentile("z", F.array(F.lit(0.02), F.lit(0.98)))
-    return cells.groupBy("layer").agg(p[0].alias("p2"), p[1].alias("p98"), (100.0 * F.count_if(F.col("z").isNull()) / F.count("*")).alias("missing_percent"))
+    limits = percentiles(cells, "z", [0.02, 0.98], "layer").select("layer", F.col("p")[0].alias("p2"), F.col("p")[1].alias("p98"))
+    return limits.join(cells.groupBy("layer").agg((100.0 * F.count_if(F.col("z").isNull()) / F.count("*")).alias("missing_percent")), "layer")
 
 
 #: Contour levels of probability.

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.functions.columns import ensemble, keyword, score, signed_log, spread, unit
+from strata.functions.columns import ensemble, keyword, score, signed_log, spread
 from strata.operators import features, grid, metrics, sampling, stencil, targets
 from strata.operators.grid import Grid
-from strata.operators.unsupervised import unit_maps
+from strata.operators.unsupervised import scaled, unit_maps
 from strata.plans.pipeline import contour_class, layer_stats
 
 GRIDS = {"lineitem": (40, 50), "orders": (80, 50), "events": (24, 50)}
@@ -164,9 +164,7 @@ def feature_weight(spark, sf_dir):
 
 @query("SELECT o_orderkey, round(CASE WHEN q[2] <= q[1] THEN 0.5 ELSE least(greatest((o_totalprice - q[1]) / (q[2] - q[1]), 0.0), 1.0) END, 6) AS u FROM orders, (SELECT quantile_cont(o_totalprice, [0.05, 0.95]) AS q FROM orders)")
 def unit_scale(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders")
-    q = o.agg(F.percentile("o_totalprice", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    return rounded(o.crossJoin(F.broadcast(q)).select("o_orderkey", unit(F.col("o_totalprice"), F.col("q")[0], F.col("q")[1]).alias("u")))
+    return rounded(scaled(_t(spark, sf_dir, "orders"), "o_totalprice", "u").select("o_orderkey", "u"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(least(greatest(l_discount * 10 - 0.3 * l_tax * 10, 0.0), 1.0), 6) AS score FROM lineitem")
@@ -473,7 +471,7 @@ def hot_mask(spark, sf_dir):
     return targets.hot(_maps(spark, sf_dir), 0.35)
 
 
-@query(f"""{_MAPS_SQL} SELECT r AS "row", c AS col, CASE WHEN prob >= 0.88 THEN 4 WHEN prob >= 0.76 - 0.01 THEN 3 WHEN prob >= 0.6 THEN 2 WHEN prob >= 0.4 THEN 1 ELSE 0 END AS level FROM (SELECT r, c, round(prob, 6) AS prob FROM u)""")
+@query(f"""{_MAPS_SQL} SELECT r AS "row", c AS col, CASE WHEN prob >= 0.88 THEN 4 WHEN prob >= 0.75 THEN 3 WHEN prob >= 0.6 THEN 2 WHEN prob >= 0.4 THEN 1 ELSE 0 END AS level FROM (SELECT r, c, round(prob, 6) AS prob FROM u)""")
 def contour_levels(spark, sf_dir):
     return contour_class(_maps(spark, sf_dir)).select("row", "col", "level")
 
