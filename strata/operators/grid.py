@@ -67,7 +67,7 @@ def _source_axis(at, low, high, n):
 
 
 def resample(cells: DataFrame, layers: DataFrame, grid: Grid, method: str = "linear") -> DataFrame:
-    """layer, row, col, z on the grid, bilinear or nearest: each cell meets its source cells by an equi-join on indices.
+    """layer, row, col, z on the grid, bilinear or nearest, by an equi-join on indices of cells (nearest) or of whole lines.
 
     Coordinates outside a layer are taken at its edge. Missing source cells should be filled first; a cell that meets one
     is missing.
@@ -80,9 +80,20 @@ def resample(cells: DataFrame, layers: DataFrame, grid: Grid, method: str = "lin
         # A point half way between two nodes takes the lower one.
         wanted = wanted.select("layer", "r", "c", (F.col("i") + (F.col("ti") > 0.5).cast("int")).alias("row"), (F.col("j") + (F.col("tj") > 0.5).cast("int")).alias("col"))
         return wanted.join(cells, ["layer", "row", "col"], "left").select("layer", F.col("r").alias("row"), F.col("c").alias("col"), "z")
-    corners = F.array(*[F.struct((F.col("i") + a).alias("row"), (F.col("j") + b).alias("col"), ((F.col("ti") if a else 1 - F.col("ti")) * (F.col("tj") if b else 1 - F.col("tj"))).alias("w")) for a in (0, 1) for b in (0, 1)])
-    parts = wanted.select("layer", "r", "c", F.explode(corners).alias("k")).where("k.w > 0").select("layer", "r", "c", "k.*").join(cells, ["layer", "row", "col"], "left")
-    return parts.groupBy("layer", "r", "c").agg(F.when(F.count("z") == F.count("*"), F.sum(F.col("w") * F.col("z"))).alias("z")).select("layer", F.col("r").alias("row"), F.col("c").alias("col"), "z")
+    # Lines meet, not cells: a line of the grid lies between two of the layer, each an array by column.
+    line = F.array_sort(F.collect_list(F.struct("col", "z")))
+    lines = cells.groupBy("layer", "row").agg(line.alias("l")).join(spec.select("layer", "nx"), "layer")
+    # Cells that aren't there are missing; a full line is read by place.
+    whole = F.transform(F.sequence(F.lit(0), F.col("nx") - 1), lambda c: F.get(F.filter("l", lambda p: p["col"] == c), F.lit(0))["z"])
+    lines = lines.select("layer", "row", F.when(F.size("l") == F.col("nx"), F.transform("l", lambda p: p["z"])).otherwise(whole).alias("zs"))
+    down = wanted.groupBy("layer", "r", "i", "ti").agg(F.array_sort(F.collect_list(F.struct("c", "j", "tj"))).alias("to"))
+    parts = F.array(F.struct(F.col("i").alias("row"), (1 - F.col("ti")).alias("w")), F.struct((F.col("i") + 1).alias("row"), F.col("ti").alias("w")))
+    down = down.withColumn("part", F.explode(F.filter(parts, lambda p: p["w"] > 0))).select("layer", "r", "to", "part.*").join(lines, ["layer", "row"], "left")
+    term = lambda w, z: F.when(w > 0, w * z).otherwise(0.0)
+    across = F.transform("to", lambda t: F.col("w") * (term(1 - t["tj"], F.get("zs", t["j"])) + term(t["tj"], F.get("zs", t["j"] + 1))))
+    found = down.groupBy("layer", "r").agg(F.first("to").alias("to"), F.collect_list(F.struct(across.alias("a"))).alias("rows"))
+    sums = F.zip_with("to", F.when(F.size("rows") == 1, F.col("rows")[0]["a"]).otherwise(F.zip_with(F.col("rows")[0]["a"], F.col("rows")[1]["a"], lambda x, y: x + y)), lambda t, z: F.struct(t["c"].alias("col"), z.alias("z")))
+    return found.select("layer", F.col("r").alias("row"), F.explode(sums).alias("x")).select("layer", "row", "x.col", "x.z")
 
 
 def locate(points: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFrame:
@@ -100,24 +111,32 @@ def locate(points: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFra
 
 def fill_nearest(cells: DataFrame) -> DataFrame:
     """cells with each missing z replaced by the nearest present one of its layer in index space; ties go to the smaller
-    row, then column. A layer without values stays as it is.
+    row, then column. A layer without values stays as it is. A column has a cell in each of its layer's rows, or in none.
 
     Each cell first finds the nearest values above and below in its column; the nearest of all is then among those of its
-    row's columns, so a missing cell looks at one line and never at the whole grid.
+    row's columns, no farther off than the own column's, so a missing cell looks at a part of one line.
     """
     line = Window.partitionBy("layer", "col").orderBy("row")
     here = F.when(F.col("z").isNotNull(), F.struct(F.col("row").alias("r"), F.col("z").alias("v")))
     seen = cells.select("layer", "row", "col", "z").withColumns({"_up": F.last(here, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "_down": F.first(here, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))})
     rows = seen.groupBy("layer", "row").agg(F.array_sort(F.collect_list(F.struct("col", "z", "_up", "_down"))).alias("l"))
 
-    def nearest(c):
+    def nearest(me):
+        c = me["col"]
+        # The own column's values bound how far away the nearest can be; a full line is cut to that by place.
+        own = lambda side: F.when(me[side].isNotNull(), F.abs(me[side]["r"] - F.col("row")))
+        reach = F.least(own("_up"), own("_down"))
+        whole = F.size("l") == F.element_at("l", -1)["col"] - F.element_at("l", 1)["col"] + 1
+        first = F.greatest(c - reach - F.element_at("l", 1)["col"] + 1, F.lit(1))
+        line = F.when(whole & reach.isNotNull(), F.slice("l", first, c + reach - F.element_at("l", 1)["col"] + 2 - first)).otherwise(F.col("l"))
+
         def to(side):
             far = lambda p: (p["col"] - c) * (p["col"] - c) + (p[side]["r"] - F.col("row")) * (p[side]["r"] - F.col("row"))
-            return F.transform(F.filter("l", lambda p: p[side].isNotNull()), lambda p: F.struct(far(p).alias("d"), p[side]["r"].alias("r"), p["col"].alias("c"), p[side]["v"].alias("v")))
+            return F.transform(F.filter(line, lambda p: p[side].isNotNull()), lambda p: F.struct(far(p).alias("d"), p[side]["r"].alias("r"), p["col"].alias("c"), p[side]["v"].alias("v")))
 
         return F.array_min(F.concat(to("_up"), to("_down")))["v"]
 
-    filled = rows.select("layer", "row", F.explode(F.transform("l", lambda p: F.struct(p["col"].alias("col"), F.when(p["z"].isNull(), nearest(p["col"])).otherwise(p["z"]).alias("z")))).alias("x"))
+    filled = rows.select("layer", "row", F.explode(F.transform("l", lambda p: F.struct(p["col"].alias("col"), F.when(p["z"].isNull(), nearest(p)).otherwise(p["z"]).alias("z")))).alias("x"))
     return filled.select("layer", "row", "x.col", "x.z")
 
 

@@ -77,3 +77,24 @@ def recall_at_k(targets: DataFrame, zones: DataFrame, k: int = 10, factor: float
 
     hits = F.size(F.aggregate("zs", F.array().cast("array<int>"), take))
     return t.crossJoin(z).select(hits.alias("hits"), (hits / F.greatest(F.size("zs"), F.lit(1))).alias("recall"), (hits / F.greatest(F.size("ts"), F.lit(1))).alias("precision"))
+
+
+def within(points: DataFrame, zones: DataFrame, factor: float = 2.5) -> DataFrame:
+    """zone_id, rank, d: each zone with the points (rank, x, y) nearer than factor x its radius.
+
+    A join on squares as wide as the widest reach: a zone meets the points of its square and of the eight around it.
+    """
+    side = factor * float(zones.agg(F.max("r")).first()[0] or 1.0)
+    square = lambda c: F.floor(F.col(c) / side)
+    p = points.select("rank", F.col("x").alias("u"), F.col("y").alias("v")).withColumns({"sx": square("u"), "sy": square("v")})
+    around = F.sequence(F.lit(-1), F.lit(1))
+    z = zones.select("zone_id", "x", "y", "r").withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    z = z.withColumns({"sx": square("x") + F.col("dx"), "sy": square("y") + F.col("dy")})
+    d = F.sqrt((F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v")))
+    return z.join(p, ["sx", "sy"]).withColumn("d", d).where(F.col("d") < factor * F.col("r")).select("zone_id", "rank", "d")
+
+
+def above_threshold(scored: DataFrame, threshold: float) -> DataFrame:
+    """One row: n_above (rows whose prob reaches the threshold), n, share."""
+    n = F.count_if(F.col("prob") >= threshold)
+    return scored.agg(n.alias("n_above"), F.count("*").alias("n"), (n / F.count("*")).alias("share"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.columns import ensemble, known, spread
 from strata.operators.features import WEIGHTS
-from strata.operators.metrics import best_threshold, ensemble_weights, model_metrics
+from strata.operators.metrics import above_threshold, best_threshold, ensemble_weights, model_metrics
 from strata.operators.sampling import Balance, balance, balanced_weights, folds, smote, synthetic_count
 
 MODELS = ("ann", "rf", "gb")
@@ -25,17 +25,18 @@ def _positive(c: str):
 
 
 class Network:
-    """Perceptrons on parts of the rows, each with Platt scaling on the rest; probabilities are averaged."""
+    """Perceptrons on parts of the rows, each with Platt scaling on the rest; probabilities are averaged. A perceptron stops
+    when its loss falls by less than 1e-5 a step, after `iterations` at the latest."""
 
     def __init__(self, pairs):
         self.pairs = pairs
 
     @classmethod
-    def fit(cls, samples: DataFrame, width: int, iterations: int = 200, parts: int = 3, seed: int = 42) -> Network:
+    def fit(cls, samples: DataFrame, width: int, iterations: int = 800, parts: int = 3, seed: int = 42) -> Network:
         layers = [width, max(64, 2 * width), max(32, width), max(16, width // 2), 2]
         dealt, pairs = folds(samples, parts, F.xxhash64(F.lit(seed), "label", "id")), []
         for k in range(parts):
-            net = MultilayerPerceptronClassifier(layers=layers, maxIter=iterations, seed=seed + k, featuresCol="features", labelCol="label").fit(dealt.where(F.col("fold") != k))
+            net = MultilayerPerceptronClassifier(layers=layers, maxIter=iterations, tol=1e-5, seed=seed + k, featuresCol="features", labelCol="label").fit(dealt.where(F.col("fold") != k))
             pairs.append((net, LogisticRegression(featuresCol="margin", labelCol="label").fit(cls._margins(net, dealt.where(F.col("fold") == k)))))
         return cls(pairs)
 
@@ -62,15 +63,16 @@ class Trees:
         return m.transform(rows).withColumn(name, _positive("_probabilityCol")).drop("_rawPredictionCol", "_probabilityCol", "_predictionCol")
 
 
+# Spark's trees have neither a least size for splitting nor an l2 penalty; the least sizes of leaves stand for both.
 def fit_forest(samples: DataFrame, b: Balance, trees: int | None = None, seed: int = 42) -> Trees:
     trees = trees or min(600, max(300, 20 * b.n_pos))
-    rf = RandomForestClassifier(numTrees=trees, maxDepth=10, minInstancesPerNode=max(1, min(b.n_pos // 5, 50)), featureSubsetStrategy="sqrt", weightCol="weight", featuresCol="features", labelCol="label", seed=seed)
+    rf = RandomForestClassifier(numTrees=trees, maxDepth=10, minInstancesPerNode=max(1, b.n_pos // 5), featureSubsetStrategy="sqrt", weightCol="weight", featuresCol="features", labelCol="label", seed=seed)
     return Trees(rf.fit(balanced_weights(samples)))
 
 
 def fit_boosted(samples: DataFrame, b: Balance, rounds: int = 500, seed: int = 42) -> Trees:
     marked = balanced_weights(samples).withColumn("held", F.pmod(F.xxhash64(F.lit(seed), "label", "id"), F.lit(5)) == 0)
-    gb = GBTClassifier(maxIter=rounds, stepSize=0.02, maxDepth=5, minInstancesPerNode=max(3, min(b.n_pos // 3, 50)), weightCol="weight", validationIndicatorCol="held", featuresCol="features", labelCol="label", seed=seed)
+    gb = GBTClassifier(maxIter=rounds, stepSize=0.02, maxDepth=5, minInstancesPerNode=max(3, b.n_pos // 3), weightCol="weight", validationIndicatorCol="held", featuresCol="features", labelCol="label", seed=seed)
     return Trees(gb.fit(marked))
 
 
@@ -84,12 +86,14 @@ def vectors(samples: DataFrame, names: list[str]) -> DataFrame:
 class Prospect:
     """Trains and applies the ensemble of one target type. An unknown type becomes generic with a warning."""
 
-    def __init__(self, target_type: str = "generic", iterations: int = 200, trees: int | None = None, rounds: int = 500):
+    def __init__(self, target_type: str = "generic", iterations: int = 800, trees: int | None = None, rounds: int = 500):
         if target_type not in WEIGHTS:
             warnings.warn(f"unknown target type {target_type}: generic is used", stacklevel=2)
             target_type = "generic"
         self.target_type, self.iterations, self.trees, self.rounds = target_type, iterations, trees, rounds
         self.models, self.weights, self.threshold, self.metrics, self.names = {}, {}, 0.5, [], []
+        #: After training: how many out-of-fold rows reach the threshold (n_above, n, share).
+        self.above: dict = {}
 
     def _fit(self, rows: DataFrame, b: Balance, seed: int) -> dict:
         made, width = {}, len(self.names)
@@ -129,6 +133,7 @@ class Prospect:
             joint = oof.select("label", ensemble([F.col(m) for m in MODELS], [self.weights[m] for m in MODELS]).alias("prob"))
             self.metrics = [r.asDict() for r in metrics.collect()] + [{"model": "ensemble", **model_metrics(joint).drop("brier").first().asDict(), "brier": None}]
             self.threshold = float(min(0.95, max(0.05, best_threshold(joint, metric).first().threshold)))
+            self.above = above_threshold(joint, self.threshold).first().asDict()
             self.models = self._fit(self._enriched(rows, b, min(5, b.n_pos - 1), seed), b, seed)
         finally:
             rows.unpersist()

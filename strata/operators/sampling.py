@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.grid import Grid
+from strata.operators.ranks import numbered
+from strata.operators.storage import stored
+
+#: Bytes of vectors that one pass of the neighbour search takes along, and rows of a tile.
+BLOCK_BYTES, TILE = 1 << 26, 1024
 
 
 class Balance(NamedTuple):
@@ -81,7 +88,7 @@ def far_cells(cells: DataFrame, positives: DataFrame, distance: int = 12) -> Dat
 
 def far_negatives(cells: DataFrame, positives: DataFrame, n: int = 60, positive: int = 3, seed: int = 42) -> DataFrame:
     """label 0 and row, col of n such cells in the order of a hash."""
-    chosen = far_cells(cells, positives, max(4 * positive, 8)).orderBy(F.xxhash64(F.lit(seed), "row", "col"), "row", "col").limit(n)
+    chosen = far_cells(cells, positives, max(4 * positive, 8)).orderBy(F.md5(F.concat_ws(":", F.lit(seed), "row", "col").cast("binary")), "row", "col").limit(n)
     return chosen.select(F.lit(0).alias("label"), "row", "col")
 
 
@@ -90,17 +97,66 @@ def assemble(features: DataFrame, wells: DataFrame, grid: Grid, positive: int =
     missing feature are dropped."""
     on = wells.where("inside").select("label", "row", "col")
     cells = buffered(on, grid, positive, negative).unionByName(far_negatives(features.select("row", "col"), on.where("label = 1"), extra, positive, seed))
-    return features.join(F.broadcast(cells), ["row", "col"]).na.drop()
-
-
-def neighbours(vectors: DataFrame, k: int = 5, key: str = "id", vec: str = "vec") -> DataFrame:
-    """key, rank, other, d2: the k nearest other rows by squared distance, ties by id. For the few positives of a sample:
-    the pairs are all of them, so the caller bounds the rows."""
-    a, b = vectors.select(F.col(key).alias("a"), F.col(vec).alias("va")), vectors.select(F.col(key).alias("b"), F.col(vec).alias("vb"))
-    d2 = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", d2.alias("d2"))
+    return features.join(cells, ["row", "col"]).na.drop()
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _nearest(block, k: int):
+    """mapInArrow: for each vector of the block the k nearest of the task's rows, ties to the smaller id."""
+
+    def run(batches):
+        own, q = block.value
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, TILE):
+                tile = batch.slice(at, TILE)
+                ids, v = tile.column(0).to_numpy(), _matrix(tile.column(1))
+                order = np.argsort(ids, kind="stable")
+                ids, v = ids[order], v[order]
+                for lo in range(0, len(own), TILE):
+                    d2 = np.zeros((len(own[lo : lo + TILE]), len(ids)))
+                    for x in range(q.shape[1]):
+                        d2 += (q[lo : lo + TILE, x, None] - v[None, :, x]) ** 2
+                    d2[own[lo : lo + TILE, None] == ids] = np.inf
+                    best = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                    row = np.repeat(np.arange(len(d2)), best.shape[1])
+                    new = (lo + row, ids[best.ravel()], d2[row, best.ravel()])
+                    held = [np.r_[a, b[np.isfinite(new[2])]] for a, b in zip(held, new)]
+            order = np.lexsort((held[1], held[2], held[0]))
+            held = [x[order] for x in held]
+            start = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]]) if len(order) else np.zeros(0, int)
+            keep = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)])) < k
+            held = [x[keep] for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array(own[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["a", "b", "d2"])
+
+    return run
+
+
+def neighbours(vectors: DataFrame, k: int = 5, key: str = "id", vec: str = "vec", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """key, rank, other, d2: the k nearest other rows by squared distance, ties by id. Vectors have one length; rows with a
+    null key or vector take no part.
+
+    The vectors go around in blocks of bounded bytes, one pass over the rows each; a task keeps k rows for each vector of a
+    block, and the lists of all tasks meet by key.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).cast("long").alias("a"), F.col(vec).cast("array<double>").alias("v")).dropna()
+    blocks = max(1, -(-(rows.agg(F.sum(F.size("v") * 8 + 16)).first()[0] or 0) // block_bytes))
+    every = stored(rows.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")), "vectors", "block") if blocks > 1 else rows
+    lists = None
+    for b in range(blocks):
+        table = (every.where(F.col("block") == b) if blocks > 1 else every).select("a", "v").toArrow()
+        if table.num_rows:
+            held = spark.sparkContext.broadcast((table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())))
+            found = rows.mapInArrow(_nearest(held, k), "a long, b long, d2 double")
+            lists = found if lists is None else lists.unionByName(found)
+    if lists is None:
+        lists = spark.createDataFrame([], "a long, b long, d2 double")
     order = Window.partitionBy("a").orderBy("d2", "b")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("a").alias(key), "rank", F.col("b").alias("other"), "d2")
+    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("a").alias(key), "rank", F.col("b").alias("other"), "d2")
 
 
 def synthetic_count(n_pos: int, n_neg: int, ratio: float) -> int:
@@ -114,16 +170,16 @@ def smote(positives: DataFrame, n: int, k: int = 5, seed: int = 42, key: str = "
     k = min(k, total - 1)
     if n <= 0 or total == 0:
         return positives.select(F.col(key).cast("long").alias(key), F.col(vec).alias(vec)).limit(0)
-    ordered = positives.select(F.col(key).alias("_k"), F.col(vec).alias("_v"), (F.row_number().over(Window.orderBy(key)) - 1).alias("_i"))
-    draw = lambda salt, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("_s")), F.lit(m)).cast("int")
-    share = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("_s")), F.lit(1 << 30)) / float(1 << 30)
-    made = spark.range(n).select(F.col("id").alias("_s")).withColumn("_i", draw(1, total)).join(F.broadcast(ordered), "_i")
+    ordered = numbered(positives.select(F.col(key).alias("_k"), F.col(vec).alias("_v")), "_i", "_k")
+    digits = lambda salt: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), F.col("_s")).cast("binary")), 1, 12), 16, 10).cast("long")
+    draw = lambda salt, m: (digits(salt) % m).cast("int")
+    made = spark.range(n).select(F.col("id").alias("_s")).withColumn("_i", draw(1, total)).join(ordered, "_i")
     if k < 1:
         noise = lambda x, i: x * (1 + 0.05 * (F.pmod(F.xxhash64(F.col("_s"), i), F.lit(1000)) / 500.0 - 1))
         return made.select((-F.col("_s") - 1).alias(key), F.transform("_v", noise).alias(vec))
     near = neighbours(positives, k, key, vec).select(F.col(key).alias("_k"), F.col("rank").alias("_r"), F.col("other").alias("_o"))
     other = ordered.select(F.col("_k").alias("_o"), F.col("_v").alias("_w"))
-    made = made.withColumn("_r", draw(2, k) + 1).withColumn("_a", share(3)).join(F.broadcast(near), ["_k", "_r"]).join(F.broadcast(other), "_o")
+    made = made.withColumn("_r", draw(2, k) + 1).withColumn("_a", digits(3) / float(16**12)).join(near, ["_k", "_r"]).join(other, "_o")
     return made.select((-F.col("_s") - 1).alias(key), F.zip_with("_v", "_w", lambda x, y: x + F.col("_a") * (y - x)).alias(vec))
 
 

@@ -20,7 +20,7 @@ from strata.operators.targets import top_targets
 from strata.operators.unsupervised import unit_maps
 from strata.sources import synthetic
 from strata.sources.grids import array_layer, load_layer, read_wells
-from strata.sources.sinks import report_lines, write_targets, write_text
+from strata.sources.sinks import report_lines, stamped, write_targets, write_text
 
 WELL_COLUMNS = {"x", "y", "label"}
 
@@ -120,12 +120,13 @@ class SurveyPipeline:
             warnings.warn(f"{kind}: no model ({type(e).__name__}: {str(e)[:200]})", stacklevel=3)
             return None
 
-    def report(self, folder: str) -> None:
-        write_targets([r.targets for r in self.results.values()], f"{folder}/targets")
+    def report(self, folder: str, when=None) -> None:
+        """Target table and text report, both named by the time."""
+        write_targets([r.targets for r in self.results.values()], f"{folder}/{stamped('targets', when)}")
         lines = [self.project]
         for kind, r in self.results.items():
             lines += report_lines(r.targets, r.model.metrics if r.model else [], kind)
-        write_text(self.spark, lines, f"{folder}/report")
+        write_text(self.spark, lines, f"{folder}/{stamped('report', when)}")
 
     @classmethod
     def demo(cls, spark: SparkSession, nx: int = 120, ny: int = 120, target_types=("mineral", "groundwater"), **how) -> SurveyPipeline:
@@ -140,13 +141,17 @@ class SurveyPipeline:
         return pipe
 
     @classmethod
-    def realistic(cls, spark: SparkSession, name: str = "porphyry_copper", nx: int = 400, ny: int = 400, n_wells: int = 80, ratio: float = 15.0, seed: int = 42, **how) -> tuple[SurveyPipeline, DataFrame]:
-        """A synthetic scenario with noise and gaps, run with the learned threshold; and its recall and precision at 10."""
+    def realistic(cls, spark: SparkSession, name: str = "porphyry_copper", nx: int = 400, ny: int = 400, n_wells: int = 80, ratio: float = 15.0, seed: int = 42, vary: bool = True, **how) -> tuple[SurveyPipeline, DataFrame]:
+        """A synthetic scenario with noise and gaps, each layer on a grid of its own (unless vary is off), run with the learned
+        threshold; and its recall and precision at 10."""
         grid = synthetic.survey_grid(nx, ny)
         made, zones = synthetic.scenario(name, grid, seed)
         cells, pipe = stored(synthetic.with_noise(synthetic.cells_of(spark, made, grid), grid, seed), "synthetic"), cls(spark, name)
+        grids = synthetic.own_grids(list(made), grid, seed=seed) if vary else dict.fromkeys(made, grid)
+        if vary:
+            cells = stored(synthetic.on_own_grids(cells, grid, grids), "own")
         for layer in made:
-            pipe.add_layer_cells(cells.where(F.col("layer") == layer), synthetic.layer_rows(spark, [layer], grid), layer)
+            pipe.add_layer_cells(cells.where(F.col("layer") == layer), synthetic.layer_rows(spark, [layer], grids[layer]), layer)
         kind = synthetic.TARGET_TYPES[name]
         pipe.add_wells_frame(synthetic.wells(spark, zones, grid, name, ratio, n_wells, seed=seed), kind)
         found = pipe.run([kind], nx, ny, min_prob=None, **how)

@@ -6,14 +6,20 @@ mean value; wells are the labelled documents. Doubles are rounded on both sides,
 
 from __future__ import annotations
 
+import uuid
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import ensemble, keyword, score, signed_log, spread
 from strata.operators import features, grid, metrics, sampling, stencil, targets
 from strata.operators.grid import Grid
+from strata.operators.storage import scratch
 from strata.operators.unsupervised import scaled, unit_maps
+from strata.plans import charts
 from strata.plans.pipeline import contour_class, layer_stats
+from strata.sources import grids, sinks
 
 GRIDS = {"lineitem": (40, 50), "orders": (80, 50), "events": (24, 50)}
 #: The grid on which the geometry queries look at the lineitem cells, and its extent.
@@ -354,9 +360,16 @@ def knn_topk(spark, sf_dir):
     return rounded(sampling.neighbours(_positives(spark, sf_dir)))
 
 
-@query()
+_DRAW = lambda salt: f"CAST('0x' || substr(md5('42:{salt}:' || s), 1, 12) AS BIGINT)"
+
+
+@query(f"""WITH p AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding AS vec FROM embeddings WHERE label = 3),
+k AS {_KNN_SQL}, d AS (SELECT s, {_DRAW(1)} % (SELECT count(*) FROM p) AS i, {_DRAW(2)} % 5 + 1 AS rank, {_DRAW(3)} / {float(16**12)!r}::DOUBLE AS a FROM range(100) t(s)),
+v AS (SELECT d.s, a, p.vec AS x, o.vec AS y FROM d JOIN p USING (i) JOIN k ON k.id = p.id AND k.rank = d.rank JOIN p o ON o.id = k.other)
+SELECT CAST(-s - 1 AS BIGINT) AS id, CAST(j - 1 AS INTEGER) AS place, round(x[j]::DOUBLE + a * (y[j]::DOUBLE - x[j]::DOUBLE), 6) AS v FROM v, range(1, 65) t(j)""")
 def smote_samples(spark, sf_dir):
-    return sampling.smote(_positives(spark, sf_dir), 100)
+    made = sampling.smote(_positives(spark, sf_dir), 100)
+    return rounded(made.select("id", F.posexplode("vec").alias("place", "v")))
 
 
 @query(f"""SELECT n_pos, n_neg, round(n_neg / n_pos, 6) AS ratio, CASE WHEN n_neg / n_pos < 3 THEN 'mild' WHEN n_neg / n_pos < 10 THEN 'moderate' WHEN n_neg / n_pos < 20 THEN 'severe' ELSE 'extreme' END AS severity,
@@ -531,30 +544,116 @@ def feature_pivot(spark, sf_dir):
     return rounded(features.wide(long, ["raw", "smooth"]))
 
 
-@query("""WITH t AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS rank, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1000 AS DOUBLE) AS y FROM supplier),
-z AS (SELECT n_nationkey AS id, CAST(n_nationkey * 211 % 1000 AS DOUBLE) AS x, CAST(n_nationkey * 53 % 1000 AS DOUBLE) AS y FROM nation)
-SELECT count(*) AS pairs, count(DISTINCT z.id) AS zones FROM t, z WHERE sqrt((t.x - z.x) * (t.x - z.x) + (t.y - z.y) * (t.y - z.y)) < 2.5 * 120""")
+_ZONES_SQL = """t AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS rank, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1000 AS DOUBLE) AS y FROM supplier),
+z AS (SELECT n_nationkey AS id, CAST(n_nationkey * 211 % 1000 AS DOUBLE) AS x, CAST(n_nationkey * 53 % 1000 AS DOUBLE) AS y FROM nation)"""
+
+
+def _zones(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    t = _t(spark, sf_dir, "supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).alias("rank"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"))
+    return t, _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("zone_id"), (F.col("n_nationkey") * 211 % 1000).cast("double").alias("x"), (F.col("n_nationkey") * 53 % 1000).cast("double").alias("y"), F.lit(120.0).alias("r"))
+
+
+@query(f"WITH {_ZONES_SQL} SELECT count(*) AS pairs, count(DISTINCT z.id) AS zones FROM t, z WHERE sqrt((t.x - z.x) * (t.x - z.x) + (t.y - z.y) * (t.y - z.y)) < 2.5 * 120")
 def zone_candidates(spark, sf_dir):
-    t = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"))
-    z = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") * 211 % 1000).cast("double").alias("u"), (F.col("n_nationkey") * 53 % 1000).cast("double").alias("v"))
-    near = t.join(F.broadcast(z), F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2) < 2.5 * 120)
-    return near.agg(F.count("*").alias("pairs"), F.countDistinct("id").alias("zones"))
+    return metrics.within(*_zones(spark, sf_dir)).agg(F.count("*").alias("pairs"), F.countDistinct("zone_id").alias("zones"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ZONES_SQL}, few AS (SELECT list({{'rank': rank, 'x': x, 'y': y}} ORDER BY rank) AS ts FROM t WHERE rank <= 10), o AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM z),
+pick AS (SELECT 0::BIGINT AS i, []::INTEGER[] AS used UNION ALL SELECT q.i, CASE WHEN len(near) = 0 THEN used ELSE list_append(used, list_sort(near)[1].rank) END FROM (
+  SELECT o.i, p.used, list_filter(list_transform(ts, lambda t: {{'d': sqrt((t.x - o.x) * (t.x - o.x) + (t.y - o.y) * (t.y - o.y)), 'rank': t.rank}}), lambda t: t.d < 2.5 * 120 AND NOT list_contains(p.used, t.rank)) AS near
+  FROM pick p JOIN o ON o.i = p.i + 1 CROSS JOIN few) q)
+SELECT CAST(len(used) AS INTEGER) AS hits, round(len(used) / 25.0, 6) AS recall, round(len(used) / 10.0, 6) AS precision FROM pick WHERE i = 25""")
 def zone_recall(spark, sf_dir):
-    t = _t(spark, sf_dir, "supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).alias("rank"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"))
-    z = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("zone_id"), (F.col("n_nationkey") * 211 % 1000).cast("double").alias("x"), (F.col("n_nationkey") * 53 % 1000).cast("double").alias("y"), F.lit(120.0).alias("r"))
-    return metrics.recall_at_k(t, z)
+    return rounded(metrics.recall_at_k(*_zones(spark, sf_dir)))
 
 
 @query(f"""SELECT CAST(r + 5 AS INTEGER) AS line_no, string_agg(CASE WHEN z IS NULL THEN '1.70141e+38' ELSE printf('%.4f', z) END, ' ' ORDER BY c) AS value FROM (SELECT r, c, floor(z) AS z FROM {dense_sql('events', _HOLES)}) GROUP BY r
-UNION ALL SELECT * FROM (VALUES (0, 'DSAA'), (1, '50 24'), (2, '100.000000 4510.000000'), (3, '200.000000 3650.000000')) t(a, b)""")
+UNION ALL SELECT * FROM (VALUES (0, 'DSAA'), (1, '50 24'), (2, '100.000000 4510.000000'), (3, '200.000000 3650.000000')) t(a, b)
+UNION ALL SELECT 4, printf('%.6f %.6f', min(floor(z)), max(floor(z))) FROM {dense_sql('events', _HOLES)}""")
 def surfer_text(spark, sf_dir):
-    from strata.sources.sinks import surfer_lines
+    return sinks.surfer_lines(_whole_numbers(spark, sf_dir), _layers(spark)).select("line_no", "value")
+
+
+def _whole_numbers(spark, sf_dir) -> DataFrame:
+    """The events grid with holes, values without decimals, so that texts of them are the same everywhere."""
+    return dense(spark, sf_dir, "events").withColumn("z", F.when((F.col("row") * 7 + F.col("col") * 3) % 5 != 0, F.floor("z").cast("double")))
+
+
+def _folder(spark) -> str:
+    return f"{scratch(spark)}/{uuid.uuid4().hex}"
+
+
+_FLOORED_SQL = f"(SELECT r, c, floor(z) AS z FROM {dense_sql('events', _HOLES)})"
+
+
+@query(f"""SELECT 'events' AS layer, r AS "row", c AS col, z, 100.0::DOUBLE AS xmin, 4510.0::DOUBLE AS xmax, 50 AS nx, 24 AS ny FROM {_FLOORED_SQL}""")
+def surfer_round_trip(spark, sf_dir):
+    """A grid written as Surfer text and read back by the format's reader."""
+    path = _folder(spark)
+    sinks.write_surfer(_whole_numbers(spark, sf_dir), _layers(spark), path)
+    back, layers = grids.read_grids(spark, [f"{path}/layer=events"], kind="surfer_ascii")
+    return back.join(layers.select("layer", "xmin", "xmax", "nx", "ny"), "layer")
+
+
+@query(f"SELECT round(100 + c * {4410 / 49!r}::DOUBLE, 4) AS x, round(200 + r * {3450 / 23!r}::DOUBLE, 4) AS y, z FROM {_FLOORED_SQL} WHERE z IS NOT NULL")
+def points_round_trip(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_points(_whole_numbers(spark, sf_dir), _layers(spark), path)
+    return grids.read_points(spark, f"{path}/layer=events").select(F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "z")
+
+
+@query("SELECT CAST(doc_id % 50 AS DOUBLE) AS x, CAST((doc_id // 50) % 24 AS DOUBLE) AS y, toxic AS label, 'mineral' AS target_type, CAST(doc_id AS DOUBLE) / 2 AS depth, 'doc ' || doc_id AS notes FROM labels")
+def wells_round_trip(spark, sf_dir):
+    path = _folder(spark)
+    w = _wells(spark, sf_dir).select(F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "label", (F.col("doc_id") / 2).alias("depth"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("notes"))
+    saved = sinks.save_survey(_whole_numbers(spark, sf_dir), _layers(spark), w, path, ["csv"], "mineral")
+    return grids.read_wells(spark, saved[-1]).select("x", "y", "label", "target_type", "depth", "notes")
+
+
+@query(f"""{_STATS_SQL}, o AS (SELECT CAST(row_number() OVER (ORDER BY component) AS INTEGER) AS rank, * FROM k)
+SELECT CAST(rank + n * (SELECT count(*) FROM o) AS INTEGER) AS rank, CASE n WHEN 0 THEN 'mineral' ELSE 'groundwater' END AS target_type, c * 100.0::DOUBLE AS x, r * 100.0::DOUBLE AS y, max_probability, n_pixels FROM o, range(2) t(n)""")
+def combined_targets(spark, sf_dir):
+    found = targets.label_components(targets.hot(_maps(spark, sf_dir), 0.35), 50)
+    tables = [targets.component_stats(found, AREA, kind, 0.35).withColumn("rank", F.row_number().over(Window.orderBy("component"))) for kind in ("mineral", "groundwater")]
+    return sinks.combined_targets(tables).select("rank", "target_type", "x", "y", "max_probability", "n_pixels")
+
+
+@query(f"""WITH a AS MATERIALIZED {_ALL_CELLS_SQL}, w AS {_wanted_sql()}, k AS (SELECT layer, r, c, i + da AS i, j + db AS j, (CASE WHEN da = 1 THEN ti ELSE 1 - ti END) * (CASE WHEN db = 1 THEN tj ELSE 1 - tj END) AS w FROM w, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(da, db))
+SELECT k.layer, k.r AS "row", k.c AS col, round(sum(k.w * a.z), 4) AS z FROM k JOIN a ON a.layer = k.layer AND a.r = k.i AND a.c = k.j WHERE k.w > 0 GROUP BY 1, 2, 3""")
+def registered_layers(spark, sf_dir):
+    """Filling and resampling in one, with a layer of nulls that is left out."""
+    a, b, c = (dense(spark, sf_dir, n) for n in GRIDS)
+    empty = a.select(F.lit("void").alias("layer"), "row", "col", F.lit(None).cast("double").alias("z"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return grid.registered(a.unionByName(b).unionByName(c).unionByName(empty), _layers(spark), COMMON).withColumn("z", F.round("z", 4))
+
+
+_FAR_SQL = f"""(SELECT i // 50 AS r, i % 50 AS c FROM range(1200) t(i) WHERE NOT EXISTS (SELECT 1 FROM {_WELLS_SQL} w WHERE label = 1 AND doc_id % 9 = 0 AND abs(i // 50 - w.r) < 8 AND abs(i % 50 - w.c) < 8))"""
+
+
+@query(f"""WITH f AS MATERIALIZED {filled_sql('events')}, b AS (SELECT label, r + dr AS r, c + dc AS c FROM {_WELLS_SQL}, range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE doc_id % 9 = 0 AND r + dr BETWEEN 0 AND 23 AND c + dc BETWEEN 0 AND 49),
+n AS (SELECT 0 AS label, r, c FROM {_FAR_SQL} ORDER BY md5('42:' || r || ':' || c), r, c LIMIT 60)
+SELECT f.r AS "row", f.c AS col, round(f.z, 6) AS z, label FROM f JOIN (SELECT * FROM b UNION ALL SELECT * FROM n) s ON s.r = f.r AND s.c = f.c""")
+def assembled_samples(spark, sf_dir):
+    """Cells around some wells, and far ones, with their features."""
+    w = _wells(spark, sf_dir).where("doc_id % 9 = 0").withColumn("inside", F.lit(True))
+    return rounded(sampling.assemble(cells(spark, sf_dir, "events").drop("layer"), w, EVENT_GRID, 1, 1)).select("row", "col", "z", "label")
+
+
+@query(f"SELECT count(*) FILTER (prob >= 0.4) AS n_above, count(*) AS n, round(count(*) FILTER (prob >= 0.4) / count(*), 6) AS share FROM {_scored_sql()}")
+def above_threshold(spark, sf_dir):
+    return rounded(metrics.above_threshold(_scored(spark, sf_dir), 0.4))
+
+
+@query(f"""{_MAPS_SQL} SELECT f.r AS "row", f.c AS col, f.c * 100.0::DOUBLE AS x, f.r * 100.0::DOUBLE AS y, printf('%.1f', f.c / 10.0) AS x_km, printf('%.1f', f.r / 10.0) AS y_km, round(f.z, 6) AS reference, prob,
+CASE WHEN prob >= 0.88 THEN 4 WHEN prob >= 0.75 THEN 3 WHEN prob >= 0.6 THEN 2 WHEN prob >= 0.4 THEN 1 ELSE 0 END AS level, uncertainty, round(least(greatest(prob - 0.3::DOUBLE * uncertainty, 0.0), 1.0), 8) AS score
+FROM f JOIN (SELECT r, c, round(prob, 6) AS prob, round(unc, 6) AS uncertainty FROM u) USING (r, c)""")
+def chart_panels(spark, sf_dir):
+    made = charts.panels(_maps(spark, sf_dir), AREA, cells(spark, sf_dir))
+    return made.withColumns({"reference": F.round("reference", 6), "score": F.round("score", 8)})
+
 
-    holed = dense(spark, sf_dir, "events").withColumn("z", F.when((F.col("row") * 7 + F.col("col") * 3) % 5 != 0, F.floor("z").cast("double")))
-    return surfer_lines(holed, _layers(spark)).where("line_no <> 4").select("line_no", "value")
 
 
 @query()
@@ -566,10 +665,20 @@ def synthetic_survey(spark, sf_dir):
     return synthetic.with_noise(synthetic.cells_of(spark, made, g), g)
 
 
+def _scattered(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "supplier").select(F.lit("s").alias("layer"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"), F.col("s_acctbal").alias("z"))
+
+
 @query()
 def scatter_to_grid(spark, sf_dir):
-    s = _t(spark, sf_dir, "supplier").select(F.lit("s").alias("layer"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"), F.col("s_acctbal").alias("z"))
-    return grid.gridded(s, 30, 20)
+    return grid.gridded(_scattered(spark, sf_dir), 30, 20)
+
+
+@query("""WITH p AS (SELECT x, y, avg(z) AS z FROM (SELECT CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1000 AS DOUBLE) AS y, s_acctbal AS z FROM supplier) GROUP BY 1, 2),
+e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p), n AS (SELECT i // 30 AS r, i % 30 AS c, x0 + (i % 30) * ((x1 - x0) / 29) AS x, y0 + (i // 30) * ((y1 - y0) / 19) AS y FROM range(600) t(i), e)
+SELECT 's' AS layer, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(arg_min(z, {'d': round((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y), 6), 'x': p.x, 'y': p.y}), 6) AS z FROM n, p GROUP BY r, c""")
+def scatter_nearest(spark, sf_dir):
+    return rounded(grid.gridded(_scattered(spark, sf_dir), 30, 20, "nearest", 0))
 
 
 def _samples(spark, sf_dir) -> DataFrame:

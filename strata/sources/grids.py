@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import warnings
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -71,11 +72,52 @@ def geosoft(raw: bytes) -> dict:
     return _grid(z.reshape(ny, nx), (x0, x0 + dx * (nx - 1)), (y0, y0 + dy * (ny - 1)), "geosoft")
 
 
+def _unpacked_bits(raw: bytes) -> bytes:
+    """PackBits: runs of a byte, or bytes as they are."""
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = raw[at] - 256 if raw[at] > 127 else raw[at]
+        if n >= 0:
+            out += raw[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            if n > -128:
+                out += raw[at + 1 : at + 2] * (1 - n)
+            at += 2 if n > -128 else 1
+    return bytes(out)
+
+
+def _unpacked_lzw(raw: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, highest bit first, widths one code early; 256 clears, 257 ends."""
+    out, table, width, held, bits, last = bytearray(), [], 9, 0, 0, b""
+    for byte in raw:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        out += word
+        if last:
+            table.append(last + word[:1])
+        last = word
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return bytes(out)
+
+
+#: Compression codes of TIFF.
+_UNPACK = {1: bytes, 5: _unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked_bits}
 _TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
 
 def geotiff(raw: bytes) -> dict:
-    """Band 1 of an uncompressed, stripped TIFF at pixel centres, rows turned to ascend; without geo tags, in pixels."""
+    """Band 1 of a TIFF in strips or tiles (plain, deflate, LZW or PackBits, with or without horizontal differences) at pixel
+    centres, rows turned to ascend; without geo tags, in pixels. ValueError for another compression."""
     end = "<" if raw[:2] == b"II" else ">"
     if raw[:2] not in (b"II", b"MM") or struct.unpack_from(end + "H", raw, 2)[0] != 42:
         raise ValueError("not a TIFF")
@@ -89,12 +131,24 @@ def geotiff(raw: bytes) -> dict:
             where = at + 2 + 12 * k + 8 if size <= 4 else struct.unpack_from(end + "I", raw, at + 2 + 12 * k + 8)[0]
             tags[tag] = raw[where : where + n] if code == "s" else struct.unpack_from(f"{end}{n}{code}", raw, where)
     one = lambda t, d: tags.get(t, (d,))[0]
-    if one(259, 1) != 1:
-        raise ValueError("compressed TIFFs are not read")
+    if one(259, 1) not in _UNPACK:
+        raise ValueError(f"TIFFs of compression {one(259, 1)} are not read")
     nx, ny, bits, kind, bands = one(256, 0), one(257, 0), one(258, 1), one(339, 1), one(277, 1)
-    body = b"".join(raw[o : o + n] for o, n in zip(tags[273], tags[279]))
-    z = np.frombuffer(body, f"{end}{ {1: 'u', 2: 'i', 3: 'f'}[kind] }{bits // 8}", nx * ny * bands).astype(float)
-    z = z.reshape(ny, nx, bands)[:, :, 0] if one(284, 1) == 1 else z[: nx * ny].reshape(ny, nx)
+    if one(284, 1) != 1:
+        bands = 1  # the first band's parts come first
+    w, h = (one(322, nx), one(323, ny)) if 324 in tags else (nx, one(278, ny))
+    starts, sizes = (tags[324], tags[325]) if 324 in tags else (tags[273], tags[279])
+    if one(317, 1) not in (1, 2):
+        raise ValueError(f"TIFFs of predictor {one(317, 1)} are not read")
+    z, across = np.full((ny, nx), np.nan), -(-nx // w)
+    for k in range(min(len(starts), across * -(-ny // h))):
+        part = _UNPACK[one(259, 1)](raw[starts[k] : starts[k] + sizes[k]])
+        top, left = k // across * h, k % across * w
+        rows = h if 324 in tags else min(h, ny - top)
+        cells = np.frombuffer(part, f"{end}{ {1: 'u', 2: 'i', 3: 'f'}[kind] }{bits // 8}", rows * w * bands).reshape(rows, w, bands)
+        if one(317, 1) == 2:
+            cells = np.cumsum(cells, axis=1, dtype=cells.dtype.newbyteorder("="))
+        z[top : top + rows, left : left + w] = cells[: ny - top, : nx - left, 0]
     if 42113 in tags:
         z[z == float(tags[42113].rstrip(b"\0"))] = np.nan
     if 33550 in tags and 33922 in tags:
@@ -108,11 +162,11 @@ def geotiff(raw: bytes) -> dict:
 PARSERS = {"surfer_ascii": surfer_ascii, "surfer_binary": surfer_binary, "surfer7": surfer7, "geosoft": geosoft, "geotiff": geotiff}
 
 
-def _parsed(frames, whole: bool):
+def _parsed(frames, whole: bool, kind: str | None = None):
     for frame in frames:
         for path, name, raw in zip(frame["path"], frame["layer"], frame["content"]):
             raw = bytes(raw)
-            g = PARSERS[detect_format(path, raw)](raw)
+            g = PARSERS[kind or detect_format(path, raw)](raw)
             ny, nx = g["z"].shape
             if whole:
                 yield pd.DataFrame({"layer": name, "row": np.repeat(np.arange(ny, dtype=np.int32), nx), "col": np.tile(np.arange(nx, dtype=np.int32), ny), "z": pd.array(g["z"].ravel(), "Float64")}).assign(z=lambda f: f["z"].where(~np.isnan(g["z"].ravel())))
@@ -122,21 +176,23 @@ def _parsed(frames, whole: bool):
 
 def _files(spark: SparkSession, paths: list[str], names: list[str] | None) -> DataFrame:
     found = spark.read.format("binaryFile").load(paths).select("path", "content")
-    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    stem = F.coalesce(F.nullif(F.regexp_extract("path", r"/layer=([^/]+)/", 1), F.lit("")), F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1))
     if names:
         pairs = [x for p, n in zip(paths, names) for x in (F.lit(re.sub(r"^file:/*", "/", p)), F.lit(n))]
         stem = F.coalesce(F.element_at(F.create_map(*pairs), F.regexp_replace("path", r"^file:/*", "/")), stem)
     return found.withColumn("layer", stem)
 
 
-def read_grids(spark: SparkSession, paths: list[str], names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cells, layers) of binary or Surfer ASCII grid files. ValueError for a format without a reader."""
+def read_grids(spark: SparkSession, paths: list[str], names: list[str] | None = None, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, layers) of binary or Surfer ASCII grid files, of one kind or of those that their names and heads tell.
+
+    Files below a folder layer=NAME, as the writers leave them, are of that layer. ValueError for a format without a reader.
+    """
     files = _files(spark, paths, names)
-    heads = files.select("path", F.substring("content", 1, 4).alias("h")).collect()
-    for r in heads:
-        if detect_format(r.path, bytes(r.h)) not in PARSERS:
-            raise ValueError(f"{r.path}: no reader for {detect_format(r.path, bytes(r.h))}")
-    return files.mapInPandas(lambda f: _parsed(f, True), CELLS), files.mapInPandas(lambda f: _parsed(f, False), LAYERS)
+    for r in files.select("path", F.substring("content", 1, 4).alias("h")).collect():
+        if (kind or detect_format(r.path, bytes(r.h))) not in PARSERS:
+            raise ValueError(f"{r.path}: no reader for {kind or detect_format(r.path, bytes(r.h))}")
+    return files.mapInPandas(lambda f: _parsed(f, True, kind), CELLS), files.mapInPandas(lambda f: _parsed(f, False, kind), LAYERS)
 
 
 def find_column(names: list[str], explicit: str | None, candidates: list[str], numeric: list[str] | None = None, at: int = 0) -> str:
@@ -169,7 +225,7 @@ LABEL_NAMES = ["label", "result", "target", "positive", "hit", "found", "mineral
 
 def _table(spark: SparkSession, path: str, delimiter: str | None, sniff: int) -> DataFrame:
     """A delimited text with a header as strings: tab, else comma, else white space; '#' starts a comment."""
-    head = (spark.read.text(path, wholetext=True).first() or [""])[0][:sniff] if delimiter is None else ""
+    head = "\n".join(r.value for r in spark.read.text(path).limit(32).collect())[:sniff] if delimiter is None else ""
     sep = delimiter or ("\t" if "\t" in head else "," if "," in head else None)
     if sep:
         df = spark.read.csv(path, sep=sep, header=True, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +78,35 @@ def write_points(cells: DataFrame, layers: DataFrame, path: str, sep: str = "\t"
 def write_wells(wells: DataFrame, path: str) -> None:
     texts = [F.format_string("%.1f", c).alias(c.upper()) if t == "double" else F.col(c).alias(c.upper()) for c, t in wells.dtypes]
     wells.select(*texts).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def stamped(name: str, when: datetime | None = None) -> str:
+    """name with date and minute, as reports are called."""
+    return f"{name}_{when or datetime.now():%Y%m%d_%H%M}"
+
+
+#: Formats that a survey is saved in.
+FORMATS = ("surfer_grd", "xyz", "csv")
+
+
+def save_survey(cells: DataFrame, layers: DataFrame, wells: DataFrame, folder: str, formats: list[str] | None = None, target_type: str = "generic", scenario: str = "survey") -> list[str]:
+    """Writes the layers in each different format asked for (Surfer and xyz if none is), and the wells, with target_type and
+    scenario added where they lack them. Unknown formats are skipped with a warning. Returns the folders written."""
+    asked = list(dict.fromkeys(formats or FORMATS[:2]))
+    if unknown := [f for f in asked if f not in FORMATS]:
+        warnings.warn(f"formats {unknown} are skipped; there are {list(FORMATS)}", stacklevel=2)
+    saved = []
+    for f in asked:
+        if f == "surfer_grd":
+            write_surfer(cells, layers, f"{folder}/{f}")
+        elif f == "xyz":
+            write_points(cells, layers, f"{folder}/{f}")
+        elif f == "csv":
+            write_points(cells, layers, f"{folder}/{f}", ",", ("X", "Y", "value"))
+        else:
+            continue
+        saved.append(f"{folder}/{f}")
+    for c, v in (("target_type", target_type), ("scenario", scenario)):
+        wells = wells if c in wells.columns else wells.withColumn(c, F.lit(v))
+    write_wells(wells, f"{folder}/wells")
+    return [*saved, f"{folder}/wells"]

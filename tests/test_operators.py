@@ -1,6 +1,8 @@
 """Operators against NumPy and against small cases with known results."""
 
 import struct
+import zlib
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -8,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import columns
-from strata.operators import features, grid, graph, metrics, sampling, stencil, targets
+from strata.operators import features, graph, grid, metrics, ranks, sampling, stencil, targets
 from strata.operators.grid import Grid
+from strata.plans import charts
 from strata.plans.pipeline import SurveyPipeline
 from strata.sources import grids, sinks, synthetic
 
@@ -276,3 +279,162 @@ def test_streamed_wells(spark, tmp_path):
     stream = well_counts(spark.readStream.schema("ts timestamp, target_type string, label int").parquet(str(tmp_path / "in")))
     stream.writeStream.outputMode("complete").format("memory").queryName("wells").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
     assert [(r.n_pos, r.n_neg) for r in spark.table("wells").collect()] == [(1, 1)]
+
+
+def packed_lzw(raw):
+    """Codes of 9 to 12 bits, highest bit first, widths one code early."""
+    table, out, n, width, word = {bytes([i]): i for i in range(256)}, 256, 9, 9, b""
+    following = 258
+    for byte in raw:
+        if word + bytes([byte]) in table:
+            word += bytes([byte])
+            continue
+        out, n = out << width | table[word], n + width
+        table[word + bytes([byte])] = following
+        following, word = following + 1, bytes([byte])
+        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
+        if following >= 4094:
+            out, n = out << width | 256, n + width
+            table, following, width = {bytes([i]): i for i in range(256)}, 258, 9
+    for code in [table[word]] * bool(word):
+        out, n = out << width | code, n + width
+        following += 1
+        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
+    out, n = out << width | 257, n + width
+    return (out << (-n % 8)).to_bytes((n + 7) // 8, "big")
+
+
+def packed_bits(raw):
+    return b"".join(bytes([min(128, len(raw) - i) - 1]) + raw[i : i + 128] for i in range(0, len(raw), 128))
+
+
+@pytest.mark.parametrize("code,pack", [(8, zlib.compress), (5, packed_lzw), (32773, packed_bits)])
+@pytest.mark.parametrize("tiled", [False, True])
+@pytest.mark.parametrize("differences", [False, True])
+def test_packed_geotiff(code, pack, tiled, differences):
+    z = np.random.default_rng(1).integers(0, 60, (37, 50)).astype("<u2")
+    w, h = (16, 16) if tiled else (50, 10)
+    parts = []
+    for top in range(0, 37, h):
+        for left in range(0, 50, w):
+            part = np.zeros((h, w), "<u2") if tiled else np.zeros((min(h, 37 - top), w), "<u2")
+            cut = z[top : top + h, left : left + w]
+            part[: cut.shape[0], : cut.shape[1]] = cut
+            if differences:
+                part[:, 1:] = part[:, 1:] - part[:, :-1]
+            parts.append(pack(part.tobytes()))
+    starts = [8 + sum(map(len, parts[:i])) for i in range(len(parts))]
+    tags = [(256, 3, [50]), (257, 3, [37]), (258, 3, [16]), (259, 3, [code]), (277, 3, [1]), (317, 3, [2 if differences else 1]), (339, 3, [1])]
+    tags += [(322, 3, [16]), (323, 3, [16]), (324, 4, starts), (325, 4, list(map(len, parts)))] if tiled else [(273, 4, starts), (278, 3, [h]), (279, 4, list(map(len, parts)))]
+    tags += [(33550, 12, (2.0, 2.0, 0.0)), (33922, 12, (0.0, 0.0, 0.0, 10.0, 90.0, 0.0))]
+    body = b"".join(parts)
+    at = 8 + len(body)
+    extra, entries, after = b"", b"", at + 2 + 12 * len(tags) + 4
+    for tag, kind, values in tags:
+        raw = struct.pack("<" + {3: "H", 4: "I", 12: "d"}[kind] * len(values), *values)
+        if len(raw) > 4:
+            raw, extra = struct.pack("<I", after + len(extra)), extra + raw
+        entries += struct.pack("<HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    g = grids.geotiff(b"II" + struct.pack("<HI", 42, at) + body + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra)
+    np.testing.assert_array_equal(g["z"], z[::-1])
+    assert (g["xmin"], g["ymax"]) == (11.0, 89.0)
+
+
+def test_percentiles_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"k": rng.integers(0, 4, 3000).astype(str), "v": np.round(rng.normal(size=3000), 1)})
+    frame.loc[rng.random(3000) < 0.1, "v"] = np.nan
+    df = spark.createDataFrame(frame).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).unionByName(spark.sql("SELECT 'none' AS k, cast(null as double) AS v")).repartition(7)
+    at = [0.0, 0.02, 0.25, 0.5, 0.777, 1.0]
+    got = {r.k: r for r in ranks.percentiles(df, "v", at, "k").collect()}
+    for k, part in frame.dropna().groupby("k"):
+        np.testing.assert_allclose(got[k].p, np.percentile(part["v"], np.array(at) * 100))
+        assert got[k].n == len(part)
+    assert got["none"].n == 0 and set(got["none"].p) == {None}
+    np.testing.assert_allclose(ranks.percentiles(df, "v", [0.3]).first().p[0], np.percentile(frame["v"].dropna(), 30))
+
+
+def test_row_numbers(spark):
+    got = ranks.numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(9), "n", F.desc("v")).collect()
+    assert {r.v: r.n for r in got} == {v: 999 - v for v in range(1000)}
+
+
+def test_neighbours_by_blocks_and_ties(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 3, (70, 4)).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, [0.0] * 4), (99, None)], "id long, vec array<double>").repartition(5)
+    for size in (1 << 20, 600):
+        got = {(r.id, r["rank"]): (r.other, r.d2) for r in sampling.neighbours(df, 6, block_bytes=size).collect()}
+        for i in range(70):
+            want = sorted((float(((v[i] - v[j]) ** 2).sum()), j) for j in range(70) if j != i)[:6]
+            assert [got[i, k + 1] for k in range(6)] == [(j, d) for d, j in want]
+
+
+def test_suppression_keeps_what_greedy_keeps(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", int(r), int(c), float(s), k) for k, (r, c, s) in enumerate(zip(rng.integers(0, 40, 400), rng.integers(0, 40, 400), np.round(rng.random(400), 2)))]
+    df = spark.createDataFrame(rows, "target_type string, row int, col int, max_score double, component long")
+    kept = []
+    for _, r, c, s, k in sorted(rows, key=lambda x: (-x[3], x[4])):
+        if len(kept) < 6 and all(abs(r - a) >= 4 or abs(c - b) >= 4 for a, b, _ in kept):
+            kept.append((r, c, k))
+    assert [(r.row, r.col, r.component) for r in targets.suppressed(df, 6, 4).orderBy("rank").collect()] == kept
+
+
+@pytest.mark.parametrize("cols", [list(range(30)), [c for c in range(30) if c % 7 != 3]])
+def test_filling_long_lines(spark, cols):
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(8, 30))
+    z[rng.random(z.shape) < 0.9] = np.nan
+    cells = frame(spark, z).where(F.col("col").isin(cols))
+    full = [(r["row"], r["col"], r.z) for r in cells.where("z is not null").collect()]
+    for r in grid.fill_nearest(cells).collect():
+        assert r.z == min(full, key=lambda p: ((p[0] - r["row"]) ** 2 + (p[1] - r["col"]) ** 2, p[0], p[1]))[2]
+
+
+def test_resampling_with_missing_cells(spark):
+    z = np.arange(12.0).reshape(3, 4)
+    z[1, 2] = np.nan
+    cells, layers = grids.array_layer(spark, z, range(4), range(3), "a")
+    full = array(grid.resample(cells, layers, Grid(0.0, 3.0, 0.0, 2.0, 7, 5)), "z", (5, 7))
+    thin = array(grid.resample(cells.where("z is not null"), layers, Grid(0.0, 3.0, 0.0, 2.0, 7, 5)), "z", (5, 7))
+    np.testing.assert_array_equal(full, thin)
+    assert np.isnan(full[2, 4]) and np.isnan(full[1, 3]) and full[0, 3] == 1.5 and full[2, 2] == 5.0 and np.isnan(full).sum() == 9
+
+
+def test_layers_on_their_own_grids(spark):
+    g = Grid(0.0, 39.0, 0.0, 29.0, 40, 30)
+    z = np.add.outer(np.arange(30.0), 2 * np.arange(40.0))
+    z[10:14, 20:25] = np.nan
+    cells = frame(spark, z, "gravity_x")
+    own = synthetic.own_grids(["gravity_x", "geochemistry_cu"], g)
+    assert own == synthetic.own_grids(["gravity_x", "geochemistry_cu"], g) and own["geochemistry_cu"].nx == 20 and 30 <= own["gravity_x"].nx <= 44
+    h = own["gravity_x"]
+    got = array(synthetic.on_own_grids(cells, g, {"gravity_x": h}), "z", (h.ny, h.nx))
+    for r in range(h.ny):
+        for c in range(h.nx):
+            x, y = h.xmin + c * h.dx, h.ymin + r * h.dy
+            if not (0 <= x <= 39 and 0 <= y <= 29):
+                assert np.isnan(got[r, c])
+            elif not (8 <= y <= 15 and 18 <= x <= 26):
+                assert got[r, c] == pytest.approx(y + 2 * x)
+    assert np.isnan(got).any()
+
+
+def test_survey_is_saved(spark, tmp_path):
+    cells, layers = grids.array_layer(spark, np.array([[1.0, np.nan], [3.0, 4.0]]), [0, 10], [0, 5], "a")
+    wells = spark.sql("SELECT 1.0D AS x, 2.0D AS y, 1 AS label")
+    with pytest.warns(UserWarning):
+        saved = sinks.save_survey(cells, layers, wells, str(tmp_path / "s"), ["csv", "netcdf", "surfer_grd", "csv"], "mineral", "demo")
+    assert [x.rsplit("/", 1)[-1] for x in saved] == ["csv", "surfer_grd", "wells"]
+    assert spark.read.csv(saved[0], header=True).columns == ["X", "Y", "value", "layer"]
+    assert spark.read.csv(saved[2], header=True).first().asDict() == {"X": "1.0", "Y": "2.0", "LABEL": "1", "TARGET_TYPE": "mineral", "SCENARIO": "demo"}
+    assert sinks.stamped("report", datetime(2024, 3, 1, 9, 5)) == "report_20240301_0905"
+
+
+def test_chart_tables(spark):
+    t = spark.createDataFrame([(i, 10.0 * i, 5.0, 0.9, 0.8, 0.1) for i in range(1, 13)], "rank int, x double, y double, max_probability double, max_score double, mean_uncertainty double")
+    assert [(r.name, r.colour) for r in charts.marks(t).orderBy("x").collect()] == [(f"T{i}", i - 1) for i in range(1, 11)]
+    assert charts.bars(t).count() == 12 and charts.comparison({"a": t, "b": t}, 3).count() == 6
+    assert {(r.x, r.marker) for r in charts.overlay(spark.sql("SELECT * FROM VALUES (1, 0, 1), (2, 0, 0), (3, 0, 7) AS w(x, y, label)")).collect()} == {(1, "up"), (2, "down")}
+    assert charts.importance_bars(spark, [("mag__win_std", 0.5)]).first().asDict() == {"label": "mag\nwin std", "importance": 0.5}
