@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import WORD, read, spare, stored
+from strata.operators.ranks import numbered
 
 #: Weights repeat over the sources in code point order, null last.
 WEIGHTS = (5, 2, 1)
@@ -26,14 +27,9 @@ def rates(sizes: DataFrame, source: str = "source", size: str = "size", weights=
     Sources may be many: they are numbered by the counts of the sorted partitions, and no task holds them all. A source
     without words has target 0 and rate 0.
     """
-    total = sizes.groupBy(source).agg(F.sum(size).cast("long").alias("source_size")).orderBy(F.col(source).asc_nulls_last()).withColumn("at", F.monotonically_increasing_id())
-    # The upper bits of `at` are the sorted partition, the lower ones the place in it; one row a partition is what is summed up here.
-    total = stored(total.withColumn("part", F.shiftright("at", 33)), "sources")
-    offsets = total.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    number = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    ranked = total.join(offsets, "part")
+    total = numbered(sizes.groupBy(source).agg(F.sum(size).cast("long").alias("source_size")), "number", F.col(source).asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = ranked.select(F.col(source), "source_size", F.element_at(cycle, (number % len(weights) + 1).cast("int")).alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    ranked = stored(total.select(F.col(source), "source_size", F.element_at(cycle, (F.col("number") % len(weights) + 1).cast("int")).alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap")), "sources")
     every, level = ranked.agg(F.sum("source_size")).first()[0], 0.0
     while every:
         full = F.col("cap") < F.lit(level) * F.col("w")

@@ -227,7 +227,7 @@ def _verify(least: dict[int, int]):
     """mapInArrow over sorted tile pairs with sets: links of each text, and a forest of the linked ones."""
 
     def run(batches):
-        for b, _, ta, tb, table in _groups(batches, "k1", "k2", "n", "copies", "bands", "tile", "set"):
+        for b, _, ta, tb, table in _groups(batches, "k1", "k2", "id", "n", "copies", "bands", "tile", "set"):
             table, nodes, bands, tile = _tile(table)
             left = np.flatnonzero(tile == ta)
             i, j = likely(bands, table.column("n").to_numpy(), b, left, left if ta == tb else np.flatnonzero(tile == tb), least)
@@ -242,9 +242,9 @@ def _verify(least: dict[int, int]):
                 low = np.minimum(label[i], label[j])
                 np.minimum.at(label, i, low)
                 np.minimum.at(label, j, low)
-            who = np.flatnonzero(links)
-            ends = [nodes[0, who], nodes[1, who], nodes[0, label[who]], nodes[1, label[who]], links[who]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["u1", "u2", "v1", "v2", "links"])
+            who, ids = np.flatnonzero(links), table.column("id").to_numpy()
+            ends = [x for at in (who, label[who]) for x in (ids[at], nodes[0, at], nodes[1, at])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*ends, links[who])], names=["u", "u1", "u2", "v", "v1", "v2", "links"])
 
     return run
 
@@ -274,16 +274,17 @@ def _classified(docs: DataFrame, key: str, text: str, value_texts: int, tile_tex
     wanted = proposed.join(dense, ["b", "key"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("b", "key", "tiles")).alias("buckets"))
     # A text without words has no set; the id of a set's row leads back to its text.
     wanted = live.drop("buckets").join(wanted, ["k1", "k2"])
-    texts = rows.join(wanted.withColumnRenamed("id", "own").hint("shuffle_hash"), F.col("id") == F.col("own")).select("k1", "k2", "n", "copies", "bands", "buckets", "text")
-    sets = texts.mapInArrow(_with_sets, "k1 long, k2 long, n long, copies long, bands array<long>, buckets array<struct<b: int, key: long, tiles: int>>, set binary")
-    dealt = _dealt(sets.withColumn("x", F.explode("buckets")).select("k1", "k2", "n", "copies", "bands", "set", "x.*"))
-    found = stored(dealt.mapInArrow(_verify(least_matches()), "u1 long, u2 long, v1 long, v2 long, links long"), "links")
-    node = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
-    joined = components(found.select(node("u1", "u2").alias("u"), node("v1", "v2").alias("v"))).select("node.k1", "node.k2", F.col("component").alias("label"))
-    joined = joined.join(classes.select("k1", "k2", "id"), ["k1", "k2"])
-    joined = joined.drop("id").join(joined.groupBy("label").agg(F.min("id").alias("class_id")), "label")
-    known = classes.select("k1", "k2", "id", "copies").join(found.groupBy(F.col("u1").alias("k1"), F.col("u2").alias("k2")).agg(F.sum("links").alias("links")), ["k1", "k2"], "left").join(joined, ["k1", "k2"], "left")
-    known = known.select("k1", "k2", F.coalesce("label", node("k1", "k2")).alias("label"), F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    texts = wanted.withColumnRenamed("id", "own").hint("shuffle_hash")
+    texts = rows.join(texts, F.col("id") == F.col("own")).select("k1", "k2", "id", "n", "copies", "bands", "buckets", "text")
+    sets = texts.mapInArrow(_with_sets, "k1 long, k2 long, id long, n long, copies long, bands array<long>, buckets array<struct<b: int, key: long, tiles: int>>, set binary")
+    dealt = _dealt(sets.withColumn("x", F.explode("buckets")).select("k1", "k2", "id", "n", "copies", "bands", "set", "x.*"))
+    found = stored(dealt.mapInArrow(_verify(least_matches()), "u long, u1 long, u2 long, v long, v1 long, v2 long, links long"), "links")
+    # A node is a set with the smallest id of its rows, so the smallest node of a component has the class's id.
+    node = lambda *c: F.struct(*[F.col(x).alias(k) for x, k in zip(c, ("id", "k1", "k2"))])
+    joined = components(found.select(node("u", "u1", "u2").alias("u"), node("v", "v1", "v2").alias("v"))).select("node.k1", "node.k2", F.col("component").alias("label"))
+    linked = found.groupBy(F.col("u1").alias("k1"), F.col("u2").alias("k2")).agg(F.sum("links").alias("links")).join(joined, ["k1", "k2"])
+    known = classes.select("k1", "k2", "id", "copies").join(linked, ["k1", "k2"], "left").withColumn("label", F.coalesce("label", node("id", "k1", "k2")))
+    known = known.select("k1", "k2", "label", F.col("label.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     return profiles.select("id", "t", "k1", "k2", "n"), known
 
 
@@ -320,3 +321,17 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+#: For small tables only: it joins all shingles. Ids are taken to be there and to differ.
+OP9_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE c * 5 >= 4 * (u.n + v.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT x AS doc_id, x AS far FROM (SELECT DISTINCT x FROM e) UNION SELECT reach.doc_id, e.y FROM reach JOIN e ON e.x = reach.far)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.far, d.doc_id)) AS class_id, coalesce(k.n, 0) AS n_links FROM d LEFT JOIN (SELECT doc_id, min(far) AS far FROM reach GROUP BY 1) c USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, count(*) AS n FROM e GROUP BY 1) k USING (doc_id)
+"""
