@@ -20,7 +20,9 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_topk": topk.OP1_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
+    "op5_suffix_array_dedup": suffixes.OP5_SQL,
     "op6_line_dedup": lines.OP6_SQL,
     "op8_secret_scans": secrets.OP8_SQL,
+    "op9_ngram_jaccard_join": nearjoin.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

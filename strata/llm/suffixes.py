@@ -304,3 +304,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"),
         (F.size("runs") > 0).alias("changed"),
     )
+
+
+#: For small tables only: it lists every window. Ids are taken to differ.
+OP5_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, hash(substr(x, 2 * p + 1, {2 * LENGTH})) AS h FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - {LENGTH - 1})) AS p FROM d WHERE len(x) >= {2 * LENGTH})),
+r AS (SELECT doc_id, p FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+n AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER k + {LENGTH} THEN 0 ELSE 1 END AS new FROM r WINDOW k AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM n),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + {LENGTH} AS b FROM g GROUP BY doc_id, run),
+e AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM s GROUP BY doc_id),
+o AS (SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda i: substr(x, CASE WHEN i = 0 THEN 1 ELSE 2 * ends[i] + 1 END,
+    CASE WHEN i = len(starts) THEN len(x) ELSE 2 * starts[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE 2 * ends[i] END)), '') END AS kept FROM d LEFT JOIN e USING (doc_id))
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256, n_removed > 0 AS changed FROM o
+"""
