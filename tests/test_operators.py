@@ -1,5 +1,6 @@
 """Operators against NumPy and against small cases with known results."""
 
+import itertools
 import struct
 import zlib
 from datetime import datetime
@@ -101,6 +102,48 @@ def test_triangulated_plane(spark):
     np.testing.assert_allclose(got, 2 * gx + 3 * gy, atol=1e-6)
 
 
+def test_triangles_have_empty_circles():
+    rng = np.random.default_rng(2)
+    x, y = rng.random(60), rng.random(60)
+    tri = grid.triangulate(x, y)
+    want = set()
+    for a, b, c in itertools.combinations(range(60), 3):
+        m = np.array([[x[b] - x[a], y[b] - y[a]], [x[c] - x[a], y[c] - y[a]]])
+        o = np.linalg.solve(2 * m, (m**2).sum(1))
+        d = (x - x[a] - o[0]) ** 2 + (y - y[a] - o[1]) ** 2
+        if (np.delete(d, [a, b, c]) > o @ o).all():
+            want.add((a, b, c))
+    assert {tuple(sorted(t.tolist())) for t in tri} == want
+
+
+def test_cubic_surface():
+    rng = np.random.default_rng(7)
+    x, y = np.r_[rng.random(200), 0, 0, 1, 1], np.r_[rng.random(200), 0, 1, 0, 1]
+    f = lambda x, y: np.sin(3 * x) * np.cos(2 * y)
+    frame_ = pd.DataFrame({"layer": "a", "x": x, "y": y, "z": f(x, y)})
+    gx, gy = np.meshgrid(np.linspace(0, 1, 41), np.linspace(0, 1, 41))
+    off = {m: np.abs(grid._interpolated(frame_, 41, 41, m)["z"].to_numpy() - f(gx, gy).ravel()).mean() for m in ("linear", "cubic", "nearest")}
+    assert off["cubic"] < 0.6 * off["linear"] < off["nearest"]
+    plane = grid._interpolated(frame_.assign(z=2 * x - 3 * y), 41, 41, "cubic")["z"]
+    np.testing.assert_allclose(plane, (2 * gx - 3 * gy).ravel(), atol=1e-9)
+    # Slopes go on across an inner edge.
+    tri, z = grid.triangulate(x, y), f(x, y)
+    g, edges = grid.slopes(x, y, z, tri), {}
+    for t in tri.tolist():
+        for k in range(3):
+            edges.setdefault(tuple(sorted((t[k], t[k - 1]))), []).append(t)
+    (a, b), (s, t) = next((e, ts) for e, ts in edges.items() if len(ts) == 2)
+
+    def at(t, q):
+        m = np.array([x[t], y[t], [1, 1, 1]])
+        return grid.patch(x[t], y[t], z[t], g[t], np.linalg.solve(m, np.r_[q, 1])[None])[0]
+
+    p, across = 0.3 * np.array([x[a], y[a]]) + 0.7 * np.array([x[b], y[b]]), np.array([y[a] - y[b], x[b] - x[a]])
+    h = 1e-5
+    one, two = ((at(k, p + h * across) - at(k, p - h * across)) / (2 * h) for k in (s, t))
+    assert one == pytest.approx(two, rel=1e-4)
+
+
 def test_features_by_profile(spark):
     layers = ["magnetic_tmi", "gravity_bouguer", "resistivity", "ip_chargeability", "geochemistry_cu", "geochemistry_au"]
     assert len(features.feature_names(layers)) == 47
