@@ -28,8 +28,8 @@ TOLERANCE = 1e-6
 STEP = 16
 #: Texts of a tile while only MinHash values are compared, and texts and shingles of a tile of sets: a task holds two.
 VALUE_TEXTS, TILE_TEXTS, TILE_SHINGLES = 4096, 1024, 2_000_000
-#: Pairs compared at once.
-PAIRS = 1 << 18
+#: Pairs compared at once; texts of a tile pair whose pairs are listed together with those of others; rows worked on together.
+PAIRS, SMALL, SOLVE = 1 << 18, 64, 8192
 
 _RNG = np.random.default_rng(2024)
 _XOR = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -120,43 +120,34 @@ def _with_sets(batches):
         yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sets, pa.binary())], names=[*out.schema.names, "set"])
 
 
-def likely(bands: np.ndarray, size: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, least: dict[int, int], threshold: Fraction = THRESHOLD):
-    """Pairs (i of left, j of right; i < j if the two are one) that share `band` as their first, have sizes that allow the
-    threshold, and whose MinHash values, compared step by step, leave it likely enough."""
-    sig, one = bands.view(np.uint16), left is right
-    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    rows_at_once = max(1, PAIRS // max(1, len(right)))
-    for lo in range(0, len(left), rows_at_once):
-        i, j = (x.ravel() for x in np.meshgrid(left[lo : lo + rows_at_once], right, indexing="ij"))
-        near = np.minimum(size[i], size[j]) * threshold.denominator >= np.maximum(size[i], size[j]) * threshold.numerator
-        if one:
-            near &= i < j
-        i, j = i[near], j[near]
-        for earlier in range(band):
-            new = bands[i, earlier] != bands[j, earlier]
-            i, j = i[new], j[new]
-        match = np.zeros(len(i), np.int64)
-        for n in range(STEP, HASHES + 1, STEP):
-            if not len(i):
-                break
-            match += (sig[i, n - STEP : n] == sig[j, n - STEP : n]).sum(1)
-            on = match >= least[n]
-            i, j, match = i[on], j[on], match[on]
-        found_i.append(i)
-        found_j.append(j)
-    return np.concatenate(found_i), np.concatenate(found_j)
+def likely(bands: np.ndarray, size: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int], threshold: Fraction = THRESHOLD):
+    """The pairs (i, j) that share the band `first` of i as their first, have sizes that allow the threshold, and whose
+    MinHash values, compared step by step, leave it likely enough."""
+    near = np.minimum(size[i], size[j]) * threshold.denominator >= np.maximum(size[i], size[j]) * threshold.numerator
+    i, j = i[near], j[near]
+    for earlier in range(int(first[i].max(initial=0))):
+        new = (bands[i, earlier] != bands[j, earlier]) | (first[i] <= earlier)
+        i, j = i[new], j[new]
+    sig, match = bands.view(np.uint16), np.zeros(len(i), np.int64)
+    for n in range(STEP, HASHES + 1, STEP):
+        if not len(i):
+            break
+        match += (sig[i, n - STEP : n] == sig[j, n - STEP : n]).sum(1)
+        on = match >= least[n]
+        i, j, match = i[on], j[on], match[on]
+    return i, j
 
 
-def exact(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
+def exact(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, one_by_one: bool = False, threshold: Fraction = THRESHOLD) -> np.ndarray:
     """Which of the pairs reach the threshold."""
     size = np.array([len(s) for s in sets])
-    return _common(sets, i, j) * (threshold.numerator + threshold.denominator) >= threshold.numerator * (size[i] + size[j])
+    return _common(sets, i, j, one_by_one) * (threshold.numerator + threshold.denominator) >= threshold.numerator * (size[i] + size[j])
 
 
-def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, one_by_one: bool) -> np.ndarray:
     """Exact sizes of the intersections of pairs: one by one, or by products of incidence blocks where pairs are many."""
     used = np.unique(np.concatenate([i, j]))
-    if len(i) < 3 * len(used):
+    if one_by_one or len(i) < 3 * len(used):
         return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)])
     a, b = np.unique(i), np.unique(j)
     owner = np.repeat(used, [len(sets[x]) for x in used])
@@ -182,43 +173,85 @@ def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.rint(total[place_a[i], place_b[j]]).astype(np.int64)
 
 
-def _groups(batches, *columns: str):
-    """Tables of the rows of each tile pair (b, key, ta, tb), from batches sorted by it."""
-    key, held = None, []
+class Tiles:
+    """Whole tile pairs (b, key, ta, tb) of a table sorted by them, each text once in each."""
+
+    def __init__(self, table: pa.Table):
+        number = lambda t, *names: [t.column(c).to_numpy() for c in names]
+        at = number(table, "b", "key", "ta", "tb")
+        group = np.cumsum(np.r_[0, np.any([x[1:] != x[:-1] for x in at], axis=0)])
+        k1, k2 = number(table, "k1", "k2")
+        order = np.lexsort((k2, k1, group))
+        new = np.r_[True, (group[order][1:] != group[order][:-1]) | (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])]
+        self.table = table.take(pa.array(order[new]))
+        self.group = group[order[new]]
+        self.b, self.ta, self.tb, self.tile, self.n = number(self.table, "b", "ta", "tb", "tile", "n")
+        self.bands = self.table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.start = np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]])
+        self.size = np.diff(np.r_[self.start, len(self.group)])
+
+    def pairs(self):
+        """(i, j, small) of all pairs that a tile pair has to look at, PAIRS or so at a time; small: of small groups."""
+        small = (self.size <= SMALL) & (self.ta[self.start] == self.tb[self.start])
+        left = np.repeat(self.start + self.size, self.size) - np.arange(len(self.group))
+        rows = np.flatnonzero(np.repeat(small, self.size))
+        held, total = [], 0
+        for d in range(1, SMALL):
+            rows = rows[left[rows] > d]
+            if not len(rows):
+                break
+            held.append((rows, rows + d))
+            total += len(rows)
+            if total >= PAIRS:
+                yield *(np.concatenate(x) for x in zip(*held)), True
+                held, total = [], 0
+        if held:
+            yield *(np.concatenate(x) for x in zip(*held)), True
+        for g in np.flatnonzero(~small):
+            own = np.arange(self.start[g], self.start[g] + self.size[g])
+            ta, tb = self.ta[own[0]], self.tb[own[0]]
+            one, two = own[self.tile[own] == ta], own[self.tile[own] == tb]
+            step = max(1, PAIRS // max(1, len(two)))
+            for lo in range(0, len(one), step):
+                i, j = (x.ravel() for x in np.meshgrid(one[lo : lo + step], two, indexing="ij"))
+                yield (i[i < j], j[i < j], False) if ta == tb else (i, j, False)
+
+    def likely(self, least: dict[int, int]):
+        for i, j, small in self.pairs():
+            yield *likely(self.bands, self.n, self.b, i, j, least), small
+
+
+def _whole(batches, columns: list[str]):
+    """Tables of whole tile pairs from batches sorted by them, of SOLVE rows or more if there are as many."""
+    held, rows = [], 0
     for batch in batches:
-        at = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("b", "key", "ta", "tb")]
-        cut = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in at], axis=0)]) if batch.num_rows else []
-        for start, end in zip(cut, [*cut[1:], batch.num_rows]):
-            now = tuple(int(x[start]) for x in at)
-            if now != key and held:
-                yield *key, pa.Table.from_batches(held)
-                held = []
-            key = now
-            held.append(batch.slice(start, end - start).select(list(columns)))
-    if held:
-        yield *key, pa.Table.from_batches(held)
-
-
-def _tile(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """The table without repeated nodes, and its nodes' keys, bands and tiles."""
-    k1, k2 = (table.column(c).to_numpy() for c in ("k1", "k2"))
-    _, first = np.unique(np.stack([k1, k2]), axis=1, return_index=True)
-    table = table.take(pa.array(first))
-    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    return table, np.stack([k1[first], k2[first]]), bands, table.column("tile").to_numpy()
+        batch = batch.select([*("b", "key", "ta", "tb"), *columns])
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= SOLVE:
+            table = pa.Table.from_batches(held)
+            at = [table.column(c).to_numpy() for c in ("b", "key", "ta", "tb")]
+            # The last tile pair may go on in the next batch.
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0))
+            if len(cut):
+                yield Tiles(table.slice(0, int(cut[-1]) + 1))
+                held = table.slice(int(cut[-1]) + 1).to_batches()
+                rows = table.num_rows - int(cut[-1]) - 1
+    if rows:
+        yield Tiles(pa.Table.from_batches(held))
 
 
 def _propose(least: dict[int, int]):
     """mapInArrow over sorted tile pairs: the texts that have a likely pair in their bucket."""
 
     def run(batches):
-        for b, key, ta, tb, table in _groups(batches, "k1", "k2", "n", "bands", "tile"):
-            table, nodes, bands, tile = _tile(table)
-            left = np.flatnonzero(tile == ta)
-            i, j = likely(bands, table.column("n").to_numpy(), b, left, left if ta == tb else np.flatnonzero(tile == tb), least)
-            if len(i):
-                who = np.unique(np.concatenate([i, j]))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[0, who]), pa.array(nodes[1, who]), pa.array(np.full(len(who), b, np.int32)), pa.array(np.full(len(who), key, np.int64)), table.column("n").combine_chunks().take(pa.array(who))], names=["k1", "k2", "b", "key", "n"])
+        for t in _whole(batches, ["k1", "k2", "n", "bands", "tile"]):
+            seen = np.zeros(len(t.group), bool)
+            for i, j, _ in t.likely(least):
+                seen[i] = seen[j] = True
+            yield from t.table.select(["k1", "k2", "b", "key", "n"]).filter(pa.array(seen)).to_batches()
 
     return run
 
@@ -227,23 +260,23 @@ def _verify(least: dict[int, int]):
     """mapInArrow over sorted tile pairs with sets: links of each text, and a forest of the linked ones."""
 
     def run(batches):
-        for b, _, ta, tb, table in _groups(batches, "k1", "k2", "id", "n", "copies", "bands", "tile", "set"):
-            table, nodes, bands, tile = _tile(table)
-            left = np.flatnonzero(tile == ta)
-            i, j = likely(bands, table.column("n").to_numpy(), b, left, left if ta == tb else np.flatnonzero(tile == tb), least)
-            if not len(i):
-                continue
-            ok = exact([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")], i, j)
-            i, j, copies = i[ok], j[ok], table.column("copies").to_numpy()
-            links = (np.bincount(i, copies[j], len(tile)) + np.bincount(j, copies[i], len(tile))).astype(np.int64)
-            label, before = np.arange(len(tile)), None
-            while before is None or (label != before).any():
-                before = label.copy()
-                low = np.minimum(label[i], label[j])
-                np.minimum.at(label, i, low)
-                np.minimum.at(label, j, low)
-            who, ids = np.flatnonzero(links), table.column("id").to_numpy()
-            ends = [x for at in (who, label[who]) for x in (ids[at], nodes[0, at], nodes[1, at])]
+        for t in _whole(batches, ["k1", "k2", "id", "n", "copies", "bands", "tile", "set"]):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.table.column("set")]
+            copies, ids, k1, k2 = (t.table.column(c).to_numpy() for c in ("copies", "id", "k1", "k2"))
+            links, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+            for i, j, small in t.likely(least):
+                ok = exact(sets, i, j, small) if len(i) else np.zeros(0, bool)
+                i, j = i[ok], j[ok]
+                links += (np.bincount(i, copies[j], len(sets)) + np.bincount(j, copies[i], len(sets))).astype(np.int64)
+                # What was joined before stays joined through its labels.
+                i, j, before = np.r_[i, np.arange(len(label))], np.r_[j, label], None
+                while before is None or (label != before).any():
+                    before = label.copy()
+                    low = np.minimum(label[i], label[j])
+                    np.minimum.at(label, i, low)
+                    np.minimum.at(label, j, low)
+            who = np.flatnonzero(links)
+            ends = [x for at in (who, label[who]) for x in (ids[at], k1[at], k2[at])]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*ends, links[who])], names=["u", "u1", "u2", "v", "v1", "v2", "links"])
 
     return run

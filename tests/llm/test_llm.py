@@ -248,12 +248,12 @@ def test_leaks_of_items_beside_a_long_one(spark):
     assert {tuple(r)[:2] for r in decontaminate.leaks(docs, bench).collect()} == {(i, i) for i, _ in items}
 
 
-def every_window(docs, bench):
+def every_window(docs, bench, few="true"):
     """(key, item_id) of all windows, with an item's words around them, that pass both checks, whatever their scores."""
     found = set()
     for search in decontaminate.wanted(docs, bench, "doc_id", "text", "item_id", "text"):
         places = decontaminate.lookup(search.vocabulary)
-        for key, text in docs.where("doc_id < 100").select("doc_id", "text").collect():
+        for key, text in docs.where(few).select("doc_id", "text").collect():
             words = np.concatenate([places(h) for *_, h in decontaminate.tokens(decontaminate.pa.array([text], decontaminate.pa.large_string()))]).tolist()
             for item in search.items:
                 own, answer = item.words.tolist(), set(item.answer.tolist())
@@ -286,7 +286,7 @@ def test_leaks_against_every_window(spark, more):
     # A larger corpus of the same words, and an item that occurs nowhere: its words are the rarest of the block.
     docs = docs.unionByName(spark.createDataFrame([(100 + i, "w " + prose(rng, 100)) for i in range(more)], docs.schema))
     bench = spark.createDataFrame([*items, (99, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
-    want = every_window(docs, bench)
+    want = every_window(docs, bench, "doc_id < 100")
     assert len(want) > 10
     assert {tuple(r)[:2] for r in decontaminate.leaks(docs, bench).where("key < 100").collect()} == want
 
@@ -589,3 +589,35 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).columns == docs.columns, name
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_each_stage_against_brute_force(spark, tmp_path):
+    """Every stage on what the one before it kept: SQL for lines and mixing, all pairs for near duplicates, every window for
+    decontamination."""
+    import corpus_pipeline
+
+    small = SF.replace("sf0.01", "sf0.001")
+    if not os.path.isdir(small):
+        pytest.skip("no test data")
+    kept, docs = {}, spark.read.parquet(small + "/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, small).write.parquet(path)
+        kept[name] = (docs.toArrow(), spark.read.parquet(path))
+        docs = kept[name][1]
+    rows = {k: {r.doc_id: r for r in v[1].collect()} for k, v in kept.items()}
+    came = {k: {r["doc_id"]: r for r in v[0].to_pylist()} for k, v in kept.items()}
+    # Language: what has a letter and looks like one of the languages stays.
+    assert {i for i, r in came["language_id"].items() if not any(c.isalpha() for c in r["text"] or "")}.isdisjoint(rows["language_id"]) and len(rows["language_id"]) > 0.9 * len(came["language_id"])
+    con = connect(small, d=kept["line_dedup"][0])
+    want = {i: t for i, t, n in con.sql(f"SELECT doc_id, kept, n_removed FROM ({lines.cleaned_sql('d')})").fetchall() if n == 0 or t.strip(" \n\t\r")}
+    assert {i: r.text for i, r in rows["line_dedup"].items()} == want
+    links = brute_links([(i, r["text"]) for i, r in came["near_duplicates"].items()])
+    assert set(rows["near_duplicates"]) == {v[0] for v in links.values()}
+    bench = spark.read.parquet(small + "/benchmark.parquet")
+    few = spark.createDataFrame(kept["decontamination"][0].to_pandas())
+    hit = {i for i, _ in every_window(few, bench)}
+    assert set(rows["decontamination"]) == set(came["decontamination"]) - hit and hit
+    con = connect(small, d=kept["mixing"][0])
+    plan = {i: n for i, n in con.sql(f"SELECT doc_id, n_copies FROM ({mixing.plan_sql('d')})").fetchall() if n}
+    assert Counter(r.doc_id for r in kept["mixing"][1].collect()) == plan
