@@ -12,7 +12,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.functions.columns import ensemble, keyword, score, signed_log, spread
+from strata.functions.columns import ensemble, feature_label, keyword, kilometres, known, score, signed_log, spread
 from strata.operators import features, grid, metrics, sampling, stencil, targets
 from strata.operators.grid import Grid
 from strata.operators.storage import scratch
@@ -173,6 +173,20 @@ def unit_scale(spark, sf_dir):
     return rounded(scaled(_t(spark, sf_dir, "orders"), "o_totalprice", "u").select("o_orderkey", "u"))
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.7976931348623157e308 WHEN 2 THEN -1.7976931348623157e308 ELSE round(o_totalprice, 6) END AS v FROM orders")
+def known_values(spark, sf_dir):
+    """Missing values and infinities, as learners get them."""
+    n = F.col("o_orderkey") % 4
+    odd = F.when(n == 0, F.when(F.col("o_orderkey") % 8 == 0, F.lit(float("nan")))).when(n == 1, F.lit(float("inf"))).when(n == 2, F.lit(float("-inf"))).otherwise(F.round("o_totalprice", 6))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", known(odd).alias("v"))
+
+
+@query("SELECT p_partkey, printf('%.1f', p_partkey / 10.0) AS km, substring(replace(replace(p_name || '__' || p_brand || '_win_range_of_a_long_name', '__', chr(10)), '_', ' '), 1, 30) AS label FROM part")
+def chart_labels(spark, sf_dir):
+    name = F.concat("p_name", F.lit("__"), "p_brand", F.lit("_win_range_of_a_long_name"))
+    return _t(spark, sf_dir, "part").select("p_partkey", kilometres(F.col("p_partkey") * 100.0).alias("km"), feature_label(name).alias("label"))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(least(greatest(l_discount * 10 - 0.3 * l_tax * 10, 0.0), 1.0), 6) AS score FROM lineitem")
 def confidence_score(spark, sf_dir):
     return rounded(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score(F.col("l_discount") * 10, F.col("l_tax") * 10).alias("score")))
@@ -346,29 +360,31 @@ def far_negative_cells(spark, sf_dir):
     return sampling.far_cells(EVENT_GRID.frame(spark).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")), positives, 2)
 
 
-def _positives(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+def _vectors(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label")
 
 
-_KNN_SQL = """(SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY d2, other) AS INTEGER) AS rank, other, d2 FROM (
+def _knn_sql(which: str) -> str:
+    return f"""(SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY d2, other) AS INTEGER) AS rank, other, d2 FROM (
 SELECT a.vec_id AS id, b.vec_id AS other, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d2
-FROM embeddings a JOIN embeddings b ON a.label = 3 AND b.label = 3 AND a.vec_id <> b.vec_id))"""
+FROM (SELECT * FROM embeddings WHERE {which}) a JOIN (SELECT * FROM embeddings WHERE {which}) b ON a.vec_id <> b.vec_id))"""
 
 
-@query(f"SELECT id, rank, other, round(d2, 6) AS d2 FROM {_KNN_SQL} WHERE rank <= 5")
+@query(f"SELECT id, rank, other, round(d2, 6) AS d2 FROM {_knn_sql('true')} WHERE rank <= 5")
 def knn_topk(spark, sf_dir):
-    return rounded(sampling.neighbours(_positives(spark, sf_dir)))
+    return rounded(sampling.neighbours(_vectors(spark, sf_dir)))
 
 
 _DRAW = lambda salt: f"CAST('0x' || substr(md5('42:{salt}:' || s), 1, 12) AS BIGINT)"
 
 
 @query(f"""WITH p AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding AS vec FROM embeddings WHERE label = 3),
-k AS {_KNN_SQL}, d AS (SELECT s, {_DRAW(1)} % (SELECT count(*) FROM p) AS i, {_DRAW(2)} % 5 + 1 AS rank, {_DRAW(3)} / {float(16**12)!r}::DOUBLE AS a FROM range(100) t(s)),
+k AS {_knn_sql('label = 3')}, d AS (SELECT s, {_DRAW(1)} % (SELECT count(*) FROM p) AS i, {_DRAW(2)} % 5 + 1 AS rank, {_DRAW(3)} / {float(16**12)!r}::DOUBLE AS a FROM range(100) t(s)),
 v AS (SELECT d.s, a, p.vec AS x, o.vec AS y FROM d JOIN p USING (i) JOIN k ON k.id = p.id AND k.rank = d.rank JOIN p o ON o.id = k.other)
 SELECT CAST(-s - 1 AS BIGINT) AS id, CAST(j - 1 AS INTEGER) AS place, round(x[j]::DOUBLE + a * (y[j]::DOUBLE - x[j]::DOUBLE), 6) AS v FROM v, range(1, 65) t(j)""")
 def smote_samples(spark, sf_dir):
-    made = sampling.smote(_positives(spark, sf_dir), 100)
+    """Class 3 is the one to be enriched."""
+    made = sampling.smote(_vectors(spark, sf_dir).where("label = 3"), 100)
     return rounded(made.select("id", F.posexplode("vec").alias("place", "v")))
 
 
@@ -665,6 +681,49 @@ def synthetic_survey(spark, sf_dir):
     return synthetic.with_noise(synthetic.cells_of(spark, made, g), g)
 
 
+def _fields_sql() -> str:
+    """Bodies of the porphyry survey on 60 x 60 cells, written out: dipoles, spheres, blobs, a conductor, an ellipse and a fault."""
+    x0, y0 = 400_000.0 + 30 * 800.0, 4_200_000.0 + 30 * 800.0
+    mid_x, mid_y, spread = 400_000.0 + 59 * 400.0, 4_200_000.0 + 59 * 400.0, 59 * 800.0 / 12**0.5
+    d = lambda cx, cy: (f"(x - {cx!r})", f"(y - {cy!r})")
+
+    def dipole(cx, cy, depth, moment):
+        u, v = d(cx, cy)
+        angle = f"cos(atan2({u}, {v}) - radians(5.0))"
+        return f"{moment * depth**3:.1f}::DOUBLE * 1e9::DOUBLE * (2 * pow(sin(radians(55.0)), 2) - pow(cos(radians(55.0)), 2) * {angle} * {angle}) / pow(sqrt({u} * {u} + {v} * {v} + {depth**2:.1f}::DOUBLE), 5)"
+
+    def sphere(cx, cy, depth, contrast, radius):
+        u, v = d(cx, cy)
+        return f"6.674e-11::DOUBLE * ({contrast:.1f}::DOUBLE * 4 / 3 * pi() * pow({radius:.1f}::DOUBLE, 3)) * {depth:.1f}::DOUBLE * 1e5::DOUBLE / pow({u} * {u} + {v} * {v} + {depth**2:.1f}::DOUBLE, 1.5)"
+
+    def blob(cx, cy, amount, s):
+        u, v = d(cx, cy)
+        return f"{amount:.1f}::DOUBLE * exp(-({u} * {u} + {v} * {v}) / {2.0 * s * s!r}::DOUBLE)"
+
+    u, v = d(x0, y0)
+    near = f"exp(-({u} / 1800 * {u} / 1800 + {v} / 1500 * {v} / 1500))"
+    core = f"CASE WHEN {u} / 500 * {u} / 500 + {v} / 600 * {v} / 600 <= 1 THEN 1 ELSE 0 END"
+    fault = f"80 * tanh(({v} * cos(radians(35.0)) - (x - {x0 - 2000!r}) * sin(radians(35.0))) / 200) * 20"
+    layers = {
+        "magnetic_tmi": f"{dipole(x0, y0, 300, 5000)} + {dipole(x0 + 800, y0 + 600, 600, 1500)} + {fault} + (x - {mid_x!r}) / {spread!r} * -15 + (y - {mid_y!r}) / {spread!r} * 10 + 200",
+        "gravity_bouguer": f"{sphere(x0, y0, 500, -150, 1500)} + {sphere(x0 + 200, y0 - 300, 200, 300, 400)} + (y - {mid_y!r}) / 48000",
+        "resistivity": f"greatest(500 * (1 - {near}) + 8 * {near}, 4) * (1 - ({core}) * 0.3::DOUBLE) + ({core}) * 50",
+        "ip_chargeability": " + ".join((blob(x0 + 300, y0 - 200, 35, 600), blob(x0 - 200, y0 + 400, 25, 500), blob(x0 + 500, y0 + 200, 20, 400), blob(x0, y0, 15, 800))),
+    }
+    cells_ = "(SELECT CAST(i // 60 AS INTEGER) AS r, CAST(i % 60 AS INTEGER) AS c, 400000.0::DOUBLE + (i % 60) * 800.0::DOUBLE AS x, 4200000.0::DOUBLE + (i // 60) * 800.0::DOUBLE AS y FROM range(3600) t(i))"
+    return " UNION ALL ".join(f"SELECT '{k}' AS layer, r AS \"row\", c AS col, round({e}, 3) AS z FROM {cells_}" for k, e in layers.items())
+
+
+@query(_fields_sql())
+def synthetic_fields(spark, sf_dir):
+    """The layers of a scenario that hold no draw."""
+    from strata.sources import synthetic
+
+    g = synthetic.survey_grid(60, 60, 800.0)
+    made, _ = synthetic.scenario("porphyry_copper", g)
+    return synthetic.cells_of(spark, {k: v for k, v in made.items() if "geochemistry" not in k}, g).withColumn("z", F.round("z", 3))
+
+
 def _scattered(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "supplier").select(F.lit("s").alias("layer"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y"), F.col("s_acctbal").alias("z"))
 
