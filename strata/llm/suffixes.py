@@ -119,25 +119,41 @@ def _cut(length: int):
 
 def repeated(group: np.ndarray, raw: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     """Whether each suffix equals another of its group in its first `length` (8 at least) bytes: a multikey sort by eight
-    bytes at a time. What stands alone in its run is done; ties alone are sorted by their next bytes."""
-    words = np.ndarray((max(0, len(raw) - 7),), ">u8", raw.data if raw.flags.c_contiguous else np.ascontiguousarray(raw).data, strides=(1,))
+    bytes at a time, from 64 on by 64. What stands alone in its run is done; ties alone are sorted by their next bytes."""
+    raw = np.ascontiguousarray(raw)
     left = np.argsort(group, kind="stable")
-    run = group[left]
-    for at in [*range(0, length - 8, 8), length - 8]:
-        tied = np.zeros(len(left) + 1, bool)
-        tied[1:-1] = run[1:] == run[:-1]
+    run = np.cumsum(np.r_[False, group[left][1:] != group[left][:-1]]) if len(left) else left
+    if len(left) and run[-1] < 1 << 24:
+        # The first five bytes fit into one number with the run.
+        first = np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))[start[left]].byteswap() >> np.uint64(24)
+        first |= run.astype(np.uint64) << np.uint64(40)
+        order = np.argsort(first)
+        left, first = left[order], first[order]
+        run = np.cumsum(np.r_[False, first[1:] != first[:-1]])
+    head = min(length, 64)
+    steps = [(at, 8) for at in (*range(0, head - 8, 8), head - 8)] + [(at, 64) for at in (*range(64, length - 64, 64), length - 64) if length > 64]
+    for at, width in steps:
+        tied = np.r_[False, run[1:] == run[:-1], False]
         tied = tied[1:] | tied[:-1]
         if not tied.all():
             left, run = left[tied], run[tied]
         if not len(left):
             break
-        key = words[start[left] + at].astype(np.uint64)
-        new = (key[1:] != key[:-1]) | (run[1:] != run[:-1])
-        if (new == (run[1:] != run[:-1])).all():
+        part = np.ndarray((len(raw) - width + 1,), f"V{width}", raw.data, strides=(1,))[start[left] + at].view(np.uint64).reshape(-1, width // 8)
+        new = run[1:] != run[:-1]
+        other = (part[1:] != part[:-1]).any(1) & ~new
+        if not other.any():
             continue
-        order = np.lexsort((key, run))
-        left, key, run = left[order], key[order], run[order]
-        run = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (run[1:] != run[:-1])])
+        # Runs in which all are equal stay as they are.
+        mixed = np.zeros(run[-1] + 1, bool)
+        mixed[run[1:][other]] = True
+        mixed = np.flatnonzero(mixed[run])
+        keys = part[mixed].byteswap()  # in the order of the bytes
+        order = mixed[np.lexsort((*keys.T[::-1], run[mixed]))]
+        place = np.arange(len(left))
+        place[mixed] = order
+        left, run, part = left[place], run[place], part[place]
+        run = np.cumsum(np.r_[False, (part[1:] != part[:-1]).any(1) | (run[1:] != run[:-1])])
     out = np.zeros(len(group), bool)
     if len(left):
         tied = np.r_[False, run[1:] == run[:-1], False]
