@@ -28,7 +28,9 @@ _PLACE = np.uint64((1 << 24) - 1)
 #: Segments of one key that meet in a task at most; larger keys are split by hash and settled across the pieces.
 KEY_ROWS = 8192
 #: Bytes of a text looked at together at most; longer texts go on in pieces that share LENGTH - 1 bytes.
-PIECE = 1 << 23
+PIECE = 1 << 20
+#: Suffixes compared at once.
+SLICE = 1 << 16
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
@@ -139,21 +141,23 @@ def repeated(group: np.ndarray, raw: np.ndarray, start: np.ndarray, length: int)
             left, run = left[tied], run[tied]
         if not len(left):
             break
-        part = np.ndarray((len(raw) - width + 1,), f"V{width}", raw.data, strides=(1,))[start[left] + at].view(np.uint64).reshape(-1, width // 8)
-        new = run[1:] != run[:-1]
-        other = (part[1:] != part[:-1]).any(1) & ~new
+        here = np.ndarray((len(raw) - width + 1,), f"V{width}", raw.data, strides=(1,))
+        new, other = run[1:] != run[:-1], np.zeros(len(left) - 1, bool)
+        for lo in range(0, len(other), SLICE):
+            part = here[start[left[lo : lo + SLICE + 1]] + at].view(np.uint64).reshape(-1, width // 8)
+            other[lo : lo + SLICE] = (part[1:] != part[:-1]).any(1)
+        other &= ~new
         if not other.any():
             continue
         # Runs in which all are equal stay as they are.
         mixed = np.zeros(run[-1] + 1, bool)
         mixed[run[1:][other]] = True
         mixed = np.flatnonzero(mixed[run])
-        keys = part[mixed].byteswap()  # in the order of the bytes
-        order = mixed[np.lexsort((*keys.T[::-1], run[mixed]))]
-        place = np.arange(len(left))
-        place[mixed] = order
-        left, run, part = left[place], run[place], part[place]
-        run = np.cumsum(np.r_[False, (part[1:] != part[:-1]).any(1) | (run[1:] != run[:-1])])
+        keys = here[start[left[mixed]] + at].view(np.uint64).reshape(-1, width // 8).byteswap()  # in the order of the bytes
+        order = np.lexsort((*keys.T[::-1], run[mixed]))
+        left[mixed], keys = left[mixed[order]], keys[order]
+        new[mixed[1:] - 1] |= (keys[1:] != keys[:-1]).any(1)
+        run = np.cumsum(np.r_[False, new])
     out = np.zeros(len(group), bool)
     if len(left):
         tied = np.r_[False, run[1:] == run[:-1], False]
