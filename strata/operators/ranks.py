@@ -10,16 +10,24 @@ from strata.operators.storage import stored
 BEFORE = Window.unboundedPreceding
 
 
-def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
-    """rows with their place (from 0, a long) in this order as column `name`.
+def numbered(rows: DataFrame, name: str, *order: Column | str, within: tuple[str, ...] = (), total: str | None = None) -> DataFrame:
+    """rows with their place (from 0, a long) in this order as column `name`: over all rows, or within each key of `within`.
 
-    Partitions are sorted ranges; what is summed up in one task is a row for each of them.
+    Partitions are sorted ranges, so a key with most of the rows is spread over many; what is summed up by key is a row for
+    each range that holds it. `total` names a column for the count of the key's rows. A null key is a key.
     """
-    at, part, before = (f"{name}_{x}" for x in ("at", "part", "before"))
-    laid = stored(rows.orderBy(*order).withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)), "numbered")
-    counts = laid.groupBy(part).agg(F.count("*").alias(before))
-    counts = counts.withColumn(before, F.coalesce(F.sum(before).over(Window.orderBy(part).rowsBetween(BEFORE, -1)), F.lit(0)))
-    return laid.join(counts, part).withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, before)
+    at, part, before, first = (f"{name}_{x}" for x in ("at", "part", "before", "first"))
+    laid = stored(rows.orderBy(*within, *order).withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)), "numbered")
+    keys = [f"{name}_key{i}" for i in range(len(within))]
+    counts = laid.groupBy(F.col(part).alias(f"{name}_range"), *[F.col(k).alias(a) for k, a in zip(within, keys)]).agg(F.count("*").alias(before), F.min(at).alias(first))
+    every = Window.partitionBy(*keys)
+    sums = [F.col(f"{name}_range"), *keys, F.col(first), F.coalesce(F.sum(before).over(every.orderBy(f"{name}_range").rowsBetween(BEFORE, -1)), F.lit(0)).alias(before)]
+    counts = counts.select(*sums, *([F.sum(before).over(every).alias(total)] if total else []))
+    same = F.col(part) == F.col(f"{name}_range")
+    for k, a in zip(within, keys):
+        same &= F.col(k).eqNullSafe(F.col(a))
+    placed = laid.join(counts, same).withColumn(name, F.col(before) + F.col(at) - F.col(first))
+    return placed.drop(at, part, before, first, f"{name}_range", *keys)
 
 
 def percentiles(rows: DataFrame, column: str, at: list[float], *keys: str) -> DataFrame:
