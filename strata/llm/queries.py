@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import chat, decontaminate, langid, lines, merkle, mixing, nearjoin, quality, secrets, suffixes, topk
+from strata.llm import bpe, chat, decontaminate, langid, lines, merkle, mixing, nearjoin, quality, secrets, suffixes, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scans": secrets.op8,
     "op9_ngram_jaccard_join": nearjoin.op9,
     "op10_mixing": mixing.op10,
+    "op11_byte_bpe": bpe.op11,
     "op13_merkle_manifest": merkle.op13,
 }
 
