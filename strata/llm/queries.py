@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, chat, decontaminate, langid, lines, merkle, mixing, nearjoin, quality, secrets, suffixes, topk
+from strata.llm import bpe, chat, decontaminate, langid, lexical, lines, merkle, mixing, nearjoin, quality, secrets, suffixes, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": nearjoin.op9,
     "op10_mixing": mixing.op10,
     "op11_byte_bpe": bpe.op11,
+    "op12_lexical_search": lexical.op12,
     "op13_merkle_manifest": merkle.op13,
 }
 
@@ -27,5 +28,6 @@ ORACLE_SQL = {
     "op8_secret_scans": secrets.OP8_SQL,
     "op9_ngram_jaccard_join": nearjoin.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op12_lexical_search": lexical.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
