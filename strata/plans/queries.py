@@ -611,6 +611,47 @@ def surfer_round_trip(spark, sf_dir):
     return back.join(layers.select("layer", "xmin", "xmax", "nx", "ny"), "layer")
 
 
+def _binary_round_trip(spark, sf_dir, kind: str) -> DataFrame:
+    """The grid written in a binary format and read back by the data source, in blocks of three rows."""
+    path = _folder(spark)
+    sinks.write_binary(_whole_numbers(spark, sf_dir), _layers(spark), path, kind)
+    back, layers = grids.read_grids(spark, [f"{path}/layer=events"], kind=kind, block_cells=150)
+    return back.join(layers.select("layer", "format", "xmin", "xmax", "ymin", "ymax", "nx", "ny"), "layer")
+
+
+def _binary_sql(kind: str) -> str:
+    return f"""SELECT 'events' AS layer, '{kind}' AS format, r AS "row", c AS col, z, 100.0::DOUBLE AS xmin, 4510.0::DOUBLE AS xmax, 200.0::DOUBLE AS ymin, 3650.0::DOUBLE AS ymax, 50 AS nx, 24 AS ny FROM {_FLOORED_SQL}"""
+
+
+@query(_binary_sql("surfer_binary"))
+def surfer6_round_trip(spark, sf_dir):
+    return _binary_round_trip(spark, sf_dir, "surfer_binary")
+
+
+@query(_binary_sql("surfer7"))
+def surfer7_round_trip(spark, sf_dir):
+    return _binary_round_trip(spark, sf_dir, "surfer7")
+
+
+@query(_binary_sql("geosoft"))
+def geosoft_round_trip(spark, sf_dir):
+    return _binary_round_trip(spark, sf_dir, "geosoft")
+
+
+@query(_binary_sql("geotiff"))
+def geotiff_round_trip(spark, sf_dir):
+    return _binary_round_trip(spark, sf_dir, "geotiff")
+
+
+@query(f"""SELECT r AS "row", count(z) AS n, sum(z) AS total FROM {_FLOORED_SQL} WHERE r BETWEEN 6 AND 9 GROUP BY r""")
+def grid_rows_read(spark, sf_dir):
+    """Sums of some rows of a Surfer 6 file, of which the other blocks stay unread."""
+    path = _folder(spark)
+    sinks.write_binary(_whole_numbers(spark, sf_dir), _layers(spark), path, "surfer_binary")
+    back, _ = grids.read_grids(spark, [f"{path}/layer=events"], block_cells=100)
+    return back.where("row between 6 and 9").groupBy("row").agg(F.count("z").alias("n"), F.sum("z").alias("total"))
+
+
 @query(f"SELECT round(100 + c * {4410 / 49!r}::DOUBLE, 4) AS x, round(200 + r * {3450 / 23!r}::DOUBLE, 4) AS y, z FROM {_FLOORED_SQL} WHERE z IS NOT NULL")
 def points_round_trip(spark, sf_dir):
     path = _folder(spark)

@@ -1,198 +1,99 @@
-"""Grid files as cells and layer rows. Files are read by Spark as binary, one task per file, and parsed where they are read."""
+"""Grid, scatter and well files as cells and layer rows, points and wells."""
 
 from __future__ import annotations
 
+import json
 import re
-import struct
 import warnings
-import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.sources import gridfiles
+
 LAYERS = "layer string, format string, crs string, filepath string, nx int, ny int, xmin double, xmax double, ymin double, ymax double, n_points long"
-CELLS = "layer string, row int, col int, z double"
+CELLS = gridfiles.CELLS
+#: Words of a Surfer ASCII file before its cells.
+HEAD_WORDS = 9
 #: Fixed values of the formats.
-SURFER_BLANK, GEOSOFT_BLANK = 1.70141e38, -5e31
 EXTENSIONS = {".grd": "sniff", ".tif": "geotiff", ".tiff": "geotiff", ".ers": "ermapper", ".xyz": "xyz", ".txt": "xyz", ".dat": "xyz", ".csv": "csv"}
-MAGIC = {b"DSAA": "surfer_ascii", b"DSBB": "surfer_binary", b"DSRB": "surfer7"}
 
 
 def detect_format(path: str, head: bytes = b"") -> str:
     """Format by extension; .grd files by their first four bytes (Geosoft if unknown)."""
     dot = re.search(r"\.[^./]+$", path.lower())
     kind = EXTENSIONS.get(dot[0] if dot else "", "unknown")
-    return MAGIC.get(head[:4], "geosoft") if kind == "sniff" else kind
-
-
-def _grid(z: np.ndarray, x: tuple, y: tuple, kind: str, crs=None) -> dict:
-    return {"z": z, "xmin": float(x[0]), "xmax": float(x[1]), "ymin": float(y[0]), "ymax": float(y[1]), "format": kind, "crs": crs}
+    return gridfiles.MAGIC.get(head[:4], "geosoft") if kind == "sniff" else kind
 
 
 def surfer_ascii(raw: bytes) -> dict:
-    words = raw.decode("ascii", "replace").split()
-    nx, ny = int(words[1]), int(words[2])
-    z = np.array(words[9:], float)
-    if z.size != nx * ny:
-        raise ValueError(f"{z.size} values for a grid of {nx} x {ny}")
-    z[np.abs(z) > 0.9 * SURFER_BLANK] = np.nan
-    return _grid(z.reshape(ny, nx), map_pair(words[3:5]), map_pair(words[5:7]), "surfer_ascii")
-
-
-def map_pair(words) -> tuple[float, float]:
-    return float(words[0]), float(words[1])
-
-
-def surfer_binary(raw: bytes) -> dict:
-    nx, ny, xlo, xhi, ylo, yhi, _, _ = struct.unpack_from("<HH6d", raw, 4)
-    z = np.frombuffer(raw, "<f4", nx * ny, 56).astype(float)
-    z[np.abs(z) > 0.9 * SURFER_BLANK] = np.nan
-    return _grid(z.reshape(ny, nx), (xlo, xhi), (ylo, yhi), "surfer_binary")
-
-
-def surfer7(raw: bytes) -> dict:
-    _, _, _, nx, ny, xlo, xhi, ylo, yhi, _, _, _, blank = struct.unpack_from("<5I8d", raw, 4)
-    z = np.frombuffer(raw, "<f8", nx * ny, 4 + 20 + 64 + 8).astype(float)
-    z[z >= 0.99 * blank] = np.nan
-    return _grid(z.reshape(ny, nx), (xlo, xhi), (ylo, yhi), "surfer7")
-
-
-def geosoft(raw: bytes) -> dict:
-    try:
-        nx, ny = struct.unpack_from("<ii", raw, 4)
-        x0, y0, dx, dy = struct.unpack_from("<4d", raw, 16)
-        if not (0 < nx <= 100_000 and 0 < ny <= 100_000):
-            raise ValueError(f"a size of {nx} x {ny}")
-        z = np.frombuffer(raw, "<f4", nx * ny, 512).astype(float)
-    except (struct.error, ValueError) as e:
-        raise OSError(f"not a readable Geosoft grid: {e}") from e
-    z[z < GEOSOFT_BLANK] = np.nan
-    return _grid(z.reshape(ny, nx), (x0, x0 + dx * (nx - 1)), (y0, y0 + dy * (ny - 1)), "geosoft")
-
-
-def _unpacked_bits(raw: bytes) -> bytes:
-    """PackBits: runs of a byte, or bytes as they are."""
-    out, at = bytearray(), 0
-    while at < len(raw):
-        n = raw[at] - 256 if raw[at] > 127 else raw[at]
-        if n >= 0:
-            out += raw[at + 1 : at + 2 + n]
-            at += n + 2
-        else:
-            if n > -128:
-                out += raw[at + 1 : at + 2] * (1 - n)
-            at += 2 if n > -128 else 1
-    return bytes(out)
-
-
-def _unpacked_lzw(raw: bytes) -> bytes:
-    """LZW as TIFF has it: codes of 9 to 12 bits, highest bit first, widths one code early; 256 clears, 257 ends."""
-    out, table, width, held, bits, last = bytearray(), [], 9, 0, 0, b""
-    for byte in raw:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        word = table[code] if code < len(table) else last + last[:1]
-        out += word
-        if last:
-            table.append(last + word[:1])
-        last = word
-        width = min(12, max(9, (len(table) + 1).bit_length()))
-    return bytes(out)
-
-
-#: Compression codes of TIFF.
-_UNPACK = {1: bytes, 5: _unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked_bits}
-_TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+    return gridfiles.whole(raw, "surfer_ascii")
 
 
 def geotiff(raw: bytes) -> dict:
     """Band 1 of a TIFF in strips or tiles (plain, deflate, LZW or PackBits, with or without horizontal differences) at pixel
     centres, rows turned to ascend; without geo tags, in pixels. ValueError for another compression."""
-    end = "<" if raw[:2] == b"II" else ">"
-    if raw[:2] not in (b"II", b"MM") or struct.unpack_from(end + "H", raw, 2)[0] != 42:
-        raise ValueError("not a TIFF")
-    at = struct.unpack_from(end + "I", raw, 4)[0]
-    tags = {}
-    for k in range(struct.unpack_from(end + "H", raw, at)[0]):
-        tag, kind, n, _ = struct.unpack_from(end + "HHII", raw, at + 2 + 12 * k)
-        code = _TIFF_TYPES.get(kind)
-        if code:
-            size = struct.calcsize(code) * n
-            where = at + 2 + 12 * k + 8 if size <= 4 else struct.unpack_from(end + "I", raw, at + 2 + 12 * k + 8)[0]
-            tags[tag] = raw[where : where + n] if code == "s" else struct.unpack_from(f"{end}{n}{code}", raw, where)
-    one = lambda t, d: tags.get(t, (d,))[0]
-    if one(259, 1) not in _UNPACK:
-        raise ValueError(f"TIFFs of compression {one(259, 1)} are not read")
-    nx, ny, bits, kind, bands = one(256, 0), one(257, 0), one(258, 1), one(339, 1), one(277, 1)
-    if one(284, 1) != 1:
-        bands = 1  # the first band's parts come first
-    w, h = (one(322, nx), one(323, ny)) if 324 in tags else (nx, one(278, ny))
-    starts, sizes = (tags[324], tags[325]) if 324 in tags else (tags[273], tags[279])
-    if one(317, 1) not in (1, 2):
-        raise ValueError(f"TIFFs of predictor {one(317, 1)} are not read")
-    z, across = np.full((ny, nx), np.nan), -(-nx // w)
-    for k in range(min(len(starts), across * -(-ny // h))):
-        part = _UNPACK[one(259, 1)](raw[starts[k] : starts[k] + sizes[k]])
-        top, left = k // across * h, k % across * w
-        rows = h if 324 in tags else min(h, ny - top)
-        cells = np.frombuffer(part, f"{end}{ {1: 'u', 2: 'i', 3: 'f'}[kind] }{bits // 8}", rows * w * bands).reshape(rows, w, bands)
-        if one(317, 1) == 2:
-            cells = np.cumsum(cells, axis=1, dtype=cells.dtype.newbyteorder("="))
-        z[top : top + rows, left : left + w] = cells[: ny - top, : nx - left, 0]
-    if 42113 in tags:
-        z[z == float(tags[42113].rstrip(b"\0"))] = np.nan
-    if 33550 in tags and 33922 in tags:
-        (sx, sy), (i, j, _, x, y, _) = tags[33550][:2], tags[33922][:6]
-        left, top = x + (0.5 - i) * sx, y - (0.5 - j) * sy
-        crs = f"geokeys:{','.join(map(str, tags[34735]))}" if 34735 in tags else None
-        return _grid(z[::-1], (left, left + (nx - 1) * sx), (top - (ny - 1) * sy, top), "geotiff", crs)
-    return _grid(z, (0, nx - 1), (0, ny - 1), "geotiff", "pixel")
-
-
-PARSERS = {"surfer_ascii": surfer_ascii, "surfer_binary": surfer_binary, "surfer7": surfer7, "geosoft": geosoft, "geotiff": geotiff}
-
-
-def _parsed(frames, whole: bool, kind: str | None = None):
-    for frame in frames:
-        for path, name, raw in zip(frame["path"], frame["layer"], frame["content"]):
-            raw = bytes(raw)
-            g = PARSERS[kind or detect_format(path, raw)](raw)
-            ny, nx = g["z"].shape
-            if whole:
-                yield pd.DataFrame({"layer": name, "row": np.repeat(np.arange(ny, dtype=np.int32), nx), "col": np.tile(np.arange(nx, dtype=np.int32), ny), "z": pd.array(g["z"].ravel(), "Float64")}).assign(z=lambda f: f["z"].where(~np.isnan(g["z"].ravel())))
-            else:
-                yield pd.DataFrame([{"layer": name, "format": g["format"], "crs": g["crs"], "filepath": path, "nx": nx, "ny": ny, **{k: g[k] for k in ("xmin", "xmax", "ymin", "ymax")}, "n_points": None}])
-
-
-def _files(spark: SparkSession, paths: list[str], names: list[str] | None) -> DataFrame:
-    found = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return gridfiles.whole(raw, "geotiff")
+
+
+def _files(spark: SparkSession, paths: list[str], names: list[str] | None) -> list[tuple[str, str]]:
+    """(layer, path) of every file below the paths. Contents aren't read."""
+    found = spark.read.format("binaryFile").load(paths).select("path")
     stem = F.coalesce(F.nullif(F.regexp_extract("path", r"/layer=([^/]+)/", 1), F.lit("")), F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1))
     if names:
         pairs = [x for p, n in zip(paths, names) for x in (F.lit(re.sub(r"^file:/*", "/", p)), F.lit(n))]
         stem = F.coalesce(F.element_at(F.create_map(*pairs), F.regexp_replace("path", r"^file:/*", "/")), stem)
-    return found.withColumn("layer", stem)
-
-
-def read_grids(spark: SparkSession, paths: list[str], names: list[str] | None = None, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cells, layers) of binary or Surfer ASCII grid files, of one kind or of those that their names and heads tell.
-
-    Files below a folder layer=NAME, as the writers leave them, are of that layer. ValueError for a format without a reader.
+    return [tuple(r) for r in found.select(stem, "path").collect()]
+
+
+def _text_cells(spark: SparkSession, heads: list) -> DataFrame:
+    """Cells of Surfer ASCII files by Spark's text reader: a task for each split of a file. A value's cell follows from how many
+    values the splits and lines before it hold. Fails if a file hasn't as many values as its header says."""
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), r"^file:/*", "/")
+    known = spark.createDataFrame([(re.sub(r"^file:/*", "/", h.filepath), h.layer, h.nx, h.ny) for h in heads], "file string, layer string, nx int, ny int")
+    words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
+    lines = spark.read.text([h.filepath for h in heads]).select(plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), words.alias("words"))
+    splits = lines.groupBy("file", "split").agg(F.sum(F.size("words")).alias("n"))
+    by_file = Window.partitionBy("file")
+    splits = splits.select("file", "split", F.coalesce(F.sum("n").over(by_file.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"), F.sum("n").over(by_file).alias("total"))
+    before = F.coalesce(F.sum(F.size("words")).over(Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.withColumn("before", before).join(F.broadcast(splits.join(known, "file")), ["file", "split"])
+    each = placed.select("layer", "nx", "ny", "total", F.posexplode("words").alias("k", "w"), (F.col("below") + F.col("before") - HEAD_WORDS).alias("first"))
+    cell, count = F.col("first") + F.col("k"), F.col("nx").cast("long") * F.col("ny")
+    value = F.when(F.col("total") == count + HEAD_WORDS, F.col("w").cast("double")).otherwise(F.raise_error(F.format_string("%d values for a grid of %d cells in layer %s", F.col("total") - HEAD_WORDS, count, "layer")).cast("double"))
+    rows = each.where(cell >= 0).select("layer", F.floor(cell / F.col("nx")).cast("int").alias("row"), (cell % F.col("nx")).cast("int").alias("col"), value.alias("z"))
+    return rows.withColumn("z", F.when(F.abs("z") <= 0.9 * gridfiles.SURFER_BLANK, F.col("z")))
+
+
+def read_grids(spark: SparkSession, paths: list[str], names: list[str] | None = None, kind: str | None = None, block_cells: int = gridfiles.BLOCK_CELLS) -> tuple[DataFrame, DataFrame]:
+    """(cells, layers) of grid files, of one kind or of those that their names and heads tell.
+
+    Headers are read at once (a job that reads no cells; the driver gets a row a file), cells when they are asked for: a
+    binary file by blocks of rows of about block_cells cells, a text file by Spark's splits, so a file of any size is
+    read by many tasks. Conditions on `row` and `layer` leave blocks of binary files unread. Files below a folder
+    layer=NAME, as the writers leave them, are of that layer. ValueError for a format without a reader, OSError or
+    ValueError for a header that can't be read. Files must lie where Arrow's file systems can open them.
     """
-    files = _files(spark, paths, names)
-    for r in files.select("path", F.substring("content", 1, 4).alias("h")).collect():
-        if (kind or detect_format(r.path, bytes(r.h))) not in PARSERS:
-            raise ValueError(f"{r.path}: no reader for {kind or detect_format(r.path, bytes(r.h))}")
-    return files.mapInPandas(lambda f: _parsed(f, True, kind), CELLS), files.mapInPandas(lambda f: _parsed(f, False, kind), LAYERS)
+    gridfiles.register(spark)
+    files = []
+    for layer, path in _files(spark, paths, names):
+        sure = kind or detect_format(path)
+        if sure not in gridfiles.HEADERS:
+            raise ValueError(f"{path}: no reader for {sure}")
+        files.append((layer, path, None if kind is None and path.lower().endswith(".grd") else sure))
+    heads = spark.read.format("grid_heads").option("files", json.dumps(files)).load().collect()
+    for h in heads:
+        if h.error:
+            raise (OSError if h.error.startswith("OSError") else ValueError)(f"{h.filepath}: {h.error}")
+    layers = spark.createDataFrame([(h.layer, h.format, h.crs, h.filepath, h.nx, h.ny, h.xmin, h.xmax, h.ymin, h.ymax, None) for h in heads], LAYERS)
+    plan = [(h.layer, h.filepath, h.format, h.nx, h.ny, h.align) for h in heads if h.format != "surfer_ascii"]
+    cells = spark.read.format("grid_cells").option("plan", json.dumps(plan)).option("blockCells", block_cells).load()
+    texts = [h for h in heads if h.format == "surfer_ascii"]
+    if texts:
+        cells = cells.unionByName(_text_cells(spark, texts)) if plan else _text_cells(spark, texts)
+    return cells, layers
 
 
 def find_column(names: list[str], explicit: str | None, candidates: list[str], numeric: list[str] | None = None, at: int = 0) -> str:

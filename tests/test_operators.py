@@ -1,6 +1,7 @@
 """Operators against NumPy and against small cases with known results."""
 
 import itertools
+import json
 import struct
 import zlib
 from datetime import datetime
@@ -15,7 +16,7 @@ from strata.operators import features, graph, grid, metrics, ranks, sampling, st
 from strata.operators.grid import Grid
 from strata.plans import charts
 from strata.plans.pipeline import SurveyPipeline
-from strata.sources import grids, sinks, synthetic
+from strata.sources import gridfiles, grids, sinks, synthetic
 
 
 def frame(spark, z, layer="a"):
@@ -233,7 +234,7 @@ def test_grid_files(spark, tmp_path):
     z_b = np.where(np.isnan(z), 1.70141e38, z)
     (tmp_path / "a.grd").write_text("DSAA\n3 2\n0 20\n5 6\n1 6\n" + "\n".join(" ".join(f"{v:g}" for v in r) for r in z_b))
     (tmp_path / "b.grd").write_bytes(b"DSBB" + struct.pack("<HH6d", 3, 2, 0, 20, 5, 6, 1, 6) + z_b.astype("<f4").tobytes())
-    (tmp_path / "c.grd").write_bytes(b"DSRB" + struct.pack("<5I8d", 1, 72, 1, 3, 2, 0, 20, 5, 6, 1, 6, 0, 1.70141e38) + b"\0" * 8 + z_b.astype("<f8").tobytes())
+    (tmp_path / "c.grd").write_bytes(b"DSRB" + struct.pack("<5I8d", 1, 72, 1, 3, 2, 0, 5, 20, 6, 1, 6, 0, 1.70141e38) + b"\0" * 8 + z_b.astype("<f8").tobytes())
     head = bytearray(512)
     struct.pack_into("<ii", head, 4, 3, 2)
     struct.pack_into("<4d", head, 16, 0, 5, 10, 1)
@@ -247,6 +248,66 @@ def test_grid_files(spark, tmp_path):
     assert grids.surfer_ascii("\n".join(lines).encode())["z"].shape == (2, 3)
 
 
+@pytest.mark.parametrize("kind", ["surfer_binary", "surfer7", "geosoft", "geotiff", "surfer_ascii"])
+def test_large_grids_are_read_by_blocks(spark, tmp_path, kind):
+    z = np.random.default_rng(1).integers(0, 1000, (37, 53)).astype(float)
+    z[::5, ::3] = np.nan
+    cells, layers = grids.array_layer(spark, z, np.arange(53) * 2.0, np.arange(37) + 5.0, "a")
+    if kind == "surfer_ascii":
+        sinks.write_surfer(cells, layers, str(tmp_path))
+    else:
+        sinks.write_binary(cells, layers, str(tmp_path), kind)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        back, heads = grids.read_grids(spark, [str(tmp_path)], kind=kind, block_cells=200)
+        np.testing.assert_array_equal(array(back, "z", z.shape), z)
+        scan = spark.read.text(str(tmp_path)) if kind == "surfer_ascii" else back
+        tasks = scan.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    h = heads.first()
+    assert (h.layer, h.format, h.nx, h.ny, h.xmin, h.xmax, h.ymin, h.ymax) == ("a", kind, 53, 37, 0, 104, 5, 41)
+    assert tasks >= (4 if kind == "surfer_ascii" else 10)
+
+
+def test_conditions_leave_blocks_unread():
+    reader = gridfiles._Cells({"plan": json.dumps([["a", "p", "surfer7", 10, 100, 1], ["b", "q", "geotiff", 10, 100, 8]]), "blockCells": "100"})
+    assert len(reader.partitions()) == 10 + 13
+    some = gridfiles._Cells(reader_options := {"plan": json.dumps([["a", "p", "surfer7", 10, 100, 1], ["b", "q", "geotiff", 10, 100, 8]]), "blockCells": "100"})
+    filters = [gridfiles.ds.GreaterThan(("row",), 39), gridfiles.ds.LessThanOrEqual(("row",), 55), gridfiles.ds.GreaterThan(("z",), 0.5)]
+    assert list(some.pushFilters(filters)) == filters
+    assert [(p.layer, p.lo, p.hi) for p in some.partitions()] == [("a", 40, 50), ("a", 50, 60), ("b", 52, 60), ("b", 44, 52), ("b", 36, 44)]
+    one = gridfiles._Cells(reader_options)
+    list(one.pushFilters([gridfiles.ds.In(("layer",), ("b", "c")), gridfiles.ds.EqualTo(("row",), 99)]))
+    assert [(p.layer, p.lo, p.hi) for p in one.partitions()] == [("b", 92, 100)]
+    none = gridfiles._Cells(reader_options)
+    list(none.pushFilters([gridfiles.ds.EqualTo(("layer",), "z")]))
+    assert [p.hi for p in none.partitions()] == [0] and not list(none.read(none.partitions()[0]))
+
+
+def test_broken_grid_files(spark, tmp_path):
+    (tmp_path / "a.grd").write_text("DSAA\n3 2\n0 20\n5 6\n1 6\n1 2 3 4 5")
+    with pytest.raises(Exception, match="5 values for a grid of 6 cells"):
+        grids.read_grids(spark, [str(tmp_path / "a.grd")])[0].collect()
+    (tmp_path / "b.grd").write_bytes(b"\0" * 600)
+    with pytest.raises(OSError, match="not a readable Geosoft grid"):
+        grids.read_grids(spark, [str(tmp_path / "b.grd")])
+    (tmp_path / "c.tif").write_bytes(b"not a tiff at all")
+    with pytest.raises(ValueError, match="not a TIFF"):
+        grids.read_grids(spark, [str(tmp_path / "c.tif")])
+
+
+def test_plain_tiff_by_rows():
+    z = np.arange(23 * 30, dtype=float).reshape(23, 30)
+    for raw in (tiff(z), tiff(z, False)):
+        f = gridfiles.pa.BufferReader(raw)
+        head = gridfiles.HEADERS["geotiff"](f)
+        want = gridfiles.whole(raw, "geotiff")["z"]
+        for lo, hi in ((0, 23), (0, 1), (5, 17), (22, 23)):
+            np.testing.assert_array_equal(gridfiles.rows_of(f, head, lo, hi), want[lo:hi])
+
+
 def tiff(z, geo=True):
     body = z.astype("<f4").tobytes()
     tags = [(256, 4, (z.shape[1],)), (257, 4, (z.shape[0],)), (258, 3, (32,)), (259, 3, (1,)), (273, 4, (8,)), (277, 3, (1,)), (278, 4, (z.shape[0],)), (279, 4, (len(body),)), (339, 3, (3,))]
@@ -378,8 +439,12 @@ def test_packed_geotiff(code, pack, tiled, differences):
         if len(raw) > 4:
             raw, extra = struct.pack("<I", after + len(extra)), extra + raw
         entries += struct.pack("<HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
-    g = grids.geotiff(b"II" + struct.pack("<HI", 42, at) + body + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra)
+    raw = b"II" + struct.pack("<HI", 42, at) + body + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra
+    g = grids.geotiff(raw)
     np.testing.assert_array_equal(g["z"], z[::-1])
+    f = gridfiles.pa.BufferReader(raw)
+    for lo, hi in ((0, 5), (7, 8), (11, 30), (36, 37)):
+        np.testing.assert_array_equal(gridfiles.rows_of(f, gridfiles.HEADERS["geotiff"](f), lo, hi), z[::-1][lo:hi])
     assert (g["xmin"], g["ymax"]) == (11.0, 89.0)
 
 
