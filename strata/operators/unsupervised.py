@@ -16,8 +16,10 @@ def unit_maps(long: DataFrame) -> DataFrame:
     per_cell = long.groupBy("row", "col").agg(F.avg(F.abs("val")).alias("strength"), F.stddev_pop("val").alias("dispersion"))
     # Read three times below.
     per_cell = stored(per_cell, "cells")
-    ends = [percentiles(per_cell, c, [0.05, 0.95]).select(F.col("p").alias(n)) for c, n in (("strength", "s"), ("dispersion", "d"))]
-    limits = ends[0].crossJoin(ends[1])  # one row each
+    measures = per_cell.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("val")) for m in ("strength", "dispersion")])).alias("m")).select("m.*")
+    ends = percentiles(measures, "val", [0.05, 0.95], "measure")
+    one = lambda m: F.max(F.when(F.col("measure") == m, F.col("p"))).alias(m[0])
+    limits = ends.agg(one("strength"), one("dispersion"))  # one row
     return per_cell.crossJoin(F.broadcast(limits)).select("row", "col", unit(F.col("strength"), F.col("s")[0], F.col("s")[1]).alias("prob"), unit(F.col("dispersion"), F.col("d")[0], F.col("d")[1]).alias("uncertainty"))
 
 

@@ -546,3 +546,39 @@ def test_chart_tables(spark):
     assert charts.bars(t).count() == 12 and charts.comparison({"a": t, "b": t}, 3).count() == 6
     assert {(r.x, r.marker) for r in charts.overlay(spark.sql("SELECT * FROM VALUES (1, 0, 1), (2, 0, 0), (3, 0, 7) AS w(x, y, label)")).collect()} == {(1, "up"), (2, "down")}
     assert charts.importance_bars(spark, [("mag__win_std", 0.5)]).first().asDict() == {"label": "mag\nwin std", "importance": 0.5}
+
+
+@pytest.mark.parametrize("few,reach,most", [(10_000, 0.01, 1 << 22), (50, 0.01, 1 << 22), (50, -0.02, 1 << 22), (50, 0.01, 3)])
+def test_percentiles_by_brackets(spark, monkeypatch, few, reach, most):
+    """Whole groups, brackets, ranks that miss their brackets, brackets with too many values: always the same percentiles."""
+    rng = np.random.default_rng(3)
+    groups = {"wide": rng.normal(size=20_000), "ties": rng.integers(0, 7, 15_000).astype(float), "one": np.full(12_000, 3.5), "few": rng.normal(size=9), "two": np.array([1.0, 2.0]), None: rng.exponential(size=11_000)}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("few", None)] * 5 + [("none", None)]
+    df = spark.createDataFrame(rows, "_n string, v double").repartition(6)
+    at = [0.0, 0.02, 0.5, 0.8, 0.98, 1.0]
+    asked = []
+    monkeypatch.setattr(ranks, "_by_ranges", lambda *a, f=ranks._by_ranges: asked.append(1) or f(*a))
+    for name, value in (("FEW", few), ("REACH", reach), ("MOST", most)):
+        monkeypatch.setattr(ranks, name, value)
+    got = {r["k"]: r for r in ranks.percentiles(df.withColumnRenamed("_n", "k"), "v", at, "k").collect()}
+    for k, x in groups.items():
+        assert got[k].n == len(x)
+        np.testing.assert_allclose(got[k].p, np.percentile(x, [100 * q for q in at]))
+    assert got["none"].n == 0 and got["none"].p == [None] * len(at) and len(got) == len(groups) + 1
+    assert bool(asked) == (reach < 0 or most == 3)
+    every = np.concatenate(list(groups.values()))
+    r = ranks.percentiles(df, "v", [0.3, 0.999]).first()
+    assert r.n == len(every)
+    np.testing.assert_allclose(r.p, np.percentile(every, [30, 99.9]))
+
+
+def test_numbers_within_keys(spark):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 500, p=[0.8, 0.15, 0.05]), "v": rng.permutation(500)})
+    frame.loc[:20, "k"] = None
+    df = spark.createDataFrame([(None if pd.isna(k) else k, int(v)) for k, v in frame.itertuples(index=False)], "k string, v int").repartition(9)
+    got = ranks.numbered(df, "place", "v", within=("k",), total="n").toPandas()
+    for k, part in got.groupby(got["k"].fillna("null")):
+        assert (part.sort_values("v")["place"].to_numpy() == np.arange(len(part))).all() and (part["n"] == len(part)).all()
+    every = ranks.numbered(df, "place", "v").toPandas().sort_values("v")
+    assert list(every["place"]) == list(range(500))
