@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.ranks import running
+
 STEPS = 181
 
 
@@ -38,11 +40,10 @@ def best_threshold(scored: DataFrame, metric: str = "f1") -> DataFrame:
 
 
 def curve(scored: DataFrame, *by: str) -> DataFrame:
-    """Group columns, prob, tp, fp, precision, recall at each distinct prob, from counts per prob."""
+    """Group columns, prob, tp, fp, precision, recall at each distinct prob, from counts per prob, added up over sorted ranges."""
     counts = scored.groupBy(*by, "prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    down, whole = Window.partitionBy(*by).orderBy(F.desc("prob")), Window.partitionBy(*by)
-    tp, fp = F.sum("p").over(down), F.sum("n").over(down)
-    return counts.select(*by, "prob", "p", "n", tp.alias("tp"), fp.alias("fp"), (tp / (tp + fp)).alias("precision"), (tp / F.sum("p").over(whole)).alias("recall"))
+    tp, fp = F.col("p_upto"), F.col("n_upto")
+    return running(counts, ("p", "n"), F.desc("prob"), within=by).select(*by, "prob", "p", "n", tp.alias("tp"), fp.alias("fp"), (tp / (tp + fp)).alias("precision"), (tp / F.col("p_all")).alias("recall"))
 
 
 def model_metrics(scored: DataFrame, *by: str) -> DataFrame:

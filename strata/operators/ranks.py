@@ -34,6 +34,27 @@ def numbered(rows: DataFrame, name: str, *order: Column | str, within: tuple[str
     return placed.drop(at, part, before, first, f"{name}_range", *keys)
 
 
+def running(rows: DataFrame, sums: tuple[str, ...], *order: Column | str, within: tuple[str, ...] = ()) -> DataFrame:
+    """rows with, for each column c of `sums`, c_upto (its sum up to the row in this order, the row included) and c_all (its
+    whole sum), over all rows or within each key of `within`. Order and keys must tell rows apart.
+
+    Partitions are sorted ranges; what one task holds is a range, and what is summed up by key a row for each range that
+    holds it.
+    """
+    laid = stored(rows.orderBy(*within, *order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "running")
+    keys = [f"_key{i}" for i in range(len(within))]
+    ranges = laid.groupBy(F.col("_part").alias("_range"), *[F.col(k).alias(a) for k, a in zip(within, keys)]).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    every = Window.partitionBy(*keys)
+    below = [F.coalesce(F.sum(f"_{c}").over(every.orderBy("_range").rowsBetween(BEFORE, -1)), F.lit(0)).alias(f"_{c}_below") for c in sums]
+    ranges = ranges.select("_range", *keys, *below, *[F.sum(f"_{c}").over(every).alias(f"{c}_all") for c in sums])
+    same = F.col("_part") == F.col("_range")
+    for k, a in zip(within, keys):
+        same &= F.col(k).eqNullSafe(F.col(a))
+    here = Window.partitionBy("_part", *within).orderBy("_at").rowsBetween(BEFORE, 0)
+    placed = laid.withColumns({f"{c}_upto": F.sum(c).over(here) for c in sums}).join(ranges, same)
+    return placed.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"_{c}_below") for c in sums}).select(*rows.columns, *[f"{c}_{x}" for c in sums for x in ("upto", "all")])
+
+
 def percentiles(rows: DataFrame, column: str, at: list[float], *keys: str) -> DataFrame:
     """keys, n, p: the count of present values, and their exact percentiles, interpolated between neighbours (null without a value).
 

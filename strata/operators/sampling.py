@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.grid import Grid
+from strata.operators.nearest import neighbours
 from strata.operators.ranks import numbered
-from strata.operators.storage import stored
-
-#: Bytes of vectors that one pass of the neighbour search takes along, and rows of a tile.
-BLOCK_BYTES, TILE = 1 << 26, 1024
 
 
 class Balance(NamedTuple):
@@ -100,65 +95,6 @@ def assemble(features: DataFrame, wells: DataFrame, grid: Grid, positive: int =
     return features.join(cells, ["row", "col"]).na.drop()
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _nearest(block, k: int):
-    """mapInArrow: for each vector of the block the k nearest of the task's rows, ties to the smaller id."""
-
-    def run(batches):
-        own, q = block.value
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        for batch in batches:
-            for at in range(0, batch.num_rows, TILE):
-                tile = batch.slice(at, TILE)
-                ids, v = tile.column(0).to_numpy(), _matrix(tile.column(1))
-                order = np.argsort(ids, kind="stable")
-                ids, v = ids[order], v[order]
-                for lo in range(0, len(own), TILE):
-                    d2 = np.zeros((len(own[lo : lo + TILE]), len(ids)))
-                    for x in range(q.shape[1]):
-                        d2 += (q[lo : lo + TILE, x, None] - v[None, :, x]) ** 2
-                    d2[own[lo : lo + TILE, None] == ids] = np.inf
-                    best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                    row = np.repeat(np.arange(len(d2)), best.shape[1])
-                    new = (lo + row, ids[best.ravel()], d2[row, best.ravel()])
-                    held = [np.r_[a, b[np.isfinite(new[2])]] for a, b in zip(held, new)]
-            order = np.lexsort((held[1], held[2], held[0]))
-            held = [x[order] for x in held]
-            start = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]]) if len(order) else np.zeros(0, int)
-            keep = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)])) < k
-            held = [x[keep] for x in held]
-        yield pa.RecordBatch.from_arrays([pa.array(own[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["a", "b", "d2"])
-
-    return run
-
-
-def neighbours(vectors: DataFrame, k: int = 5, key: str = "id", vec: str = "vec", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """key, rank, other, d2: the k nearest other rows by squared distance, ties by id. Vectors have one length; rows with a
-    null key or vector take no part.
-
-    The vectors go around in blocks of bounded bytes, one pass over the rows each; a task keeps k rows for each vector of a
-    block, and the lists of all tasks meet by key.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("a"), F.col(vec).cast("array<double>").alias("v")).dropna()
-    blocks = max(1, -(-(rows.agg(F.sum(F.size("v") * 8 + 16)).first()[0] or 0) // block_bytes))
-    every = stored(rows.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")), "vectors", "block") if blocks > 1 else rows
-    lists = None
-    for b in range(blocks):
-        table = (every.where(F.col("block") == b) if blocks > 1 else every).select("a", "v").toArrow()
-        if table.num_rows:
-            held = spark.sparkContext.broadcast((table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())))
-            found = rows.mapInArrow(_nearest(held, k), "a long, b long, d2 double")
-            lists = found if lists is None else lists.unionByName(found)
-    if lists is None:
-        lists = spark.createDataFrame([], "a long, b long, d2 double")
-    order = Window.partitionBy("a").orderBy("d2", "b")
-    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("a").alias(key), "rank", F.col("b").alias("other"), "d2")
-
-
 def synthetic_count(n_pos: int, n_neg: int, ratio: float) -> int:
     return max(0, int(ratio * n_neg) - n_pos)
 
@@ -184,5 +120,6 @@ def smote(positives: DataFrame, n: int, k: int = 5, seed: int = 42, key: str = "
 
 
 def folds(samples: DataFrame, k: int, order, label: str = "label") -> DataFrame:
-    """samples with fold 0 .. k-1, even within each label in the given order."""
-    return samples.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1) % k).cast("int"))
+    """samples with fold 0 .. k-1, even within each label in the given order. A label's rows are numbered by sorted ranges."""
+    placed = numbered(samples, "_fold", order, within=(label,))
+    return placed.withColumn("fold", (F.col("_fold") % k).cast("int")).drop("_fold")

@@ -15,6 +15,8 @@ from strata.operators.ranks import percentiles
 from strata.operators.storage import stored
 
 TILE = 512
+#: Shares of a type's records that are cut to the best before they meet.
+SHARES = 64
 COLUMNS = ("rank", "x", "y", "row", "col", "max_probability", "mean_probability", "max_score", "mean_uncertainty", "area_km2", "n_pixels", "target_type", "threshold_used")
 
 
@@ -32,7 +34,13 @@ def _tile_labels(tile: pd.DataFrame, width: int) -> pd.DataFrame:
     rows, cols = rows[order], cols[order]
     new = np.r_[True, (rows[1:] != rows[:-1]) | (cols[1:] != cols[:-1] + 1)]
     run = np.cumsum(new) - 1
-    parent = np.arange(run[-1] + 1)
+    start = np.flatnonzero(new)
+    end = np.r_[start[1:], len(rows)] - 1
+    # Runs by (row, column) as one number; the runs of the row above that a run touches are neighbours in that order.
+    wide = int(cols.max(initial=0)) + 2
+    first, last = rows[start] * wide + cols[start], rows[end] * wide + cols[end]
+    lo, hi = np.searchsorted(last, first - wide, "left"), np.searchsorted(first, last - wide, "right")
+    parent = list(range(len(start)))
 
     def find(i):
         while parent[i] != i:
@@ -40,18 +48,18 @@ def _tile_labels(tile: pd.DataFrame, width: int) -> pd.DataFrame:
             i = parent[i]
         return i
 
-    place = {(r, c): k for r, c, k in zip(rows.tolist(), cols.tolist(), run.tolist())}
-    for (r, c), k in place.items():
-        up = place.get((r - 1, c))
-        if up is not None:
-            a, b = find(k), find(up)
-            parent[max(a, b)] = min(a, b)
-    root = np.array([find(i) for i in range(len(parent))])
+    touching = np.flatnonzero(hi > lo)
+    for k, i, j in zip(touching.tolist(), lo[touching].tolist(), hi[touching].tolist()):
+        for other in range(i, j):
+            a, b = find(k), find(other)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    root = np.array([find(i) for i in range(len(parent))], np.int64)
     number = rows * width + cols
-    first = np.full(len(parent), np.iinfo(np.int64).max)
-    np.minimum.at(first, root[run], number)
+    least = np.full(len(parent), np.iinfo(np.int64).max)
+    np.minimum.at(least, root[run], number)
     out = tile.iloc[order].copy()
-    out["component"] = first[root[run]]
+    out["component"] = least[root[run]]
     return out
 
 
@@ -106,12 +114,16 @@ def suppressed(records: DataFrame, n: int = 15, distance: int = 10) -> DataFrame
     better one kept; ranked from 1.
 
     Choosing is sequential, but few records can matter: of those with one centre only the best, and around each kept one
-    no more centres than its square has, so n squares' worth of the best records of a type is all that reaches its task.
+    no more centres than its square has, so n squares' worth of the best records of a type is all that matters. They are
+    taken from each of SHARES shares of the type's records first, then from what is left of all.
     """
     schema = T.StructType([*records.schema.fields, T.StructField("rank", T.IntegerType())])
     best = Window.partitionBy("target_type", "row", "col").orderBy(F.desc("max_score"), "component")
-    first = Window.partitionBy("target_type").orderBy(F.desc("max_score"), "component")
-    few = records.withColumn("_i", F.row_number().over(best)).where("_i = 1").withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= n * (2 * distance - 1) ** 2).drop("_i")
+    few = records.withColumn("_i", F.row_number().over(best)).where("_i = 1").withColumn("_share", F.pmod(F.xxhash64("row", "col"), F.lit(SHARES)))
+    for by in (("target_type", "_share"), ("target_type",)):
+        first = Window.partitionBy(*by).orderBy(F.desc("max_score"), "component")
+        few = few.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= n * (2 * distance - 1) ** 2)
+    few = few.drop("_i", "_share")
     return few.groupBy("target_type").applyInPandas(lambda f: _spaced(f.sort_values(["max_score", "component"], ascending=[False, True], kind="stable"), n, distance), schema)
 
 

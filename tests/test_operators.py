@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import columns
-from strata.operators import features, graph, grid, metrics, ranks, sampling, stencil, targets
+from strata.operators import features, graph, grid, metrics, nearest, ranks, sampling, stencil, targets
 from strata.operators.grid import Grid
 from strata.plans import charts
 from strata.plans.pipeline import SurveyPipeline
@@ -471,8 +471,8 @@ def test_neighbours_by_blocks_and_ties(spark):
     rng = np.random.default_rng(3)
     v = rng.integers(0, 3, (70, 4)).astype(float)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, [0.0] * 4), (99, None)], "id long, vec array<double>").repartition(5)
-    for size in (1 << 20, 600):
-        got = {(r.id, r["rank"]): (r.other, r.d2) for r in sampling.neighbours(df, 6, block_bytes=size).collect()}
+    for cell_rows, block_rows in ((256, 1024), (9, 1024), (9, 4), (1, 3)):
+        got = {(r.id, r["rank"]): (r.other, r.d2) for r in sampling.neighbours(df, 6, cell_rows=cell_rows, block_rows=block_rows).collect()}
         for i in range(70):
             want = sorted((float(((v[i] - v[j]) ** 2).sum()), j) for j in range(70) if j != i)[:6]
             assert [got[i, k + 1] for k in range(6)] == [(j, d) for d, j in want]
@@ -582,3 +582,70 @@ def test_numbers_within_keys(spark):
         assert (part.sort_values("v")["place"].to_numpy() == np.arange(len(part))).all() and (part["n"] == len(part)).all()
     every = ranks.numbered(df, "place", "v").toPandas().sort_values("v")
     assert list(every["place"]) == list(range(500))
+
+
+def test_neighbours_of_clusters_skip_far_cells(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 6)) * 50
+    size = np.r_[1500, rng.integers(1, 60, 39)]  # one cluster holds more than half of the rows
+    v = np.concatenate([c + rng.normal(size=(n, 6)) for c, n in zip(centres, size)])
+    v[10:20] = v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>").repartition(6)
+    work = nearest.compared(df, 5, cell_rows=40, block_rows=200).first()
+    assert work.n == len(v) and work.distances < len(v) ** 2 / 1.5
+    d2 = nearest.squared(v, v)
+    d2[np.arange(len(v)), np.arange(len(v))] = np.inf
+    want = {(i, k + 1): (int(j), float(d2[i, j])) for i in range(len(v)) for k, j in enumerate(np.lexsort((np.arange(len(v)), d2[i]))[:5])}
+    assert {(r.id, r["rank"]): (r.other, r.d2) for r in nearest.neighbours(df, 5, cell_rows=40, block_rows=200).collect()} == want
+    even = np.concatenate([c + rng.normal(size=(50, 6)) for c in centres])
+    even_df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(even)], "id long, vec array<double>")
+    work = nearest.compared(even_df, 5, cell_rows=20).first()
+    assert work.distances < work.n**2 / 8
+    assert nearest.neighbours(df.where("id < 0")).count() == 0 and nearest.compared(df.where("id < 0")).first().distances == 0
+
+
+@pytest.mark.parametrize("by", [(), ("k",)])
+def test_curves_of_any_size(spark, by):
+    rng = np.random.default_rng(7)
+    frame = pd.DataFrame({"k": rng.choice(["a", "b"], 4000, p=[0.9, 0.1]), "prob": np.round(rng.random(4000), 3), "label": (rng.random(4000) < 0.2).astype(int)})
+    df = spark.createDataFrame(frame).repartition(9)
+    got = metrics.curve(df, *by).toPandas()
+    for k, part in frame.groupby("k") if by else [(None, frame)]:
+        mine = got[got.k == k] if by else got
+        mine = mine.sort_values("prob", ascending=False)
+        at = np.sort(part.prob.unique())[::-1]
+        tp = np.array([((part.prob >= p) & (part.label == 1)).sum() for p in at])
+        fp = np.array([((part.prob >= p) & (part.label == 0)).sum() for p in at])
+        assert (mine.prob.to_numpy() == at).all() and (mine.tp.to_numpy() == tp).all() and (mine.fp.to_numpy() == fp).all()
+        np.testing.assert_allclose(mine.recall, tp / tp[-1])
+
+
+def test_no_task_gets_all_rows(spark):
+    """Curves, folds and suppression bring rows of one key together by ranges or shares, not through one partition."""
+    df = spark.range(2000).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") * 0.37 % 1).alias("prob"), "id").repartition(4)
+    seen = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in seen(sampling.folds(df, 3, "id"))
+    got = sampling.folds(df, 3, "id").toPandas()
+    for _, part in got.groupby("label"):
+        assert (part.sort_values("id")["fold"].to_numpy() == np.arange(len(part)) % 3).all()
+
+
+def test_labels_of_winding_components():
+    rng = np.random.default_rng(2)
+    for share in (0.3, 0.55, 0.6, 0.9):
+        mask = rng.random((60, 45)) < share
+        rows, cols = np.nonzero(mask)
+        got = targets._tile_labels(pd.DataFrame({"row": rows, "col": cols}).sample(frac=1, random_state=1), 45)
+        label = {(r, c): n for r, c, n in zip(got.row, got.col, got.component)}
+        want = {}
+        for r, c in zip(rows.tolist(), cols.tolist()):
+            if (r, c) in want:
+                continue
+            todo, want[r, c] = [(r, c)], r * 45 + c
+            while todo:
+                y, x = todo.pop()
+                for at in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                    if at not in want and 0 <= at[0] < 60 and 0 <= at[1] < 45 and mask[at]:
+                        want[at] = r * 45 + c
+                        todo.append(at)
+        assert label == want
