@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from strata.operators.storage import stored
 BEFORE = Window.unboundedPreceding
 #: Size of the quantile sketch (rank error about 0.25 %), and how far a bracket reaches to either side of its rank.
 SKETCH, REACH = 2000, 0.01
-#: Groups of at most FEW values are wholly inside their brackets; a bracket of more than MOST different values is sorted by ranges.
+#: Groups of at most FEW values are wholly inside their brackets; groups of more than MOST different values inside brackets are sorted by ranges.
 FEW, MOST = 10_000, 1 << 22
 
 
@@ -58,39 +60,41 @@ def running(rows: DataFrame, sums: tuple[str, ...], *order: Column | str, within
 def percentiles(rows: DataFrame, column: str, at: list[float], *keys: str) -> DataFrame:
     """keys, n, p: the count of present values, and their exact percentiles, interpolated between neighbours (null without a value).
 
-    One scan sketches each group's quantiles, which bracket every rank asked for; a second counts what lies below a bracket
-    and keeps the values inside, a few hundredths of the rows, added up by value on the way to the shuffle. Only those are
-    sorted. The counts tell whether a rank fell into its bracket: if one did not, or a bracket holds too many different
-    values for a task, all values are sorted by ranges instead, so results never rest on the sketch. A group of nulls alone
-    has n = 0. Null keys are keys. The counts are checked when this is called (two jobs).
+    One scan sketches each group's quantiles, which bracket every rank asked for; a second keeps the values inside, a few
+    hundredths of the rows a rank, and counts what lies between brackets, all added up by value on the way to the shuffle.
+    Only those are sorted. The counts tell whether a rank fell into its bracket: if one did not, or a group's brackets hold
+    too many different values for a task, all values are sorted by ranges instead, so results never rest on the sketch. A
+    group of nulls alone has n = 0. Null keys are keys. Runs its jobs when it is called.
     """
     value = F.col(column).cast("double")
     ends = rows.groupBy(*[F.col(k).alias(f"_end_{k}") for k in keys]).agg(F.count(value).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.kll_sketch_agg_double(value, F.lit(SKETCH)).alias("_sketch"))
     told = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(min(max(q + d, 0.0), 1.0)) for q in at for d in (-REACH, REACH)]))
     told = F.when(F.col("_n") > FEW, told)
     within = [(F.when((F.col("_n") <= FEW) | F.lit(q - REACH <= 0), F.col("_min")).otherwise(told[2 * i]), F.when((F.col("_n") <= FEW) | F.lit(q + REACH >= 1), F.col("_max")).otherwise(told[2 * i + 1])) for i, q in enumerate(at)]
-    ends = ends.select(*[f"_end_{k}" for k in keys], "_n", F.array(*[F.struct(F.lit(i).alias("slot"), lo.alias("lo"), hi.alias("hi")) for i, (lo, hi) in enumerate(within)]).alias("_brackets"))
+    ends = ends.select(*[f"_end_{k}" for k in keys], "_n", F.array(*[F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in within]).alias("_brackets"))
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_end_{k}"))
     plain = rows.select(*keys, value.alias("_v"))
     # Without keys, one row of brackets.
     both = plain.join(ends, same) if keys else plain.crossJoin(F.broadcast(ends))
-    kept = F.filter("_brackets", lambda b: F.col("_v").isNull() | ~(F.col("_v") > b["hi"]))
-    each = both.select(*keys, "_n", "_v", F.explode(kept).alias("b"))
-    each = each.select(*keys, "_n", F.col("b.slot").alias("slot"), F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("v"), F.col("_v").isNotNull().cast("long").alias("c"))
-    parts = stored(each.groupBy(*keys, "_n", "slot", "v").agg(F.sum("c").alias("c")), "brackets")
-    fraction = F.element_at(F.array(*map(F.lit, map(float, at))), F.col("slot") + 1) * (F.col("_n") - 1)
-    inside = parts.groupBy(*keys, "_n", "slot").agg(F.count("v").alias("values"), F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("below"), F.sum("c").alias("upto"))
-    missed = (F.col("_n") > 0) & ((F.floor(fraction) < F.col("below")) | (F.ceil(fraction) >= F.col("upto")))
-    seen = inside.agg(F.max("values").alias("values"), F.count_if(missed).alias("missed")).first()
-    if seen.missed or (seen.values or 0) > MOST:
+    # A value outside of all brackets counts right after the end of the last bracket below it (before all if there is none).
+    inside = F.exists("_brackets", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
+    before = F.array_max(F.transform(F.filter("_brackets", lambda b: b["hi"] < F.col("_v")), lambda b: b["hi"]))
+    each = both.select(*keys, "_n", F.when(inside, F.col("_v")).when(F.col("_v").isNotNull(), before).alias("v"), (~F.coalesce(inside, F.lit(False))).alias("out"), F.col("_v").isNotNull().cast("long").alias("c"))
+    parts = stored(each.groupBy(*keys, "_n", "v", "out").agg(F.sum("c").alias("c")), "brackets")
+    if keys and (parts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > MOST or not keys and parts.count() > MOST:
         return _by_ranges(rows.withColumn(column, value), column, at, *keys)
-    upto = F.sum("c").over(Window.partitionBy(*keys, "slot").orderBy(F.col("v").asc_nulls_first()).rowsBetween(BEFORE, 0))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first(), "out").rowsBetween(BEFORE, 0))
     placed = parts.withColumn("upto", upto)
-    holds = lambda r: F.col("v").isNotNull() & (F.col("upto") - F.col("c") <= r) & (r < F.col("upto"))
-    found = [x for i in range(len(at)) for x in (F.max(F.when((F.col("slot") == i) & holds(F.floor(fraction)), F.col("v"))).alias(f"lo{i}"), F.max(F.when((F.col("slot") == i) & holds(F.ceil(fraction)), F.col("v"))).alias(f"hi{i}"))]
-    return _between(placed.groupBy(*keys).agg(F.max("_n").alias("n"), *found), at, *keys)
+    rank = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    holds = lambda r: ~F.col("out") & (F.col("upto") - F.col("c") <= r) & (r < F.col("upto"))
+    found = [x for i, q in enumerate(at) for x in (F.max(F.when(holds(F.floor(rank(q))), F.col("v"))).alias(f"lo{i}"), F.max(F.when(holds(F.ceil(rank(q))), F.col("v"))).alias(f"hi{i}"))]
+    best = stored(placed.groupBy(*keys).agg(F.max("_n").alias("n"), *found), "percentiles")
+    missed = reduce(lambda a, b: a | b, [F.col(f"{x}{i}").isNull() for i in range(len(at)) for x in ("lo", "hi")], F.lit(False))
+    if best.where((F.col("n") > 0) & missed).limit(1).count():
+        return _by_ranges(rows.withColumn(column, value), column, at, *keys)
+    return _between(best, at, *keys)
 
 
 def _between(best: DataFrame, at: list[float], *keys: str) -> DataFrame:

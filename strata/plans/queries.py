@@ -796,16 +796,54 @@ def _predicted(spark, sf_dir, add) -> DataFrame:
 
 @query()
 def rf_predict(spark, sf_dir):
+    """The operator's own settings but for 60 trees (300 and more)."""
     from strata.operators.models import fit_forest
 
-    return _predicted(spark, sf_dir, lambda rows: fit_forest(rows, sampling.balance(rows), 20).add(rows, "prob"))
+    return _predicted(spark, sf_dir, lambda rows: fit_forest(rows, sampling.balance(rows), 60).add(rows, "prob"))
 
 
 @query()
 def gb_predict(spark, sf_dir):
+    """The operator's own settings but for 30 rounds (500 at most)."""
     from strata.operators.models import fit_boosted
 
-    return _predicted(spark, sf_dir, lambda rows: fit_boosted(rows, sampling.balance(rows), 8).add(rows, "prob"))
+    return _predicted(spark, sf_dir, lambda rows: fit_boosted(rows, sampling.balance(rows), 30).add(rows, "prob"))
+
+
+_LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+def _boosting_sql(rounds: int, depth: int, rate: float, least: int, l2: float, bins: int) -> str:
+    """The same boosting in SQL: for each round and level a histogram by node, feature and bin, the best split of each node, and the
+    nodes that rows go on to."""
+    marks = ", ".join(f"{i / bins!r}::DOUBLE" for i in range(1, bins))
+    at = [f"CAST(len(list_filter(c{i}.q, lambda v: v < {f})) AS INTEGER) AS b{i}" for i, f in enumerate(_LINE_FEATURES)]
+    parts = [f"c{i} AS (SELECT list_distinct(quantile_cont({f}, [{marks}])) AS q FROM lineitem)" for i, f in enumerate(_LINE_FEATURES)]
+    parts += ["s AS (SELECT ln(avg(y) / (1 - avg(y))) AS start FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM lineitem))"]
+    parts += [f"r0 AS (SELECT l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0 END AS y, {', '.join(at)}, start AS raw FROM lineitem, s, {', '.join(f'c{i}' for i in range(3))})"]
+    for r in range(rounds):
+        parts.append(f"g{r} AS (SELECT *, 1 / (1 + exp(-raw)) - y AS g, 1 / (1 + exp(-raw)) * (1 - 1 / (1 + exp(-raw))) AS h FROM r{r})")
+        parts.append(f"n{r}_0 AS (SELECT *, 0 AS node FROM g{r})")
+        for d in range(depth):
+            each = " UNION ALL ".join(f"SELECT node, {i} AS f, b{i} AS bin, g, h FROM n{r}_{d}" for i in range(3))
+            parts.append(f"h{r}_{d} AS (SELECT node, f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM ({each}) WHERE node >= {2**d - 1} GROUP BY ALL)")
+            over = "OVER (PARTITION BY node, f ORDER BY bin)"
+            whole = "OVER (PARTITION BY node, f)"
+            parts.append(f"w{r}_{d} AS (SELECT node, f, bin, sum(g) {over} AS gl, sum(h) {over} AS hl, sum(n) {over} AS nl, sum(g) {whole} AS gs, sum(h) {whole} AS hs, sum(n) {whole} AS ns FROM h{r}_{d})")
+            parts.append(f"b{r}_{d} AS (SELECT node, f, bin FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) AS k FROM (SELECT node, f, bin, round(gl * gl / (hl + {l2}) + (gs - gl) * (gs - gl) / (hs - hl + {l2}) - gs * gs / (hs + {l2}), 9) AS gain FROM w{r}_{d} WHERE nl >= {least} AND ns - nl >= {least}) WHERE gain > 0) WHERE k = 1)")
+            parts.append(f"n{r}_{d + 1} AS (SELECT n.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN n.node ELSE 2 * n.node + 1 + CAST(CASE b.f WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END > b.bin AS INTEGER) END AS node FROM n{r}_{d} n LEFT JOIN b{r}_{d} b ON n.node = b.node)")
+        parts.append(f"r{r + 1} AS (SELECT id, y, b0, b1, b2, raw - {rate} * sum(g) OVER (PARTITION BY node) / (sum(h) OVER (PARTITION BY node) + {l2}) AS raw FROM n{r}_{depth})")
+    return f"WITH {', '.join(parts)} SELECT id, CAST(y AS INTEGER) AS label, round(1 / (1 + exp(-raw)), 6) AS prob FROM r{rounds}"
+
+
+@query(_boosting_sql(3, 2, 0.3, 20, 0.1, 8))
+def boosted_lines(spark, sf_dir):
+    """Three rounds of boosting at depth 2 on all order lines: are they returned?"""
+    from strata.operators import trees
+
+    rows = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_returnflag") == "R").cast("double").alias("y"), F.array(*_LINE_FEATURES).alias("x"))
+    model = trees.boost(rows.select("id", "y", F.lit(1.0).alias("w"), F.lit(False).alias("held"), "x"), 3, 3, 0.3, 2, 20, 0.1, None, 8)
+    return rounded(rows.select("id", F.col("y").cast("int").alias("label"), trees.scores(model, F.col("x")).alias("prob")))
 
 
 @query()

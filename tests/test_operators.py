@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import columns
-from strata.operators import features, graph, grid, metrics, nearest, ranks, sampling, stencil, targets
+from strata.operators import features, graph, grid, metrics, nearest, ranks, sampling, stencil, targets, trees
 from strata.operators.grid import Grid
 from strata.plans import charts
 from strata.plans.pipeline import SurveyPipeline
@@ -649,3 +649,122 @@ def test_labels_of_winding_components():
                         want[at] = r * 45 + c
                         todo.append(at)
         assert label == want
+
+
+def labelled(spark, n=1200, parts=5):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(n, 5)), 2)
+    y = ((x[:, 0] * x[:, 1] > 0.3) | (x[:, 2] > 1.4)).astype(float)
+    rows = [(i * 7, float(b), 1.0 + (i % 3), i % 5 == 0, a.tolist()) for i, (a, b) in enumerate(zip(x, y))]
+    return x, y, rows, spark.createDataFrame(rows, "id long, y double, w double, held boolean, x array<double>").repartition(parts)
+
+
+def area(p, y):
+    order = np.argsort(p, kind="stable")
+    rank = np.empty(len(p))
+    rank[order] = np.arange(len(p))
+    return (rank[y == 1].mean() - (y.sum() - 1) / 2) / (y == 0).sum()
+
+
+def plain_boost(bins, y, w, held, rounds, rate, depth, least, l2, patience):
+    """Boosting row by row: trees as nested tuples, splits by trying every one."""
+    use = ~held
+    start = np.log((w * y)[use].sum() / (w * (1 - y))[use].sum())
+    raw, losses = np.full(len(y), start), []
+
+    def split(rows, left):
+        p = 1 / (1 + np.exp(-raw[rows]))
+        g, h = w[rows] * (p - y[rows]), w[rows] * p * (1 - p)
+        value = -rate * g.sum() / (h.sum() + l2)
+        best = (0.0, None)
+        for f in range(bins.shape[1]) if left else []:
+            for b in range(bins[:, f].max() + 1):
+                lo = bins[rows, f] <= b
+                if lo.sum() >= least and (~lo).sum() >= least:
+                    gain = g[lo].sum() ** 2 / (h[lo].sum() + l2) + g[~lo].sum() ** 2 / (h[~lo].sum() + l2) - g.sum() ** 2 / (h.sum() + l2)
+                    if round(gain, 9) > best[0]:
+                        best = (round(gain, 9), (f, b))
+        if best[1] is None:
+            return value
+        f, b = best[1]
+        lo = bins[rows, f] <= b
+        return f, b, split(rows[lo], left - 1), split(rows[~lo], left - 1)
+
+    def value(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for r in range(rounds + 1):
+        if held.any():
+            losses.append(((w * (np.logaddexp(0, raw) - y * raw))[held]).sum() / w[held].sum())
+        if r == rounds or (len(losses) > patience and min(losses[-patience:]) >= min(losses[:-patience])):
+            return raw, losses
+        tree = split(np.flatnonzero(use), depth)
+        raw = raw + np.array([value(tree, b) for b in bins])
+
+
+def test_boosting_equals_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(trees, "KEPT_ROUNDS", 3)
+    x, y, rows, df = labelled(spark, 400)
+    w, held = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    model = trees.boost(df, 5, 7, 0.3, 3, 8, 0.5, 25, 12)
+    raw, losses = plain_boost(trees.cells(x, model.cuts), y, w, held, 7, 0.3, 3, 8, 0.5, 25)
+    np.testing.assert_allclose(model.predict(x), 1 / (1 + np.exp(-raw)), rtol=1e-8)
+    np.testing.assert_allclose(model.losses, losses, rtol=1e-8)
+    monkeypatch.setattr(trees, "FEW_TASKS", 0)  # histograms added up by an exchange
+    np.testing.assert_allclose(trees.boost(df, 5, 2, 0.3, 3, 8, 0.5, 25, 12).predict(x), 1 / (1 + np.exp(-plain_boost(trees.cells(x, model.cuts), y, w, held, 2, 0.3, 3, 8, 0.5, 25)[0])), rtol=1e-8)
+
+
+def test_boosting_stops_without_gain(spark):
+    x, y, rows, df = labelled(spark, 300)
+    noise = df.withColumn("y", F.pmod(F.xxhash64("id"), F.lit(2)).cast("double"))
+    model = trees.boost(noise, 5, 60, 0.5, 2, 5, 0.1, 4, 8)
+    assert len(model.trees) < 60 and min(model.losses[-4:]) >= min(model.losses[:-4])
+    assert trees.unpacked(trees.packed(model)).predict(x).tolist() == model.predict(x).tolist()
+
+
+def test_boosting_ranks_well(spark):
+    x, y, rows, df = labelled(spark)
+    model = trees.boost(df, 5, 25, 0.2, 4, 5, 0.1)
+    held = np.array([r[3] for r in rows])
+    assert area(model.predict(x)[held], y[held]) > 0.93
+
+
+def test_forest_out_of_bag_equals_a_plain_loop(spark):
+    x, y, rows, df = labelled(spark, 500)
+    forest = trees.grow(df, 5, trees=25, depth=6, least=2, split_least=4, bins=16)
+    bins, ids = trees.cells(x, forest.cuts), np.array([r[0] for r in rows])
+    votes = [[] for _ in ids]
+    for t, tree in enumerate(forest.trees):
+        k = trees.drawn(ids, t, 42)
+        ends = {}
+        for i in range(len(ids)):
+            node = 0
+            while tree.feature[node] >= 0:
+                assert tree.feature[node] in trees.subset(5, 2, t, node, 42)
+                node = 2 * node + 1 + int(bins[i, tree.feature[node]] > tree.cut[node])
+            if k[i]:
+                ends.setdefault(node, []).append(i)
+            else:
+                votes[i].append(tree.value[node])
+        own = [k[y == c].sum() for c in (0, 1)]
+        for node, held in ends.items():
+            p, q = (sum(k[i] for i in held if y[i] == c) / own[c] for c in (1, 0))
+            assert abs(tree.value[node] - p / (p + q)) < 1e-9 and len(held) >= 2
+    seen = [i for i, v in enumerate(votes) if v]
+    assert forest.oob == np.mean([(np.mean(votes[i]) > 0.5) == y[i] for i in seen])
+    got = {r.id: r.vote for r in trees.out_of_bag(df, forest).collect()}
+    assert all(abs(got[ids[i]] - np.mean(votes[i])) < 1e-12 for i in seen)
+    assert forest.oob > 0.85 and area(forest.predict(x), y) > 0.97
+    again = trees.grow(df.repartition(3), 5, trees=25, depth=6, least=2, split_least=4, bins=16)
+    assert all((a.feature == b.feature).all() and (a.cut == b.cut).all() for a, b in zip(again.trees, forest.trees))
+    assert 0.36 < np.mean(trees.drawn(np.arange(20_000), 3, 1) == 0) < 0.375
+
+
+def test_levels_of_many_trees_go_by_portions(spark, monkeypatch):
+    x, y, rows, df = labelled(spark, 300)
+    whole = trees.grow(df, 5, trees=6, depth=4, bins=8)
+    monkeypatch.setattr(trees, "MOST_CELLS", 60)
+    parts = trees.grow(df, 5, trees=6, depth=4, bins=8)
+    assert all((a.feature == b.feature).all() and np.allclose(a.value, b.value) for a, b in zip(whole.trees, parts.trees))
