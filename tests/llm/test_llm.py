@@ -291,6 +291,58 @@ def test_leaks_against_every_window(spark, more):
     assert {tuple(r)[:2] for r in decontaminate.leaks(docs, bench).where("key < 100").collect()} == want
 
 
+def test_the_latent_space_decides_on_candidates(spark, monkeypatch):
+    """Another basis brings other candidates, and loses what the fitted one finds."""
+    rng = random.Random(21)
+    common = WORDS[:12]
+    topic = [[w + str(rng.randrange(9)) for w in rng.sample(WORDS, 14)] for _ in range(8)]
+    text = lambda t, n: " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(topic[t]) for _ in range(n))
+    items = [(i, text(i % 8, rng.randrange(20, 60))) for i in range(40)]
+    rows = [(i, text(i % 8, 150) + " " + t + " " + text((i + 3) % 8, 150)) for i, t in items] + [(100 + i, text(i % 8, 400)) for i in range(60)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    column = decontaminate.pa.array([t for _, t in rows], decontaminate.pa.large_string())
+
+    def found():
+        (search,) = decontaminate.wanted(docs, bench, "doc_id", "text", "item_id", "text")
+        finder, candidates, leaks = decontaminate.Finder(search.plain()), set(), set()
+        for i, _, row, h in decontaminate.tokens(column):
+            candidates |= {(i + r, k, w) for r, k, w in zip(*(x.tolist() for x in finder.retrieved(row, finder.places(h))))}
+            leaks |= {(rows[i + r][0], finder.items[k].id) for r, k, *_ in finder.leaks(row, h)}
+        return search.spaces[0].load.shape[1], candidates, leaks
+
+    rank, fitted, leaks = found()
+    want = every_window(docs, bench)
+    assert rank < len(items) and len(want & leaks) >= 0.98 * len(want) and leaks <= want and {(i, i) for i, _ in items} <= leaks
+    n = lambda items: len(items.vocabulary)
+    for other in (lambda sample, items, idf: np.zeros((n(items), rank)), lambda sample, items, idf: np.linalg.qr(np.random.default_rng(0).normal(size=(n(items), 2)))[0]):
+        monkeypatch.setattr(decontaminate, "latent", other)
+        _, candidates, less = found()
+        assert candidates != fitted and (not candidates or len(candidates) > 2 * len(fitted)) and less <= want
+
+
+def test_workers_need_not_find_the_package(tmp_path):
+    """Decontamination from another folder, with the package on the driver's path alone."""
+    import pathlib
+    import subprocess
+    import sys
+
+    root = str(pathlib.Path(__file__).resolve().parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from strata.llm import decontaminate
+words = " ".join("word%d" % i for i in range(30))
+docs = spark.createDataFrame([(1, "a b c " + words), (2, "nothing here")], "doc_id long, text string")
+bench = spark.createDataFrame([(7, words)], "item_id long, text string")
+print("found", [tuple(r)[:2] for r in decontaminate.leaks(docs, bench).collect()], [r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "found [(1, 7)] [2]" in done.stdout, done.stderr[-2000:]
+
+
 @pytest.mark.parametrize("passes", (10**6, 60))
 def test_blocks_of_items(spark, monkeypatch, passes):
     rng = random.Random(4)
