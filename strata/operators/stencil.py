@@ -9,6 +9,7 @@ at the edge (d c b a | a b c d | d c b a).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,17 +29,61 @@ def _mirrored(i: Column, n: Column) -> Column:
     return F.when(m < n, m).otherwise(2 * n - 1 - m)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _extended(values: Column, radius: int) -> Column:
+    n = F.size(values)
+    return F.transform(F.sequence(F.lit(-radius), n - 1 + radius), lambda i: F.get(values, _mirrored(i, n)))
+
+
 def _convolved(values: Column, weights: list[float]) -> Column:
-    n, r = F.size(values), len(weights) // 2
-    taps = F.array(*[F.lit(w) for w in weights])
-    at = lambda i: F.get(values, _mirrored(i, n))
-    one = lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(len(weights) - 1)), F.lit(0.0), lambda acc, k: acc + F.get(taps, k) * at(c + k - r))
-    return F.transform(F.sequence(F.lit(0), n - 1), one)
+    n, taps = F.size(values), F.array(*[F.lit(w) for w in weights])
+    one = lambda line, c: F.aggregate(F.sequence(F.lit(0), F.lit(len(weights) - 1)), F.lit(0.0), lambda acc, k: acc + F.get(taps, k) * F.get(line, c + k))
+    return _let(_extended(values, len(weights) // 2), lambda line: F.transform(F.sequence(F.lit(0), n - 1), lambda c: one(line, c)))
+
+
+def _paired(level: Column, step: int, join: Callable[[Column, Column], Column]) -> Column:
+    """From the joins of `step` values that begin at each place those of twice as many."""
+    return F.transform(F.sequence(F.lit(0), F.size(level) - 1 - step), lambda i: join(F.get(level, i), F.get(level, i + step)))
 
 
 def _extreme(values: Column, radius: int, largest: bool) -> Column:
-    n, pick = F.size(values), F.array_max if largest else F.array_min
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda c: pick(F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda k: F.get(values, _mirrored(c + k, n)))))
+    """Largest or smallest of each window of 2 radius + 1: two overlapping stretches of a power of two, which double from
+    level to level, so the work grows with the logarithm of the window."""
+    join, w, each = F.greatest if largest else F.least, 2 * radius + 1, F.sequence(F.lit(0), F.size(values) - 1)
+
+    def build(level: Column, step: int) -> Column:
+        if 2 * step > w:
+            return F.transform(each, lambda i: join(F.get(level, i), F.get(level, i + (w - step))))
+        return _let(_paired(level, step, join), lambda more: build(more, 2 * step))
+
+    return _let(_extended(values, radius), lambda line: build(line, 1))
+
+
+def _mean(values: Column, radius: int) -> Column:
+    """Mean of each window of 2 radius + 1: sums of stretches of powers of two, one for each binary digit of the window. Nothing
+    is subtracted, so nothing is lost by cancelling."""
+    w, each = 2 * radius + 1, F.sequence(F.lit(0), F.size(values) - 1)
+
+    def build(level: Column, step: int, total: Column | None, done: int) -> Column:
+        if step > w:
+            return F.transform(total, lambda x: x / w)
+
+        def onward(so_far: Column | None, covered: int) -> Column:
+            if 2 * step > w:
+                return build(level, 2 * step, so_far, covered)
+            return _let(_paired(level, step, lambda a, b: a + b), lambda more: build(more, 2 * step, so_far, covered))
+
+        if not w & step:
+            return onward(total, done)
+        if total is None:
+            return _let(F.transform(each, lambda i: F.get(level, i)), lambda t: onward(t, step))
+        return _let(F.transform(each, lambda i: F.get(total, i) + F.get(level, i + done)), lambda t: onward(t, done + step))
+
+    return _let(_extended(values, radius), lambda line: build(line, 1, None, 0))
 
 
 def _difference(values: Column, step: float) -> Column:
@@ -126,25 +171,25 @@ def sobel(cells: DataFrame) -> DataFrame:
 def window_stats(cells: DataFrame, window: int = 5) -> DataFrame:
     """Mean, standard deviation and range in a square window of odd width, 3 at least."""
     w = max(3, window | 1)
-    flat, r = [1.0 / w] * w, w // 2
-    rows = _pass(cells, "col", {"_m": lambda a: _convolved(a["z"], flat), "_q": lambda a: _convolved(F.transform(a["z"], lambda v: v * v), flat), "_hi": lambda a: _extreme(a["z"], r, True), "_lo": lambda a: _extreme(a["z"], r, False)})
-    done = _pass(rows, "row", {"m": lambda a: _convolved(a["_m"], flat), "q": lambda a: _convolved(a["_q"], flat), "hi": lambda a: _extreme(a["_hi"], r, True), "lo": lambda a: _extreme(a["_lo"], r, False)})
+    r = w // 2
+    rows = _pass(cells, "col", {"_m": lambda a: _mean(a["z"], r), "_q": lambda a: _mean(F.transform(a["z"], lambda v: v * v), r), "_hi": lambda a: _extreme(a["z"], r, True), "_lo": lambda a: _extreme(a["z"], r, False)})
+    done = _pass(rows, "row", {"m": lambda a: _mean(a["_m"], r), "q": lambda a: _mean(a["_q"], r), "hi": lambda a: _extreme(a["_hi"], r, True), "lo": lambda a: _extreme(a["_lo"], r, False)})
     return done.select(*KEYS, F.col("m").alias("win_mean"), F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))).alias("win_std"), (F.col("hi") - F.col("lo")).alias("win_range"))
 
 
 def all_filters(cells: DataFrame, window: int = 5, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     """Every filter of the feature profiles in two passes over lines; each smooth and gradient is computed once."""
     w, sigmas = max(3, window | 1), [0.5, 0.8, 1.5, 2.0, 2.5, 3.0, 8.0]
-    flat, r = [1.0 / w] * w, w // 2
+    r = w // 2
     rows = _pass(
         cells.select(*KEYS, "z"), "col",
         {"_h" + _name(s): (lambda a, s=s: _convolved(a["z"], kernel(s))) for s in sigmas}
-        | {"gx": lambda a: _difference(a["z"], dx), "_m": lambda a: _convolved(a["z"], flat), "_q": lambda a: _convolved(F.transform(a["z"], lambda v: v * v), flat), "_hi": lambda a: _extreme(a["z"], r, True), "_lo": lambda a: _extreme(a["z"], r, False)},
+        | {"gx": lambda a: _difference(a["z"], dx), "_m": lambda a: _mean(a["z"], r), "_q": lambda a: _mean(F.transform(a["z"], lambda v: v * v), r), "_hi": lambda a: _extreme(a["z"], r, True), "_lo": lambda a: _extreme(a["z"], r, False)},
     )
     g = _pass(
         rows, "row",
         {_name(s): (lambda a, s=s: _convolved(a["_h" + _name(s)], kernel(s))) for s in sigmas}
-        | {"gy": lambda a: _difference(a["z"], dy), "m": lambda a: _convolved(a["_m"], flat), "q": lambda a: _convolved(a["_q"], flat), "hi": lambda a: _extreme(a["_hi"], r, True), "lo": lambda a: _extreme(a["_lo"], r, False)},
+        | {"gy": lambda a: _difference(a["z"], dy), "m": lambda a: _mean(a["_m"], r), "q": lambda a: _mean(a["_q"], r), "hi": lambda a: _extreme(a["_hi"], r, True), "lo": lambda a: _extreme(a["_lo"], r, False)},
     )
     z, hgrad, dog = F.col("z"), F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2), F.col("g0_8") - F.col("g2_5")
     return g.select(

@@ -261,14 +261,24 @@ def window_stats(spark, sf_dir):
     return rounded(stencil.window_stats(cells(spark, sf_dir)).select("row", "col", "win_mean", F.round("win_std", 4).alias("win_std"), "win_range"))
 
 
-@query(f"SELECT max(xmin) AS xmin, min(xmax) AS xmax, max(ymin) AS ymin, min(ymax) AS ymax, max(nx) AS nx, max(ny) AS ny FROM {_LAYERS_SQL}")
+#: Extents of what each kind of order line covers: quantities by prices.
+_COVERED_SQL = "(SELECT l_returnflag || l_linestatus AS layer, min(l_quantity) AS xmin, max(l_quantity) AS xmax, min(l_extendedprice) AS ymin, max(l_extendedprice) AS ymax, CAST(count(DISTINCT l_quantity) AS INTEGER) AS nx, CAST(count(DISTINCT l_discount) AS INTEGER) AS ny FROM lineitem GROUP BY 1)"
+
+
+def _covered(spark, sf_dir) -> DataFrame:
+    lines, at = _t(spark, sf_dir, "lineitem"), [("l_quantity", "x"), ("l_extendedprice", "y")]
+    sizes = [F.countDistinct(c).cast("int").alias(n) for c, n in (("l_quantity", "nx"), ("l_discount", "ny"))]
+    return lines.groupBy(F.concat("l_returnflag", "l_linestatus").alias("layer")).agg(*[f(c).alias(a + n) for c, a in at for f, n in ((F.min, "min"), (F.max, "max"))], *sizes)
+
+
+@query(f"SELECT max(xmin) AS xmin, min(xmax) AS xmax, max(ymin) AS ymin, min(ymax) AS ymax, max(nx) AS nx, max(ny) AS ny FROM {_COVERED_SQL}")
 def extent_intersection(spark, sf_dir):
-    return grid.extent(_layers(spark))
+    return grid.extent(_covered(spark, sf_dir))
 
 
-@query(f"SELECT min(xmin) AS xmin, max(xmax) AS xmax, min(ymin) AS ymin, max(ymax) AS ymax, max(nx) AS nx, max(ny) AS ny FROM {_LAYERS_SQL}")
+@query(f"SELECT min(xmin) AS xmin, max(xmax) AS xmax, min(ymin) AS ymin, max(ymax) AS ymax, max(nx) AS nx, max(ny) AS ny FROM {_COVERED_SQL}")
 def extent_union(spark, sf_dir):
-    return grid.extent(_layers(spark), "union")
+    return grid.extent(_covered(spark, sf_dir), "union")
 
 
 #: A common grid of 30 x 25 cells over the intersection of the three layers.
@@ -686,16 +696,18 @@ def registered_layers(spark, sf_dir):
         return grid.registered(a.unionByName(b).unionByName(c).unionByName(empty), _layers(spark), COMMON).withColumn("z", F.round("z", 4))
 
 
-_FAR_SQL = f"""(SELECT i // 50 AS r, i % 50 AS c FROM range(1200) t(i) WHERE NOT EXISTS (SELECT 1 FROM {_WELLS_SQL} w WHERE label = 1 AND doc_id % 9 = 0 AND abs(i // 50 - w.r) < 8 AND abs(i % 50 - w.c) < 8))"""
+#: All wells, in a corner of the orders grid, so that far cells are left.
+_CORNER_SQL = "(SELECT CAST((doc_id // 20) % 20 AS INTEGER) AS r, CAST(doc_id % 20 AS INTEGER) AS c, toxic AS label FROM labels)"
+_FAR_SQL = f"""(SELECT i // 50 AS r, i % 50 AS c FROM range(4000) t(i) WHERE NOT EXISTS (SELECT 1 FROM {_CORNER_SQL} w WHERE label = 1 AND abs(i // 50 - w.r) < 8 AND abs(i % 50 - w.c) < 8))"""
 
 
-@query(f"""WITH f AS MATERIALIZED {filled_sql('events')}, b AS (SELECT label, r + dr AS r, c + dc AS c FROM {_WELLS_SQL}, range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE doc_id % 9 = 0 AND r + dr BETWEEN 0 AND 23 AND c + dc BETWEEN 0 AND 49),
+@query(f"""WITH f AS MATERIALIZED {filled_sql('orders')}, b AS (SELECT label, r + dr AS r, c + dc AS c FROM {_CORNER_SQL}, range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE r + dr BETWEEN 0 AND 79 AND c + dc BETWEEN 0 AND 49),
 n AS (SELECT 0 AS label, r, c FROM {_FAR_SQL} ORDER BY md5('42:' || r || ':' || c), r, c LIMIT 60)
 SELECT f.r AS "row", f.c AS col, round(f.z, 6) AS z, label FROM f JOIN (SELECT * FROM b UNION ALL SELECT * FROM n) s ON s.r = f.r AND s.c = f.c""")
 def assembled_samples(spark, sf_dir):
-    """Cells around some wells, and far ones, with their features."""
-    w = _wells(spark, sf_dir).where("doc_id % 9 = 0").withColumn("inside", F.lit(True))
-    return rounded(sampling.assemble(cells(spark, sf_dir, "events").drop("layer"), w, EVENT_GRID, 1, 1)).select("row", "col", "z", "label")
+    """Cells around all wells, and far ones, with their features."""
+    w = _t(spark, sf_dir, "labels").select((F.expr("doc_id div 20") % 20).cast("int").alias("row"), (F.col("doc_id") % 20).cast("int").alias("col"), F.col("toxic").alias("label"), F.lit(True).alias("inside"))
+    return rounded(sampling.assemble(cells(spark, sf_dir, "orders").drop("layer"), w, Grid(0.0, 4900.0, 0.0, 7900.0, 50, 80), 1, 1)).select("row", "col", "z", "label")
 
 
 @query(f"SELECT count(*) FILTER (prob >= 0.4) AS n_above, count(*) AS n, round(count(*) FILTER (prob >= 0.4) / count(*), 6) AS share FROM {_scored_sql()}")

@@ -768,3 +768,17 @@ def test_levels_of_many_trees_go_by_portions(spark, monkeypatch):
     monkeypatch.setattr(trees, "MOST_CELLS", 60)
     parts = trees.grow(df, 5, trees=6, depth=4, bins=8)
     assert all((a.feature == b.feature).all() and np.allclose(a.value, b.value) for a, b in zip(whole.trees, parts.trees))
+
+
+@pytest.mark.parametrize("window", [3, 5, 7, 9, 31])
+def test_windows_of_any_width(spark, window):
+    z = np.round(np.random.default_rng(window).normal(size=(23, 17)), 3) * 100
+    cells = grids.array_layer(spark, z, np.arange(17), np.arange(23), "a")[0]
+    got = stencil.window_stats(cells, window)
+    r = window // 2
+    mirrored = lambda i, n: (i % (2 * n)) if (i % (2 * n)) < n else 2 * n - 1 - (i % (2 * n))
+    wide = z[[mirrored(i, 23) for i in range(-r, 23 + r)]][:, [mirrored(i, 17) for i in range(-r, 17 + r)]]
+    view = np.lib.stride_tricks.sliding_window_view(wide, (window, window))
+    np.testing.assert_allclose(array(got, "win_mean", z.shape), view.mean((2, 3)), atol=1e-9)
+    np.testing.assert_allclose(array(got, "win_range", z.shape), view.max((2, 3)) - view.min((2, 3)), atol=1e-9)
+    np.testing.assert_allclose(array(got, "win_std", z.shape), view.std((2, 3)), atol=1e-5)
