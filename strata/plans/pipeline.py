@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators.features import extract, feature_names, norm_params, normalised, weighted, wide
+from strata.operators.features import extract, feature_names, weighted, wide
 from strata.operators.grid import Grid, common_grid, locate, registered
 from strata.operators.metrics import recall_at_k
 from strata.operators.models import Prospect
@@ -17,6 +17,7 @@ from strata.operators.ranks import percentiles
 from strata.operators.sampling import assemble
 from strata.operators.storage import stored
 from strata.operators.targets import top_targets
+from strata.operators.transformers import CoRegistrationModel, RobustNormalizer, RobustNormalizerModel
 from strata.operators.unsupervised import unit_maps
 from strata.sources import synthetic
 from strata.sources.grids import array_layer, load_layer, read_wells
@@ -42,6 +43,9 @@ class SurveyPipeline:
         self.layers: dict[str, tuple[DataFrame, DataFrame]] = {}
         self.wells: dict[str, DataFrame] = {}
         self.grid: Grid | None = None
+        #: Once features are made: the fitted transformers, which can be saved and used on another survey.
+        self.registration: CoRegistrationModel | None = None
+        self.normalizer: RobustNormalizerModel | None = None
         self.results: dict[str, Result] = {}
 
     def add_layer(self, path: str, name: str | None = None, **how) -> SurveyPipeline:
@@ -85,13 +89,15 @@ class SurveyPipeline:
             cells = c if cells is None else cells.unionByName(c)
             rows = r.select(*keep) if rows is None else rows.unionByName(r.select(*keep))
         self.grid = common_grid(rows, nx, ny, how)
+        self.registration = CoRegistrationModel.of(self.grid)
         common = stored(registered(cells, rows, self.grid), "registered")
         there = {r.layer for r in common.select("layer").distinct().collect()}
         names = [n for n in self.layers if n in there]
         if not names:
             raise RuntimeError("no layer could be registered")
         long = stored(extract(common, names, window, self.grid.dx, self.grid.dy), "features")
-        return stored(normalised(long, norm_params(long)), "normalised"), feature_names(names)
+        self.normalizer = RobustNormalizer().fit(long)
+        return stored(self.normalizer.transform(long), "normalised"), feature_names(names)
 
     def run(self, target_types: list[str] | None = None, target_nx: int = 200, target_ny: int = 200, common_extent: str = "intersection", window_size: int = 5, n_targets: int = 15, min_prob: float | None = 0.35, cv_folds: int = 5, output_dir: str | None = None, **training) -> dict[str, Result]:
         """Results by type. A type without wells (its own or generic ones), with too few samples or whose training fails gets

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import uuid
 import warnings
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import ensemble, feature_label, keyword, kilometres, known, score, signed_log, spread
-from strata.operators import features, grid, metrics, sampling, stencil, targets
+from strata.operators import features, grid, metrics, sampling, stencil, targets, transformers
 from strata.operators.grid import Grid
 from strata.operators.storage import scratch
 from strata.operators.unsupervised import scaled, unit_maps
@@ -696,6 +697,23 @@ def registered_layers(spark, sf_dir):
         return grid.registered(a.unionByName(b).unionByName(c).unionByName(empty), _layers(spark), COMMON).withColumn("z", F.round("z", 4))
 
 
+@query(f"SELECT k, feature, round(least(greatest((least(greatest(val * 1.1, p_low), p_high) - median) / iqr, -5.0), 5.0), 6) AS val FROM {_LONG_SQL} l JOIN {_PARAMS_SQL} p USING (feature)")
+def saved_normalizer(spark, sf_dir):
+    """A normaliser fitted on the features, saved, loaded, and used on features a tenth larger."""
+    path, long = _folder(spark), _long(spark, sf_dir)
+    transformers.RobustNormalizer().fit(long).save(path)
+    return rounded(transformers.RobustNormalizerModel.load(path).transform(long.withColumn("val", F.col("val") * 1.1)))
+
+
+@query(ORACLE_SQL["registered_layers"])
+def saved_registration(spark, sf_dir):
+    """A co-registration fitted on the layers' extents, saved, loaded, and used on their cells."""
+    path = _folder(spark)
+    every = transformers.described(reduce(DataFrame.unionByName, [dense(spark, sf_dir, n) for n in GRIDS]), _layers(spark))
+    transformers.CoRegistration(nx=30, ny=25).fit(every).save(path)
+    return transformers.CoRegistrationModel.load(path).transform(every).withColumn("z", F.round("z", 4))
+
+
 #: All wells, in a corner of the orders grid, so that far cells are left.
 _CORNER_SQL = "(SELECT CAST((doc_id // 20) % 20 AS INTEGER) AS r, CAST(doc_id % 20 AS INTEGER) AS c, toxic AS label FROM labels)"
 _FAR_SQL = f"""(SELECT i // 50 AS r, i % 50 AS c FROM range(4000) t(i) WHERE NOT EXISTS (SELECT 1 FROM {_CORNER_SQL} w WHERE label = 1 AND abs(i // 50 - w.r) < 8 AND abs(i % 50 - w.c) < 8))"""

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import columns
-from strata.operators import features, graph, grid, metrics, nearest, ranks, sampling, stencil, targets, trees
+from strata.operators import features, graph, grid, metrics, nearest, ranks, sampling, stencil, targets, transformers, trees
 from strata.operators.grid import Grid
 from strata.plans import charts
 from strata.plans.pipeline import SurveyPipeline
@@ -782,3 +782,31 @@ def test_windows_of_any_width(spark, window):
     np.testing.assert_allclose(array(got, "win_mean", z.shape), view.mean((2, 3)), atol=1e-9)
     np.testing.assert_allclose(array(got, "win_range", z.shape), view.max((2, 3)) - view.min((2, 3)), atol=1e-9)
     np.testing.assert_allclose(array(got, "win_std", z.shape), view.std((2, 3)), atol=1e-5)
+
+
+def test_saved_transformers_keep_what_they_were_fitted_on(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    long = lambda v: spark.createDataFrame([(i, f, float(x)) for f, c in v.items() for i, x in enumerate(c)], "i int, feature string, val double")
+    first, second = {"a": rng.normal(size=300), "b": rng.exponential(size=300), "few": [1.0, 2.0]}, {"a": rng.normal(size=50) * 3, "b": rng.exponential(size=50), "few": [0.5], "new": [1.0]}
+    transformers.RobustNormalizer(clip=5.0).fit(long(first)).save(str(tmp_path / "n"))
+    model = transformers.RobustNormalizerModel.load(str(tmp_path / "n"))
+    got = {(r.feature, r.i): r.val for r in model.transform(long(second)).collect()}
+    assert {f for f, _ in got} == {"a", "b", "few"} and got["few", 0] == 0.5
+    for f in "ab":
+        lo, q1, mid, q3, hi = np.percentile(first[f], [5, 25, 50, 75, 95])
+        np.testing.assert_allclose([got[f, i] for i in range(50)], np.clip((np.clip(second[f], lo, hi) - mid) / (q3 - q1), -5, 5))
+    assert model.getOrDefault(model.clip) == 5.0
+    with pytest.raises(RuntimeError, match="knows nothing yet"):
+        transformers.RobustNormalizerModel().transform(long(second))
+    with pytest.raises(RuntimeError, match="knows nothing yet"):
+        transformers.CoRegistrationModel().grid  # noqa: B018
+    z = rng.normal(size=(9, 11))
+    cells, layers = grids.array_layer(spark, z, np.linspace(0, 100, 11), np.linspace(0, 80, 9), "m")
+    transformers.CoRegistration(nx=6, ny=5).fit(transformers.described(cells, layers)).save(str(tmp_path / "c"))
+    kept = transformers.CoRegistrationModel.load(str(tmp_path / "c"))
+    assert kept.grid == Grid(0.0, 100.0, 0.0, 80.0, 6, 5)
+    other, rows = grids.array_layer(spark, z * 2, np.linspace(0, 100, 11), np.linspace(0, 80, 9), "other")
+    np.testing.assert_allclose(array(kept.transform(transformers.described(other, rows)), "z", (5, 6)), 2 * z[::2, ::2])
+    assert kept.locate(spark.createDataFrame([(100.0, 0.0)], "x double, y double")).first().col == 5
+    whole = transformers.CoRegistration().fit(transformers.described(cells, layers)).grid
+    assert (whole.nx, whole.ny) == (11, 9)
