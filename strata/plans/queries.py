@@ -878,9 +878,10 @@ def boosted_lines(spark, sf_dir):
 
 @query()
 def ann_predict(spark, sf_dir):
+    """The operator's own settings but for 60 steps (800 at most)."""
     from strata.operators.models import Network
 
-    return _predicted(spark, sf_dir, lambda rows: Network.fit(rows, 3, 30, 2).add(rows, "prob"))
+    return _predicted(spark, sf_dir, lambda rows: Network.fit(rows, 3, 60).add(rows, "prob"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type AS target_type, count(*) FILTER (value > 50) AS n_pos, count(*) FILTER (value <= 50) AS n_neg FROM events GROUP BY 1, 2")

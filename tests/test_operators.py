@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import columns
-from strata.operators import features, graph, grid, metrics, nearest, ranks, sampling, stencil, targets, transformers, trees
+from strata.operators import features, graph, grid, metrics, nearest, network, ranks, sampling, stencil, targets, transformers, trees
 from strata.operators.grid import Grid
 from strata.plans import charts
 from strata.plans.pipeline import SurveyPipeline
@@ -810,3 +810,46 @@ def test_saved_transformers_keep_what_they_were_fitted_on(spark, tmp_path):
     assert kept.locate(spark.createDataFrame([(100.0, 0.0)], "x double, y double")).first().col == 5
     whole = transformers.CoRegistration().fit(transformers.described(cells, layers)).grid
     assert (whole.nx, whole.ny) == (11, 9)
+
+
+def test_gradients_of_a_network():
+    rng = np.random.default_rng(1)
+    x, y, net = rng.normal(size=(40, 3)), (rng.random(40) < 0.4).astype(float), network.started([3, 7, 5, 1], 2)
+    grads, loss = network.gradients(net, x, y)
+    for a, g in zip(net, grads):
+        for at in list(np.ndindex(a.shape))[:6]:
+            held, d = a[at], 1e-6
+            a[at] = held + d
+            up = network.gradients(net, x, y)[1]
+            a[at] = held - d
+            down = network.gradients(net, x, y)[1]
+            a[at] = held
+            assert abs((up - down) / (2 * d) - g[at]) < 1e-4 * max(1, abs(g[at]))
+
+
+@pytest.mark.parametrize("fan", [32, 2])
+def test_steps_of_a_network_equal_plain_ones(spark, monkeypatch, fan):
+    monkeypatch.setattr(network, "FAN", fan)  # with 2, partial gradients meet in a tree
+    x, y, rows, df = labelled(spark, 300, 6)
+    df = df.withColumn("fold", (F.col("id") % 2).cast("int"))
+    steps, sizes = 3, [5, 8, 4, 1]
+    got = network.train(df, sizes, 2, steps, 0.01, 0.1, share=0.0, tol=-1e9, seed=7)
+    fold = np.array([r[0] % 2 for r in rows])
+    for k in (0, 1):
+        net, mine = network.started(sizes, 7 + k), fold != k
+        first, second = ([np.zeros_like(a) for a in net] for _ in range(2))
+        for t in range(1, steps + 1):
+            grads = [(g + 0.1 * a * (a.ndim == 2)) / mine.sum() for g, a in zip(network.gradients(net, x[mine], y[mine])[0], net)]
+            first = [0.9 * m + 0.1 * g for m, g in zip(first, grads)]
+            second = [0.999 * v + 0.001 * g * g for v, g in zip(second, grads)]
+            net = [a - 0.01 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-8) for a, m, v in zip(net, first, second)]
+        for a, b in zip(got[k], net):
+            np.testing.assert_allclose(a, b, atol=1e-9)
+
+
+def test_a_network_learns_and_stops(spark):
+    x, y, rows, df = labelled(spark, 600)
+    (net,) = network.train(df.withColumn("fold", F.lit(-1)), [5, 32, 16, 1], 1, 120, 0.02)
+    assert area(network.margins(net, x), y) > 0.9
+    noise = df.withColumns({"fold": F.lit(-1), "y": F.pmod(F.xxhash64("id"), F.lit(2)).cast("double")})
+    assert len(network.train(noise, [5, 8, 1], 1, 400, 0.5, patience=3)) == 1
