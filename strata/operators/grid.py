@@ -5,15 +5,14 @@ layers: layer, xmin, xmax, ymin, ymax, nx, ny, one row each. cells: layer, row,
 
 from __future__ import annotations
 
-import math
 import warnings
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.operators.scatter import _interpolated, gridded, patch, slopes, triangulate  # noqa: F401
+
 MOST = 2000
 
 
@@ -154,125 +153,3 @@ def registered(cells: DataFrame, layers: DataFrame, grid: Grid, method: str = "l
     if empty:
         cells, layers = cells.where(~F.col("layer").isin(empty)), layers.where(~F.col("layer").isin(empty))
     return resample(fill_nearest(cells), layers, grid, method)
-
-
-def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Delaunay triangles (indices) of distinct points, inserted from left to right; empty where all lie on one line.
-
-    A triangle whose circle ends left of the next point can't change any more, so few are looked at for each point."""
-    n = len(x)
-    if not n:
-        return np.zeros((0, 3), int)
-    span = max(np.ptp(x), np.ptp(y), 1e-12)
-    x, y, far = x - x.mean(), y - y.mean(), 1e4 * span
-    px, py = np.r_[x, -far, far, 0.0], np.r_[y, -far, -far, far]
-
-    def circle(t):
-        a, b, c = t
-        ax, ay, bx, by, cx, cy = px[a], py[a], px[b], py[b], px[c], py[c]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if abs(d) < 1e-12 * span * span:
-            return 0.0, 0.0, math.inf
-        s, t_, u = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
-        ux, uy = (s * (by - cy) + t_ * (cy - ay) + u * (ay - by)) / d, (s * (cx - bx) + t_ * (ax - cx) + u * (bx - ax)) / d
-        return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
-
-    tri, done = np.array([[n, n + 1, n + 2]]), []
-    circles = np.array([circle(tri[0])])
-    for p in np.lexsort((y, x)):
-        left = circles[:, 0] + np.sqrt(circles[:, 2]) * (1 + 1e-9) < px[p]
-        if left.any():
-            done.append(tri[left])
-            tri, circles = tri[~left], circles[~left]
-        bad = (px[p] - circles[:, 0]) ** 2 + (py[p] - circles[:, 1]) ** 2 < circles[:, 2] * (1 + 1e-12)
-        edges = np.sort(np.concatenate([tri[bad][:, [0, 1]], tri[bad][:, [1, 2]], tri[bad][:, [2, 0]]]), axis=1)
-        rim, count = np.unique(edges, axis=0, return_counts=True)
-        rim = rim[count == 1]
-        new = np.c_[rim, np.full(len(rim), p)]
-        tri = np.concatenate([tri[~bad], new])
-        circles = np.concatenate([circles[~bad], np.array([circle(t) for t in new]).reshape(-1, 3)])
-    tri = np.concatenate([*done, tri])
-    tri = tri[(tri < n).all(1)]
-    area = (x[tri[:, 1]] - x[tri[:, 0]]) * (y[tri[:, 2]] - y[tri[:, 0]]) - (x[tri[:, 2]] - x[tri[:, 0]]) * (y[tri[:, 1]] - y[tri[:, 0]])
-    return tri[np.abs(area) > 1e-12 * span * span]
-
-
-def slopes(x: np.ndarray, y: np.ndarray, z: np.ndarray, tri: np.ndarray) -> np.ndarray:
-    """(points x 2) gradients: planes through each point that fit its neighbours best, near ones counting more."""
-    a, b = (np.concatenate([tri[:, i] for i in k]) for k in ((0, 1, 2, 1, 2, 0), (1, 2, 0, 0, 1, 2)))
-    dx, dy, dz = x[b] - x[a], y[b] - y[a], z[b] - z[a]
-    w = 1 / np.maximum(dx * dx + dy * dy, 1e-300)
-    total = lambda v: np.bincount(a, w * v, len(x))
-    xx, xy, yy, xz, yz = (total(v) for v in (dx * dx, dx * dy, dy * dy, dx * dz, dy * dz))
-    det = xx * yy - xy * xy
-    ok = det > 1e-12 * np.maximum(xx * yy, 1e-300)
-    det = np.where(ok, det, 1.0)
-    return np.where(ok[:, None], np.stack([(yy * xz - xy * yz) / det, (xx * yz - xy * xz) / det], axis=1), 0.0)
-
-
-def patch(px: np.ndarray, py: np.ndarray, z: np.ndarray, g: np.ndarray, bary: np.ndarray) -> np.ndarray:
-    """Values at barycentric places of one triangle of a surface with continuous slopes: the triangle is cut into three at
-    its centre, each a cubic in Bernstein form, slopes across the outer edges changing evenly along them."""
-    p = np.stack([px, py], axis=1)
-    centre = p.mean(0)
-    toward = lambda i, q: z[i] + g[i] @ (q - p[i]) / 3
-    inward = [toward(i, centre) for i in range(3)]
-    face = {}
-    for i, j in ((0, 1), (1, 2), (2, 0)):
-        edge, ij, ji = p[j] - p[i], toward(i, p[j]), toward(j, p[i])
-        t = (centre - p[i]) @ edge / (edge @ edge)
-        ends = -(1 - t) * z[i] - t * ij + inward[i] - (1 - t) * ji - t * z[j] + inward[j]
-        face[i, j] = face[j, i] = (1 - t) * ij + t * ji + ends / 2
-    near = [(inward[i] + face[i, (i + 1) % 3] + face[i, (i + 2) % 3]) / 3 for i in range(3)]
-    middle, out, low = sum(near) / 3, np.empty(len(bary)), bary.argmin(1)
-    for k in range(3):
-        m, i, j = low == k, (k + 1) % 3, (k + 2) % 3
-        c = 3 * bary[m, k]
-        u, v = bary[m, i] - bary[m, k], bary[m, j] - bary[m, k]
-        out[m] = z[i] * u**3 + z[j] * v**3 + middle * c**3 + 3 * (toward(i, p[j]) * u * u * v + toward(j, p[i]) * u * v * v + inward[i] * u * u * c + inward[j] * v * v * c + near[i] * u * c * c + near[j] * v * c * c) + 6 * face[i, j] * u * v * c
-    return out
-
-
-def _interpolated(frame: pd.DataFrame, nx: int, ny: int, method: str) -> pd.DataFrame:
-    points = frame.groupby(["x", "y"], as_index=False)["z"].mean()
-    x, y, z = (points[c].to_numpy(float) for c in "xyz")
-    gx, gy = np.linspace(x.min(), x.max(), nx), np.linspace(y.min(), y.max(), ny)
-    qx, qy = (a.ravel() for a in np.meshgrid(gx, gy))
-    out = np.full(nx * ny, np.nan)
-    if method != "nearest" and len(x) >= 3:
-        tri = triangulate(x, y)
-        g = slopes(x, y, z, tri) if method == "cubic" else None
-        for t in tri:
-            a, b, c = t
-            (lx, hx), (ly, hy) = ((min(v[t]), max(v[t])) for v in (x, y))
-            c0, c1 = np.searchsorted(gx, lx - 1e-9), np.searchsorted(gx, hx + 1e-9)
-            r0, r1 = np.searchsorted(gy, ly - 1e-9), np.searchsorted(gy, hy + 1e-9)
-            if c0 == c1 or r0 == r1:
-                continue
-            at = (np.arange(r0, r1)[:, None] * nx + np.arange(c0, c1)).ravel()
-            det = (y[b] - y[c]) * (x[a] - x[c]) + (x[c] - x[b]) * (y[a] - y[c])
-            u = ((y[b] - y[c]) * (qx[at] - x[c]) + (x[c] - x[b]) * (qy[at] - y[c])) / det
-            v = ((y[c] - y[a]) * (qx[at] - x[c]) + (x[a] - x[c]) * (qy[at] - y[c])) / det
-            ok = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9)
-            bary = np.stack([u[ok], v[ok], 1 - u[ok] - v[ok]], axis=1)
-            out[at[ok]] = bary @ z[t] if g is None else patch(x[t], y[t], z[t], g[t], bary)
-    hole, rows = np.flatnonzero(np.isnan(out)), max(1, (1 << 22) // len(x))
-    for lo in range(0, len(hole), rows):
-        part = hole[lo : lo + rows]
-        out[part] = z[((qx[part, None] - x) ** 2 + (qy[part, None] - y) ** 2).argmin(1)]
-    return pd.DataFrame({"layer": frame["layer"].iloc[0], "row": np.repeat(np.arange(ny), nx).astype(np.int32), "col": np.tile(np.arange(nx), ny).astype(np.int32), "z": out})
-
-
-def gridded(points: DataFrame, nx: int = 200, ny: int = 200, method: str = "linear", sigma: float = 0.5) -> DataFrame:
-    """layer, row, col, z from scattered layer, x, y, z: linear or cubic (with continuous slopes) on a Delaunay triangulation,
-    or nearest; nearest outside the hull; then a Gaussian smooth (sigma 0: none). ValueError for another method.
-
-    A layer is triangulated in one task, from left to right; equal places are averaged before they get there.
-    """
-    if method not in ("linear", "cubic", "nearest"):
-        raise ValueError(f"unknown method {method}")
-    from strata.operators.stencil import _name, smoothed
-
-    points = points.groupBy("layer", "x", "y").agg(F.avg("z").alias("z"))
-    cells = points.groupBy("layer").applyInPandas(lambda f: _interpolated(f, nx, ny, method), "layer string, row int, col int, z double")
-    return smoothed(cells, [sigma]).select("layer", "row", "col", F.col(_name(sigma)).alias("z")) if sigma else cells

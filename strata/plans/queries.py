@@ -811,6 +811,30 @@ def scatter_nearest(spark, sf_dir):
     return rounded(grid.gridded(_scattered(spark, sf_dir), 30, 20, "nearest", 0))
 
 
+#: A node is inside the hull if the points around it leave no gap of half a turn; there the value is the plane's.
+PLANE_SQL = """WITH p AS (SELECT DISTINCT CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1000 AS DOUBLE) AS y FROM supplier),
+e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p), n AS (SELECT i // 30 AS r, i % 30 AS c, x0 + (i % 30) * ((x1 - x0) / 29) AS x, y0 + (i // 30) * ((y1 - y0) / 19) AS y FROM range(600) t(i), e),
+t AS (SELECT r, c, n.x, n.y, p.x AS px, p.y AS py, atan2(p.y - n.y, p.x - n.x) AS turn FROM n, p),
+g AS (SELECT *, lead(turn) OVER k - turn AS gap, 2 * pi() - max(turn) OVER (PARTITION BY r, c) + min(turn) OVER (PARTITION BY r, c) AS rest FROM t WINDOW k AS (PARTITION BY r, c ORDER BY turn))
+SELECT 's' AS layer, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(CASE WHEN greatest(coalesce(max(gap), 0), max(rest)) < pi() THEN any_value(2 * x - 3 * y)
+  ELSE arg_min(2 * px - 3 * py, {'d': round((px - x) * (px - x) + (py - y) * (py - y), 6), 'x': px, 'y': py}) END, 6) AS z FROM g GROUP BY r, c"""
+
+
+def _plane(spark, sf_dir, method: str) -> DataFrame:
+    return rounded(grid.gridded(_scattered(spark, sf_dir).withColumn("z", 2 * F.col("x") - 3 * F.col("y")), 30, 20, method, 0, tile_points=50))
+
+
+@query(PLANE_SQL)
+def scatter_linear(spark, sf_dir):
+    """A plane over the suppliers' places, in tiles of about 50: its values inside the hull, those of the nearest outside."""
+    return _plane(spark, sf_dir, "linear")
+
+
+@query(PLANE_SQL)
+def scatter_cubic(spark, sf_dir):
+    return _plane(spark, sf_dir, "cubic")
+
+
 def _samples(spark, sf_dir) -> DataFrame:
     joined = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents"), "doc_id")
     words = F.size(F.split("text", r"\s+"))

@@ -853,3 +853,35 @@ def test_a_network_learns_and_stops(spark):
     assert area(network.margins(net, x), y) > 0.9
     noise = df.withColumns({"fold": F.lit(-1), "y": F.pmod(F.xxhash64("id"), F.lit(2)).cast("double")})
     assert len(network.train(noise, [5, 8, 1], 1, 400, 0.5, patience=3)) == 1
+
+
+@pytest.mark.parametrize("method", ["linear", "cubic", "nearest"])
+def test_tiles_equal_one_task(spark, method):
+    """Points with a dense cluster and a bent outline, in tiles of 40, against a layer in one task."""
+    from strata.operators import scatter
+
+    rng = np.random.default_rng(11)
+    x, y = np.r_[rng.random(500), rng.normal(0.3, 0.01, 250)], np.r_[rng.random(500), rng.normal(0.6, 0.01, 250)]
+    keep = (x - 1) ** 2 + y**2 > 0.2
+    frame_ = pd.DataFrame({"layer": "a", "x": x[keep], "y": y[keep], "z": rng.random(keep.sum())})
+    frame_ = pd.concat([frame_, frame_.iloc[:5].assign(z=7.0), frame_.iloc[:1].assign(z=np.nan)])
+    other = pd.DataFrame({"layer": "b", "x": [0.0, 1.0, 2.0], "y": [0.0, 1.0, 2.0], "z": [1.0, 2.0, 3.0]})
+    got = scatter.gridded(spark.createDataFrame(pd.concat([frame_, other])), 37, 29, method, 0, tile_points=40).toPandas()
+    assert len(got) == 2 * 37 * 29 and not got.duplicated(["layer", "row", "col"]).any()
+    for want in (grid._interpolated(frame_.dropna(), 37, 29, method), grid._interpolated(other, 37, 29, method)):
+        both = got.merge(want, on=["layer", "row", "col"])
+        assert len(both) == len(want)
+        np.testing.assert_allclose(both["z_x"], both["z_y"], atol=1e-7)
+
+
+def test_tiles_of_few_points(spark):
+    from strata.operators import scatter
+
+    schema = "layer string, x double, y double, z double"
+    assert scatter.gridded(spark.createDataFrame([], schema), 4, 3, "linear", 0).count() == 0
+    one = spark.createDataFrame([("a", 1.0, 2.0, 5.0), (None, 1.0, 1.0, 1.0), ("a", None, 1.0, 1.0)], schema)
+    assert {(r.row, r.col, r.z) for r in scatter.gridded(one, 2, 2, "cubic", 0).collect()} == {(i, j, 5.0) for i in (0, 1) for j in (0, 1)}
+    # A lattice: four points on every circle, many on each line.
+    lattice = spark.createDataFrame([("a", float(i), float(j), 2.0 * i - j) for i in range(20) for j in range(20)], schema)
+    got = array(scatter.gridded(lattice, 39, 39, "linear", 0, tile_points=30), "z", (39, 39))
+    np.testing.assert_allclose(got, np.arange(39)[None] * 1.0 - np.arange(39)[:, None] / 2, atol=1e-9)
