@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.operators.scatter import _interpolated, gridded, patch, slopes, triangulate  # noqa: F401
+from strata.operators.stencil import _let
 
 MOST = 2000
 
@@ -108,35 +109,56 @@ def locate(points: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFra
     return points.withColumns({"row": index(F.col(y), grid.ymin, grid.dy, grid.ny), "col": index(F.col(x), grid.xmin, grid.dx, grid.nx), "inside": inside})
 
 
+def _lowest(line, gaps, whole):
+    """For each gap of a line (places in it) the place whose column holds the nearest value.
+
+    The places found never go back along the line, so the gap in the middle bounds those of both sides: all gaps of a level,
+    every other of the next finer spacing, look at the line once together, and the levels are the logarithm of the gaps.
+    """
+    n, m = F.size(line), F.size(gaps)
+
+    def nearest(gap, low, high):
+        me = F.get(line, gap)
+        # The own column's value is so far away; where no column is left out, no farther place can be nearer.
+        reach = F.when(whole, F.ceil(F.sqrt(me["best"]["d"])).cast("int"))
+        low, high = F.greatest(low, gap - reach), F.least(high, gap + reach)
+        away = lambda x: F.coalesce(x["best"]["d"] + (x["col"] - me["col"]).cast("long") * (x["col"] - me["col"]), F.lit((1 << 63) - 1))
+        return F.array_min(F.transform(F.slice(line, low + 1, high - low + 1), lambda x, i: F.struct(away(x).alias("d"), x["best"]["r"].alias("r"), (low + i).alias("j"))))["j"]
+
+    def finer(found, level):
+        step = F.pow(F.lit(2.0), level).cast("int")
+
+        def one(u):
+            before = F.floor((u - 1) / 2).cast("int")  # gaps of the coarser level before this one
+            known = F.get(found, (u / 2).cast("int") - 1)
+            return F.when(u % 2 == 0, known).otherwise(nearest(F.get(gaps, u * step - 1), F.coalesce(F.get(found, before - 1), F.lit(0)), F.coalesce(F.get(found, before), n - 1)))
+
+        return F.transform(F.sequence(F.lit(1), F.floor(m / step).cast("int")), one)
+
+    top = F.floor(F.log2(m.cast("double"))).cast("int")
+    return F.aggregate(F.sequence(top, F.lit(0), F.lit(-1)), F.array().cast("array<int>"), finer)
+
+
 def fill_nearest(cells: DataFrame) -> DataFrame:
     """cells with each missing z replaced by the nearest present one of its layer in index space; ties go to the smaller
     row, then column. A layer without values stays as it is. A column has a cell in each of its layer's rows, or in none.
 
-    Each cell first finds the nearest values above and below in its column; the nearest of all is then among those of its
-    row's columns, no farther off than the own column's, so a missing cell looks at a part of one line.
+    Each cell first finds the nearest value in its column; squared distances to those of a row's columns are parabolas along
+    the row, whose lower envelope is followed in near linear time however wide the gaps.
     """
     line = Window.partitionBy("layer", "col").orderBy("row")
     here = F.when(F.col("z").isNotNull(), F.struct(F.col("row").alias("r"), F.col("z").alias("v")))
     seen = cells.select("layer", "row", "col", "z").withColumns({"_up": F.last(here, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "_down": F.first(here, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))})
-    rows = seen.groupBy("layer", "row").agg(F.array_sort(F.collect_list(F.struct("col", "z", "_up", "_down"))).alias("l"))
-
-    def nearest(me):
-        c = me["col"]
-        # The own column's values bound how far away the nearest can be; a full line is cut to that by place.
-        own = lambda side: F.when(me[side].isNotNull(), F.abs(me[side]["r"] - F.col("row")))
-        reach = F.least(own("_up"), own("_down"))
-        whole = F.size("l") == F.element_at("l", -1)["col"] - F.element_at("l", 1)["col"] + 1
-        first = F.greatest(c - reach - F.element_at("l", 1)["col"] + 1, F.lit(1))
-        line = F.when(whole & reach.isNotNull(), F.slice("l", first, c + reach - F.element_at("l", 1)["col"] + 2 - first)).otherwise(F.col("l"))
-
-        def to(side):
-            far = lambda p: (p["col"] - c) * (p["col"] - c) + (p[side]["r"] - F.col("row")) * (p[side]["r"] - F.col("row"))
-            return F.transform(F.filter(line, lambda p: p[side].isNotNull()), lambda p: F.struct(far(p).alias("d"), p[side]["r"].alias("r"), p["col"].alias("c"), p[side]["v"].alias("v")))
-
-        return F.array_min(F.concat(to("_up"), to("_down")))["v"]
-
-    filled = rows.select("layer", "row", F.explode(F.transform("l", lambda p: F.struct(p["col"].alias("col"), F.when(p["z"].isNull(), nearest(p)).otherwise(p["z"]).alias("z")))).alias("x"))
-    return filled.select("layer", "row", "x.col", "x.z")
+    away = lambda side: F.when(F.col(side).isNotNull(), F.struct(((F.col(side)["r"] - F.col("row")).cast("long") * (F.col(side)["r"] - F.col("row"))).alias("d"), F.col(side)["r"].alias("r"), F.col(side)["v"].alias("v")))
+    seen = seen.select("layer", "row", "col", "z", F.array_min(F.array(away("_up"), away("_down"))).alias("best"))
+    rows = seen.groupBy("layer", "row").agg(F.array_sort(F.collect_list(F.struct("col", "z", "best"))).alias("l"))
+    l = F.col("l")  # noqa: E741
+    whole = F.size(l) == F.element_at(l, -1)["col"] - F.element_at(l, 1)["col"] + 1
+    gaps = F.filter(F.sequence(F.lit(0), F.size(l) - 1), lambda i: F.get(l, i)["z"].isNull())
+    there = F.transform(F.filter(l, lambda p: p["z"].isNotNull()), lambda p: F.struct(p["col"].alias("col"), p["z"].alias("z")))
+    filled = lambda q: _let(_lowest(l, q, whole), lambda found: F.transform(q, lambda g, i: F.struct(F.get(l, g)["col"].alias("col"), F.get(l, F.get(found, i))["best"]["v"].alias("z"))))
+    all_ = _let(gaps, lambda q: F.when(F.size(q) == 0, there).otherwise(F.concat(there, filled(q))))
+    return rows.select("layer", "row", F.explode(all_).alias("x")).select("layer", "row", "x.col", "x.z")
 
 
 def missing_report(cells: DataFrame) -> DataFrame:

@@ -39,30 +39,33 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     x, y, far = x - x.mean(), y - y.mean(), 1e4 * span
     px, py = np.r_[x, -far, far, 0.0], np.r_[y, -far, -far, far]
 
-    def circle(t):
-        a, b, c = t
-        ax, ay, bx, by, cx, cy = px[a], py[a], px[b], py[b], px[c], py[c]
+    def circles_of(t):
+        """Centre and squared radius of each; infinite for flat ones."""
+        (ax, bx, cx), (ay, by, cy) = px[t].T, py[t].T
         d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if abs(d) < 1e-12 * span * span:
-            return 0.0, 0.0, math.inf
+        flat = np.abs(d) < 1e-12 * span * span
+        d = np.where(flat, 1.0, d)
         s, t_, u = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
         ux, uy = (s * (by - cy) + t_ * (cy - ay) + u * (ay - by)) / d, (s * (cx - bx) + t_ * (ax - cx) + u * (bx - ax)) / d
-        return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
+        r2 = (ax - ux) ** 2 + (ay - uy) ** 2
+        return np.stack([np.where(flat, 0.0, ux), np.where(flat, 0.0, uy), np.where(flat, np.inf, r2)], axis=1)
 
     tri, done = np.array([[n, n + 1, n + 2]]), []
-    circles = np.array([circle(tri[0])])
+    circles = circles_of(tri)
     for p in np.lexsort((y, x)):
         left = circles[:, 0] + np.sqrt(circles[:, 2]) * (1 + 1e-9) < px[p]
         if left.any():
             done.append(tri[left])
             tri, circles = tri[~left], circles[~left]
         bad = (px[p] - circles[:, 0]) ** 2 + (py[p] - circles[:, 1]) ** 2 < circles[:, 2] * (1 + 1e-12)
-        edges = np.sort(np.concatenate([tri[bad][:, [0, 1]], tri[bad][:, [1, 2]], tri[bad][:, [2, 0]]]), axis=1)
-        rim, count = np.unique(edges, axis=0, return_counts=True)
+        # An edge of one such triangle alone is on the rim of the hole.
+        ends = tri[bad]
+        u, v = ends.ravel(), ends[:, [1, 2, 0]].ravel()
+        rim, count = np.unique(np.minimum(u, v) * (n + 3) + np.maximum(u, v), return_counts=True)
         rim = rim[count == 1]
-        new = np.c_[rim, np.full(len(rim), p)]
+        new = np.stack([rim // (n + 3), rim % (n + 3), np.full(len(rim), p)], axis=1)
         tri = np.concatenate([tri[~bad], new])
-        circles = np.concatenate([circles[~bad], np.array([circle(t) for t in new]).reshape(-1, 3)])
+        circles = np.concatenate([circles[~bad], circles_of(new)])
     tri = np.concatenate([*done, tri])
     tri = tri[(tri < n).all(1)]
     area = (x[tri[:, 1]] - x[tri[:, 0]]) * (y[tri[:, 2]] - y[tri[:, 0]]) - (x[tri[:, 2]] - x[tri[:, 0]]) * (y[tri[:, 1]] - y[tri[:, 0]])
@@ -336,13 +339,14 @@ def gridded(points: DataFrame, nx: int = 200, ny: int = 200, method: str = "line
         at = drawn[drawn["layer"] == r.layer]
         tiles[r.layer] = _tiles(at["x"].to_numpy(float), at["y"].to_numpy(float), r.n, size, (r.min_x, r.max_x, r.min_y, r.max_y), np.array([r[k][1:] for k in ways], float), nx, ny)
     spark, key = points.sparkSession, ["layer", "tile", "part"]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as stated: tiles are work, though few bytes
     held = spark.sparkContext.broadcast(tiles)
     schema = "layer string, tile long, part long, x double, y double, z double"
     sent = stored(points.mapInPandas(_sent(held), schema), "sent")
     own, done = sent.where("part = -1"), None
     todo = sent.where("part >= 0").unionByName(spark.range(len(sizes)).mapInPandas(_all_parts(held, [r.layer for r in sizes]), schema))
     while True:
-        solved = stored(todo.groupBy(key).applyInPandas(_solved(held, method), _SOLVED), "solved")
+        solved = stored(todo.repartition(tasks, *key).groupBy(key).applyInPandas(_solved(held, method), _SOLVED), "solved")
         more = stored(_inside(own, solved.where("kind > 0")).join(todo.select(*key, "x", "y"), [*key, "x", "y"], "left_anti"), "more")
         nodes, again = solved.where("kind = 0").select(*key, "row", "col", "z"), more.select(key).distinct()
         settled = nodes.join(again, key, "left_anti")

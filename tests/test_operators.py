@@ -885,3 +885,18 @@ def test_tiles_of_few_points(spark):
     lattice = spark.createDataFrame([("a", float(i), float(j), 2.0 * i - j) for i in range(20) for j in range(20)], schema)
     got = array(scatter.gridded(lattice, 39, 39, "linear", 0, tile_points=30), "z", (39, 39))
     np.testing.assert_allclose(got, np.arange(39)[None] * 1.0 - np.arange(39)[:, None] / 2, atol=1e-9)
+
+
+def test_wide_gaps_are_filled(spark):
+    """Few values, an absent column, and many ties, against a search of all values."""
+    rng = np.random.default_rng(4)
+    z = np.where(rng.random((40, 70)) < 0.02, rng.integers(0, 1000, (40, 70)).astype(float), np.nan)
+    z[:, 30:55] = np.nan
+    cells = frame(spark, z).where("col <> 12")
+    got = {(r.row, r.col): r.z for r in grid.fill_nearest(cells).collect()}
+    r, c = np.nonzero(~np.isnan(z))
+    r, c = r[c != 12], c[c != 12]
+    assert len(got) == 40 * 69
+    for i, j in got:
+        k = np.lexsort((c, r, (r - i) ** 2 + (c - j) ** 2))[0]
+        assert got[i, j] == z[r[k], c[k]]
