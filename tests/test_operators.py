@@ -900,3 +900,23 @@ def test_wide_gaps_are_filled(spark):
     for i, j in got:
         k = np.lexsort((c, r, (r - i) ** 2 + (c - j) ** 2))[0]
         assert got[i, j] == z[r[k], c[k]]
+
+
+def test_tiles_need_their_rounds(spark, monkeypatch):
+    """Without what the joins across borders find, tiles give other values than a layer in one task."""
+    from strata.operators import scatter
+
+    rng = np.random.default_rng(3)
+    frame_ = pd.DataFrame({"layer": "a", "x": rng.random(300) ** 3, "y": rng.random(300), "z": rng.random(300)})
+    found = scatter._inside
+    monkeypatch.setattr(scatter, "HALO", 0.0)
+    points, want = spark.createDataFrame(frame_), grid._interpolated(frame_, 25, 25, "linear")
+
+    def off():
+        got = scatter.gridded(points, 25, 25, "linear", 0, tile_points=40).toPandas().merge(want, on=["layer", "row", "col"])
+        return len(got), np.abs(got["z_x"] - got["z_y"]).max()
+
+    n, least = off()
+    assert n == 625 and least < 1e-7
+    monkeypatch.setattr(scatter, "_inside", lambda own, asked: found(own, asked).limit(0))
+    assert off()[1] > 0.01
