@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval: randomised SVD of TF-IDF passages, candidate windows by their
 cosine with an item in the truncated space, then longest common subsequence and answer checks.
 
-All documents are read twice, however many items there are: once for the frequencies of the items' words, once to be
-searched. The space has half as many directions as a block has items, 64 at most, and more only for items that it would
-hardly show. The threshold of the cosine is set by measured recall against every window.
+All documents are read twice, however many items there are: once for the frequencies of the items' words and for the
+passages, which are kept as places of those words, once to be searched. The space is fitted on the passages of all
+documents. It has half as many directions as a block has items, 64 at most, and more only for items that it would hardly
+show. The threshold of the cosine is set by measured recall against every window.
 """
 
 from __future__ import annotations
@@ -27,17 +28,16 @@ PASS_WORDS = 400_000
 #: length the space shows less than SHARE gets a direction added.
 SHARE = 0.2
 RANK, POWER_STEPS, OVERSAMPLE = 64, 2, 16
-#: Documents, about, whose passages the space is fitted on besides the block's items, and the files they are kept in, so
-#: that as few partial products meet. All documents are searched.
-SAMPLE_DOCS, SAMPLE_FILES = 2000, 16
-#: Terms of a piece of the products A'A X; pieces are summed on the executors before the driver gets them.
-PIECE = 256
+#: Passages kept in a row of their table, and terms of a block, its most frequent ones, that take part as a dense matrix.
+ROW_PASSAGES, OFTEN = 1024, 512
+#: Terms of a piece of the products A'A X; pieces are summed on the executors, FAN at a time in a tree, before the driver gets them.
+PIECE, FAN = 256, 64
 #: Words of the shortest windows; lengths double from there. An item is looked for in the windows of the smallest length that holds it.
 SHORTEST = 16
 #: Words of a passage the space is fitted on.
 PASSAGE = 64
 OVERLAP, ANSWER = 0.7, 0.5
-#: Least cosine of a candidate. Of 1,023 pasted items with up to 30 % of their words replaced, the lowest best cosine was 0.745.
+#: Least cosine of a candidate. Of 1,015 pasted items with up to 30 % of their words replaced, the lowest best cosine was 0.785.
 COSINE = 0.7
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -92,6 +92,15 @@ class Item(NamedTuple):
         return SHORTEST << int(np.ceil(np.log2(max(len(self.words) / SHORTEST, 1))))
 
 
+class Passages(NamedTuple):
+    """The passages of all documents for a pass: a table of sizes, terms and times (see _scanned), the vocabulary in which the
+    terms are places, and the number of passages."""
+
+    rows: DataFrame
+    vocabulary: np.ndarray
+    count: int
+
+
 class Space(NamedTuple):
     """The latent space of a block: its terms (places in the pass's vocabulary), a term's vector times idf (terms x rank), the
     items (places in the pass's list) and their vectors of unit length (items x rank)."""
@@ -160,8 +169,16 @@ def blocks(benchmark: DataFrame, item: str, text: str) -> list[Items]:
     return out
 
 
-def _frequencies(vocabulary):
-    """mapInArrow: in how many texts of the task each term of the vocabulary occurs, and how many texts there are (place -1)."""
+_SCANNED = "place int, n long, sizes binary, terms binary, times binary"
+
+
+def _scanned(vocabulary):
+    """mapInArrow: texts -> rows of ROW_PASSAGES passages at most (terms of each as bytes, the terms' places as 32-bit integers,
+    and how often each occurs in its passage as bytes); then in how many texts of the task each term of the vocabulary
+    occurs, and how many texts there are (place -1)."""
+
+    def made(place, n, sizes, terms, times):
+        return pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sizes, terms, times))], names=["place", "n", "sizes", "terms", "times"])
 
     def run(batches):
         places, total, n = lookup(vocabulary.value), np.zeros(len(vocabulary.value), np.int64), 0
@@ -169,63 +186,84 @@ def _frequencies(vocabulary):
             n += batch.num_rows
             for i, j, row, h in tokens(batch.column(0)):
                 at = places(h)
-                hit = at >= 0
-                key = row[hit] * len(total) + at[hit]
+                hit = np.flatnonzero(at >= 0)
+                if not len(hit):
+                    continue
+                of, term = row[hit], at[hit]
+                key = of * len(total) + term
                 if (j - i) * len(total) <= 1 << 23:
                     seen = np.zeros((j - i) * len(total), bool)
                     seen[key] = True
                     total += seen.reshape(j - i, -1).sum(0)
                 else:
                     key.sort()
-                    total += np.bincount(key[np.r_[True, key[1:] != key[:-1]]] % len(total), minlength=len(total)) if len(key) else 0
+                    total += np.bincount(key[np.r_[True, key[1:] != key[:-1]]] % len(total), minlength=len(total))
+                first = np.searchsorted(row, np.arange(j - i + 1))
+                base = np.concatenate(([0], np.cumsum(-(-np.diff(first) // PASSAGE))))
+                key, times = np.unique((base[of] + (hit - first[of]) // PASSAGE) * len(total) + term, return_counts=True)
+                passage, term = np.divmod(key, len(total))
+                start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1], True])
+                sizes, term, times = np.diff(start).astype(np.uint8), term.astype(np.int32), times.astype(np.uint8)
+                cuts = [*range(0, len(sizes), ROW_PASSAGES), len(sizes)]
+                for a, b in zip(cuts, cuts[1:]):
+                    part = slice(start[a], start[b])
+                    yield made([None], [None], [sizes[a:b].tobytes()], [term[part].tobytes()], [times[part].tobytes()])
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used].astype(np.int32)), pa.array(np.r_[n, total[used]])], names=["place", "n"])
+        none = [None] * (len(used) + 1)
+        yield made(np.r_[-1, used], np.r_[n, total[used]], none, none, none)
 
     return run
 
 
-def _passages(vocabulary, idf):
-    """mapInArrow: sampled texts -> their passages as (term places, TF-IDF weights of unit length)."""
-
-    def run(batches):
-        places, weight = lookup(vocabulary.value), idf.value
-        for batch in batches:
-            terms, weights = [], []
-            for i, j, row, h in tokens(batch.column(0)):
-                at = places(h)
-                first = np.searchsorted(row, np.arange(j - i + 1))
-                for r in range(j - i):
-                    for lo in range(first[r], first[r + 1], PASSAGE):
-                        part = at[lo : min(lo + PASSAGE, first[r + 1])]
-                        t, tf = np.unique(part[part >= 0], return_counts=True)
-                        w = tf * weight[t]
-                        if len(t) and (norm := np.sqrt((w * w).sum())) > 0:
-                            terms.append(t.astype(np.int32))
-                            weights.append((w / norm).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], names=["terms", "weights"])
-
-    return run
+def _add(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the place at; places ascend, and may repeat."""
+    if len(at):
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        turn = np.arange(len(at)) - np.repeat(new, np.diff(np.r_[new, len(at)]))
+        for k in range(turn.max() + 1):  # no place twice in a turn
+            some = np.flatnonzero(turn == k)
+            total[at[some]] += rows[some]
 
 
 def _gram(held):
-    """mapInArrow: the task's share of A'A X for the passages A, as pieces of PIECE terms."""
+    """mapInArrow: the task's share of A'A X for its passages A, as pieces of PIECE terms. held: the block's term of each place (-1:
+    none), the most frequent ones first, their idf, and X."""
 
     def run(batches):
-        x, out = held.value, None
+        from pyspark import TaskContext
+
+        slot, idf, x = held.value
+        out, n = None, min(OFTEN, len(x))
         for batch in batches:
-            for t, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t, w = np.array(t), np.array(w)
-                out = np.zeros_like(x) if out is None else out
-                out[t] += np.outer(w, w @ x[t])
+            for sizes, term, times in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sizes, term, times = np.frombuffer(sizes, np.uint8), slot[np.frombuffer(term, np.int32)], np.frombuffer(times, np.uint8)
+                mine = np.flatnonzero(term >= 0)
+                row, term = np.repeat(np.arange(len(sizes)), sizes)[mine], term[mine]
+                w = times[mine] * idf[term]
+                w = (w / np.sqrt(np.bincount(row, w * w, len(sizes)))[row]).astype(np.float32)
+                out = np.zeros(x.shape) if out is None else out
+                often = term < n
+                dense = np.zeros((len(sizes), n), np.float32)
+                dense[row[often], term[often]] = w[often]
+                row, term, w = row[~often], term[~often], w[~often, None]
+                y = dense @ x[:n]
+                _add(y, row, w * x[term])
+                out[:n] += dense.T @ y
+                order = np.argsort(term, kind="stable")
+                _add(out, term[order], w[order] * y[row[order]])
         if out is not None:
             at = range(0, len(out), PIECE)
-            yield pa.RecordBatch.from_arrays([pa.array([i // PIECE for i in at], pa.int32()), pa.array([out[i : i + PIECE].tobytes() for i in at], pa.binary())], names=["piece", "rows"])
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(at), pa.int32()), pa.array([i // PIECE for i in at], pa.int32()), pa.array([out[i : i + PIECE].tobytes() for i in at], pa.binary())], names=["part", "piece", "rows"])
 
     return run
 
 
+_PIECES = "part int, piece int, rows binary"
+
+
 def _added(frame):
-    """applyInPandas: the sum of a piece over all tasks."""
+    """applyInPandas: the sum of a piece over some tasks."""
     return frame.head(1).assign(rows=[sum(np.frombuffer(bytes(r), np.float64) for r in frame["rows"]).tobytes()])
 
 
@@ -237,26 +275,33 @@ def units(items: Items, idf: np.ndarray) -> np.ndarray:
     return own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
 
 
-def fit(passages: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 3) -> np.ndarray:
+def fit(passages: Passages, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 3) -> np.ndarray:
     """(terms x rank) right singular vectors of the weighted TF-IDF passages, by randomised subspace iteration.
 
-    The products A'A X run on the executors; the driver holds terms x rank numbers of a block. The items are passages
-    too, weighted to four times the sample's share, so that the space spans them.
+    The products A'A X run on the executors, over the passages of all documents; the driver holds terms x rank numbers of a
+    block. The items are passages too, weighted to four times the documents' share, so that the space spans them.
     """
-    spark, n = passages.sparkSession, len(items.vocabulary)
+    spark, n = passages.rows.sparkSession, len(items.vocabulary)
     width = min(n, rank + OVERSAMPLE)
-    count = passages.count()
     own = units(items, idf)
-    own *= np.sqrt(max(1.0, 4.0 * count / max(1, len(items.ids))))
+    own *= np.sqrt(max(1.0, 4.0 * passages.count / max(1, len(items.ids))))
+    order = np.argsort(idf, kind="stable")
+    slot = np.full(len(passages.vocabulary), -1, np.int32)
+    slot[np.searchsorted(passages.vocabulary, items.vocabulary)[order]] = np.arange(n)
+    tasks = passages.rows.rdd.getNumPartitions() if passages.count else 0
     x = np.random.default_rng(seed).normal(size=(n, width))
     for _ in range(POWER_STEPS + 1):
         y = own.T @ (own @ x)
-        if count:
-            parts = passages.mapInArrow(_gram(spark.sparkContext.broadcast(x)), "piece int, rows binary").groupBy("piece").applyInPandas(_added, "piece int, rows binary").toArrow()
+        if passages.count:
+            held, left = spark.sparkContext.broadcast((slot, idf[order], x[order].astype(np.float32))), tasks
+            parts = passages.rows.mapInArrow(_gram(held), _PIECES)
+            while left > FAN:
+                parts, left = parts.withColumn("part", F.expr(f"part div {FAN}").cast("int")).groupBy("part", "piece").applyInPandas(_added, _PIECES), -(-left // FAN)
+            parts = parts.groupBy("piece").applyInPandas(_added, _PIECES).select("piece", "rows").toArrow()
             for piece, rows in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
                 part = np.frombuffer(rows, np.float64).reshape(-1, width)
-                y[piece * PIECE : piece * PIECE + len(part)] += part
-        x, _ = np.linalg.qr(y)
+                y[order[piece * PIECE : piece * PIECE + len(part)]] += part
+    x, _ = np.linalg.qr(y)
     inner = x.T @ (own.T @ (own @ x))
     values, turn = np.linalg.eigh(inner)
     return (x @ turn[:, np.argsort(-values)])[:, : min(rank, width)]
@@ -278,23 +323,24 @@ def _passes(every: list[Items]):
 
 def wanted(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> list[Wanted]:
     """One Wanted a pass. Document frequencies count all documents; each block's space is fitted on its items and on the
-    passages of a sample of documents that all blocks share."""
-    spark, out, sample = docs.sparkSession, [], None
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.lit(9), F.col(key)).alias("draw"))
+    passages of all documents, which are kept in a table for the pass. key doesn't matter to either."""
+    spark, out = docs.sparkSession, []
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     for held in _passes(blocks(benchmark, item, item_text)):
         vocabulary = np.unique(np.concatenate([items.vocabulary for items in held]))
-        got = texts.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        scanned = stored(texts.mapInArrow(_scanned(spark.sparkContext.broadcast(vocabulary)), _SCANNED), "passages")
+        got = scanned.where("place is not null").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
         df, total = np.zeros(len(vocabulary)), 1
         places, counts = got.column(0).to_numpy(), got.column(1).to_numpy()
         df[places[places >= 0]] = counts[places >= 0]
         total = max(1, int(counts[places < 0].sum()))
         idf = np.log((1 + total) / (1 + df)) + 0.05
-        if sample is None:
-            sample = stored(texts.where(F.pmod("draw", F.lit(1 << 20)) < int(min(1.0, SAMPLE_DOCS / total) * (1 << 20))).select("text").repartition(SAMPLE_FILES), "sample")
+        rows = scanned.where("sizes is not null").select("sizes", "terms", "times")
+        passages = Passages(rows, vocabulary, rows.agg(F.sum(F.octet_length("sizes"))).first()[0] or 0)
         looked, spaces = [], []
         for items in held:
             at = np.searchsorted(vocabulary, items.vocabulary)
-            own, v = units(items, idf[at]), latent(sample, items, idf[at])
+            own, v = units(items, idf[at]), latent(passages, items, idf[at])
             scores, first = own.T * idf[at][:, None], len(looked)
             for k, words in enumerate(items.words):
                 terms = np.unique(words)
@@ -306,10 +352,8 @@ def wanted(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     return out
 
 
-def latent(sample: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
+def latent(passages: Passages, items: Items, idf: np.ndarray) -> np.ndarray:
     """(terms x rank): the block's truncated basis, with directions for the items that it would hardly show."""
-    spark = sample.sparkSession
-    passages = stored(sample.mapInArrow(_passages(spark.sparkContext.broadcast(items.vocabulary), spark.sparkContext.broadcast(idf)), "terms array<int>, weights array<float>"), "passages")
     v, own = fit(passages, items, idf, max(1, min(RANK, len(items.ids) // 2))), units(items, idf)
     hidden = own[((own @ v) ** 2).sum(1) < SHARE]
     _, size, more = np.linalg.svd(hidden - hidden @ v @ v.T, full_matrices=False)

@@ -291,6 +291,39 @@ def test_leaks_against_every_window(spark, more):
     assert {tuple(r)[:2] for r in decontaminate.leaks(docs, bench).where("key < 100").collect()} == want
 
 
+def test_the_space_is_fitted_on_all_documents(spark, monkeypatch):
+    """The products of the fit against the passages of every text: more texts than were once sampled, frequent terms and rare
+    ones, tasks summed up in a tree."""
+    rng, given, latent = random.Random(31), [], decontaminate.latent
+    items = [(i, prose(rng, 60)) for i in range(20)]
+    rows = [(i, prose(rng, rng.randrange(1, 160))) for i in range(2400)] + [(None, None), (5, ""), (5, " ".join(t for _, t in items))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(7), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "FAN", 2)
+    monkeypatch.setattr(decontaminate, "latent", lambda *a: given.append(a) or latent(*a))
+    decontaminate.wanted(docs, bench, "doc_id", "text", "item_id", "text")
+    ((passages, block, idf),) = given
+    place = {w: i for i, w in enumerate(block.vocabulary.tolist())}
+    assert len(place) > decontaminate.OFTEN + 50
+    every = []
+    for _, text in rows:
+        words = [h for *_, h in decontaminate.tokens(decontaminate.pa.array([text], decontaminate.pa.large_string()))][0].tolist()
+        for lo in range(0, len(words), decontaminate.PASSAGE):
+            row = np.zeros(len(place))
+            for w in words[lo : lo + decontaminate.PASSAGE]:
+                if w in place:
+                    row[place[w]] += idf[place[w]]
+            if row.any():
+                every.append(row / np.linalg.norm(row))
+    every = np.array(every)
+    assert passages.count == len(every)
+    monkeypatch.setattr(decontaminate, "POWER_STEPS", 0)
+    monkeypatch.setattr(decontaminate, "OVERSAMPLE", 0)
+    v, own = decontaminate.fit(passages, block, idf, 9), decontaminate.units(block, idf)
+    x = np.random.default_rng(3).normal(size=(len(place), 9))
+    y, _ = np.linalg.qr(every.T @ (every @ x) + own.T @ (own @ x) * max(1, 4 * len(every) / len(items)))
+    assert np.abs(v @ v.T - y @ y.T).max() < 1e-4
+
+
 def test_the_latent_space_decides_on_candidates(spark, monkeypatch):
     """Another basis brings other candidates, and loses what the fitted one finds."""
     rng = random.Random(21)
