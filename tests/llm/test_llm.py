@@ -676,6 +676,20 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), sf).count() == 0, name
 
 
+def test_decontamination_stage_counts_and_fits_on_all_rows(spark, tmp_path, monkeypatch):
+    """The stage's frequencies and latent space see every row that the stage before it kept: more than were once sampled."""
+    import corpus_pipeline
+
+    rng, given, latent = random.Random(41), [], decontaminate.latent
+    item = prose(rng, 30)
+    rows = [(i, item + " " + prose(rng, 20) if i % 500 == 0 else item.split()[i % 30] + " other words", "en", "a", 1) for i in range(3000)]
+    sf = tables(spark, tmp_path, benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    monkeypatch.setattr(decontaminate, "latent", lambda *a: given.append(a) or latent(*a))
+    left = {r.doc_id for r in corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, DOCS), sf).collect()}
+    assert left == {i for i in range(3000) if i % 500}
+    assert given[0][0].count == 3000
+
+
 def test_each_stage_against_brute_force(spark, tmp_path):
     """Every stage on what the one before it kept: SQL for lines and mixing, all pairs for near duplicates, every window for
     decontamination."""
