@@ -147,18 +147,36 @@ def sample(docs: DataFrame, label: str, text: str, per_label: int, key: str, see
     return rows.where(F.pmod("draw", F.lit(1 << 20)) < F.element_at(share, F.col("label")) * (1 << 20))
 
 
+_MODEL = "labels array<string>, width int, features binary, weights binary, bias binary, temperature double, threshold double"
+
+
 def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL, epochs: int = 8, seed: int = 7) -> Model:
     """Fits on at most about per_label rows of each label; a fifth of them sets the temperature and the rejection score.
 
-    The bags that reach the driver hold BUCKETS entries each at most. Rows with null text or label give nothing. With no
-    labelled row the model knows 'und' alone.
+    The bags hold BUCKETS entries each at most, and meet in a task that fits; the driver gets the model alone. Rows with null
+    text or label give nothing. With no labelled row the model knows 'und' alone.
     """
-    rows = sample(docs, label, text, per_label, key).mapInArrow(_features, "label string, draw long, whole boolean, ids array<int>, counts array<float>").toArrow()
-    order = np.lexsort((np.array([len(x) for x in rows.column("ids")]), rows.column("draw").to_numpy())) if rows.num_rows else np.zeros(0, int)
+    rows = sample(docs, label, text, per_label, key).mapInArrow(_features, "label string, draw long, whole boolean, ids array<int>, counts array<float>")
+
+    def run(table: pa.Table) -> pa.Table:
+        m = fit(table, epochs, seed)
+        values = [m.labels, m.table.shape[1], m.table.tobytes(), None if m.weights is None else m.weights.tobytes(), m.bias.tobytes(), m.temperature, m.threshold]
+        kinds = [pa.list_(pa.string()), pa.int32(), *[pa.binary()] * 3, pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["labels", "width", "features", "weights", "bias", "temperature", "threshold"])
+
+    made = rows.groupBy().applyInArrow(run, _MODEL).collect()
+    if not made:
+        return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), None, np.zeros(1), 1.0, 0.0)
+    labels, width, features, weights, *rest = made[0]
+    weights = None if weights is None else np.frombuffer(weights, np.float64).reshape(width, -1)
+    return Model(list(labels), np.frombuffer(features, np.float32).reshape(-1, width), weights, np.frombuffer(rest[0], np.float64), *rest[1:])
+
+
+def fit(rows: pa.Table, epochs: int, seed: int) -> Model:
+    """The model of a sample's bags: label, draw, whole, ids, counts."""
+    order = np.lexsort((np.array([len(x) for x in rows.column("ids")]), rows.column("draw").to_numpy()))
     rows = rows.take(pa.array(order))
     labels = sorted(set(rows.column("label").to_pylist()))
-    if not labels:
-        return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), None, np.zeros(1), 1.0, 0.0)
     y = np.array([labels.index(x) for x in rows.column("label").to_pylist()])
     whole, fold = rows.column("whole").to_numpy(), rows.column("draw").to_numpy() % 5
     ids, counts = [rows.column(c).combine_chunks() for c in ("ids", "counts")]

@@ -213,6 +213,20 @@ def test_quality_of_awkward_rows(spark):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
 
 
+def test_the_sample_does_not_reach_the_driver(spark, monkeypatch):
+    """What is learned from meets in a task; the driver gets a model of fixed size and no Arrow table."""
+    rng, got = random.Random(8), []
+    whole = lambda df: pytest.fail("the driver got a table")
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", whole)
+    collect = type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda df: got.append(collect(df)) or got[-1])
+    docs = spark.createDataFrame([(i, prose(rng, 60) if i % 2 else " ".join(f"x{rng.choice('aeiou')}zzy" for _ in range(60)), "ab"[i % 2]) for i in range(300)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert max(len(x) for x in got) <= 2 and len(got[-1][0].features) == model.table.nbytes == 4 * langid.BUCKETS * 2
+    labels, scores = langid.predict(model, langid.pa.array([prose(rng, 40), "xazzy xezzy xozzy", "12"]))
+    assert labels == ["b", "a", "und"] and (scores[:2] > 0.5).all()
+
+
 def test_no_language_learned(spark):
     docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, None), (4, "", None), (5, "été", None)], "doc_id long, text string, lang string")
     out = langid.label_languages(docs, langid.train(docs)).collect()
