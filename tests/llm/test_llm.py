@@ -227,12 +227,41 @@ def test_the_sample_does_not_reach_the_driver(spark, monkeypatch):
     assert labels == ["b", "a", "und"] and (scores[:2] > 0.5).all()
 
 
+@pytest.mark.parametrize("tasks", (1, 7))
+def test_languages_are_learned_from_all_rows(spark, monkeypatch, tasks):
+    """A kind of text that only rows outside the start's sample have is learned, and all rows held back set the rejection score."""
+    rng, words = random.Random(17), lambda k: ["".join(rng.choice(k) for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    a, b, rare = words("abcdefgh"), words("ijklmnop"), words("qrstuvwx")
+    text = lambda of: " ".join(rng.choices(of, k=rng.randrange(3, 30)))
+    both = lambda: " ".join(rng.choices(a, k=8) + rng.choices(rare, k=16))
+    draws = {r[0]: r[1] for r in spark.range(4000).select("id", F.xxhash64(F.lit(1), "id")).collect()}
+    late = [i for i in draws if draws[i] % (1 << 20) > 1 << 19][:400]
+    rows = [(i, both(), "b") if i in set(late) else (i, text(b), "b") if i % 2 else (i, text(a), "a") for i in draws]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(tasks)
+    monkeypatch.setattr(langid, "TASK_ROWS", 500)
+    monkeypatch.setattr(langid, "FAN", 2)
+    model = langid.train(docs, per_label=60)
+    of = lambda texts: np.array(langid.predict(model, langid.pa.array(texts))[0])
+    assert (of([both() for _ in range(100)]) == "b").mean() > 0.8 and (of([text(a) for _ in range(100)]) == "a").mean() > 0.8
+    held = [r for r in rows if draws[r[0]] % 5 == 0]
+    labels, scores = langid.predict(model, langid.pa.array([r[1] for r in held]))
+    right = scores[np.array(labels) == [r[2] for r in held]]
+    assert model.threshold == pytest.approx(min(0.5, np.quantile(right, 0.005)), abs=1e-5)
+
+
 def test_no_language_learned(spark):
     docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, None), (4, "", None), (5, "été", None)], "doc_id long, text string, lang string")
     out = langid.label_languages(docs, langid.train(docs)).collect()
     assert {r.doc_id for r in out if not r.rejected} == {1, 5}
 
 
+def test_language_of_one_row_held_back(spark):
+    """With every labelled row held back, a label is known all the same."""
+    one = next(i for i in range(99) if spark.range(i, i + 1).select(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(5))).first()[0] == 0)
+    docs = spark.createDataFrame([(one, "plain words", "x"), (one, "more of them", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.label_languages(docs, langid.train(docs)).collect()} == {"x"}
+
+
 # 3: decontamination
 
 
