@@ -36,6 +36,8 @@ PIECE, FAN = 256, 64
 SHORTEST = 16
 #: Words of a passage the space is fitted on.
 PASSAGE = 64
+#: Words of texts that are looked at together; a longer text stands alone.
+PIECE_WORDS = 1 << 13
 OVERLAP, ANSWER = 0.7, 0.5
 #: Least cosine of a candidate. Of 1,015 pasted items with up to 30 % of their words replaced, the lowest best cosine was 0.785.
 COSINE = 0.7
@@ -64,7 +66,7 @@ def tokens(column: pa.Array):
         after[first[1:] - 1] = False
         starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
         h = mix(spans_hash(prefix(_BYTES[b]), starts, ends) + (ends - starts).astype(np.uint64))
-        yield i, j, np.searchsorted(at, starts, "right") - 1, h
+        yield i, j, np.repeat(np.arange(j - i), np.diff(np.searchsorted(starts, at))), h
 
 
 class Items(NamedTuple):
@@ -380,28 +382,32 @@ def common_subsequence(masks: dict, m: int, words) -> int:
     return m - v.bit_count()
 
 
-def _quarters(words: np.ndarray, row: np.ndarray, place: np.ndarray, vectors: np.ndarray, step: int):
-    """step, steps of each row, the first step of each row, and the sum of the vectors in each step. words: of each row."""
-    steps = -(-words // step)
-    base = np.concatenate(([0], np.cumsum(steps)))
-    total, cell, turn = np.zeros((base[-1] + 3, vectors.shape[1]), np.float32), base[row] + place // step, place % step
-    for k in range(step):  # no step twice in a turn
-        some = np.flatnonzero(turn == k)
-        total[cell[some]] += vectors[some]
-    return step, steps, base, total
+def _quarters(words: np.ndarray, row: np.ndarray, place: np.ndarray, terms: np.ndarray, load: np.ndarray, step: int):
+    """step, words of each row, the first cell of each row, and the sum of the vectors in each cell, a quarter of a window: the
+    steps of a row, and as many empty cells as its last window reaches over, so that a row has three windows fewer than cells. An
+    empty cell comes last. terms: of the words, places in load, whose last vector is zero."""
+    base = _bases(words, step)
+    slots = np.full((base[-1] + 1) * step, len(load) - 1, np.int32)
+    slots[base[row] * step + place] = terms
+    total = load.take(slots[::step], 0)
+    for k in range(1, step):
+        total += load.take(slots[k::step], 0)
+    return step, words, base, total
 
 
-def _doubled(words: np.ndarray, step: int, steps: np.ndarray, base: np.ndarray, total: np.ndarray):
-    """The same for steps of twice the length."""
-    more = -(-words // (2 * step))
-    new = np.concatenate(([0], np.cumsum(more)))
-    row = np.repeat(np.arange(len(words)), more)
+def _bases(words: np.ndarray, step: int) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.where(words > 0, np.maximum(-(-words // step) + 1, 4), 0))))
+
+
+def _doubled(pairs: np.ndarray, step: int, words: np.ndarray, base: np.ndarray, total: np.ndarray):
+    """The same for steps of twice the length. pairs: the sum of each cell and the next."""
+    new, steps = _bases(words, 2 * step), -(-words // step)
+    row = np.repeat(np.arange(len(words)), np.diff(new))
     first = 2 * (np.arange(new[-1]) - new[row])
-    out = np.zeros((new[-1] + 3, total.shape[1]), np.float32)
-    out[: new[-1]] = total[base[row] + first]
-    both = np.flatnonzero(first + 1 < steps[row])
-    out[both] += total[base[row[both]] + first[both] + 1]
-    return 2 * step, more, new, out
+    out = np.zeros((new[-1] + 1, total.shape[1]), np.float32)
+    held = np.flatnonzero(first < steps[row])
+    out[held] = pairs[base[row[held]] + first[held]]
+    return 2 * step, words, new, out
 
 
 class Finder:
@@ -416,41 +422,51 @@ class Finder:
             slot[s.terms] = np.arange(len(s.terms))
             self.slots.append(slot)
         self.masks: dict[int, dict[int, int]] = {}
+        #: Of the item that best() looks at, by place in the vocabulary; 0 for other words, and for strangers at the end.
+        self._scores = np.zeros(len(vocabulary) + 1)
         self.windows = [x.window for x in self.items]
-        #: By space: the lengths of windows, ascending, and the items (places in the space) of each.
-        self.lengths = {id(s): [(int(n), np.array([j for j, i in enumerate(s.items) if self.windows[i] == n])) for n in sorted({self.windows[i] for i in s.items})] for s in self.spaces}
+        self.loads = [np.vstack([s.load, np.zeros((1, s.load.shape[1]), np.float32)]) for s in self.spaces]
+        #: By space: the lengths of windows, ascending, and the items (places in the space) of each with their vectors.
+        self.lengths = {}
+        for s in self.spaces:
+            owns = [(n, np.array([j for j, i in enumerate(s.items) if self.windows[i] == n])) for n in sorted({self.windows[i] for i in s.items})]
+            self.lengths[id(s)] = [(int(n), own, s.vectors[own]) for n, own in owns]
 
     def retrieved(self, row: np.ndarray, at: np.ndarray):
         """(row, item, window): the windows whose cosine with an item in the latent space is COSINE or more."""
-        none = (np.zeros(0, np.int64),) * 3
-        if not len(row):
-            return none
-        words = np.bincount(row)
-        place = np.arange(len(row)) - np.concatenate(([0], np.cumsum(words)))[row]
-        found = []
-        for s, slot in zip(self.spaces, self.slots):
+        found, words = [], np.bincount(row)
+        upto = np.concatenate(([0], np.cumsum(words)))
+        for i, j in pieces(upto, PIECE_WORDS):  # few words at a time, whose vectors stay near the processor
+            lo, hi = upto[i], upto[j]
+            some = row[lo:hi] - i
+            for r, k, w in self._retrieved(words[i:j], some, np.arange(hi - lo) - (upto[i:j] - lo)[some], at[lo:hi]):
+                found.append((r + i, k, w))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+    def _retrieved(self, words: np.ndarray, row: np.ndarray, place: np.ndarray, at: np.ndarray):
+        for s, slot, load in zip(self.spaces, self.slots, self.loads):
             term = slot[at]  # -1 is the last of slot, and no term
             hits = np.flatnonzero(term >= 0)
             if not len(hits):
                 continue
-            vectors, finer = s.load[term[hits]], None
-            for length, own in self.lengths[id(s)]:
-                while finer is None or finer[0] < length // 4:
-                    finer = _quarters(words, row[hits], place[hits], vectors, length // 4) if finer is None else _doubled(words, *finer)
-                step, steps, base, quarter = finer
-                count = np.where(words > 0, np.maximum(1, -(-(words - length // 2) // step)), 0)
-                of = np.repeat(np.arange(len(words)), count)
-                window = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-                here = base[of] + window
-                span = quarter[here]
-                for k in (1, 2, 3):
-                    more = np.flatnonzero(window + k < steps[of])
-                    span[more] += quarter[here[more] + k]
-                size = np.linalg.norm(span, axis=1)
-                some = np.flatnonzero(size > 0)
-                w, i = np.nonzero((span[some] / size[some, None]) @ s.vectors[own].T >= COSINE)
-                found.append((of[some[w]], s.items[own[i]], window[some[w]]))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else none
+            cells = pairs = None
+            for length, own, vectors in self.lengths[id(s)]:
+                while cells is None or cells[0] < length // 4:
+                    cells = _quarters(words, row[hits], place[hits], term[hits], load, length // 4) if cells is None else _doubled(pairs, *cells)
+                    pairs = cells[3][:-1] + cells[3][1:]
+                base = cells[2]
+                span = pairs[:-2] + pairs[2:]
+                size = np.sqrt(np.einsum("ij,ij->i", span, span))
+                least = np.full(base[-1], np.inf, np.float32)
+                least[: len(span)] = np.where(size > 0, np.float32(COSINE) * size, np.float32(np.inf))
+                ends = base[1:][np.diff(base) > 0]
+                for k in (1, 2, 3):  # no windows start there
+                    least[ends - k] = np.inf
+                hit = np.flatnonzero(vectors @ span.T >= least[: len(span)])
+                if len(hit):
+                    i, cell = np.divmod(hit, len(span))
+                    of = np.searchsorted(base, cell, "right") - 1
+                    yield of, s.items[own[i]], cell - base[of]
 
     def best(self, k: int, words: np.ndarray, windows: np.ndarray, any_: bool):
         """(overlap, answer, cosine) of the best of a text's windows (ascending) for item k, or None."""
@@ -461,11 +477,14 @@ class Finder:
         skip = max(0, int(start[0]) - m)
         words, start = words[skip : int(start[-1]) + length + m], start - skip
         n = len(words)
-        end = np.minimum(start + length, n)
-        at = np.minimum(np.searchsorted(item.terms, words), len(item.terms) - 1)
-        mine = item.terms[at] == words
+        self._scores[item.terms] = item.scores
+        scores = self._scores[words]
+        self._scores[item.terms] = 0
+        if scores.sum() < item.least:
+            return None
+        mine, end = scores > 0, np.minimum(start + length, n)
         upto = np.zeros(n + 1)
-        np.cumsum(np.where(mine, item.scores[at], 0), out=upto[1:])
+        np.cumsum(scores, out=upto[1:])
         left, right = np.maximum(start - m, 0), np.minimum(end + m, n)
         if k not in self.masks:
             masks: dict[int, int] = {}
@@ -501,9 +520,9 @@ class Finder:
         order = np.lexsort((windows, rows, items))
         rows, items, windows = rows[order], items[order], windows[order]
         cut = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (items[1:] != items[:-1])]) if len(rows) else []
+        upto = np.concatenate(([0], np.cumsum(np.bincount(row))))
         for a, b in zip(cut, [*cut[1:], len(rows)]):
-            lo, hi = np.searchsorted(row, [rows[a], rows[a] + 1])
-            found = self.best(int(items[a]), at[lo:hi], windows[a:b], any_)
+            found = self.best(int(items[a]), at[upto[rows[a]] : upto[rows[a] + 1]], windows[a:b], any_)
             if found:
                 yield int(rows[a]), int(items[a]), *found
 

@@ -396,6 +396,47 @@ def test_the_latent_space_decides_on_candidates(spark, monkeypatch):
         assert candidates != fitted and (not candidates or len(candidates) > 2 * len(fitted)) and less <= want
 
 
+def test_windows_are_retrieved_in_little_memory(spark):
+    """The candidates are those of every window taken by itself, and no more than a few thousand words' vectors are held at once."""
+    import tracemalloc
+
+    rng = random.Random(51)
+    items = [(i, prose(rng, n)) for i, n in enumerate((9, 15, 17, 30, 33, 60, 64, 100) * 8)]
+    odd = [prose(rng, n) for n in (*range(1, 70), 127, 128, 129, 9000, 500, 500)]
+    rows = ["", *odd[:30], "", "", *odd[30:], *(f"{prose(rng, 60)} {t} {prose(rng, 90)}" for _, t in items), *(prose(rng, 400) for _ in range(200)), ""]
+    docs, bench = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    (search,) = decontaminate.wanted(docs, bench, "doc_id", "text", "item_id", "text")
+    finder, column = decontaminate.Finder(search.plain()), decontaminate.pa.array(rows, decontaminate.pa.large_string())
+    (space,), found = search.spaces, 0
+    for i, j, row, h in decontaminate.tokens(column):
+        at = finder.places(h)
+        finder.retrieved(row, at)
+        tracemalloc.start()
+        got = {tuple(x) for x in zip(*(x.tolist() for x in finder.retrieved(row, at)))}
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 4e6
+        found += len(got)
+        place = np.full(len(search.vocabulary), -1)
+        place[space.terms] = np.arange(len(space.terms))
+        sure, near = set(), set()
+        for r in range(j - i):
+            terms = at[row == r]
+            vectors = np.where((terms >= 0)[:, None], space.load[place[terms]], 0).astype(float)
+            for length in sorted({x.window for x in search.items}):
+                own = [k for k, x in enumerate(search.items) if x.window == length]
+                for w in range(max(1, -(-(len(terms) - length // 2) // (length // 4))) if len(terms) else 0):
+                    span = vectors[w * (length // 4) :][:length].sum(0)
+                    cosine = space.vectors[own] @ span / max(np.linalg.norm(span), 1e-12)
+                    for k, c in zip(own, cosine):
+                        if c >= decontaminate.COSINE - 1e-5:
+                            near.add((r, k, w))
+                        if c >= decontaminate.COSINE + 1e-5:
+                            sure.add((r, k, w))
+        assert sure <= got <= near
+    assert found > 100
+
+
 def test_workers_need_not_find_the_package(tmp_path):
     """Decontamination from another folder, with the package on the driver's path alone."""
     import pathlib
