@@ -604,6 +604,35 @@ def test_neighbours_of_clusters_skip_far_cells(spark):
     assert nearest.neighbours(df.where("id < 0")).count() == 0 and nearest.compared(df.where("id < 0")).first().distances == 0
 
 
+def test_neighbours_shuffle_no_vector_for_a_pair(spark):
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    v = np.random.default_rng(11).normal(size=(2000, 32))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>").repartition(4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables beyond it
+    try:
+        before = sent()
+        assert nearest.neighbours(df, 5, cell_rows=20, block_rows=100).count() == 10000
+        assert sent() - before < 6 * v.nbytes
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("kind", ["copies", "near copies", "far", "mixed"])
+def test_neighbours_whatever_products_round(spark, kind):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(600, 8))
+    if kind in ("copies", "near copies"):
+        v[:300] = v[0] + rng.normal(size=(300, 8)) * (1e-9 if kind == "near copies" else 0)
+    v = {"far": v * 1e-3 + 1e6, "mixed": v * 10.0 ** rng.integers(-8, 8, (600, 1))}.get(kind, v)
+    ids = rng.permutation(600) - 100
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)] + [(9999, [float("nan")] * 8)], "id long, vec array<double>").repartition(3)
+    d2 = nearest.squared(v, v)
+    d2[np.arange(600), np.arange(600)] = np.inf
+    want = {(int(ids[i]), n + 1): (int(ids[j]), float(d2[i, j])) for i in range(600) for n, j in enumerate(np.lexsort((ids, d2[i]))[:5])}
+    assert {(r.id, r["rank"]): (r.other, r.d2) for r in nearest.neighbours(df, 5, cell_rows=30, block_rows=120).collect()} == want
+
+
 @pytest.mark.parametrize("by", [(), ("k",)])
 def test_curves_of_any_size(spark, by):
     rng = np.random.default_rng(7)
