op2_language_id: subwords of a row are gathered and added up once, without running sums or dense keys

Symptom: op2_language_id spends most of its CPU seconds in Python, labelling and learning; 586 of 663 a GB over 0.51 GB of documents.
Evidence: stage 136 (labels, 175 task s) and stages 96 and 103 (two learning passes, 106 each) lead. A profile shows running sums over every byte for each column of the model, subword hashes begun anew for each size, and bags counted by way of int64 arrays of rows x 16,384.
Fix: a size's hash goes on from the size before it; buckets of true subwords are gathered once a size, sums of a row by add.reduceat over its own, bags counted in place. A row's sums no longer take rounding from rows before it; no training arithmetic changed.
Effect, together with 2 more commits on this code: at 0.6 GB of input CPU 1015 -> 709 s, shuffle 0.04 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 3.65 -> 3.65 GB, longest task 28 -> 13 s, most memory of a task 34 -> 34 MB; at 6 GB of input CPU 6780 -> 3997 s, shuffle 0.12 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 36.41 -> 36.41 GB, longest task 58 -> 29 s, most memory of a task 34 -> 34 MB; with hot keys, at 0.6 GB of input CPU 710 -> 478 s, shuffle 0.04 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 1.09 -> 1.09 GB, longest task 14 -> 8 s, most memory of a task 34 -> 34 MB.

@@ -63,39 +63,44 @@ def subwords(raw: np.ndarray, offsets: np.ndarray):
     """For each size, the bucket of the subword that starts at each byte and whether one does: none crosses words or rows."""
     b = _FOLD[raw].astype(np.uint32)
     space = b == 32
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for n in SIZES:
+    last = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(b))] - 1
+    goes_on = np.ones(len(b), bool)  # whether the next byte is of the same row
+    goes_on[last] = False
+    # A size goes on from the one before it: another byte, which must be of the row, behind one that must not part words.
+    code, whole = b, np.ones(len(b), bool)
+    for n in range(2, SIZES[-1] + 1):
         m = len(b) - n + 1
         if m <= 0:
-            continue
-        code = np.zeros(m, np.uint32)
-        for j in range(n):
-            code = code * np.uint32(0x01000193) + b[j : j + m]
-        ok = row[:m] == row[n - 1 :]
-        for j in range(1, n - 1):
-            ok &= ~space[j : j + m]
-        ok &= ~(space[:m] & space[n - 1 :])
-        code = (code + np.uint32(n)) * np.uint32(0x9E3779B1)
-        yield (code >> np.uint32(18)).astype(np.int64), ok
+            return
+        code = code[:m] * np.uint32(0x01000193) + b[n - 1 :]
+        whole = whole[:m] & goes_on[n - 2 : -1]
+        if n > 2:
+            whole &= ~space[n - 2 : -1]
+        if n in SIZES:
+            yield ((code + np.uint32(n)) * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int64), whole & ~(space[:m] & space[n - 1 :])
 
 
 assert BUCKETS == 1 << (32 - 18)
 
 
+def _by_row(raw: np.ndarray, offsets: np.ndarray):
+    """For each size, the buckets of all subwords, row by row, and n + 1 offsets of the rows among them."""
+    for code, ok in subwords(raw, offsets):
+        at = np.flatnonzero(ok)
+        yield code[at], np.searchsorted(at, offsets)
+
+
 def sums(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows x columns) sums of the table over the subwords of each row, and their number."""
     n = len(offsets) - 1
     total, count = np.zeros((n, table.shape[1])), np.zeros(n)
-    # A last line of zeros takes what isn't a subword.
-    columns = [np.append(table[:, c], 0).astype(np.float32) for c in range(table.shape[1])]
-    for code, ok in subwords(raw, offsets):
-        code[~ok] = BUCKETS
-        lo, hi = np.minimum(offsets[:-1], len(code)), np.minimum(offsets[1:], len(code))
-        seen = np.concatenate(([0], np.cumsum(ok)))
-        count += seen[hi] - seen[lo]
-        for c, column in enumerate(columns):
-            run = np.concatenate(([0], np.cumsum(column[code], dtype=np.float64)))
-            total[:, c] += run[hi] - run[lo]
+    columns = [table[:, c].astype(np.float64) for c in range(table.shape[1])]
+    for code, of in _by_row(raw, offsets):
+        some = np.flatnonzero(of[:-1] < of[1:])
+        if len(some):
+            count += np.diff(of)
+            for c, column in enumerate(columns):
+                total[some, c] += np.add.reduceat(column[code], of[some])
     return total, count
 
 
@@ -160,12 +165,14 @@ def bags(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(rows x BUCKETS) how often each row has a subword of each bucket."""
     out = np.zeros((len(offsets) - 1, BUCKETS), np.float32)
     for i, j in pieces(offsets, CHUNK):
-        for lo, hi in _cuts(int(offsets[i]), int(offsets[j])):  # more than one for a row alone
-            at = np.clip(offsets[i : j + 1], lo, hi) - lo
-            row = np.repeat(np.arange(j - i) * BUCKETS, np.diff(at))
-            keys = [(row[: len(code)] + code)[ok] for code, ok in subwords(raw[lo:hi], at)]
-            if keys:
-                out[i:j] += np.bincount(np.concatenate(keys), minlength=(j - i) * BUCKETS).reshape(j - i, BUCKETS)
+        cuts = _cuts(int(offsets[i]), int(offsets[j]))  # more than one for a row alone
+        for lo, hi in cuts:
+            # A cut is counted on its own: ones added to a float32 count for nothing from 2^24 on.
+            counts = out[i:j] if len(cuts) == 1 else np.zeros((1, BUCKETS), np.float32)
+            for code, of in _by_row(raw[lo:hi], np.clip(offsets[i : j + 1], lo, hi) - lo):
+                np.add.at(counts.reshape(-1), np.repeat(np.arange(j - i) * BUCKETS, np.diff(of)) + code, np.float32(1))
+            if len(cuts) > 1:
+                out[i:j] += counts
     return out
 
 

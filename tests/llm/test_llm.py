@@ -143,6 +143,23 @@ def test_languages_against_a_plain_forward_pass(spark):
     assert len(rows) > 10
 
 
+def test_subwords_of_a_row_hang_on_no_other(monkeypatch):
+    """Bags and sums of texts are those of each text alone, to the last bit, wherever a chunk ends: large values of one row take no digits from the next."""
+    texts = ["zz" * 40, "a", None, "", "  ", "the cat, the  hat", "12 ab", "\u00e9t\u00e9 \u65e5\u672c\u8a9e", "x y", "ab" * 30, "zz a", "A b  c."]
+    raw, offsets, _ = langid.lowered(langid.pa.array(texts, langid.pa.string()))
+    table = np.random.default_rng(5).normal(size=(langid.BUCKETS, 3)).astype(np.float32)
+    table[np.flatnonzero(langid.bags(*langid.lowered(langid.pa.array(["zz" * 9]))[:2])[0])] *= 1e12
+    for chunk in (langid.CHUNK, 16):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        bags, (total, count) = langid.bags(raw, offsets), langid.sums(raw, offsets, table)
+        for i in range(len(texts)):
+            own, alone = raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])
+            assert (total[i] == langid.sums(own, alone, table)[0]).all()
+            if chunk > 16:
+                assert (bags[i] == langid.bags(own, alone)).all() and count[i] == bags[i].sum() and total[i] == pytest.approx(bags[i] @ table.astype(float), rel=1e-9)
+    assert (count == [sum(" " not in w[1:-1] and w[0] + w[-1] != "  " for n in langid.SIZES for w in (t[i : i + n] for i in range(len(t) - n + 1))) for t in ("".join(chr(langid._FOLD[b]) for b in raw[a:z]) for a, z in zip(offsets, offsets[1:]))]).all()
+
+
 def test_rejection(spark):
     """A score below the fitted threshold is rejected, one above isn't, and few rightly labelled texts go."""
     rng = random.Random(3)
