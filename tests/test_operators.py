@@ -745,6 +745,31 @@ def test_boosting_equals_a_plain_loop(spark, monkeypatch):
     np.testing.assert_allclose(trees.boost(df, 5, 2, 0.3, 3, 8, 0.5, 25, 12).predict(x), 1 / (1 + np.exp(-plain_boost(trees.cells(x, model.cuts), y, w, held, 2, 0.3, 3, 8, 0.5, 25)[0])), rtol=1e-8)
 
 
+def test_boosting_reads_equal_rows_once(spark, monkeypatch):
+    """Levels read a row for each y, held and bins; the model is that of all rows, with missing features, labels of one kind held, ids that repeat and weights of 0."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i % 300), float(v[0] + v[1] > rng.integers(2, 8)), float(i % 4) / 2, bool(i % 5 == 0), [float(v[0]), None if i % 17 == 0 else float(v[1])]) for i, v in enumerate(rng.integers(0, 6, (600, 2)))]
+    df = spark.createDataFrame(rows, "id long, y double, w double, held boolean, x array<double>").repartition(3)
+    read = []
+    monkeypatch.setattr(trees, "prepared", lambda *a, f=trees.prepared: read.append(f(*a)) or read[-1])
+    model = trees.boost(df, 2, 4, 0.3, 2, 9, 0.5, 25, 8)
+    assert read[0].count() <= 2 * 2 * 6 * 7 < 300 and read[0].agg(F.sum("n"), F.sum("w")).first()[:] == (600, sum(r[2] for r in rows))
+    x = np.array([[np.nan if v is None else v for v in r[4]] for r in rows])
+    y, w, held = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    raw, losses = plain_boost(trees.cells(x, model.cuts), y, w, held, 4, 0.3, 2, 9, 0.5, 25)
+    np.testing.assert_allclose(model.predict(x), 1 / (1 + np.exp(-raw)), rtol=1e-8)
+    np.testing.assert_allclose(model.losses, losses, rtol=1e-8)
+    # A missing label or weight isn't 0: it shows in all sums of its bins, merged or not.
+    for odd in (df.withColumn("y", F.expr("if(id = 7, null, y)")), df.withColumn("w", F.expr("if(id = 7, null, w)"))):
+        made = []
+        for few in (trees.FEW_BINNED, 0):
+            monkeypatch.setattr(trees, "FEW_BINNED", few)
+            made.append(trees.boost(odd, 2, 2, 0.3, 2, 9, 0.5, 25, 8))
+        monkeypatch.undo()
+        np.testing.assert_allclose(*[m.predict(x) for m in made], rtol=1e-8)
+        np.testing.assert_allclose(*[m.losses for m in made], rtol=1e-8)
+
+
 def test_boosting_stops_without_gain(spark):
     x, y, rows, df = labelled(spark, 300)
     noise = df.withColumn("y", F.pmod(F.xxhash64("id"), F.lit(2)).cast("double"))
