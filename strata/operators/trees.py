@@ -58,7 +58,7 @@ def leaves(tree, bins: np.ndarray) -> np.ndarray:
 def edges(rows: DataFrame, width: int, bins: int = BINS, features: str = "x") -> list[np.ndarray]:
     """For each place of an array column, the distinct percentiles that cut its values into at most `bins` bins."""
     each = rows.select(F.posexplode(features).alias("place", "val"))
-    cuts = percentiles(each, "val", [i / bins for i in range(1, bins)], "place").collect()
+    cuts = percentiles(each, "val", [i / bins for i in range(1, bins)], "place", few=True).collect()
     found = {r.place: np.unique(np.array([v for v in r.p if v is not None], float)) for r in cuts}
     return [found.get(i, np.zeros(0)) for i in range(width)]
 

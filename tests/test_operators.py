@@ -770,6 +770,25 @@ def test_boosting_reads_equal_rows_once(spark, monkeypatch):
         np.testing.assert_allclose(*[m.losses for m in made], rtol=1e-8)
 
 
+def test_edges_leave_values_where_they_are(spark, monkeypatch):
+    """The brackets of the few places go to the values; values don't meet by place, which would be a task a feature."""
+    rows = spark.createDataFrame([(i, [float(i), None if i % 9 == 0 else float(i % 7), None]) for i in range(200)] + [(1, None), (2, [])], "id long, x array<double>").repartition(3)
+    plans, key = [], "spark.sql.autoBroadcastJoinThreshold"
+    monkeypatch.setattr(ranks, "stored", lambda df, *a, f=ranks.stored: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, *a))
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        cuts = trees.edges(rows, 4, 8)
+        assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+        each = rows.select(F.when(F.col("id") % 2 == 0, F.col("id") % 4).alias("k"), F.get("x", F.lit(1)).alias("v"))  # with a null key
+        few, many = (sorted(ranks.percentiles(each, "v", [0.1, 0.5], "k", few=x).collect(), key=repr) for x in (True, False))
+    finally:
+        spark.conf.set(key, kept)
+    assert few == many and len(few) == 3
+    np.testing.assert_allclose(cuts[0], np.quantile(np.arange(200), np.arange(1, 8) / 8))
+    assert cuts[1].tolist() == np.unique(np.quantile([i % 7 for i in range(200) if i % 9], np.arange(1, 8) / 8)).tolist() and not len(cuts[2]) and not len(cuts[3])
+
+
 def test_boosting_stops_without_gain(spark):
     x, y, rows, df = labelled(spark, 300)
     noise = df.withColumn("y", F.pmod(F.xxhash64("id"), F.lit(2)).cast("double"))
