@@ -15,8 +15,8 @@ from strata.operators.storage import stored
 CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS = 256, 2048, 4096
 #: Rows of the blocks that a task keeps at hand while others pass, about; each such side gives k rows for every row.
 SIDE_ROWS = 1 << 18
-#: Rows that meet a block at once; files of the blocks at most.
-RUN_ROWS, MOST_FILES = 512, 1024
+#: Rows that meet a block at once; files of the blocks at most; near pairs a row from which on columns are taken a run at a time.
+RUN_ROWS, MOST_FILES, MANY_NEAR = 512, 1024, 64
 #: What rounding may take from a bound.
 SLACK = 1e-9
 LAST = 2**63 - 1
@@ -158,13 +158,19 @@ class _Lists:
                 least = (self.norm[rows] * (1 - 1e-12) - self.within[rows] * (1 + SLACK)) / 2 - error
                 least = np.maximum(least - np.abs(least) * 2 * np.finfo(t).eps, np.finfo(t).min).astype(t)
                 # What isn't a number counts as near.
-                hit = np.flatnonzero(~(self.rows[t][rows] @ (there if len(cols) == len(ids) else there[cols]).T < least[:, None]))
+                pairs = ~(self.rows[t][rows] @ (there if len(cols) == len(ids) else there[cols]).T < least[:, None])
             else:
-                hit = np.arange(len(rows) * len(cols))
-            row, col = rows[hit // len(cols)], cols[hit % len(cols)]
-            # Of rows at no distance only smaller ids than those at hand matter.
-            use = (ids[col] != self.ids[row]) & ((self.within[row] > 0) | (ids[col] < self.other[row, -1]))
-            self._take(row[use], ids[col[use]], _of_pairs(self.across, row[use], across, col[use]))
+                pairs = np.ones((len(rows), len(cols)), bool)
+            # Of many equal rows the first ones found leave out the rest before their distances are added up.
+            step = RUN_ROWS if np.count_nonzero(pairs) > MANY_NEAR * len(rows) else len(cols)
+            for lo in range(0, len(cols), step):
+                part = cols[lo : lo + step]
+                # Of rows at no distance only smaller ids than those at hand matter.
+                wanting = (self.within[rows] > 0) | (ids[part].min() < self.other[rows, -1])
+                hit = np.flatnonzero(pairs[:, lo : lo + step] & wanting[:, None])
+                row, col = rows[hit // len(part)], part[hit % len(part)]
+                use = (ids[col] != self.ids[row]) & ((self.within[row] > 0) | (ids[col] < self.other[row, -1]))
+                self._take(row[use], ids[col[use]], _of_pairs(self.across, row[use], across, col[use]))
 
     def _take(self, row: np.ndarray, ids: np.ndarray, d2: np.ndarray) -> None:
         use = np.isfinite(d2) & (d2 <= self.within[row])

@@ -745,6 +745,29 @@ def test_boosting_equals_a_plain_loop(spark, monkeypatch):
     np.testing.assert_allclose(trees.boost(df, 5, 2, 0.3, 3, 8, 0.5, 25, 12).predict(x), 1 / (1 + np.exp(-plain_boost(trees.cells(x, model.cuts), y, w, held, 2, 0.3, 3, 8, 0.5, 25)[0])), rtol=1e-8)
 
 
+def test_equal_rows_add_up_few_distances(monkeypatch):
+    """Of a block's many equal rows a run of columns settles each, and their distances to the rest aren't added up; ids that repeat aren't neighbours."""
+    rng = np.random.default_rng(4)
+    v, ids = rng.normal(size=(1700, 6)), np.r_[rng.permutation(1690), np.arange(10)]
+    v[50:1650] = v[7]
+    cell, looked = np.zeros(850, np.int32), []
+    bounds = (v[7:8], np.array([0]), np.zeros(1), np.sqrt(((v - v[7]) ** 2).sum(1).max(keepdims=True)) * (1 + 1e-9))
+    halves = [np.sort(x) for x in np.split(rng.permutation(1700), 2)]
+    halves = [x[np.argsort(ids[x], kind="stable")] for x in halves]
+    monkeypatch.setattr(nearest, "_of_pairs", lambda a, i, b, j, f=nearest._of_pairs: looked.append(len(i)) or f(a, i, b, j))
+    for order in (1, -1):  # its own half first or last
+        for k, own in enumerate(halves):
+            lists = nearest._Lists(cell, ids[own], v[own], 5, bounds)
+            looked.clear()
+            for other in (own, halves[1 - k])[::order]:
+                lists.meet(cell, ids[other], v[other])
+            assert sum(looked) < 0.8 * 850 * 850
+            d2 = nearest.squared(v[own], v)
+            d2[ids[own][:, None] == ids] = np.inf
+            best = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :5]
+            assert (lists.other == ids[best]).all() and (lists.d2 == np.take_along_axis(d2, best, 1)).all()
+
+
 def test_boosting_reads_equal_rows_once(spark, monkeypatch):
     """Levels read a row for each y, held and bins; the model is that of all rows, with missing features, labels of one kind held, ids that repeat and weights of 0."""
     rng = np.random.default_rng(8)
