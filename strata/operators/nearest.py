@@ -256,7 +256,7 @@ def cells(vectors: DataFrame, key: str, vec: str, cell_rows: int, block_rows: in
     numbers = _numbers(ring["n"].tolist(), block_rows)
     of = spark.createDataFrame([(int(c), *x) for c, x in zip(ring["cell"], numbers)], "cell int, first long, parts long")
     block = F.col("first") + F.pmod(F.xxhash64("a"), F.col("parts"))
-    dealt = placed.join(F.broadcast(of), "cell").select(block.alias("block"), "cell", "a", "v").repartition(min(MOST_FILES, sum(numbers[-1])), "block")
+    dealt = placed.join(F.broadcast(of), "cell").select(block.cast("int").alias("block"), "cell", "a", "v").repartitionById(min(MOST_FILES, sum(numbers[-1])), "block")
     dtype = np.float32 if short else np.float64
     return Cells(stored(dealt.groupBy("block").applyInArrow(_packed(dtype), PACKED), "blocks"), n, bounds, dtype)
 

@@ -768,6 +768,23 @@ def test_equal_rows_add_up_few_distances(monkeypatch):
             assert (lists.other == ids[best]).all() and (lists.d2 == np.take_along_axis(d2, best, 1)).all()
 
 
+def test_blocks_are_dealt_evenly(spark, monkeypatch):
+    """A file has no more blocks than its share, and blocks are put together where they were dealt to."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 4))
+    v[:300] = v[0]
+    df = spark.createDataFrame([(i % 880, x.tolist()) for i, x in enumerate(v)] + [(None, v[1].tolist()), (901, None)], "id long, vec array<double>").repartition(3)
+    plans = []
+    monkeypatch.setattr(nearest, "stored", lambda d, name, f=nearest.stored: plans.append(d._jdf.queryExecution().executedPlan().toString()) or f(d, name))
+    for files in (1024, 4):
+        monkeypatch.setattr(nearest, "MOST_FILES", files)
+        blocks = nearest.cells(df, "id", "vec", 30, 60).blocks
+        n, per_file = blocks.count(), [r["count"] for r in blocks.groupBy(F.input_file_name()).count().collect()]
+        assert n >= 15 and len(per_file) == min(n, files) and max(per_file) == -(-n // files)
+        assert blocks.agg(F.sum(F.length("ids")), F.count_distinct("block")).first()[:] == (8 * 900, n)
+        assert "hashpartitioning(block" not in plans[-1]
+
+
 def test_boosting_reads_equal_rows_once(spark, monkeypatch):
     """Levels read a row for each y, held and bins; the model is that of all rows, with missing features, labels of one kind held, ids that repeat and weights of 0."""
     rng = np.random.default_rng(8)
