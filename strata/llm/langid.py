op2_language_id: the texts aren't sent back from Python, as nothing reads them there

Symptom: the labelling stage of op2_language_id returns each text from Python to the JVM, and the next step drops it.
Evidence: the plan's MapInArrow gives doc_id, text, lang_pred, score and rejected, a projection right behind it leaves text out; Spark can't prune what Python returns. The stage takes 58 task s over 0.51 GB of documents.
Fix: label_languages() takes with_text=False and returns the other columns; op2 sets it. The default, which the pipeline uses, is as before.
Effect, together with 2 more commits on this code: at 0.6 GB of input CPU 1015 -> 709 s, shuffle 0.04 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 3.65 -> 3.65 GB, longest task 28 -> 13 s, most memory of a task 34 -> 34 MB; at 6 GB of input CPU 6780 -> 3997 s, shuffle 0.12 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 36.41 -> 36.41 GB, longest task 58 -> 29 s, most memory of a task 34 -> 34 MB; with hot keys, at 0.6 GB of input CPU 710 -> 478 s, shuffle 0.04 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 1.09 -> 1.09 GB, longest task 14 -> 8 s, most memory of a task 34 -> 34 MB.

@@ -411,8 +411,8 @@ def fit(rows: pa.Table, epochs: int, seed: int) -> tuple[list, np.ndarray, np.nd
     return labels, E, W, bias
 
 
-def label_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected; columns of these names are replaced, all others stay.
+def label_languages(docs: DataFrame, model: Model, text: str = "text", with_text: bool = True) -> DataFrame:
+    """docs with lang_pred, score and rejected; columns of these names are replaced, all others stay, but for the text if it isn't wanted.
 
     A text that is null or has no letter is 'und' with score 0 and rejected; any other has a learned label, or 'und' and is
     kept if the model learned none. Every byte of every text counts. The model travels as a broadcast of fixed size (BUCKETS x DIMENSIONS at most, and the labels).
@@ -421,6 +421,7 @@ def label_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     held = spark.sparkContext.broadcast(tuple(model))
     position = kept.index(text)
+    out = [i for i, c in enumerate(kept) if with_text or c != text]
 
     def run(batches):
         fitted = Model(*held.value)
@@ -430,9 +431,9 @@ def label_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFr
             rejected = (scores < fitted.threshold) | (scores == 0)
             if fitted.labels != [UNKNOWN]:
                 rejected |= np.array([x == UNKNOWN for x in labels], bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*kept, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in out], pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*[kept[i] for i in out], "lang_pred", "score", "rejected"])
 
-    schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(False)}).schema
+    schema = docs.select(*[kept[i] for i in out]).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(False)}).schema
     return docs.select(*kept).mapInArrow(run, schema)
 
 
@@ -448,4 +449,4 @@ def learning_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(learning_rows(docs))
-    return label_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return label_languages(docs.select("doc_id", "text"), model, with_text=False).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")

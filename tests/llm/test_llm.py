@@ -160,6 +160,20 @@ def test_subwords_of_a_row_hang_on_no_other(monkeypatch):
     assert (count == [sum(" " not in w[1:-1] and w[0] + w[-1] != "  " for n in langid.SIZES for w in (t[i : i + n] for i in range(len(t) - n + 1))) for t in ("".join(chr(langid._FOLD[b]) for b in raw[a:z]) for a, z in zip(offsets, offsets[1:]))]).all()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_texts_do_not_come_back(spark, monkeypatch):
+    """op2 gives no text, so none is sent back from Python; the other columns are those with it, nulls and repeated rows included."""
+    docs = awkward(spark).select("doc_id", "text", "lang")
+    docs = docs.unionAll(docs)
+    model = langid.train(docs)
+    with_, without = (langid.label_languages(docs, model, with_text=x) for x in (True, False))
+    assert with_.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"] and without.columns == [c for c in with_.columns if c != "text"]
+    assert sorted(map(tuple, without.collect()), key=repr) == sorted(map(tuple, with_.drop("text").collect()), key=repr)
+    monkeypatch.setattr(langid, "train", lambda rows: model)
+    plan = langid.op2(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow run(doc_id" in plan and "text#" not in plan.split("MapInArrow run")[1].split(")", 1)[1].split("\n")[0]
+
+
 def test_rejection(spark):
     """A score below the fitted threshold is rejected, one above isn't, and few rightly labelled texts go."""
     rng = random.Random(3)
